@@ -15,6 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import removed
+
+    return removed(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
