@@ -126,7 +126,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, keep_ids: b
             return pa.RecordBatch.from_arrays(cols, names)
 
         for x in token_batches(batches, path):
-            held.append(x[:4])
+            held.append(x)
             total += len(x[3])
             if total >= RUN_TOKENS:
                 yield pieces()

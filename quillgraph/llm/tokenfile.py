@@ -60,16 +60,14 @@ def encoded(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
 
-def token_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """(part, doc_ids, lengths, ids, texts) of small runs of documents."""
+def token_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, doc_ids, lengths, ids) of small runs of documents."""
     for b in batches:
-        _, off = text_column(b, "text")
-        col = b.column(b.schema.get_field_index("text"))
+        data, off = text_column(b, "text")
         doc = b.column(b.schema.get_field_index("doc_id")).fill_null(NULL).to_numpy(zero_copy_only=False)
         for i, j in slices(off):
-            texts = [t or "" for t in col.slice(i, j - i).to_pylist()]
-            ids, n = T.encoder(path).encode(texts)
-            yield b.column(b.schema.get_field_index("part"))[0].as_py(), doc[i:j], n, ids, texts
+            ids, n = T.encoder(path).encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield b.column(b.schema.get_field_index("part"))[0].as_py(), doc[i:j], n, ids
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -86,7 +84,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: i
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([shard]), pa.array([before]), pa.array([size]), pa.array([data], pa.binary())], ["part", "shard", "before", "tokens", "data"])
 
         for part in token_batches(batches, path):
-            held.append(part[:4])
+            held.append(part)
             size += len(part[3])
             if size >= shard_tokens:
                 yield row()
