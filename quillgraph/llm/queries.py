@@ -21,6 +21,12 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .capfilter import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
