@@ -6,12 +6,14 @@ element visits the slots of the signature in an order of its own, its j-th visit
 j + r; a slot keeps its lowest bid. Once the highest slot of a document is below j + 1 no
 later visit can win, so long documents stop after the first visits.
 
-Documents with equal sets are one class from the start, which a member represents. Classes that share a
-band of their signatures are candidates. A small bucket compares all its members (at most
-SMALL, so a bounded number per member). In a larger one all members are compared with its
-leader; while members without a link remain, those pick 4, 16, ... leaders more, which all
-members of the bucket are compared with. Which members lead differs between groups of
-bands. Links are confirmed on the full sets, read from the whole texts again.
+Documents with equal sets are one class from the start, which a member represents. Classes
+that share a band of their signatures are candidates. First every member of a bucket is
+compared with the bucket's leader, the class that shares bands with most others; this links
+all but the outer members of a group of copies. Where a bucket still holds several
+components, the members outside its largest one are compared with all others: within a
+task, in pairs of blocks, and only links that join components leave it. So no link between
+candidates is lost and none is written out that does not matter. Links are always decided
+on the full sets of the whole texts.
 
 Defined results: null text is no words; repeated rows are equal sets (rows that repeat an
 id are taken to repeat its text); an empty table gives an empty result; other columns are not read.
@@ -31,8 +33,8 @@ from .store import written
 from .words import hash_words, mix, slices, spans, text_column, windows
 
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with a chance of 3e-5
-LEADS = 4  # groups of bands with leaders of their own
-SMALL = 12
+BLOCK = 1024  # classes of a bucket that meet at a time
+SHARD_ROWS = 20_000  # places in buckets that a task closes
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, i: int, j: int, k: int) -> list[np.ndarray]:
@@ -145,6 +147,74 @@ def _low(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _own_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = text_column(b, "text")
+            for i, j in slices(off):
+                sets = [s.tobytes() for s in shingle_sets(data, off, i, j, k)]
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "set"])
+
+    return run
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of incidence
+    matrices over a few thousand of the elements that both sides hold at a time."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for s in range(0, len(both), 4096):
+        some = both[s : s + 4096]
+        one, two = (np.zeros((len(side), len(some)), np.float32) for side in (left, right))
+        for m, side in ((one, left), (two, right)):
+            for r, x in enumerate(side):
+                at = np.minimum(np.searchsorted(some, x), len(some) - 1)
+                m[r, at[some[at] == x]] = 1
+        out += one @ two.T
+    return out
+
+
+def _closing(percent: int):
+    """In each bucket, links between members of the main component and the rest, and among the
+    rest, as far as they join components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets], np.float32)
+        places: dict[tuple, list[tuple]] = {}
+        for r, keys in enumerate(t.column("keys").to_pylist()):
+            for x in keys:
+                places.setdefault((x["key"], x["p"], x["q"]), []).append((r, x["own"], x["rest"]))
+        up: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for (_, p, q), rows in places.items():
+            row, own, rest = (np.array(x) for x in zip(*rows))
+            jobs = [(row[rest], row)] if p == q else [(row[rest & (own == p)], row[own == q]), (row[rest & (own == q)], row[~rest & (own == p)])]
+            for a, b in jobs:
+                if not len(a) or not len(b):
+                    continue
+                both = intersections([sets[r] for r in a], [sets[r] for r in b])
+                i, j = np.nonzero((both * 100 >= (size[a][:, None] + size[b][None, :] - both) * percent) & (comp[a][:, None] != comp[b][None, :]))
+                pair = np.unique(np.stack([comp[a[i]], comp[b[j]]], axis=1), axis=0, return_index=True)[1] if len(i) else []
+                for n in pair:
+                    x, y = a[i[n]], b[j[n]]
+                    u, v = root(int(comp[x])), root(int(comp[y]))
+                    if u != v:
+                        up[max(u, v)] = min(u, v)
+                        out.append((int(rep[x]), int(rep[y])))
+        cols = list(zip(*out)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -152,49 +222,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     same = ["n_shingles", "s1", "s2"]
     classes = s.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes, "classes")
-    band = classes.select("rep", F.posexplode("bands").alias("n", "key"))
-    lead = (F.col("n") % LEADS).cast("int")
-    band = band.select("rep", "key", F.xxhash64("rep", lead).alias("pri"))
+    band = classes.select("rep", F.explode("bands").alias("key"))
     sizes = band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(band.join(sizes, "key"), "buckets")
-
-    small = buckets.where(F.col("size") <= SMALL)
-    near = small.select("key", F.col("rep").alias("x")).join(small.select("key", F.col("rep").alias("y")), "key").where("x < y")
-    large = buckets.where(F.col("size") > SMALL)
-    open_, leaders, tested = large, 1, None
-    links: list[DataFrame] = []
-    while True:
-        slot = F.pmod(F.col("pri"), F.lit(leaders))
-        chosen = open_.groupBy("key", slot.alias("slot")).agg(F.min_by("rep", "pri").alias("lead"))
-        star = large.join(chosen, "key").where("rep <> lead")
-        ask = star.select(*_low(F.col("rep"), F.col("lead")))
-        if tested is None:
-            ask = ask.unionByName(near.select(*_low(F.col("x"), F.col("y"))))
-        ask = ask.distinct()
-        if tested is not None:
-            ask = ask.join(tested, ["a", "b"], "left_anti")
-        ask = written(ask, "pairs")
-        if not ask.isEmpty():
-            ends = ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            found = written(verified(ask, docs.join(ends, "doc_id").dropDuplicates(["doc_id"]), k, percent), "verified")
-            links.append(found.where("ok").select("a", "b"))
-            tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
-        if not links:
-            break
-        linked = links[0]
-        for x in links[1:]:
-            linked = linked.unionByName(x)
-        # members of large buckets that no leader of theirs is linked with, leaders apart
-        hits = star.select("key", "rep", *_low(F.col("rep"), F.col("lead"))).join(linked, ["a", "b"], "left_semi").select("key", "rep").distinct()
-        rest = open_.join(hits, ["key", "rep"], "left_anti").join(chosen.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti")
-        open_ = written(rest, "open")
-        if open_.isEmpty():
-            break
-        leaders *= 4
-    edges = links[0] if links else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    for x in links[1:]:
-        edges = edges.unionByName(x)
-    c = components(edges)
+    # the more classes share bands with a class, the nearer it is to the middle of its group
+    middle = buckets.groupBy("rep").agg(F.sum("size").alias("reach"))
+    texts = written(docs.join(middle.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    placed = buckets.join(middle, "rep").select("key", "rep", "size", F.struct("reach", F.xxhash64("rep").alias("h")).alias("place"))
+    lead = placed.groupBy("key").agg(F.max_by("rep", "place").alias("lead"))
+    star = written(buckets.join(lead, "key").where("rep <> lead").select(*_low(F.col("rep"), F.col("lead"))).distinct(), "pairs")
+    edges = written(verified(star, texts, k, percent).where("ok").select("a", "b"), "links")
+
+    comp = components(edges)
+    member = buckets.where("size > 2").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    member = written(member, "members")
+    parts_ = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    left = member.join(parts_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p, q = F.least("own", "o"), F.greatest("own", "o")
+    total = left.count()
+    shards = max(1, -(-total // SHARD_ROWS))
+    key = F.struct("key", p.alias("p"), q.alias("q"), "own", (F.col("comp") != F.col("main")).alias("rest"))
+    dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", p, q), F.lit(shards))).groupBy("shard", "rep", "comp").agg(F.collect_list(key).alias("keys"))
+    sets = texts.mapInArrow(_own_sets(k), "rep long, set binary")
+    more = written(dealt.join(sets, "rep").groupBy("shard").applyInArrow(_closing(percent), "a long, b long"), "more")
+
+    c = components(edges.unionByName(more))
     named = classes.select(*same, "rep").join(c, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = s.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
