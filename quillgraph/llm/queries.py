@@ -45,11 +45,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict:
-    from . import mixing
+    from . import imatch, mixing
 
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op10_fingerprints": imatch.SQL}
