@@ -18,7 +18,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import removed
 
-    return removed(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return removed(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
