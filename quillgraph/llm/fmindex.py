@@ -65,18 +65,25 @@ class FMIndex:
         self._parents()
 
     def _parents(self) -> None:
-        """For each LCP boundary, the nearest lower ones on both sides."""
-        n, lcp = self.n, self.lcp
-        lcp[0] = lcp[n] = -1
-        self.left, self.right = np.zeros(n + 1, np.int64), np.full(n + 1, n, np.int64)
-        at = np.arange(n + 1)
-        for v in np.unique(lcp):
-            if v < 0:
-                continue
-            here = np.flatnonzero(lcp == v)
-            low = lcp < v
-            self.left[here] = np.maximum.accumulate(np.where(low, at, 0))[here]
-            self.right[here] = np.minimum.accumulate(np.where(low, at, n)[::-1])[::-1][here]
+        """Minima of the LCP array over all runs of 2**k, to find lower values on both sides."""
+        self.lcp[0] = self.lcp[self.n] = -1
+        kind = np.int16 if self.lcp.max() < 2**15 else np.int64
+        self.low = [self.lcp.astype(kind)]
+        while 2 << (len(self.low) - 1) <= self.n + 1:
+            a, w = self.low[-1], 1 << (len(self.low) - 1)
+            self.low.append(np.minimum(a[:-w], a[w:]))
+
+    def _parent(self, edge: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The widest interval around a boundary whose inner LCP values are at least `depth`."""
+        lo, hi = edge.copy(), edge.copy()
+        for k in range(len(self.low) - 1, -1, -1):
+            w, low = 1 << k, self.low[k]
+            at = lo - w  # values lo-w .. lo-1
+            go = (at >= 0) & (low[np.maximum(at, 0)] >= depth)
+            lo[go] -= w
+            go = (hi + w < self.n + 1) & (low[np.minimum(hi + 1, len(low) - 1)] >= depth)  # hi+1 .. hi+w
+            hi[go] += w
+        return lo - 1, hi + 1
 
     def code(self, x: np.ndarray) -> np.ndarray:
         """Symbols as the index knows them (all must occur in it)."""
@@ -88,15 +95,19 @@ class FMIndex:
         size = np.array([len(q) for q in queries])
         wide = int(size.max())
         grid = np.zeros((len(queries), wide), np.int64)
-        for i, q in enumerate(queries):
-            grid[i, wide - len(q) :] = self.code(q)
+        flat = self.code(np.concatenate(queries))
+        grid[np.arange(wide) >= wide - size[:, None]] = flat
         out = np.zeros((len(queries), wide), np.int64)
         lo, hi, depth = np.zeros(len(queries), np.int64), np.full(len(queries), self.n), np.zeros(len(queries), np.int64)
         for col in range(wide - 1, -1, -1):
             todo = np.flatnonzero(size >= wide - col)
+            c = grid[todo, col]
+            rare = self.mass[self.first[c + 1]] - self.mass[self.first[c]] < least
+            lo[todo[rare]], hi[todo[rare]], depth[todo[rare]] = 0, self.n, 0  # nothing that begins here recurs
+            todo = todo[~rare]
             while len(todo):
                 c = grid[todo, col]
-                a, b = self.first[c] + self.bwt.rank(c, lo[todo]), self.first[c] + self.bwt.rank(c, hi[todo])
+                a, b = (self.first[c] + x for x in self.bwt.ranks(c, lo[todo], hi[todo]))
                 ok = self.mass[b] - self.mass[a] >= least
                 lo[todo[ok]], hi[todo[ok]] = a[ok], b[ok]
                 depth[todo[ok]] += 1
@@ -106,7 +117,8 @@ class FMIndex:
                 d = np.maximum(np.maximum(self.lcp[x], self.lcp[y]), 0)
                 edge = np.where(self.lcp[x] == d, x, y)
                 root = d == 0
-                lo[todo], hi[todo] = np.where(root, 0, self.left[edge]), np.where(root, self.n, self.right[edge])
+                left, right = self._parent(edge, d)
+                lo[todo], hi[todo] = np.where(root, 0, left), np.where(root, self.n, right)
                 depth[todo] = d
             out[:, col] = depth
         return [out[i, wide - n :] for i, n in enumerate(size)]

@@ -85,7 +85,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each row once per epoch, and the row at
     the cut shortened to the words it gives (joined by one space)."""
     keep = docs.columns
-    m = mix(docs.withColumn("_size0", F.lit(None)), **options)
+    own = {c: f"_own_{c}" for c in keep if c in ("size", "source_size", "target", "taken")}
+    m = mix(docs.withColumnsRenamed(own), **options)
     whole = F.coalesce(F.expr("try_divide(taken, size)"), F.lit(0)).cast("long")
     # each element: how many words this copy gives
     copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(F.col("taken") > whole * F.col("size"), F.array(F.col("taken") - whole * F.col("size"))).otherwise(F.array().cast("array<bigint>")))
@@ -94,7 +95,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     m = m.withColumn("text", F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("text")))
     if "n_chars" in keep:
         m = m.withColumn("n_chars", F.when(F.col("_n") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return m.select(*keep)
+    return m.select(*(F.col(own.get(c, c)).alias(c) for c in keep))
 
 
 SQL = """

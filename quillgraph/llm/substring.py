@@ -37,7 +37,7 @@ from .words import hash_words, mix, slices, spans, text_column, windows
 
 GRAM = 12
 HOT = 200
-SHARD_STRINGS = 8000
+SHARD_STRINGS = 16_000
 
 
 def _slide(f, x: np.ndarray, n: int) -> np.ndarray:
@@ -92,41 +92,39 @@ def _send(window: int, gram: int, hot: bool):
     that hold a hot one."""
     side = window - gram
 
-    def cold(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def places(b: pa.RecordBatch) -> Iterator[tuple]:
+        """(word hashes, first words of rows, row and word of each anchor, doc_ids, copies)."""
         data, off = text_column(b, "text")
-        col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "cold", "copies")}
+        ids, copies = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "copies"))
+        at = b.column(b.schema.get_field_index("hot" if hot else "cold"))
+        flat, edge = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in at.to_pylist()])])
         for i, j in slices(off):
-            h, first = _read(b, i, j, data, off)
-            out: list[list] = [[], [], [], [], []]
-            for r in range(i, j):
-                if not col["cold"][r]:
-                    continue
-                w = h[first[r - i] : first[r - i + 1]]
-                for p in col["cold"][r]:
-                    anchor = windows(w[p : p + gram], gram) | np.uint64(1)
-                    a = max(0, p - side)
-                    s = w[a : p + gram + side].copy()
-                    s[p - a] = mix(anchor)[0]
-                    for x, y in zip(out, (int(anchor.view(np.int64)[0]), col["doc_id"][r], a, col["copies"][r], s.tobytes())):
-                        x.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["anchor", "doc_id", "at", "copies", "words"])
+            if edge[j] > edge[i]:
+                h, first = _read(b, i, j, data, off)
+                row = np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
+                yield h, first, row, first[row] + flat[edge[i] : edge[j]], ids[i:j], copies[i:j]
+
+    def cold(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for h, first, row, p, ids, copies in places(b):
+            anchor = windows(h, gram)[p] | np.uint64(1)
+            a, z = np.maximum(p - side, first[row]), np.minimum(p + gram + side, first[row + 1])
+            cut = np.concatenate([[0], np.cumsum(z - a)])
+            words = h[np.arange(cut[-1]) + np.repeat(a - cut[:-1], z - a)]
+            words[cut[:-1] + p - a] = mix(anchor)
+            strings = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[row]), pa.array((a - first[row]).astype(np.int32)), pa.array(copies[row]), strings], ["anchor", "doc_id", "at", "copies", "words"])
 
     def hashed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, off = text_column(b, "text")
-        col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "hot", "copies")}
-        for i, j in slices(off):
-            h, first = _read(b, i, j, data, off)
-            for r in range(i, j):
-                if not col["hot"][r]:
-                    continue
-                w = windows(h[first[r - i] : first[r - i + 1]], window)
-                p = np.array(col["hot"][r], np.int64)
-                cover = np.zeros(len(w) + 1, np.int64)
-                np.add.at(cover, np.minimum(np.maximum(p - side, 0), len(w)), 1)
-                np.add.at(cover, np.minimum(p + 1, len(w)), -1)
-                at = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(np.full(len(at), col["doc_id"][r])), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), col["copies"][r]))], ["window", "doc_id", "at", "copies"])
+        for h, first, row, p, ids, copies in places(b):
+            w = windows(h, window)
+            a, z = np.maximum(p - side, first[row]), np.minimum(p, first[row + 1] - window) + 1  # windows a..z hold the anchor
+            fits = a < z
+            cover = np.zeros(len(h) + 2, np.int64)
+            np.add.at(cover, a[fits], 1)
+            np.add.at(cover, z[fits], -1)
+            at = np.flatnonzero(np.cumsum(cover)[: len(w)] > 0)
+            row = np.searchsorted(first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(ids[row]), pa.array((at - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,22 +133,30 @@ def _send(window: int, gram: int, hot: bool):
     return run
 
 
-def _runs(doc: int, start: int, hit: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Intervals of words covered by windows that begin at the hits."""
-    out: list[tuple[int, int, int]] = []
+def _runs(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Intervals covered by windows that begin at the hits."""
+    out: list[tuple[int, int]] = []
     for p in np.flatnonzero(hit).tolist():
-        if out and out[-1][2] >= start + p:
-            out[-1] = (doc, out[-1][1], start + p + window)
+        if out and out[-1][1] >= p:
+            out[-1] = (out[-1][0], p + window)
         else:
-            out.append((doc, start + p, start + p + window))
+            out.append((p, p + window))
     return out
 
 
 def _search(window: int):
     def run(t: pa.Table) -> pa.Table:
-        strings = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
-        match = FMIndex(strings, t.column("copies").to_numpy()).matching(strings)
-        out = [x for d, a, m in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), match) for x in _runs(d, a, m >= window, window)]
+        kinds: dict[bytes, int] = {}  # equal surroundings are one string with a weight
+        kind = np.array([kinds.setdefault(x, len(kinds)) for x in t.column("words").to_pylist()])
+        strings = [np.frombuffer(x, np.uint64) for x in kinds]
+        weight = np.bincount(kind, t.column("copies").to_numpy()).astype(np.int64)
+        hits: list = [np.arange(len(s)) + window <= len(s) for s in strings]  # a string that recurs matches as a whole
+        ask = [i for i, s in enumerate(strings) if weight[i] == 1 and len(s) >= window]
+        if ask:
+            for i, m in zip(ask, FMIndex(strings, weight).matching([strings[i] for i in ask])):
+                hits[i] = m >= window
+        runs = [_runs(h, window) for h in hits]
+        out = [(d, a + x, a + y) for d, a, k in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), kind.tolist()) for x, y in runs[k]]
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1], pa.int32()), "b": pa.array(cols[2], pa.int32())})
 
@@ -185,28 +191,32 @@ def _covered(spans_: list | None, n: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def removed(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """Per row of docs (doc_id, text): n_words, n_removed, kept_sha256 and kept (the kept words
-    joined by one space)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    intervals, classes = repeated(docs, window, gram)
+def removed(docs: DataFrame, window: int = 35, gram: int = GRAM, texts: bool = True) -> DataFrame:
+    """docs (doc_id, text, ...) with n_words, n_removed, kept_sha256 and, unless texts is false,
+    kept (the kept words joined by one space). Without texts, only doc_id stays of docs."""
+    added = ["n_words", "n_removed", "kept_sha256", "kept"] if texts else ["n_words", "n_removed", "kept_sha256"]
+    keep = [c for c in docs.columns if c not in added and c not in ("spans", "_text_key")] if texts else ["doc_id"]
+    kinds = dict(docs.dtypes)
+    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    intervals, classes = repeated(slim, window, gram)
     by = intervals.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     # the spans of a class's text hold for all its copies
-    per = classes.join(written(by, "spans").withColumnRenamed("doc_id", "rep"), "rep", "left").where("spans IS NOT NULL").select("key", "spans")
+    per = classes.join(written(by, "spans").withColumnRenamed("doc_id", "rep"), "rep", "left").where("spans IS NOT NULL").select(F.col("key").alias("_text_key"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            at = b.schema.get_field_index("text")
-            spans_ = b.column(b.schema.get_field_index("spans"))
-            for r in range(b.num_rows):
-                words = (b.column(at)[r].as_py() or "").encode().split()
-                hit = _covered(spans_[r].as_py(), len(words))
-                kept = b" ".join(compress(words, (~hit).tolist()) if hit.any() else words)
-                for x, y in zip(out, (len(words), int(hit.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())):
+            out: list[list] = [[] for _ in added]
+            for text, hits in zip(b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("spans"))):
+                words = (text.as_py() or "").encode().split()
+                gone, kept = 0, words
+                if hits.is_valid:
+                    hit = _covered(hits.as_py(), len(words))
+                    gone, kept = int(hit.sum()), compress(words, (~hit).tolist())
+                kept = b" ".join(kept)
+                for x, y in zip(out, (len(words), gone, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else "")):
                     x.append(y)
-            cols = [b.column(b.schema.get_field_index("doc_id")), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, keep + added)
 
-    full = docs.withColumn("key", F.md5("text")).join(per, "key", "left").select("doc_id", "text", "spans")
-    return full.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    full = docs.withColumn("_text_key", F.md5("text")).join(per, "_text_key", "left").select(*dict.fromkeys([*keep, "text"]), "spans")
+    return full.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_words long", "n_removed long", "kept_sha256 string", "kept string"][: len(added)]))

@@ -89,16 +89,34 @@ class WaveletMatrix:
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of symbol before position i."""
-        return self._walk(symbol, np.zeros_like(i), i)[1]
+        at, start = i, self._start(symbol)
+        top = len(self.planes) - 1
+        for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
+            ones = plane.rank1(at)
+            at = np.where((symbol >> (top - level)) & 1, zeros + ones, at - ones)
+        return at - start
+
+    def _start(self, symbol: np.ndarray) -> np.ndarray:
+        """First place of each symbol's block in the last order."""
+        if not hasattr(self, "starts"):
+            every = np.arange(1 << len(self.planes))
+            self.starts = self._walk(every, np.zeros_like(every), np.zeros_like(every))[0]
+        return self.starts[symbol]
 
     def _walk(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first place of the symbol's block in the last order, occurrences in lo..hi)."""
         top = len(self.planes) - 1
+        at = np.stack([lo, hi])
         for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
-            bit = ((symbol >> (top - level)) & 1).astype(bool)
-            a, b = plane.rank1(lo), plane.rank1(hi)
-            lo, hi = np.where(bit, zeros + a, lo - a), np.where(bit, zeros + b, hi - b)
-        return lo, hi - lo
+            ones = plane.rank1(at)
+            at = np.where((symbol >> (top - level)) & 1, zeros + ones, at - ones)
+        return at[0], at[1] - at[0]
+
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of symbol before lo and before hi."""
+        n = len(lo)
+        both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return both[:n], both[n:]
 
     def count(self, symbol: np.ndarray) -> np.ndarray:
         return self.rank(symbol, np.full(len(symbol), self.n, np.int64))

@@ -38,7 +38,7 @@ def truth(rows, window):
 
 
 def got(spark, rows, window=35):
-    return sorted(map(tuple, substring.removed(spark.createDataFrame(rows, COLS), window).collect()))
+    return sorted(map(tuple, substring.removed(spark.createDataFrame(rows, COLS), window).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").collect()))
 
 
 def test_tables(spark, sf):
