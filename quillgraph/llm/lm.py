@@ -25,7 +25,6 @@ from .store import written
 from .words import hash_words, slices, text_column
 
 SHARE = 2e-7
-SLICE = 4 << 20
 WORD, GRAM = 0, 1
 
 
@@ -71,17 +70,54 @@ class Table:
             todo, slot = todo[~won], (slot[~won] + 1) & self.mask
 
 
+class Tally:
+    """Counts of 64-bit keys, merged now and then; at most about 2 * HELD entries at a time."""
+
+    HELD = 2_000_000
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.merged = 0
+
+    def add(self, x: np.ndarray) -> None:
+        key, n = np.unique(x, return_counts=True)
+        self.parts.append((key, n))
+        self.size += len(key)
+        if self.size > self.merged + self.HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        key, n = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.parts = [(key[first], np.add.reduceat(n[order], first))]
+        self.size = self.merged = len(first)
+
+    def rows(self, kind: int) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.merge()
+            key, n = self.parts[0]
+            for s in range(0, len(key), 50_000):
+                k = key[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[s : s + 50_000])], ["kind", "key", "n"])
+        self.__init__()
+
+
 def _counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = {WORD: Tally(), GRAM: Tally()}
         for b in batches:
             data, off = text_column(b, "text")
-            for i, j in slices(off, SLICE):
+            for i, j in slices(off):
                 text, row, raw, start, end, _ = ppm.normalised(data, off, i, j)
-                for kind, x in ((WORD, hash_words(raw, start, end, lower=True).view(np.int64)), (GRAM, ppm.grams(text, row, order))):
-                    key, n = np.unique(x, return_counts=True)
-                    for s in range(0, len(key), 100_000):
-                        k = key[s : s + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[s : s + 100_000])], ["kind", "key", "n"])
+                tallies[WORD].add(hash_words(raw, start, end, lower=True).view(np.int64))
+                tallies[GRAM].add(ppm.grams(text, row, order))
+                for kind, t in tallies.items():
+                    if t.merged > t.HELD:
+                        yield from t.rows(kind)
+        for kind, t in tallies.items():
+            yield from t.rows(kind)
 
     return run
 
