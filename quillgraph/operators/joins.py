@@ -28,10 +28,11 @@ def first_source(keys: DataFrame, key: str, value: str, sources: list[tuple[Data
     return keys.join(best.select(key, f"m.{value}", "m.prio"), key, "left")
 
 
-def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first in the order (pass descending columns for last wins)."""
+def keep_first(rows: DataFrame, key: list[str], order: list[Column], last: bool = False) -> DataFrame:
+    """One row per key: the first in the order, or the last."""
     names = rows.columns
-    best = rows.groupBy(*key).agg(F.min_by(F.struct(*names), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("m"))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    best = rows.groupBy(*key).agg((F.max_by if last else F.min_by)(F.struct(*names), place).alias("m"))
     return best.select(*[f"m.{n}" for n in names])
 
 

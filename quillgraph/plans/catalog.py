@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import reports
+from quillgraph.plans import graphs, reports, texts
 
-QUERIES = {**reports.QUERIES}
+QUERIES = {**reports.QUERIES, **graphs.QUERIES, **texts.QUERIES}
