@@ -228,30 +228,48 @@ def _grid(start: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray,
     return np.minimum(start + at, max(most - 1, 0)), mask
 
 
+def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each word, first word of each row, then of the distinct words: hash, bytes, start, end),
+    a slice at a time."""
+    hashes, counts, found = [], [np.zeros(1, np.int64)], []
+    for i, j in slices(off):
+        b, a, z, h, first = core_words(data, off, i, j)
+        hashes.append(h)
+        counts.append(np.diff(first))
+        u, at = np.unique(h, return_index=True)
+        found.append((u, b, a[at], z[at]))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    uniq, back = np.unique(h, return_inverse=True)
+    pieces: list = [b""] * len(uniq)
+    for u, b, a, z in found:
+        raw = b.tobytes()
+        for k, x, y in zip(np.searchsorted(uniq, u).tolist(), a.tolist(), z.tolist()):
+            pieces[k] = raw[x:y]
+    size = np.array([len(x) for x in pieces], np.int64)
+    end = np.cumsum(size)
+    return back.astype(np.int32), np.cumsum(np.concatenate(counts)), uniq, np.frombuffer(b"".join(pieces), np.uint8), end - size, end
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8) -> Network:
     """A network from labelled texts."""
     rng = np.random.default_rng(seed)
     net = Network(rng)
     data, off = text_column(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text")
-    b, a, z, h, first = core_words(data, off, 0, len(texts))
     y = np.asarray(labels, float)
     share = float(y.mean()) if len(y) else 0.5
     net.slope, net.shift = 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     half = np.arange(len(y)) % 2 == 0
     if min(y[half].sum(), (1 - y[half]).sum(), y[~half].sum(), (1 - y[~half]).sum()) < 1:
         return net
+    back, first, uniq, b, a, z = vocabulary(data, off)
+    # log odds: in how many texts of each kind a word, and a character n-gram, occurs
     row = np.repeat(np.arange(len(y)), np.diff(first))
-    # log odds: in how many texts of each kind a word, and a trigram, occurs
-    pick = half[row]
-    pair = np.unique(np.stack([row[pick].astype(np.uint64), h[pick]]), axis=1)
-    keys, back = np.unique(pair[1], return_inverse=True)
-    t = y[pair[0].astype(np.int64)]
-    toxic, clean = np.bincount(back, t), np.bincount(back, 1 - t)
+    pair = np.unique(back[half[row]].astype(np.int64) * len(y) + row[half[row]])
+    t = y[pair % len(y)]
+    toxic, clean = np.bincount(pair // len(y), t, len(uniq)), np.bincount(pair // len(y), 1 - t, len(uniq))
     many = toxic + clean >= 3
-    net.word_odds = (keys[many], _odds(toxic, clean, y[half].sum(), (1 - y[half]).sum())[many])
-    uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
-    own = np.searchsorted(uniq, keys)
-    flat, edge = marked(b, a[at][own], z[at][own])
+    net.word_odds = (uniq[many], _odds(toxic, clean, y[half].sum(), (1 - y[half]).sum())[many])
+    flat, edge = marked(b, a, z)
     for n in range(3, 9):
         code, word = ngrams(flat, edge, n)
         code, where = np.unique(code, return_inverse=True)
@@ -259,10 +277,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
         odds = _odds(more, less, toxic.sum(), clean.sum())
         tell = (more >= 5) & (odds > 0.25)
         net.gram_odds[n] = (code[tell], odds[tell])
+        del code, word, where
     # windows of the other half: suspicious ones first
-    x, _, _ = net.inputs(b, a[at], z[at], uniq)
+    odd = net.inputs(b, a, z, uniq)[0][:, [0, 2]]
     wrow, start, length = windows_of(first)
-    total = np.concatenate([[0], np.cumsum((np.maximum(x[back, 0], 0) + x[back, 2]) ** 2)])
+    total = np.concatenate([[0], np.cumsum((np.maximum(odd[back, 0], 0) + odd[back, 1]) ** 2)])
     doubt = total[start + length] - total[start]
     use = []
     edge = np.searchsorted(wrow, np.arange(len(y) + 1))
@@ -280,9 +299,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
         mixd = rng.permutation(len(use))
         for k in range(0, len(use), 256):
             some = use[mixd[k : k + 256]]
-            grid, mask = _grid(start[some], length[some], len(h))
+            grid, mask = _grid(start[some], length[some], len(back))
             words, where = np.unique(back[grid], return_inverse=True)
-            own, gg, gb = net.inputs(b, a[at][words], z[at][words], uniq[words])
+            own, gg, gb = net.inputs(b, a[words], z[words], uniq[words])
             grad, dx, _ = net.gradients(own[where.reshape(grid.shape)], mask, label[mixd[k : k + 256]], weight[mixd[k : k + 256]])
             dword = np.zeros_like(own)
             np.add.at(dword, where.ravel(), (dx * mask[:, :, None]).reshape(-1, INPUTS))
@@ -299,7 +318,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
                 scale = 0.1 if name in ("word", "gram") else 1.0
                 net.p[name] = (net.p[name] - scale * rate * (move + 1e-3 * net.p[name])).astype(np.float32)
     # calibration on whole texts of the other half
-    worst = Scorer(net).worst(data, off, 0, len(texts))[~half]
+    scorer = Scorer(net)
+    worst = np.concatenate([scorer.worst(data, off, i, j) for i, j in slices(off)])[~half]
     net.slope, net.shift = _calibrate(worst, y[~half])
     return net
 
