@@ -14,8 +14,8 @@ def prefix_join(rows: DataFrame, name: str, dim: DataFrame, longest: bool = True
     own = names.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(name), F.lit(most)))), lambda n: F.substring(F.col(name), F.lit(1), n))))
     rank = F.struct((-F.length("prefix") if longest else F.col("ord")).alias("a"), F.col("ord").alias("b"))
     rest = [c for c in dim.columns if c != "prefix"]
-    best = own.join(dim, "prefix").groupBy(name).agg(F.min_by(F.struct("prefix", *rest), rank).alias("m"))
-    return rows.join(best.select(name, "m.*"), name, "left")
+    best = own.join(dim, "prefix").groupBy(name).agg(F.min_by(F.struct("prefix", *rest), rank).alias("_best"))
+    return rows.join(best.select(name, "_best.*"), name, "left")
 
 
 def first_source(keys: DataFrame, key: str, value: str, sources: list[tuple[DataFrame, Column]]) -> DataFrame:
@@ -24,16 +24,16 @@ def first_source(keys: DataFrame, key: str, value: str, sources: list[tuple[Data
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    best = every.groupBy(key).agg(F.min_by(F.struct(value, "prio"), F.struct("prio", value)).alias("m"))
-    return keys.join(best.select(key, f"m.{value}", "m.prio"), key, "left")
+    best = every.groupBy(key).agg(F.min_by(F.struct(value, "prio"), F.struct("prio", value)).alias("_best"))
+    return keys.join(best.select(key, f"_best.{value}", "_best.prio"), key, "left")
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column], last: bool = False) -> DataFrame:
     """One row per key: the first in the order, or the last."""
     names = rows.columns
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    best = rows.groupBy(*key).agg((F.max_by if last else F.min_by)(F.struct(*names), place).alias("m"))
-    return best.select(*[f"m.{n}" for n in names])
+    best = rows.groupBy(*key).agg((F.max_by if last else F.min_by)(F.struct(*names), place).alias("_best"))
+    return best.select(*[f"_best.{n}" for n in names])
 
 
 def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFrame:
@@ -51,8 +51,8 @@ def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFr
     long = part.where(F.length("head") >= 8).withColumn("g", F.substring("head", 1, 8)).join(grams, "g").where(F.contains("t", F.col("head")))
     short = part.where(F.length("head") < 8).join(t, F.contains("t", F.col("head")))
     found = exact.unionByName(long.select("qid", "tid", "pos", F.lit(1).alias("rank"))).unionByName(short.select("qid", "tid", "pos", F.lit(1).alias("rank")))
-    best = found.groupBy("qid").agg(F.min_by(F.struct("tid", "rank"), F.struct("rank", "pos")).alias("m"))
-    return queries.select("qid").join(best.select("qid", "m.*"), "qid", "left")
+    best = found.groupBy("qid").agg(F.min_by(F.struct("tid", "rank"), F.struct("rank", "pos")).alias("_best"))
+    return queries.select("qid").join(best.select("qid", "_best.*"), "qid", "left")
 
 
 def token_overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:

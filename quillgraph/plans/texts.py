@@ -257,3 +257,28 @@ QUERIES = {
     "authors_and_errors": (authors_and_errors, """WITH c AS (SELECT c_custkey, c_custkey % 4 AS n FROM customer) SELECT c_custkey, ['Unknown', 'Ann', 'Ann and Bo', 'Ann et al.'][n + 1] AS authors, c_custkey % 5 <> 2 AS transient,
   md5(['(no citation context available)', '  [1] "Ann"', '  [1] "Ann"' || chr(10) || '  [2] "Bo"', '  [1] "Ann"' || chr(10) || '  [2] "Bo"' || chr(10) || '  [3] "Cy"'][n + 1]) AS listed FROM c"""),
 }
+
+
+def tool_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.functions.toolcalls import maybe_calls, tool_calls
+
+    k = F.col("o_orderkey").cast("string")
+    forms = [
+        F.concat(F.lit('ok <tool_call>{"name": "think", "arguments": {"a": "'), k, F.lit('"}}</tool_call>')), F.concat(F.lit("```tool_code\nread_section(paper_id='"), k, F.lit("', n=3)\n```")),
+        F.concat(F.lit('I call {"name": "search_papers", "arguments": {"q": "'), k, F.lit('"}} now')), F.concat(F.lit("get_references(paper_id="), k, F.lit(")")), F.concat(F.lit("unknown_tool(x="), k, F.lit(")")), F.lit("no call"),
+    ]
+    d = T.table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
+    c = d.where(maybe_calls(F.col("t"))).withColumn("c", F.explode(tool_calls("t")))
+    return c.select("o_orderkey", "c.id", "c.name", F.array_join(F.array_sort(F.transform(F.map_entries("c.args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("args"))
+
+
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.sources.papers import parse_papers
+
+    d = parse_papers(T.table(spark, sf_dir, "pages"), "page_id", "html")
+    return d.select("page_id", F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.get("sections", F.lit(0))["header"].alias("header"))
+
+
+QUERIES["tool_call_texts"] = (tool_call_texts, """SELECT o_orderkey, 'text_1' AS id, ['think', 'read_section', 'search_papers', 'get_references'][o_orderkey % 6 + 1] AS name,
+CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 6 < 4""")
+QUERIES["html_sections"] = (html_sections, None)
