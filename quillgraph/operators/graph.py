@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,5 +117,3 @@ def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     hit = direct.select("seed", "target").unionByName(via.select("seed", "target")).distinct().withColumn("hit", F.lit(True))
     return pairs.join(hit, ["seed", "target"], "left").select("seed", "target", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
-
-__all__ = [n for n in dir() if n[0] != "_" and n not in ("annotations", "Iterator")]
