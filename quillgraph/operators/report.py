@@ -133,3 +133,13 @@ def read_section_name(output: Column, asked: Column) -> Column:
     """The section a read resolved to: from the output's header line, else as asked; null if refused."""
     named = F.regexp_extract(output, r"^===\s*(.+?)\s*===", 1)
     return F.when(F.startswith(output, F.lit("REJECTED")) | F.startswith(output, F.lit("[ERROR")), F.lit(None)).when(named != "", named).otherwise(F.coalesce(asked, F.lit("")))
+
+
+def section_reads(trajectories: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sections that trajectories (sample_id, turns) read: sample, read (its place), paper, section; nodes:
+    sample, pid, arxiv_id. Refused reads and papers without an arXiv id are left out."""
+    t = trajectories.select(F.col("sample_id").alias("sample"), F.posexplode("turns").alias("t", "turn")).select("sample", "t", F.posexplode("turn.tool_results").alias("k", "r"))
+    arg = lambda name: F.element_at("r.args", F.lit(name))
+    t = t.where("r.name = 'read_section'").select("sample", (F.col("t") * 1000 + F.col("k")).alias("read"), arg("paper_id").alias("pid"), read_section_name(F.coalesce("r.output", F.lit("")), arg("section")).alias("section"))
+    named = nodes.where("arxiv_id <> ''").select("sample", "pid", F.col("arxiv_id").alias("paper"))
+    return t.where("section IS NOT NULL").join(named, ["sample", "pid"]).select("sample", "read", "paper", "section")

@@ -134,3 +134,15 @@ def test_runner(spark, tmp_path):
     stages = [("one", lambda s, t: s.range(3)), ("two", lambda s, t: t["one"].where("id > 0"))]
     assert runner.run(spark, stages, str(tmp_path)) == ["one", "two"]
     assert runner.run(spark, stages, str(tmp_path), first="two") == ["two"] and spark.read.parquet(f"{tmp_path}/two").count() == 2
+
+
+def test_schemas_and_reads(spark):
+    from quillgraph import schemas
+    from quillgraph.operators import report
+
+    for name in ("PAPER", "QA", "GRAPHS", "POOL", "REFERENCES", "VOTES", "TRIAGE_VERDICTS", "TRAJECTORIES"):
+        assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+    row = ("s", [([("read_section", {"paper_id": "p", "section": "B"}, "=== 2 Method ===\ntext"), ("read_section", {"paper_id": "p", "section": "X"}, "REJECTED: x"), ("read_section", {"paper_id": "p", "section": "Y"}, "text"), ("think", {}, "")],)])
+    t = spark.createDataFrame([row], "sample_id string, turns array<struct<tool_results:array<struct<name:string,args:map<string,string>,output:string>>>>")
+    n = spark.createDataFrame([("s", "p", "1.1")], "sample string, pid string, arxiv_id string")
+    assert sorted((r.paper, r.section) for r in report.section_reads(t, n).collect()) == [("1.1", "2 Method"), ("1.1", "Y")]
