@@ -37,7 +37,7 @@ from .words import hash_words, mix, slices, spans, text_column, windows
 
 GRAM = 12
 HOT = 200
-SHARD_STRINGS = 16_000
+SHARD_STRINGS = 10_000
 
 
 def _slide(f, x: np.ndarray, n: int) -> np.ndarray:

@@ -34,7 +34,7 @@ TOXIC, CLEAN = 2000, 4000
 WINDOW, STEP = 32, 16
 HIDDEN, EMBED, BUCKETS, GRAMS = 8, 6, 4096, 1 << 15
 INPUTS = 3 + 2 * EMBED
-KNOWN = 1 << 20  # words that a worker keeps features of
+KNOWN = 1 << 18  # words that a worker keeps the input terms of
 
 _PUNCT = np.ones(256, bool)
 _PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -231,20 +231,21 @@ def _grid(start: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray,
 def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of each word, first word of each row, then of the distinct words: hash, bytes, start, end),
     a slice at a time."""
-    hashes, counts, found = [], [np.zeros(1, np.int64)], []
+    hashes, counts, seen = [], [np.zeros(1, np.int64)], {}
     for i, j in slices(off):
         b, a, z, h, first = core_words(data, off, i, j)
         hashes.append(h)
         counts.append(np.diff(first))
         u, at = np.unique(h, return_index=True)
-        found.append((u, b, a[at], z[at]))
+        raw = b.tobytes()
+        for k, x, y in zip(u.tolist(), a[at].tolist(), z[at].tolist()):
+            seen.setdefault(k, raw[x:y])
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    del hashes
     uniq, back = np.unique(h, return_inverse=True)
-    pieces: list = [b""] * len(uniq)
-    for u, b, a, z in found:
-        raw = b.tobytes()
-        for k, x, y in zip(np.searchsorted(uniq, u).tolist(), a.tolist(), z.tolist()):
-            pieces[k] = raw[x:y]
+    del h
+    pieces = [seen[k] for k in uniq.tolist()]
+    del seen
     size = np.array([len(x) for x in pieces], np.int64)
     end = np.cumsum(size)
     return back.astype(np.int32), np.cumsum(np.concatenate(counts)), uniq, np.frombuffer(b"".join(pieces), np.uint8), end - size, end
@@ -269,17 +270,26 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
     toxic, clean = np.bincount(pair // len(y), t, len(uniq)), np.bincount(pair // len(y), 1 - t, len(uniq))
     many = toxic + clean >= 3
     net.word_odds = (uniq[many], _odds(toxic, clean, y[half].sum(), (1 - y[half]).sum())[many])
-    flat, edge = marked(b, a, z)
+    heard = np.flatnonzero(toxic + clean)
+    flat, edge = marked(b, a[heard], z[heard])
+    t1, t0 = toxic[heard], clean[heard]
     for n in range(3, 9):
         code, word = ngrams(flat, edge, n)
-        code, where = np.unique(code, return_inverse=True)
-        more, less = np.bincount(where, toxic[word], len(code)), np.bincount(where, clean[word], len(code))
-        odds = _odds(more, less, toxic.sum(), clean.sum())
-        tell = (more >= 5) & (odds > 0.25)
-        net.gram_odds[n] = (code[tell], odds[tell])
-        del code, word, where
+        order = np.argsort(code)
+        code, word = code[order], word[order]
+        first_of = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+        if len(first_of):
+            more, less = np.add.reduceat(t1[word], first_of), np.add.reduceat(t0[word], first_of)
+            odds = _odds(more, less, toxic.sum(), clean.sum())
+            tell = (more >= 5) & (odds > 0.25)
+            net.gram_odds[n] = (code[first_of][tell], odds[tell])
+        del code, word, order
+    del flat
     # windows of the other half: suspicious ones first
-    odd = net.inputs(b, a, z, uniq)[0][:, [0, 2]]
+    odd = np.zeros((len(uniq), 2), np.float32)
+    for k in range(0, len(uniq), 20_000):
+        some = slice(k, k + 20_000)
+        odd[some] = net.inputs(b, a[some], z[some], uniq[some])[0][:, [0, 2]]
     wrow, start, length = windows_of(first)
     total = np.concatenate([[0], np.cumsum((np.maximum(odd[back, 0], 0) + odd[back, 1]) ** 2)])
     doubt = total[start + length] - total[start]
@@ -338,16 +348,14 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """Scores slices of texts; keeps the input terms of words already met."""
+    """Scores slices of texts; keeps the input terms of the words met first."""
 
     def __init__(self, net: Network) -> None:
-        self.net, self.table = net, Table(22)
+        self.net, self.table = net, Table(20)
         self.terms = {s: np.zeros((1 << 12, 3 * HIDDEN), np.float32) for s in "fb"}
         self.n = 0
 
     def _known(self, b: np.ndarray, a: np.ndarray, z: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if self.n > KNOWN:
-            self.__init__(self.net)
         i = self.table.find(h)
         miss = np.flatnonzero(np.isnan(i))
         if len(miss):
@@ -358,9 +366,10 @@ class Scorer:
                 self.terms = {s: np.concatenate([t, np.zeros_like(t)]) for s, t in self.terms.items()}
             for s in "fb":
                 self.terms[s][self.n : self.n + len(new)] = x @ self.net.p[f"W{s}"] + self.net.p[f"c{s}"]
-            self.table.add(new, self.n + np.arange(len(new), dtype=float))
             i[miss] = self.n + back
-            self.n += len(new)
+            if self.n + len(new) <= KNOWN:  # else the next slice overwrites them
+                self.table.add(new, self.n + np.arange(len(new), dtype=float))
+                self.n += len(new)
         return i.astype(np.int64)
 
     def worst(self, data: np.ndarray, off: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -388,9 +397,11 @@ def sample(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[list[str],
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(use)
     order = F.xxhash64("doc_id")
     some = one.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(one.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()  # TOXIC + CLEAN ids at most
-    rows = sorted({r.doc_id: (r.text or "", r.toxic) for r in rows}.items(), key=lambda r: (mix(np.array([r[0]], np.int64).view(np.uint64))[0], r[0]))
-    return [t for _, (t, _) in rows], np.array([x for _, (_, x) in rows], float)
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow()  # TOXIC + CLEAN ids at most
+    ids, first = np.unique(got.column("doc_id").to_numpy().astype(np.int64), return_index=True)
+    first = first[np.argsort(mix(ids.view(np.uint64)), kind="stable")]
+    got = got.take(pa.array(first))
+    return got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:

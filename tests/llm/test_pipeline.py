@@ -34,7 +34,7 @@ def test_stages_take_effect(spark):
     n, m = (Counter() for _ in range(2))
     for c, d in ((n, before), (m, after)):
         for r in d.itertuples():
-            c[r.source] += len(r.text.split(" ")) if False else len(r.text.encode().split())
+            c[r.source] += len(r.text.encode().split())
     assert all(m[s] <= 3 * n[s] for s in n) and abs(sum(m.values()) - sum(n.values())) <= len(n)
     before, after = seen["pack"]
     assert after.length.sum() == after.drop_duplicates(["sequence_id", "offset"]).length.sum() and (after.groupby("sequence_id").length.sum() <= 1024).all()
