@@ -63,12 +63,11 @@ def prints(terms: str, whole: str) -> Column:
     limits = "".join(f" WHEN size({terms}) <= {2 * 4**i} THEN {i}" for i in range(1, LEVELS))
     level = f"(CASE{limits} ELSE {LEVELS} END)"
 
-    def parts_(more: int) -> str:
-        part = f"filter({terms}, t -> (shiftrightunsigned(t, 3 * c) & (cast(pow(4, {level} + {more}) AS bigint) - 1)) = 0)"
-        one = f"array_join(transform({part}, t -> cast(t AS string)), ',')"
-        return f"array_join(transform(sequence(0, {SUBSETS - 1}), c -> coalesce(substring(md5(nullif({one}, '')), 1, 8), '')), ',')"
-
-    return F.expr(f"CASE WHEN size({terms}) > 0 THEN concat({level}, ':', {parts_(0)}, ';', {parts_(1)}) ELSE concat('0:', {whole}) END")
+    # the masks of the two levels are lambda arguments: they are worked out once per text
+    part = f"filter({terms}, t -> (shiftrightunsigned(t, c) & m) = 0)"
+    one = f"coalesce(substring(md5(nullif(array_join(transform({part}, t -> cast(t AS string)), ','), '')), 1, 8), '')"
+    both = f"transform(array(shiftleft(1L, 2 * {level}) - 1, shiftleft(1L, 2 * {level} + 2) - 1), m -> array_join(transform(sequence(0, {3 * (SUBSETS - 1)}, 3), c -> {one}), ','))"
+    return F.expr(f"CASE WHEN size({terms}) > 0 THEN concat({level}, ':', array_join({both}, ';')) ELSE concat('0:', {whole}) END")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -104,9 +103,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     need = order.select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"))
     heads = docs.join(need, "k").select(F.col("to").alias("k"), F.expr("left(text, take)").alias("head"), "take")
     both = docs.join(heads, "k").withColumn("edited", F.concat(F.expr("left(text, length(text) - take)"), F.col("head")))
-    tagged = lambda c, e: F.transform(words(F.col(c)), lambda w: F.struct(w.alias("term"), F.lit(e).alias("e")))
-    terms = F.concat(tagged("text", 0), tagged("edited", 1))
-    hits = both.select("k", F.explode(terms).alias("x")).select("k", "x.term", "x.e").join(F.broadcast(lex) if small else lex, "term")
+    lists = both.select("k", F.posexplode(F.array(words(F.col("text")), words(F.col("edited")))).alias("e", "terms"))
+    hits = lists.select("k", "e", F.explode("terms").alias("term")).join(F.broadcast(lex) if small else lex, "term")
     own = hits.groupBy("k").agg(*(F.sort_array(F.collect_list(F.when(F.col("e") == i, F.col("h")))).alias(c) for i, c in enumerate(("t0", "t1"))))
     rows = both.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("m0"), F.md5("edited").alias("m1"))
     rows = rows.join(own, "k", "left").withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("t0", "t1")})
