@@ -20,6 +20,8 @@ _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x0A]] = True
 _ASCII_WS = np.zeros(256, bool)
 _ASCII_WS[[0x20, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # of white space beyond ASCII
 
 
 def default_path() -> str:
@@ -54,6 +56,14 @@ def piece_starts(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def _plain(b: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a piece begins with a space or line end and holds no other white space."""
+    space = _ASCII_WS[b]
+    odd = np.flatnonzero(_LEADS[b])
+    space[odd[_space_at(b, odd)]] = True
+    return _CUT[b[s]] & (np.add.reduceat(space, s, dtype=np.int64) == 1) & (size > 1)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import os
@@ -100,24 +110,26 @@ class Encoder:
             todo, slot = todo[~won], (slot[~won] + 1) & (SLOTS - 1)
         self.n += len(h)
 
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the pieces, their ids in this order, number of ids of each): those of one leading
-        space or line end and no other white space are encoded together, as each then begins
-        where an id with it does; the rest one by one."""
-        plain, rest, done = [], [], ([], [], [])
-        for i, p in enumerate(pieces):
-            (plain if p[0] in b" \n" and len(p.decode().split()) == 1 and not p[-1:].isspace() and not p[1:2].isspace() else rest).append(i)
-        for k in range(0, len(plain), 4000):
-            some = plain[k : k + 4000]
-            ids = np.array(self.tok.encode(b"".join([pieces[i] for i in some]).decode(), add_special_tokens=False).ids, np.uint32)
+    def _encode(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the pieces, their ids in this order, number of ids of each): the plain ones, of one
+        leading space or line end and no other white space, are encoded together, as each then
+        begins where an id with it does; the rest one by one."""
+        done: tuple[list, list, list] = ([], [], [])
+        rest = np.flatnonzero(~plain).tolist()
+        together = np.flatnonzero(plain)
+        for k in range(0, len(together), 4000):
+            some = together[k : k + 4000]
+            edge = np.concatenate([[0], np.cumsum(size[some])])
+            text = b[np.arange(edge[-1]) + np.repeat(start[some] - edge[:-1], size[some])].tobytes().decode()
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(some) and at[0] == 0:
                 for x, y in zip(done, (some, ids, np.diff(np.append(at, len(ids))))):
                     x.append(y)
             else:
-                rest += some
+                rest += some.tolist()
         for i in rest:
-            ids = self.tok.encode(pieces[i].decode(), add_special_tokens=False).ids
+            ids = self.tok.encode(b[start[i] : start[i] + size[i]].tobytes().decode(), add_special_tokens=False).ids
             for x, y in zip(done, ([i], np.array(ids, np.uint32), [len(ids)])):
                 x.append(y)
         return tuple(map(np.concatenate, done))
@@ -141,8 +153,7 @@ class Encoder:
             if not known.all():
                 new, first, back = np.unique(h[~known], return_index=True, return_inverse=True)
                 first = np.flatnonzero(~known)[first]
-                raw = b.tobytes()
-                order, ids, n = self._encode([raw[x : x + y] for x, y in zip(s[first].tolist(), size[first].tolist())])
+                order, ids, n = self._encode(b, s[first], size[first], _plain(b, s, size)[first])
                 used = int(self.start[self.n])
                 own, count = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
                 own[order], count[order] = used + np.cumsum(n) - n, n

@@ -61,7 +61,7 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, symbols: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, a = [], symbols
+        planes, a = [], symbols.astype(np.uint16) if bits <= 16 else symbols
         for level in range(bits - 1, -1, -1):
             bit = ((a >> level) & 1).astype(bool)
             planes.append(Bits.of(bit))
@@ -70,14 +70,15 @@ class WaveletMatrix:
 
     def symbols(self) -> np.ndarray:
         """All symbols in order: the partitions undone from the last plane up."""
-        a = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        a = np.zeros(self.n, kind)
         for level, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             bit = plane.all()
             up = np.empty_like(a)
             up[~bit] = a[:zeros]
-            up[bit] = a[zeros:] | np.uint32(1 << level)
+            up[bit] = a[zeros:] | kind(1 << level)
             a = up
-        return a
+        return a.astype(np.uint32)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i, out = np.asarray(i, np.int64), np.zeros(len(i), np.int64)
