@@ -32,18 +32,18 @@ class Table:
     """A growing map from 63-bit keys to floats, probed for whole arrays."""
 
     def __init__(self, bits: int = 22) -> None:
-        self.mask, self.used = (1 << bits) - 1, 0
+        self.mask, self.used, self.shift = (1 << bits) - 1, 0, np.uint64(64 - bits)
         self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
 
-    @staticmethod
-    def _hash(x: np.ndarray) -> np.ndarray:
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        """The top bits of a product, which all bits of x move."""
         with np.errstate(over="ignore"):
-            return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Values, nan where unknown. A key k is kept as k + 1."""
         out, want = np.full(len(x), np.nan), x.astype(np.uint64) + np.uint64(1)
-        todo, slot = None, (self._hash(x) & np.uint64(self.mask)).astype(np.int64)
+        todo, slot = None, self._slot(x)
         while True:
             k = self.key[slot]
             hit = k == (want if todo is None else want[todo])
@@ -61,7 +61,7 @@ class Table:
         if self.used + len(x) > self.mask // 2:
             return
         self.used += len(x)
-        todo, slot = np.arange(len(x)), (self._hash(x) & np.uint64(self.mask)).astype(np.int64)
+        todo, slot = np.arange(len(x)), self._slot(x)
         while len(todo):
             won = np.zeros(len(todo), bool)
             won[np.unique(slot, return_index=True)[1]] = True
