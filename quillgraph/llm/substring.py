@@ -177,8 +177,9 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> tuple[DataF
     shards = max(1, -(-(of.agg(F.sum(F.size("cold"))).first()[0] or 0) // SHARD_STRINGS))
     sent = full.where(F.size("cold") > 0).mapInArrow(_send(window, gram, False), "anchor long, doc_id long, at int, copies long, words binary")
     rare = sent.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search(window), "doc_id long, a int, b int")
-    each = full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, True), "window long, doc_id long, at int, copies long")
-    twice = each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+    # written, so that a window in very many texts is a skewed side of the join below, which can be split
+    each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, True), "window long, doc_id long, at int, copies long"), "windows")
+    twice = written(each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "twice")
     common = each.join(twice, "window").select("doc_id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
     return rare.unionByName(common), classes
 
