@@ -16,25 +16,33 @@ from .wavelet import WaveletMatrix
 
 def suffix_array(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by prefix doubling and LCP array; no two suffixes share over `most` symbols."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    ranks, width = [rank], 1
+    n, base = len(s), int(s.max(initial=0)) + 2
+    width = 3 if base < 1 << 20 else 1  # three symbols in one key, where they fit
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key *= base
+        key[: n - k] += s[k:] + 1
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
+    ranks = [(width, rank)]
     while width <= most and rank.max(initial=0) < n - 1:
-        two = np.full(n, 0, np.int64)
-        two[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + two
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        ranks.append(rank)
+        key = rank.astype(np.int64) * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
         width *= 2
-    sa = np.argsort(rank, kind="stable")
+        ranks.append((width, rank))
+    if rank.max(initial=0) == n - 1:
+        sa = np.empty(n, np.int64)
+        sa[rank] = np.arange(n)
+    else:
+        sa = np.argsort(rank, kind="stable")
     a, b = sa[:-1].copy(), sa[1:].copy()
     lcp = np.zeros(n + 1, np.int64)
-    for level in range(len(ranks) - 1, -1, -1):  # greedily by powers of two
+    for w, by in [*ranks[::-1], (1, s), (1, s)]:  # each width fits once, single symbols twice
         ok = (a < n) & (b < n)
-        ok[ok] = ranks[level][a[ok]] == ranks[level][b[ok]]
-        lcp[1:n][ok] += 1 << level
-        a[ok] += 1 << level
-        b[ok] += 1 << level
+        ok[ok] = by[a[ok]] == by[b[ok]]
+        lcp[1:n][ok] += w
+        a[ok] += w
+        b[ok] += w
     return sa, lcp
 
 
