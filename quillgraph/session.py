@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,12 @@ def session(app: str = "quillgraph", **conf: str) -> SparkSession:
     for k, v in {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers that start from now on find this package where the driver found it, whatever
+    folder the driver was started in. On a cluster the package is installed or sent with --py-files."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in known:
+        env["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
