@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash, mixing, packing, store, substring
 from quillgraph.llm import toxicity as toxic
+from quillgraph.session import share_code
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on `labels`, finds toxic go."""
+    share_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxic.toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -22,6 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the
     least id stays, once. Rows without an id stay."""
+    share_code(spark)
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.lit(0))
     rest = docs.join(gone, "doc_id", "left_anti").withColumn("_n", F.row_number().over(first))
@@ -30,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 35 words that occur elsewhere go; other texts stay as they are."""
+    share_code(spark)
     hit = F.col("n_removed") > 0
     out = substring.removed(docs)
     if "n_chars" in docs.columns:
@@ -39,11 +43,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion 1, 2, 3, ... by words; a document comes once per epoch."""
+    share_code(spark)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids: one row per piece of a document."""
+    share_code(spark)
     return packing.pack(docs)
 
 
