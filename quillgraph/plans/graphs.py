@@ -36,8 +36,8 @@ def top_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_references(_scored(spark, sf_dir), 10).select("src", "dst", "rank", "score")
 
 
-def _seeds(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    return T.table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % n == 0).select(F.concat(F.lit("S"), "s_suppkey").alias("seed"))
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("seed"))
 
 
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def reference_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     back = s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score", "cited").withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    out = graph.expand_greedily(s.select("src", "dst", "pos", "score", "cited").unionByName(back), _seeds(spark, sf_dir, 5))
+    out = graph.expand_greedily(s.select("src", "dst", "pos", "score", "cited").unionByName(back), _seeds(spark, sf_dir))
     return out.select("seed", "depth", "rank", "parent", "node", "score", F.array_join("path", ">").alias("path"))
 
 
@@ -73,7 +73,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("seed"), F.concat(F.lit("P"), "l_partkey").alias("terminal"), F.array(F.concat("l_returnflag", F.year("l_shipdate")), "l_linestatus").alias("contexts"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity").alias("o"))
+    d = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seed"), F.concat(F.lit("P"), "l_partkey").alias("terminal"), F.array(F.concat("l_returnflag", F.year("l_shipdate")), "l_linestatus").alias("contexts"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity").alias("o"))
     d = d.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy("o")))
     return graph.sibling_pairs(d).select("seed", "pos1", "pos2", "t1", "t2", F.array_join("shared", "|").alias("shared"))
 
@@ -98,7 +98,7 @@ SELECT * FROM r WHERE rank <= 5"""
 def first_match_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.split("text", "\n")[0]
     t = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), F.col("doc_id").alias("pos"), line.alias("title"))
-    q = T.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 2 == 0, F.lower(F.substring(line, 1, 30))).otherwise(F.concat(F.lit(" "), line)).alias("title"))
+    q = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 2 == 0, F.lower(F.substring(line, 1, 30))).otherwise(F.concat(F.lit(" "), line)).alias("title"))
     return joins.first_title(q, t).select("qid", "tid", "rank")
 
 
@@ -200,7 +200,7 @@ def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sample"), F.lit("vf").alias("kind"), F.col("l_linenumber").alias("idx")).agg(F.min("l_returnflag").alias("section"), F.min("l_linestatus").alias("relevance"))
-    o = T.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = T.table(spark, sf_dir, "orders")
     v = o.select(F.concat(F.lit("vf_"), "o_orderkey", F.lit("_c"), F.col("o_custkey") % 7).alias("case_id"), F.element_at(F.array(F.lit("drop_sample"), F.lit("drop"), F.lit("repoint"), F.lit("demote")), (F.col("o_custkey") % 4 + 1).cast("int")).alias("verdict"), F.lit("X").alias("repoint_to"))
     return audit.apply_verdicts(claims, audit.case_parts(v))
 
