@@ -68,14 +68,14 @@ def section_match(query: Column, target: Column) -> Column:
 
 
 def section_alias(i: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, ... (up to three letters)."""
-    letter = lambda k: F.char(65 + k)
-    two, three = i - 26, i - 702
-    return (
-        F.when(i < 26, letter(i))
-        .when(i < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA, ... for every int."""
+    n, first, out = i.cast("long"), 0, None
+    for width in range(1, 8):  # seven letters reach beyond the largest int
+        rest = n - first
+        alias = F.concat(*(F.char(65 + F.floor(rest / 26**k) % 26) for k in range(width - 1, -1, -1)))
+        first += 26**width
+        out = F.when(n < first, alias) if out is None else out.when(n < first, alias)
+    return out
 
 
 def alias_index(alias: Column) -> Column:

@@ -52,7 +52,7 @@ SELECT o_orderkey, CASE WHEN a IN (5, 6) AND b IN (5, 6) THEN 'drop_l2' WHEN a <
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "orders").where("o_orderkey < 4000")
+    o = T.table(spark, sf_dir, "orders")
     key = lambda c, m: F.concat(F.lit("p"), c % m)
     c = o.select(key(F.col("o_orderkey"), 97).alias("seed"), F.array(key(F.col("o_custkey"), 301), key(F.col("o_orderkey"), 501)).alias("path"), key(F.col("o_custkey"), 901).alias("terminal"))
     return C.inventory(c)
@@ -87,7 +87,7 @@ _REPLIES = ["A", "the answer is b", "I would select \"C\" here", "so: D)", "noth
 
 def reply_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = F.array(*map(F.lit, _REPLIES))
-    d = T.table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", F.element_at(arr, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("x"), F.element_at(arr, (F.floor(F.col("o_orderkey") / 7) % 7 + 1).cast("int")).alias("y"))
+    d = T.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(arr, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("x"), F.element_at(arr, (F.floor(F.col("o_orderkey") / 7) % 7 + 1).cast("int")).alias("y"))
     return d.select("o_orderkey", R.answer_of(F.array("x", "y")).alias("answer"), R.json_part(F.concat(F.lit("ok {\"a\": "), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")), F.lit("} end"))).alias("json"))
 
 

@@ -63,7 +63,7 @@ SELECT q.doc_id, q.query FROM q WHERE doc_id IN (SELECT doc_id FROM n) AND doc_i
 
 
 def section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "part").where("p_partkey < 1500").select(F.col("p_partkey").cast("int").alias("i"))
+    d = T.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("i"))
     a = X.section_alias(F.col("i"))
     return d.select("i", a.alias("alias"), X.alias_index(a).cast("int").alias("back"))
 
@@ -86,7 +86,7 @@ SELECT doc_id, CASE WHEN q IS NULL OR q = '' THEN NULL WHEN ai IS NOT NULL AND a
 
 def answer_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["A", "(b)", " C. ", "d)", "(a).", "B because", "", "E", "(C):", "AB"]
-    d = T.table(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    d = T.table(spark, sf_dir, "orders")
     return d.select("o_orderkey", X.answer_index(F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 10 + 1).cast("int"))).alias("idx"))
 
 
@@ -167,7 +167,7 @@ SELECT doc_id, md5(CASE WHEN length(text) > 300 THEN text[1:300] || '...' ELSE t
 
 
 def clean_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    d = T.table(spark, sf_dir, "orders")
     t = F.concat(F.lit("as in [ "), F.col("o_custkey"), F.lit(" ] and [ 20 , "), F.col("o_custkey"), F.lit("  ,4 ] but [x] not"))
     return d.select("o_orderkey", X.clean_brackets(t).alias("clean"))
 
@@ -267,7 +267,7 @@ def tool_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('ok <tool_call>{"name": "think", "arguments": {"a": "'), k, F.lit('"}}</tool_call>')), F.concat(F.lit("```tool_code\nread_section(paper_id='"), k, F.lit("', n=3)\n```")),
         F.concat(F.lit('I call {"name": "search_papers", "arguments": {"q": "'), k, F.lit('"}} now')), F.concat(F.lit("get_references(paper_id="), k, F.lit(")")), F.concat(F.lit("unknown_tool(x="), k, F.lit(")")), F.lit("no call"),
     ]
-    d = T.table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
+    d = T.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
     c = d.where(maybe_calls(F.col("t"))).withColumn("c", F.explode(tool_calls("t")))
     return c.select("o_orderkey", "c.id", "c.name", F.array_join(F.array_sort(F.transform(F.map_entries("c.args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("args"))
 
