@@ -34,7 +34,7 @@ def normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _headers(spark, sf_dir)
-    q = h.where("pos < 3").select("doc_id", F.col("pos").alias("qpos"), F.lower("header").alias("query"))
+    q = h.select("doc_id", F.col("pos").alias("qpos"), F.lower("header").alias("query"))
     return q.join(h, "doc_id").where(X.section_match(F.col("query"), F.col("header"))).groupBy("doc_id").agg(F.count("*").alias("hits"), F.sum(F.col("qpos") * 1000 + F.col("pos")).alias("which"))
 
 
@@ -69,7 +69,7 @@ def section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _headers(spark, sf_dir).where("pos < 12").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header"))), lambda x: F.struct(x["header"].alias("header"))).alias("sections"))
+    h = _headers(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header"))), lambda x: F.struct(x["header"].alias("header"))).alias("sections"))
     q = F.element_at(F.array(F.lit("(B)"), F.concat(F.lit(" "), F.get("sections", F.lit(0))["header"]), F.split(F.get("sections", F.lit(1))["header"], " ")[0], F.lit("zz top"), F.lit("ABC")), (F.col("doc_id") % 5 + 1).cast("int"))
     return h.select("doc_id", S.match_section(q, F.col("sections")).alias("section"))
 
@@ -177,7 +177,7 @@ BRACKETS_SQL = "SELECT o_orderkey, 'as in [' || o_custkey || '] and [20, ,, ' ||
 
 def section_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["Introduction", "Results", "Our Method", "Ablation", "Appendix", "Model setup"]
-    d = T.lines(spark, sf_dir).where("pos < 6").withColumn("header", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") * 5 + F.col("pos") * 5).cast("int") % 6 + 1))
+    d = T.lines(spark, sf_dir).withColumn("header", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") * 5 + F.col("pos") * 5).cast("int") % 6 + 1))
     s = d.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header", "body"))), lambda x: F.struct(x["header"].alias("header"), x["body"].alias("text"))).alias("s"))
     rel = S.relevant(F.col("s"), "RESULT", 200)
     return s.select("doc_id", F.md5(S.as_text(F.col("s"))).alias("ordered"), F.array_join(F.transform(rel, lambda x: x["header"]), "|").alias("relevant"), F.md5(S.listing(F.col("s"))).alias("listing"))

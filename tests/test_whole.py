@@ -82,3 +82,20 @@ def test_alias_of_any_number(spark):
     a = X.section_alias(F.col("i"))
     got = spark.createDataFrame([(i,) for i in at], "i int").select("i", a.alias("alias"), X.alias_index(a).alias("back")).collect()
     assert sorted(map(tuple, got)) == [(i, alias(i), i) for i in at]
+
+
+#: As BOUNDS, for the first lines of a document; the letters of section_orders' listing ended at Z.
+LINES = {
+    "section_match_join": [(" WHERE pos < 3", "")],
+    "match_section": [(" WHERE pos < 12", "")],
+    "section_orders": [(" WHERE pos < 6", ""), ("chr(65 + pos::INT)", "CASE WHEN pos < 26 THEN chr(65 + pos::INT) ELSE chr(64 + pos::INT // 26) || chr(65 + pos::INT % 26) END")],
+}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_every_line(spark, larger, name):
+    query, sql = catalog.QUERIES[name]
+    for cut, whole in LINES[name]:
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    same(query(spark, larger), connect(larger), sql)
