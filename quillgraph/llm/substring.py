@@ -16,8 +16,8 @@ which no single task sees. Both ways are exact but for collisions of 64-bit hash
 
 Defined results: a null text has no words; a window never spans two texts; windows are
 judged on the input; repeated rows are occurrences of each other; rows that repeat an id
-are taken to repeat its text; an empty table gives an empty result; texts of any length
-are whole; other columns are not read.
+are taken to repeat its text; a row without an id goes by the 64-bit hash of its text; an
+empty table gives an empty result; texts of any length are whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> tuple[DataF
     places = docs.mapInArrow(_anchor_rows(window, gram), "anchor long, doc_id long, at int")
     known = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     of = places.join(known, "anchor").groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("n") <= HOT, F.col("at"))).alias("cold"), F.collect_list(F.when(F.col("n") > HOT, F.col("at"))).alias("hot")
+        F.collect_set(F.when(F.col("n") <= HOT, F.col("at"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("at"))).alias("hot")
     )
     of = written(of.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"), "places")
     full = docs.join(of, "doc_id").dropDuplicates(["doc_id"])
@@ -198,7 +198,8 @@ def removed(docs: DataFrame, window: int = 35, gram: int = GRAM, texts: bool = T
     added = ["n_words", "n_removed", "kept_sha256", "kept"] if texts else ["n_words", "n_removed", "kept_sha256"]
     keep = [c for c in docs.columns if c not in added and c not in ("spans", "_text_key")] if texts else ["doc_id"]
     kinds = dict(docs.dtypes)
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    # never null: a null id would match nothing, and make Arrow's ids floats
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"), "text")
     intervals, classes = repeated(slim, window, gram)
     by = intervals.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     # the spans of a class's text hold for all its copies

@@ -59,3 +59,23 @@ def test_odd_rows(spark, monkeypatch):
     assert got(spark, []) == []
     monkeypatch.setattr(substring, "HOT", 3)  # most anchors take the other way
     assert got(spark, rows) == truth(rows, 35)
+
+
+def test_rows_without_an_id(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    w = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(w, n))
+    shared, copied = text(50), text(60)
+    rows = [(None, f"{text(40)} {shared} {text(5)}", ""), (1, f"{text(7)} {shared} {text(30)}", ""), (None, text(80), ""), (None, None, ""), (None, "a b", "")]
+    rows += [(None, copied, ""), (None, copied, ""), (2**60 + 1, f"{copied} {text(9)}", "")]
+    key = lambda x: (str(x[0]), x[1:])
+
+    def whole():
+        out = substring.removed(spark.createDataFrame(rows, COLS)).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").collect()
+        return sorted(map(tuple, out), key=key)
+
+    named = [(i, t, "") for i, (_, t, _) in enumerate(rows)]
+    want = sorted(((rows[i][0], *x) for i, *x in truth(named, 35)), key=key)
+    assert sum(x[2] > 0 for x in want) == 5 and whole() == want
+    monkeypatch.setattr(substring, "HOT", 1)
+    assert whole() == want
