@@ -1,10 +1,14 @@
 """Language-model scores of whole texts: a word-frequency base and a byte PPM model.
 
 Both learn from all training rows. What the corpus gives (counts of words and of byte grams)
-is summed before and after a shuffle. Two bounded parts of it go to every worker: the
-nodes of the PPM trie with at least SHARE of all training bytes and the words with at least
-SHARE of all training tokens (at most 1 / SHARE of them each). The other, rare words are joined, one row per
-token, so the vocabulary may be of any size.
+is summed before and after a shuffle, and all of it is kept. The PPM trie is dealt out by the
+LOCAL bytes before a symbol: a shard holds every longer context that ends in its own and scores
+each gram of the corpus once; only the orders below LOCAL, which the number of byte strings of
+that length bounds, are the same for all shards. Two bounded parts go to every worker: the log
+probabilities of grams with at least OFTEN of all training bytes and the counts of words with at
+least OFTEN of all training tokens (at most 1 / OFTEN of them each); they save the join, no more.
+The other, rare grams and words are joined, one row per occurrence, so trie and vocabulary may be
+of any size.
 
 Defined results: null text is empty, scored as its end alone; rows that repeat an id are
 documents of their own; a null id belongs to training; without training rows every count
@@ -24,8 +28,11 @@ from . import ppm
 from .store import written
 from .words import hash_words, slices, text_column
 
-SHARE = 2e-7
-WORD, GRAM = 0, 1
+SHARE = 0.0
+OFTEN = 2e-7
+LOCAL = 3
+SHARD_GRAMS = 400_000
+WORD, GRAM, ASKED = 0, 1, 2  # ASKED: grams of held-out texts, which count 0
 
 
 class Table:
@@ -100,19 +107,24 @@ class Tally:
             key, n = self.parts[0]
             for s in range(0, len(key), 50_000):
                 k = key[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[s : s + 50_000])], ["kind", "key", "n"])
+                seen = np.zeros(len(k), np.int64) if kind == ASKED else n[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), GRAM if kind == ASKED else kind, np.int32)), pa.array(k), pa.array(seen)], ["kind", "key", "n"])
         self.__init__()
 
 
 def _counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {WORD: Tally(), GRAM: Tally()}
+        tallies = {WORD: Tally(), GRAM: Tally(), ASKED: Tally()}
         for b in batches:
             data, off = text_column(b, "text")
+            held = b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
             for i, j in slices(off):
-                text, row, raw, start, end, _ = ppm.normalised(data, off, i, j)
-                tallies[WORD].add(hash_words(raw, start, end, lower=True).view(np.int64))
-                tallies[GRAM].add(ppm.grams(text, row, order))
+                text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
+                g, teaches = ppm.grams(text, row, order), ~held[i:j]
+                of_text = np.repeat(teaches, np.diff(row))
+                tallies[WORD].add(hash_words(raw, start, end, lower=True).view(np.int64)[np.repeat(teaches, np.diff(first))])
+                tallies[GRAM].add(g[of_text])
+                tallies[ASKED].add(g[~of_text])
                 for kind, t in tallies.items():
                     if t.merged > t.HELD:
                         yield from t.rows(kind)
@@ -123,61 +135,78 @@ def _counts(order: int):
 
 
 class Learnt:
-    """What every worker gets: trie tables, frequent words and totals."""
+    """What every worker gets: log probabilities of frequent grams, frequent words and totals."""
 
-    def __init__(self, tables, words, counts, tokens: int, kinds: int, ends: int) -> None:
-        self.tables, self.words, self.counts = tables, words, counts
+    def __init__(self, order: int, grams, chances, words, counts, tokens: int, kinds: int, ends: int) -> None:
+        self.order, self.grams, self.chances, self.words, self.counts = order, grams, chances, words, counts
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
 
 
-def learn(train: DataFrame, order: int = ppm.ORDER, share: float = SHARE) -> tuple[Learnt, DataFrame]:
-    """What train (text) teaches, and the counts of all words (word, c)."""
-    both = written(train.select("text").mapInArrow(_counts(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def _chances(low, least: float, order: int, local: int):
+    """From all counted grams of some contexts of `local` bytes: (g, n, lp) of each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g, n = (t.column(c).to_numpy() for c in ("g", "n"))
+        tables = [*low.value, *ppm.shares(g[n > 0], n[n > 0], least, order)[local:]]
+        return pa.table({"g": pa.array(g), "n": pa.array(n), "lp": pa.array(ppm.Model(tables).log10(g))})
+
+    return run
+
+
+def learn(docs: DataFrame, order: int = ppm.ORDER, share: float = SHARE) -> tuple[Learnt, DataFrame, DataFrame]:
+    """What docs (text, held_out) teach, the counts of all words (word, c) and the log probabilities of
+    all grams, held-out ones too (g, n, lp). Nodes below `share` of the training bytes are pruned."""
+    both = written(docs.select("text", "held_out").mapInArrow(_counts(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = both.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
-    level = both.where(F.col("kind") == GRAM).select(F.col("key").alias("g"), "n")
-    size = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, share * size)
-    tables = []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = written(level.groupBy(F.col("g").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("g")).agg(F.sum("n").alias("n")), "grams")
-        context = level.groupBy(F.shiftright("g", 8).alias("g")).agg(F.sum("n").alias("n"))
-        # at most 1 / SHARE rows each
-        own, above = (d.where(F.col("n") >= least).orderBy("g").toArrow() for d in (level, context))
-        tables.append(tuple(t.column(c).to_numpy() for t in (own, above) for c in ("g", "n")))
-    often = words.where(F.col("c") >= max(1.0, share * (total + ends))).toArrow()
-    return Learnt(tables[::-1], often.column("word").to_numpy(), often.column("c").to_numpy(), total + ends, kinds + (ends > 0), ends), words
+    ends = docs.where(~F.col("held_out")).count()
+    grams = both.where(F.col("kind") == GRAM).select(F.col("key").alias("g"), "n")
+    size, distinct = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, local = max(1.0, share * size), min(LOCAL, order)
+    # at most 256 ** local rows, whatever the corpus
+    few = grams.where("n > 0").groupBy(F.col("g").bitwiseAND(F.lit((1 << (8 * local)) - 1)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    low = docs.sparkSession.sparkContext.broadcast(ppm.shares(few.column("g").to_numpy(), few.column("n").to_numpy(), least, local - 1))
+    ends_in = F.shiftright("g", 8).bitwiseAND(F.lit((1 << (8 * local)) - 1))
+    shards = max(1, -(-distinct // SHARD_GRAMS))
+    dealt = grams.withColumn("shard", F.pmod(F.xxhash64(ends_in), F.lit(shards))).groupBy("shard")
+    chances = written(dealt.applyInArrow(_chances(low, least, order, local), "g long, n long, lp double"), "chances")
+    hot = chances.where(F.col("n") >= max(1.0, OFTEN * size)).select("g", "lp").toArrow()
+    often = words.where(F.col("c") >= max(1.0, OFTEN * (total + ends))).toArrow()
+    known = Learnt(order, hot.column("g").to_numpy(), hot.column("lp").to_numpy(), often.column("word").to_numpy(), often.column("c").to_numpy(), total + ends, kinds + (ends > 0), ends)
+    return known, words, chances
 
 
 _ready: dict = {}
 
 
+def _table(keys: np.ndarray, values: np.ndarray) -> Table:
+    out = Table(max(16, int(len(keys) * 2.5).bit_length()))
+    out.add(keys, values)
+    return out
+
+
+def _lists(owner: np.ndarray, items: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(items))
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         if _ready.get("of") is not shared.value:  # a worker builds its tables once
             known = shared.value
-            table = Table(max(16, int(len(known.words) * 3).bit_length()))
-            table.add(known.words & 0x7FFFFFFFFFFFFFFF, known.counts.astype(np.float64))
-            _ready.update(of=known, model=ppm.Model(known.tables), words=table, grams=Table())
-        known, model, words, cache = shared.value, _ready["model"], _ready["words"], _ready["grams"]
+            _ready.update(of=known, words=_table(known.words & 0x7FFFFFFFFFFFFFFF, known.counts.astype(np.float64)), grams=_table(known.grams, known.chances))
+        known, words, grams = shared.value, _ready["words"], _ready["grams"]
         scale = np.log10(known.tokens + known.kinds + 1)
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
             data, off = text_column(b, "text")
             for i, j in slices(off):
                 text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
-                g = ppm.grams(text, row, len(known.tables) - 1)
-                lp = cache.find(g)
-                if (miss := np.isnan(lp)).any():
-                    new, back = np.unique(g[miss], return_inverse=True)
-                    own = model.log10(new)
-                    lp[miss] = own[back]
-                    cache.add(new, own)
-                score = np.add.reduceat(lp, row[:-1])
+                g = ppm.grams(text, row, known.order)
+                lp = grams.find(g)
+                few = np.isnan(lp)
+                score = np.add.reduceat(np.where(few, 0.0, lp), row[:-1])
                 h = hash_words(raw, start, end, lower=True).view(np.int64)
                 c = words.find(h & 0x7FFFFFFFFFFFFFFF)
                 often = ~np.isnan(c)
@@ -185,12 +214,11 @@ def _scorer(shared):
                 seen = np.concatenate([[0], np.cumsum(often)])
                 n = np.diff(first) + 1
                 base = edge[first[1:]] - edge[first[:-1]] + np.log10(known.ends + 1) - n * scale
-                rare, owner = h[~often], np.repeat(np.arange(j - i), n - 1)[~often]
-                cut = np.searchsorted(owner, np.arange(j - i + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare))
-                cols = [pa.array(rid + np.arange(j - i)), b.column(b.schema.get_field_index("doc_id")).slice(i, j - i), b.column(b.schema.get_field_index("held_out")).slice(i, j - i), pa.array(n), pa.array(seen[first[1:]] - seen[first[:-1]] + (known.ends > 0)), pa.array(base), pa.array(score), lists]
+                rare = _lists(np.repeat(np.arange(j - i), n - 1)[~often], h[~often], j - i)
+                parts = _lists(np.repeat(np.arange(j - i), np.diff(row))[few], g[few], j - i)
+                cols = [pa.array(rid + np.arange(j - i)), b.column(b.schema.get_field_index("doc_id")).slice(i, j - i), b.column(b.schema.get_field_index("held_out")).slice(i, j - i), pa.array(n), pa.array(seen[first[1:]] - seen[first[:-1]] + (known.ends > 0)), pa.array(base), pa.array(score), rare, parts]
                 rid += j - i
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "few"])
 
     return run
 
@@ -201,14 +229,16 @@ def scores(docs: DataFrame, held_out: Column | None = None, order: int = ppm.ORD
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    known, words = learn(docs.where(~F.col("held_out")), order, share)
+    known, words, chances = learn(docs, order, share)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_scorer(shared), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "scores")
+    rows = written(docs.mapInArrow(_scorer(shared), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, few array<long>"), "scores")
     rare = rows.select("rid", F.explode("rare").alias("word"))
     found = rare.join(words, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("plus"))
-    out = rows.drop("rare").join(found, "rid", "left")
+    few = rows.select("rid", F.explode("few").alias("g"))
+    joined = few.join(chances.select("g", "lp"), "g").groupBy("rid").agg(F.sum("lp").alias("rest"))
+    out = rows.drop("rare", "few").join(found, "rid", "left").join(joined, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -8,9 +8,9 @@ symbol goes to the escape), and symbols seen in a longer context are excluded fr
 ones. Below order 0 the bytes never seen share what is left.
 
 Counts are gathered over all training texts. A node of the trie stays when its count is at
-least a given share of all training bytes, at every size of corpus, so each order has at most
-1 / share nodes and the trie can go to every worker. As a node's suffix is at least as
-frequent, the trie stays closed under suffixes.
+least a given number; as a node's suffix is at least as frequent, the trie stays closed under
+suffixes. A context needs only its own nodes and those of its suffixes, so the trie can be dealt
+out by the last bytes of the contexts.
 """
 
 from __future__ import annotations

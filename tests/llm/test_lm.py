@@ -81,3 +81,28 @@ def test_probabilities_sum_to_one(spark, sf):
     out = lm.scores(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").toPandas()
     assert len(out) and (out.score < 0).all()
     assert lm.scores(spark.createDataFrame([], COLS)).count() == 0
+
+
+def test_keeps_rare_grams_of_a_large_corpus(spark, monkeypatch):
+    """More than 5 MB, where a share of 2e-7 would prune what was seen once; many shards, few frequent grams."""
+    rng = np.random.default_rng(3)
+    common = " ".join(["the same old line"] * 6000)
+    rows = [(d, common, None) for d in range(1, 70)] + [(1000 + i, "".join(map(chr, rng.integers(97, 117, 40))), None) for i in range(60)]
+    monkeypatch.setattr(lm, "SHARD_GRAMS", 200, raising=False)
+    small = [x for x in rows if x[0] >= 1000]
+    got = sorted(map(tuple, lm.scores(spark.createDataFrame(rows, COLS)).where("doc_id >= 1000").select("doc_id", "held_out", "score").collect()))
+    keys, n = Counter(), None
+    for d, t, _ in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            data = np.frombuffer(t.encode(), np.uint8)
+            text = np.append(data, np.uint8(10))
+            k, n = np.unique(ppm.grams(text, np.array([0, len(text)])), return_counts=True)
+            keys.update(dict(zip(k.tolist(), n.tolist())))
+    assert sum(keys.values()) > 5_000_000
+    model = ppm.Model(ppm.shares(np.array(list(keys)), np.array(list(keys.values())), 1))
+    want = []
+    for d, t, _ in small:
+        text = np.append(np.frombuffer(t.encode(), np.uint8), np.uint8(10))
+        want.append((d, zlib.crc32(str(d).encode()) % 7 == 2, model.log10(ppm.grams(text, np.array([0, len(text)]))).sum()))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)])
