@@ -1,14 +1,15 @@
 """Language-model scores of whole texts: a word-frequency base and a byte PPM model.
 
-Both learn from all training rows. What the corpus gives (counts of words and of byte grams)
-is summed before and after a shuffle, and all of it is kept. The PPM trie is dealt out by the
-LOCAL bytes before a symbol: a shard holds every longer context that ends in its own and scores
-each gram of the corpus once; only the orders below LOCAL, which the number of byte strings of
-that length bounds, are the same for all shards. Two bounded parts go to every worker: the log
-probabilities of grams with at least OFTEN of all training bytes and the counts of words with at
-least OFTEN of all training tokens (at most 1 / OFTEN of them each); they save the join, no more.
-The other, rare grams and words are joined, one row per occurrence, so trie and vocabulary may be
-of any size.
+Both learn from all training rows, and all of what they count is kept. Texts are read in chunks,
+which end when they hold KEYS distinct grams. A chunk sends its distinct grams and words with their
+counts (0 where only held-out texts have them) to shards: one row per chunk and shard, the numbers
+packed and compressed in it. The PPM trie is dealt out by the LOCAL bytes before a symbol: a shard
+holds every longer context that ends in its own, adds up what the chunks sent, works out each
+gram's log probability once and answers every chunk. Only the orders below LOCAL are the same for
+all shards: nodes of at most LOCAL bytes, which 256 ** LOCAL bounds whatever the corpus. A chunk's
+texts are then scored beside the answers it got. So a task holds one chunk's grams or one shard's
+distinct ones, never a whole corpus's; trie and vocabulary may be of any size, and no row stands
+for a single gram. Log probabilities travel in single precision and are added up in double.
 
 Defined results: null text is empty, scored as its end alone; rows that repeat an id are
 documents of their own; a null id belongs to training; without training rows every count
@@ -17,7 +18,10 @@ is 0; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,220 +29,293 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .store import written
-from .words import hash_words, slices, text_column
+from .store import parts, written
+from .words import hash_words, mix, slices, text_column
 
 SHARE = 0.0
-OFTEN = 2e-7
 LOCAL = 3
-SHARD_GRAMS = 400_000
-WORD, GRAM, ASKED = 0, 1, 2  # ASKED: grams of held-out texts, which count 0
-
-
-class Table:
-    """A growing map from 63-bit keys to floats, probed for whole arrays."""
-
-    def __init__(self, bits: int = 22) -> None:
-        self.mask, self.used, self.shift = (1 << bits) - 1, 0, np.uint64(64 - bits)
-        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
-
-    def _slot(self, x: np.ndarray) -> np.ndarray:
-        """The top bits of a product, which all bits of x move."""
-        with np.errstate(over="ignore"):
-            return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Values, nan where unknown. A key k is kept as k + 1."""
-        out, want = np.full(len(x), np.nan), x.astype(np.uint64) + np.uint64(1)
-        todo, slot = None, self._slot(x)
-        while True:
-            k = self.key[slot]
-            hit = k == (want if todo is None else want[todo])
-            if todo is None:
-                out[hit] = self.value[slot[hit]]
-            else:
-                out[todo[hit]] = self.value[slot[hit]]
-            go = np.flatnonzero(~hit & (k != 0))
-            if not len(go):
-                return out
-            todo, slot = go if todo is None else todo[go], (slot[go] + 1) & self.mask
-
-    def add(self, x: np.ndarray, values: np.ndarray) -> None:
-        """Distinct unknown keys; when more than half full nothing is added."""
-        if self.used + len(x) > self.mask // 2:
-            return
-        self.used += len(x)
-        todo, slot = np.arange(len(x)), self._slot(x)
-        while len(todo):
-            won = np.zeros(len(todo), bool)
-            won[np.unique(slot, return_index=True)[1]] = True
-            won &= self.key[slot] == 0
-            self.key[slot[won]], self.value[slot[won]] = x[todo[won]].astype(np.uint64) + np.uint64(1), values[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & self.mask
+KEYS = 2_000_000  # distinct grams after which a chunk ends
+SHARD_BYTES = 8 << 20  # of text for one shard of grams
+LOW_PARTS = 64
+SPOOL = 32 << 20  # bytes of requests that a shard holds in memory; more wait in its task's scratch file
+GRAM, WORD, LOW, ROW = 0, 1, 2, 3
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed."""
+    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(data, n * width), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def packed_keys(key: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return packed(np.diff(key, prepend=0))
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, np.int64))
 
 
 class Tally:
-    """Counts of 64-bit keys, merged now and then; at most about 2 * HELD entries at a time."""
+    """Counts of 64-bit keys, ascending; at most WAIT of those added are not merged yet."""
 
-    HELD = 2_000_000
+    WAIT = 1_000_000
 
     def __init__(self) -> None:
+        self.key, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = self.merged = 0
+        self.waiting = 0
 
-    def add(self, x: np.ndarray) -> None:
-        key, n = np.unique(x, return_counts=True)
+    def add(self, x: np.ndarray, counted: bool = True) -> None:
+        if len(x):
+            x = np.sort(x)
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            self.put(x[first], np.diff(np.append(first, len(x))) if counted else np.zeros(len(first), np.int64))
+
+    def put(self, key: np.ndarray, n: np.ndarray) -> None:
+        """Ascending distinct keys with counts."""
         self.parts.append((key, n))
-        self.size += len(key)
-        if self.size > self.merged + self.HELD:
+        self.waiting += len(key)
+        if self.waiting > self.WAIT:
             self.merge()
 
     def merge(self) -> None:
-        key, n = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.parts = [(key[first], np.add.reduceat(n[order], first))]
-        self.size = self.merged = len(first)
-
-    def rows(self, kind: int) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self.merge()
-            key, n = self.parts[0]
-            for s in range(0, len(key), 50_000):
-                k = key[s : s + 50_000]
-                seen = np.zeros(len(k), np.int64) if kind == ASKED else n[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), GRAM if kind == ASKED else kind, np.int32)), pa.array(k), pa.array(seen)], ["kind", "key", "n"])
-        self.__init__()
+        if self.parts:
+            key = np.concatenate([self.key, *(p[0] for p in self.parts)])
+            n = np.concatenate([self.n, *(p[1] for p in self.parts)])
+            self.parts, self.waiting = [], 0
+            order = np.argsort(key, kind="stable")  # merges ascending runs
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.key, self.n = key[first], np.add.reduceat(n, first)
+
+
+def _columns(kind: str) -> str:
+    return f"chunk long, kind int, part long, n long, keys binary, numbers binary, doc_id {kind}, held_out boolean, text string"
+
+
+def _message(rows: list[tuple], like: pa.DataType) -> pa.RecordBatch:
+    """Rows (chunk, kind, part, n, keys, numbers) between chunks and shards."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), k) for k in (like, pa.bool_(), pa.string()))], ["chunk", "kind", "part", "n", "keys", "numbers", "doc_id", "held_out", "text"])
+
+
+def _dealt(chunk: int, kind: int, tally: Tally, part: np.ndarray, of: int) -> Iterator[tuple]:
+    order = np.argsort(part.astype(np.uint16 if of < 1 << 16 else np.int64), kind="stable")
+    part, key, n = part[order], tally.key[order], tally.n[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+        yield chunk, kind, int(part[a]), z - a, packed_keys(key[a:z]), packed(n[a:z])
 
 
-def _counts(order: int):
+def _requests(order: int, local: int, shards: int, most: int):
+    """Every text with its chunk, and what each chunk asks of the shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {WORD: Tally(), GRAM: Tally(), ASKED: Tally()}
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        like = None
+        grams, words = Tally(), Tally()
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            nonlocal grams, words
+            grams.merge()
+            words.merge()
+            low = Tally()
+            some = grams.n > 0
+            key, back = np.unique(grams.key[some] & ((1 << (8 * local)) - 1), return_inverse=True)
+            low.put(key, np.bincount(back, grams.n[some], len(key)).astype(np.int64))
+            low.merge()
+            context = (grams.key >> 8) & ((1 << (8 * local)) - 1)
+            for kind, t, by, of in ((GRAM, grams, context, shards), (WORD, words, words.key, shards), (LOW, low, low.key, LOW_PARTS)):
+                held, size = [], 0
+                for row in _dealt(chunk, kind, t, mix(by.astype(np.uint64)) % np.uint64(of), of):
+                    held.append(row)
+                    size += len(row[4]) + len(row[5])
+                    if size > 1 << 20:
+                        yield _message(held, like)
+                        held, size = [], 0
+                if held:
+                    yield _message(held, like)
+            grams, words = Tally(), Tally()
+
         for b in batches:
             data, off = text_column(b, "text")
-            held = b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "held_out", "text")]
+            like = cols[0].type
+            held = cols[1].to_numpy(zero_copy_only=False)
             for i, j in slices(off):
                 text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
-                g, teaches = ppm.grams(text, row, order), ~held[i:j]
-                of_text = np.repeat(teaches, np.diff(row))
-                tallies[WORD].add(hash_words(raw, start, end, lower=True).view(np.int64)[np.repeat(teaches, np.diff(first))])
-                tallies[GRAM].add(g[of_text])
-                tallies[ASKED].add(g[~of_text])
-                for kind, t in tallies.items():
-                    if t.merged > t.HELD:
-                        yield from t.rows(kind)
-        for kind, t in tallies.items():
-            yield from t.rows(kind)
+                g, h, teaches = ppm.grams(text, row, order), _words(raw, start, end), ~held[i:j]
+                of_text, of_word = np.repeat(teaches, np.diff(row)), np.repeat(teaches, np.diff(first))
+                for t, x, use in ((grams, g, of_text), (words, h, of_word)):
+                    t.add(x[use])
+                    t.add(x[~use], counted=False)
+                n = j - i
+                nulls = [pa.nulls(n, k) for k in (pa.int64(), pa.binary(), pa.binary())]
+                numbers = [pa.array(np.full(n, chunk)), pa.array(np.full(n, ROW, np.int32)), pa.array(np.zeros(n, np.int64)), *nulls]
+                yield pa.RecordBatch.from_arrays([*numbers, *(c.slice(i, n) for c in cols)], ["chunk", "kind", "part", "n", "keys", "numbers", "doc_id", "held_out", "text"])
+                if len(grams.key) > most:
+                    yield from asked()
+                    chunk += 1
+        if like is not None:
+            yield from asked()
 
     return run
 
 
-class Learnt:
-    """What every worker gets: log probabilities of frequent grams, frequent words and totals."""
+def _words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (hash_words(raw, start, end, lower=True) >> np.uint64(1)).view(np.int64)
 
-    def __init__(self, order: int, grams, chances, words, counts, tokens: int, kinds: int, ends: int) -> None:
-        self.order, self.grams, self.chances, self.words, self.counts = order, grams, chances, words, counts
-        self.tokens, self.kinds, self.ends = tokens, kinds, ends
 
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("chunk", "kind", "part", "n", "keys", "numbers")))
 
-def _chances(low, least: float, order: int, local: int):
-    """From all counted grams of some contexts of `local` bytes: (g, n, lp) of each."""
 
-    def run(t: pa.Table) -> pa.Table:
-        g, n = (t.column(c).to_numpy() for c in ("g", "n"))
-        tables = [*low.value, *ppm.shares(g[n > 0], n[n > 0], least, order)[local:]]
-        return pa.table({"g": pa.array(g), "n": pa.array(n), "lp": pa.array(ppm.Model(tables).log10(g))})
+def _by_part(m: tuple) -> tuple:
+    return m[1:3]
 
-    return run
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part: distinct training keys, the sum of their counts and, of LOW, both themselves."""
+    for (kind, _), group in groupby(_messages(batches), _by_part):
+        t = Tally()
+        for *_, n, keys, numbers in group:
+            t.put(unpacked_keys(keys, n), unpacked(numbers, n, np.uint32).astype(np.int64))
+        t.merge()
+        both = [packed_keys(t.key), packed(t.n)] if kind == LOW else [None, None]
+        cols = [[kind], [int((t.n > 0).sum())], [int(t.n.sum())], [both[0]], [both[1]]]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "kinds", "total", "keys", "numbers"])
 
-def learn(docs: DataFrame, order: int = ppm.ORDER, share: float = SHARE) -> tuple[Learnt, DataFrame, DataFrame]:
-    """What docs (text, held_out) teach, the counts of all words (word, c) and the log probabilities of
-    all grams, held-out ones too (g, n, lp). Nodes below `share` of the training bytes are pruned."""
-    both = written(docs.select("text", "held_out").mapInArrow(_counts(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = both.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = docs.where(~F.col("held_out")).count()
-    grams = both.where(F.col("kind") == GRAM).select(F.col("key").alias("g"), "n")
-    size, distinct = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, local = max(1.0, share * size), min(LOCAL, order)
-    # at most 256 ** local rows, whatever the corpus
-    few = grams.where("n > 0").groupBy(F.col("g").bitwiseAND(F.lit((1 << (8 * local)) - 1)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
-    low = docs.sparkSession.sparkContext.broadcast(ppm.shares(few.column("g").to_numpy(), few.column("n").to_numpy(), least, local - 1))
-    ends_in = F.shiftright("g", 8).bitwiseAND(F.lit((1 << (8 * local)) - 1))
-    shards = max(1, -(-distinct // SHARD_GRAMS))
-    dealt = grams.withColumn("shard", F.pmod(F.xxhash64(ends_in), F.lit(shards))).groupBy("shard")
-    chances = written(dealt.applyInArrow(_chances(low, least, order, local), "g long, n long, lp double"), "chances")
-    hot = chances.where(F.col("n") >= max(1.0, OFTEN * size)).select("g", "lp").toArrow()
-    often = words.where(F.col("c") >= max(1.0, OFTEN * (total + ends))).toArrow()
-    known = Learnt(order, hot.column("g").to_numpy(), hot.column("lp").to_numpy(), often.column("word").to_numpy(), often.column("c").to_numpy(), total + ends, kinds + (ends > 0), ends)
-    return known, words, chances
 
+def _answers(low, order: int, local: int, least: float):
+    """Adds up what the chunks sent to each shard and answers each in its own order of keys."""
 
-_ready: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal like
+            for b in batches:
+                like = b.column(b.schema.get_field_index("doc_id")).type
+                yield b
+
+        for (kind, part), group in groupby(_messages(seen()), _by_part):
+            t, asked = Tally(), 0
+            with tempfile.SpooledTemporaryFile(max_size=SPOOL) as kept:
+                for chunk, _, _, n, keys, numbers in group:
+                    t.put(unpacked_keys(keys, n), unpacked(numbers, n, np.uint32).astype(np.int64))
+                    pickle.dump((chunk, n, keys), kept)
+                    asked += 1
+                t.merge()
+                value = t.n
+                if kind == GRAM:
+                    taught = t.n > 0
+                    model = ppm.Model([*low.value, *ppm.shares(t.key[taught], t.n[taught], least, order)[local:]])
+                    value = np.concatenate([model.log10(t.key[s : s + 200_000]) for s in range(0, len(t.key), 200_000)]).astype(np.float32)
+                kept.seek(0)
+                held, size = [], 0
+                for _ in range(asked):
+                    chunk, n, keys = pickle.load(kept)
+                    held.append((chunk, kind, part, n, keys, packed(value[np.searchsorted(t.key, unpacked_keys(keys, n))])))
+                    size += 2 * len(keys)
+                    if size > 1 << 20:
+                        yield _message(held, like)
+                        held, size = [], 0
+                if held:
+                    yield _message(held, like)
 
+    return run
 
-def _table(keys: np.ndarray, values: np.ndarray) -> Table:
-    out = Table(max(16, int(len(keys) * 2.5).bit_length()))
-    out.add(keys, values)
-    return out
 
+class Known:
+    """Answers to a chunk, looked up for whole arrays."""
 
-def _lists(owner: np.ndarray, items: np.ndarray, n: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(items))
+    def __init__(self, kind: type) -> None:
+        self.kind, self.parts = kind, []
 
+    def put(self, n: int, keys: bytes, numbers: bytes) -> None:
+        self.parts.append((unpacked_keys(keys, n), unpacked(numbers, n, self.kind)))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if len(self.parts) > 1:
+            key, value = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+            order = np.argsort(key)
+            self.parts = [(key[order], value[order])]
+        out = np.zeros(len(x))
+        if len(x):
+            key, value = self.parts[0]
+            order = np.argsort(x)
+            s = x[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            out[order] = np.repeat(value[np.searchsorted(key, s[first])], np.diff(np.append(first, len(s))))
+        return out
 
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        if _ready.get("of") is not shared.value:  # a worker builds its tables once
-            known = shared.value
-            _ready.update(of=known, words=_table(known.words & 0x7FFFFFFFFFFFFFFF, known.counts.astype(np.float64)), grams=_table(known.grams, known.chances))
-        known, words, grams = shared.value, _ready["words"], _ready["grams"]
-        scale = np.log10(known.tokens + known.kinds + 1)
-        rid = TaskContext.get().partitionId() << 40
+def _scores(order: int):
+    """Per text: words and the end, words known from training, the sum of log10(c + 1) and the model's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chances, counts = None, None, None
         for b in batches:
-            data, off = text_column(b, "text")
-            for i, j in slices(off):
-                text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
-                g = ppm.grams(text, row, known.order)
-                lp = grams.find(g)
-                few = np.isnan(lp)
-                score = np.add.reduceat(np.where(few, 0.0, lp), row[:-1])
-                h = hash_words(raw, start, end, lower=True).view(np.int64)
-                c = words.find(h & 0x7FFFFFFFFFFFFFFF)
-                often = ~np.isnan(c)
-                edge = np.concatenate([[0], np.cumsum(np.where(often, np.log10(np.where(often, c, 0) + 1), 0.0))])
-                seen = np.concatenate([[0], np.cumsum(often)])
-                n = np.diff(first) + 1
-                base = edge[first[1:]] - edge[first[:-1]] + np.log10(known.ends + 1) - n * scale
-                rare = _lists(np.repeat(np.arange(j - i), n - 1)[~often], h[~often], j - i)
-                parts = _lists(np.repeat(np.arange(j - i), np.diff(row))[few], g[few], j - i)
-                cols = [pa.array(rid + np.arange(j - i)), b.column(b.schema.get_field_index("doc_id")).slice(i, j - i), b.column(b.schema.get_field_index("held_out")).slice(i, j - i), pa.array(n), pa.array(seen[first[1:]] - seen[first[:-1]] + (known.ends > 0)), pa.array(base), pa.array(score), rare, parts]
-                rid += j - i
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "few"])
+            chunk, kind = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("chunk", "kind"))
+            edge = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])])) if len(chunk) else chunk
+            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(chunk)]):
+                if at != chunk[a]:
+                    at, chances, counts = chunk[a], Known(np.float32), Known(np.int64)
+                part = b.slice(a, z - a)
+                if kind[a] != ROW:
+                    for m in _messages([part]):
+                        (chances if m[1] == GRAM else counts).put(*m[3:])
+                    continue
+                data, off = text_column(part, "text")
+                for i, j in slices(off):
+                    text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
+                    score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
+                    c = counts.of(_words(raw, start, end))
+                    weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
+                    cols = [part.column(part.schema.get_field_index(x)).slice(i, j - i) for x in ("doc_id", "held_out")]
+                    cols += [pa.array(np.diff(first) + 1), *(pa.array(x[first[1:]] - x[first[:-1]]) for x in (seen, weight)), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "weight", "score"])
 
     return run
 
 
 def scores(docs: DataFrame, held_out: Column | None = None, order: int = ppm.ORDER, share: float = SHARE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score and score. held_out: a column; rows where it holds teach nothing."""
+    base_score and score. held_out: a column; rows where it holds teach nothing. Nodes of the trie
+    below `share` of the training bytes are pruned: by default none."""
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    known, words, chances = learn(docs, order, share)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_scorer(shared), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, few array<long>"), "scores")
-    rare = rows.select("rid", F.explode("rare").alias("word"))
-    found = rare.join(words, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("plus"))
-    few = rows.select("rid", F.explode("few").alias("g"))
-    joined = few.join(chances.select("g", "lp"), "g").groupBy("rid").agg(F.sum("lp").alias("rest"))
-    out = rows.drop("rare", "few").join(found, "rid", "left").join(joined, "rid", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
-    )
+    kind, n, local = docs.schema["doc_id"].dataType.simpleString(), parts(docs.sparkSession), min(LOCAL, order)
+    shards = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
+    all_ = written(docs.mapInArrow(_requests(order, local, shards, KEYS), _columns(kind)), "chunks", compression="zstd")
+    sent, rows = all_.where(F.col("kind") != ROW), all_.where(F.col("kind") == ROW)
+    slim = sent.where(F.col("kind") != GRAM).repartition(n, "kind", "part").sortWithinPartitions("kind", "part")
+    sums = written(slim.mapInArrow(_added, "kind int, kinds long, total long, keys binary, numbers binary"), "sums")
+    of = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
+    kinds, total, size = (of[WORD].kinds, of[WORD].total, of[LOW].total) if WORD in of else (0, 0, of[LOW].total if LOW in of else 0)
+    ends = rows.where(~F.col("held_out")).count()
+    tokens, kinds, least = total + ends, kinds + (ends > 0), max(1.0, share * size)
+    # LOW_PARTS rows with at most 256 ** local numbers in all
+    few = [(unpacked_keys(r.keys, r.kinds), unpacked(r.numbers, r.kinds, np.int64)) for r in sums.where((F.col("kind") == LOW) & (F.col("kinds") > 0)).collect()]
+    key, count = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in few)]) for k in (0, 1))
+    low = docs.sparkSession.sparkContext.broadcast(ppm.shares(key, count, least, local - 1))
+    asked = sent.where(F.col("kind") != LOW).repartition(n, "kind", "part").sortWithinPartitions("kind", "part")
+    both = asked.mapInArrow(_answers(low, order, local, least), _columns(kind)).unionByName(rows)
+    dealt = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "part")
+    out = dealt.mapInArrow(_scores(order), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, weight double, score double")
+    base = F.col("weight") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + kinds + 1)))
+    known = F.col("n_known") + F.lit(int(ends > 0))
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

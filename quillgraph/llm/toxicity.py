@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lm import Table
+from .table import Table
 from .words import hash_words, mix, slices, spans, text_column
 
 TOXIC, CLEAN = 2000, 4000
