@@ -7,7 +7,7 @@ packed and compressed in it. The PPM trie is dealt out by the LOCAL bytes before
 holds every longer context that ends in its own, adds up what the chunks sent, works out each
 gram's log probability once and answers every chunk. Only the orders below LOCAL are the same for
 all shards: nodes of at most LOCAL bytes, which 256 ** LOCAL bounds whatever the corpus. A chunk's
-texts are then scored beside the answers it got. So a task holds one chunk's grams or one shard's
+texts, normalised and compressed a slice to a row, are then scored beside the answers it got. So a task holds one chunk's grams or one shard's
 distinct ones, never a whole corpus's; trie and vocabulary may be of any size, and no row stands
 for a single gram. Log probabilities travel in single precision and are added up in double.
 
@@ -30,27 +30,35 @@ from pyspark.sql import functions as F
 
 from . import ppm
 from .store import parts, written
-from .words import hash_words, mix, slices, text_column
+from .words import hash_words, mix, slices, spans, text_column
 
 SHARE = 0.0
 LOCAL = 3
 KEYS = 2_000_000  # distinct grams after which a chunk ends
 SHARD_BYTES = 8 << 20  # of text for one shard of grams
-LOW_PARTS = 64
+LOW_PARTS = 8
 SPOOL = 32 << 20  # bytes of requests that a shard holds in memory; more wait in its task's scratch file
 GRAM, WORD, LOW, ROW = 0, 1, 2, 3
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    return _CODEC.compress(np.ascontiguousarray(data), asbytes=True)
+
+
+def plain(data: bytes, n: int) -> np.ndarray:
+    """So many bytes from squeezed()."""
+    return np.frombuffer(_CODEC.decompress(data, n), np.uint8)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, compressed."""
-    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), asbytes=True)
+    return squeezed(x.view(np.uint8).reshape(len(x), -1).T)
 
 
 def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(_CODEC.decompress(data, n * width), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+    return np.ascontiguousarray(plain(data, n * width).reshape(width, n).T).view(kind).ravel()
 
 
 def packed_keys(key: np.ndarray) -> bytes:
@@ -96,15 +104,21 @@ class Tally:
             self.key, self.n = key[first], np.add.reduceat(n, first)
 
 
+NAMES = ["chunk", "kind", "part", "n", "keys", "numbers", "doc_ids", "held_out"]
+
+
 def _columns(kind: str) -> str:
-    return f"chunk long, kind int, part long, n long, keys binary, numbers binary, doc_id {kind}, held_out boolean, text string"
+    return f"chunk long, kind int, part long, n long, keys binary, numbers binary, doc_ids array<{kind}>, held_out array<boolean>"
 
 
-def _message(rows: list[tuple], like: pa.DataType) -> pa.RecordBatch:
-    """Rows (chunk, kind, part, n, keys, numbers) between chunks and shards."""
+def _message(rows: list[tuple], like: pa.DataType, doc_ids: pa.Array | None = None, held_out: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows (chunk, kind, part, n, keys, numbers) between chunks and shards. A row of the kind ROW is a
+    slice of texts instead: its bytes, its texts, the compressed bytes and the packed lengths of the texts."""
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), k) for k in (like, pa.bool_(), pa.string()))], ["chunk", "kind", "part", "n", "keys", "numbers", "doc_id", "held_out", "text"])
+    for of, kind in ((doc_ids, like), (held_out, pa.bool_())):
+        cols.append(pa.nulls(len(rows), pa.list_(kind)) if of is None else pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of))
+    return pa.RecordBatch.from_arrays(cols, NAMES)
 
 
 def _dealt(chunk: int, kind: int, tally: Tally, part: np.ndarray, of: int) -> Iterator[tuple]:
@@ -116,7 +130,7 @@ def _dealt(chunk: int, kind: int, tally: Tally, part: np.ndarray, of: int) -> It
 
 
 def _requests(order: int, local: int, shards: int, most: int):
-    """Every text with its chunk, and what each chunk asks of the shards."""
+    """All texts by chunk, and what each chunk asks of the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,7 +163,7 @@ def _requests(order: int, local: int, shards: int, most: int):
 
         for b in batches:
             data, off = text_column(b, "text")
-            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "held_out", "text")]
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "held_out")]
             like = cols[0].type
             held = cols[1].to_numpy(zero_copy_only=False)
             for i, j in slices(off):
@@ -159,10 +173,8 @@ def _requests(order: int, local: int, shards: int, most: int):
                 for t, x, use in ((grams, g, of_text), (words, h, of_word)):
                     t.add(x[use])
                     t.add(x[~use], counted=False)
-                n = j - i
-                nulls = [pa.nulls(n, k) for k in (pa.int64(), pa.binary(), pa.binary())]
-                numbers = [pa.array(np.full(n, chunk)), pa.array(np.full(n, ROW, np.int32)), pa.array(np.zeros(n, np.int64)), *nulls]
-                yield pa.RecordBatch.from_arrays([*numbers, *(c.slice(i, n) for c in cols)], ["chunk", "kind", "part", "n", "keys", "numbers", "doc_id", "held_out", "text"])
+                sent = (chunk, ROW, len(text), j - i, squeezed(text), packed(np.diff(row)))
+                yield _message([sent], like, *(c.slice(i, j - i) for c in cols))
                 if len(grams.key) > most:
                     yield from asked()
                     chunk += 1
@@ -207,7 +219,7 @@ def _answers(low, order: int, local: int, least: float):
         def seen() -> Iterator[pa.RecordBatch]:
             nonlocal like
             for b in batches:
-                like = b.column(b.schema.get_field_index("doc_id")).type
+                like = b.column(b.schema.get_field_index("doc_ids")).type.value_type
                 yield b
 
         for (kind, part), group in groupby(_messages(seen()), _by_part):
@@ -268,25 +280,21 @@ def _scores(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chances, counts = None, None, None
         for b in batches:
-            chunk, kind = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("chunk", "kind"))
-            edge = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])])) if len(chunk) else chunk
-            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(chunk)]):
-                if at != chunk[a]:
-                    at, chances, counts = chunk[a], Known(np.float32), Known(np.int64)
-                part = b.slice(a, z - a)
-                if kind[a] != ROW:
-                    for m in _messages([part]):
-                        (chances if m[1] == GRAM else counts).put(*m[3:])
+            ids, held = (b.column(b.schema.get_field_index(c)) for c in ("doc_ids", "held_out"))
+            for r, (chunk, kind, part, n, keys, numbers) in enumerate(_messages([b])):
+                if at != chunk:
+                    at, chances, counts = chunk, Known(np.float32), Known(np.int64)
+                if kind != ROW:
+                    (chances if kind == GRAM else counts).put(n, keys, numbers)
                     continue
-                data, off = text_column(part, "text")
-                for i, j in slices(off):
-                    text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
-                    score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
-                    c = counts.of(_words(raw, start, end))
-                    weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
-                    cols = [part.column(part.schema.get_field_index(x)).slice(i, j - i) for x in ("doc_id", "held_out")]
-                    cols += [pa.array(np.diff(first) + 1), *(pa.array(x[first[1:]] - x[first[:-1]]) for x in (seen, weight)), pa.array(score)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "weight", "score"])
+                text = plain(keys, part)
+                row = np.concatenate([[0], np.cumsum(unpacked(numbers, n, np.int64))])
+                raw, start, end, first = spans(text, row, 0, n)
+                score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
+                c = counts.of(_words(raw, start, end))
+                weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
+                cols = [pa.array(np.diff(first) + 1), *(pa.array(x[first[1:]] - x[first[:-1]]) for x in (seen, weight)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays([ids[r].values, held[r].values, *cols], ["doc_id", "held_out", "n_tokens", "n_known", "weight", "score"])
 
     return run
 
@@ -298,15 +306,16 @@ def scores(docs: DataFrame, held_out: Column | None = None, order: int = ppm.ORD
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    kind, n, local = docs.schema["doc_id"].dataType.simpleString(), parts(docs.sparkSession), min(LOCAL, order)
+    kind, local = docs.schema["doc_id"].dataType.simpleString(), min(LOCAL, order)
     shards = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
-    all_ = written(docs.mapInArrow(_requests(order, local, shards, KEYS), _columns(kind)), "chunks", compression="zstd")
+    n = max(parts(docs.sparkSession), 2 * shards)
+    all_ = written(docs.mapInArrow(_requests(order, local, shards, KEYS), _columns(kind)), "chunks")
     sent, rows = all_.where(F.col("kind") != ROW), all_.where(F.col("kind") == ROW)
     slim = sent.where(F.col("kind") != GRAM).repartition(n, "kind", "part").sortWithinPartitions("kind", "part")
     sums = written(slim.mapInArrow(_added, "kind int, kinds long, total long, keys binary, numbers binary"), "sums")
     of = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
     kinds, total, size = (of[WORD].kinds, of[WORD].total, of[LOW].total) if WORD in of else (0, 0, of[LOW].total if LOW in of else 0)
-    ends = rows.where(~F.col("held_out")).count()
+    ends = rows.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     tokens, kinds, least = total + ends, kinds + (ends > 0), max(1.0, share * size)
     # LOW_PARTS rows with at most 256 ** local numbers in all
     few = [(unpacked_keys(r.keys, r.kinds), unpacked(r.numbers, r.kinds, np.int64)) for r in sums.where((F.col("kind") == LOW) & (F.col("kinds") > 0)).collect()]
