@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from . import ppm
 from .store import parts, written
-from .words import hash_words, mix, slices, spans, text_column
+from .words import SLICE_BYTES, hash_words, mix, slices, spans, text_column
 
 SHARE = 0.0
 LOCAL = 3
 KEYS = 2_000_000  # distinct grams after which a chunk ends
 SHARD_BYTES = 8 << 20  # of text for one shard of grams
 LOW_PARTS = 8
+MESSAGE = 1 << 13  # keys at most in a row, and a sixteenth of the bytes of texts: rows of a few dozen KB
 SPOOL = 32 << 20  # bytes of requests that a shard holds in memory; more wait in its task's scratch file
 GRAM, WORD, LOW, ROW = 0, 1, 2, 3
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -126,7 +127,9 @@ def _dealt(chunk: int, kind: int, tally: Tally, part: np.ndarray, of: int) -> It
     part, key, n = part[order], tally.key[order], tally.n[order].astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
     for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
-        yield chunk, kind, int(part[a]), z - a, packed_keys(key[a:z]), packed(n[a:z])
+        for x in range(a, z, MESSAGE):
+            y = min(x + MESSAGE, z)
+            yield chunk, kind, int(part[a]), y - x, packed_keys(key[x:y]), packed(n[x:y])
 
 
 def _requests(order: int, local: int, shards: int, most: int):
@@ -173,8 +176,9 @@ def _requests(order: int, local: int, shards: int, most: int):
                 for t, x, use in ((grams, g, of_text), (words, h, of_word)):
                     t.add(x[use])
                     t.add(x[~use], counted=False)
-                sent = (chunk, ROW, len(text), j - i, squeezed(text), packed(np.diff(row)))
-                yield _message([sent], like, *(c.slice(i, j - i) for c in cols))
+                for x, y in slices(row, MESSAGE << 4):
+                    sent = (chunk, ROW, int(row[y] - row[x]), y - x, squeezed(text[row[x] : row[y]]), packed(np.diff(row[x : y + 1])))
+                    yield _message([sent], like, *(c.slice(i + x, y - x) for c in cols))
                 if len(grams.key) > most:
                     yield from asked()
                     chunk += 1
@@ -190,7 +194,9 @@ def _words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("chunk", "kind", "part", "n", "keys", "numbers")))
+        cols = [b.column(b.schema.get_field_index(c)) for c in NAMES[:6]]
+        for r in range(b.num_rows):
+            yield tuple(c[r].as_py() for c in cols)
 
 
 def _by_part(m: tuple) -> tuple:
@@ -279,22 +285,38 @@ def _scores(order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chances, counts = None, None, None
+        held: list[tuple] = []
+        size = 0
+
+        def scored() -> pa.RecordBatch:
+            text, length = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            row = np.concatenate([[0], np.cumsum(length)])
+            raw, start, end, first = spans(text, row, 0, len(length))
+            score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
+            c = counts.of(_words(raw, start, end))
+            weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
+            cols = [pa.concat_arrays([h[k] for h in held]) for k in (2, 3)] + [pa.array(np.diff(first) + 1)]
+            cols += [*(pa.array(x[first[1:]] - x[first[:-1]]) for x in (seen, weight)), pa.array(score)]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "weight", "score"])
+
         for b in batches:
-            ids, held = (b.column(b.schema.get_field_index(c)) for c in ("doc_ids", "held_out"))
+            lists = [b.column(b.schema.get_field_index(c)) for c in ("doc_ids", "held_out")]
             for r, (chunk, kind, part, n, keys, numbers) in enumerate(_messages([b])):
                 if at != chunk:
+                    if held:
+                        yield scored()
+                    held, size = [], 0
                     at, chances, counts = chunk, Known(np.float32), Known(np.int64)
                 if kind != ROW:
                     (chances if kind == GRAM else counts).put(n, keys, numbers)
                     continue
-                text = plain(keys, part)
-                row = np.concatenate([[0], np.cumsum(unpacked(numbers, n, np.int64))])
-                raw, start, end, first = spans(text, row, 0, n)
-                score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
-                c = counts.of(_words(raw, start, end))
-                weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
-                cols = [pa.array(np.diff(first) + 1), *(pa.array(x[first[1:]] - x[first[:-1]]) for x in (seen, weight)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([ids[r].values, held[r].values, *cols], ["doc_id", "held_out", "n_tokens", "n_known", "weight", "score"])
+                held.append((plain(keys, part), unpacked(numbers, n, np.int64), *(x[r].values for x in lists)))
+                size += part
+                if size > SLICE_BYTES:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
 
     return run
 
