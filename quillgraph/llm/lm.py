@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .store import parts, written
+from .store import parts, small_batches, written
 from .words import SLICE_BYTES, hash_words, mix, slices, spans, text_column
 
 SHARE = 0.0
@@ -71,6 +71,18 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, np.int64))
 
 
+def turned(g: np.ndarray, order: int, local: int) -> np.ndarray:
+    """Grams with the `local` bytes before the symbol on top, which a shard has few of."""
+    older = 8 * (order - local)
+    context = (g >> 8) & ((1 << (8 * local)) - 1)
+    return (context << (older + 8)) | (((g >> (8 * local + 8)) & ((1 << older) - 1)) << 8) | (g & 255)
+
+
+def back(t: np.ndarray, order: int, local: int) -> np.ndarray:
+    older = 8 * (order - local)
+    return (((t >> 8) & ((1 << older) - 1)) << (8 * local + 8)) | ((t >> (older + 8)) << 8) | (t & 255)
+
+
 class Tally:
     """Counts of 64-bit keys, ascending; at most WAIT of those added are not merged yet."""
 
@@ -148,10 +160,10 @@ def _requests(order: int, local: int, shards: int, most: int):
             words.merge()
             low = Tally()
             some = grams.n > 0
-            key, back = np.unique(grams.key[some] & ((1 << (8 * local)) - 1), return_inverse=True)
-            low.put(key, np.bincount(back, grams.n[some], len(key)).astype(np.int64))
+            key, of = np.unique(back(grams.key[some], order, local) & ((1 << (8 * local)) - 1), return_inverse=True)
+            low.put(key, np.bincount(of, grams.n[some], len(key)).astype(np.int64))
             low.merge()
-            context = (grams.key >> 8) & ((1 << (8 * local)) - 1)
+            context = grams.key >> (8 * (order - local) + 8)
             for kind, t, by, of in ((GRAM, grams, context, shards), (WORD, words, words.key, shards), (LOW, low, low.key, LOW_PARTS)):
                 held, size = [], 0
                 for row in _dealt(chunk, kind, t, mix(by.astype(np.uint64)) % np.uint64(of), of):
@@ -171,7 +183,7 @@ def _requests(order: int, local: int, shards: int, most: int):
             held = cols[1].to_numpy(zero_copy_only=False)
             for i, j in slices(off):
                 text, row, raw, start, end, first = ppm.normalised(data, off, i, j)
-                g, h, teaches = ppm.grams(text, row, order), _words(raw, start, end), ~held[i:j]
+                g, h, teaches = turned(ppm.grams(text, row, order), order, local), _words(raw, start, end), ~held[i:j]
                 of_text, of_word = np.repeat(teaches, np.diff(row)), np.repeat(teaches, np.diff(first))
                 for t, x, use in ((grams, g, of_text), (words, h, of_word)):
                     t.add(x[use])
@@ -238,9 +250,9 @@ def _answers(low, order: int, local: int, least: float):
                 t.merge()
                 value = t.n
                 if kind == GRAM:
-                    taught = t.n > 0
-                    model = ppm.Model([*low.value, *ppm.shares(t.key[taught], t.n[taught], least, order)[local:]])
-                    value = np.concatenate([model.log10(t.key[s : s + 200_000]) for s in range(0, len(t.key), 200_000)]).astype(np.float32)
+                    g, taught = back(t.key, order, local), t.n > 0
+                    model = ppm.Model([*low.value, *ppm.shares(g[taught], t.n[taught], least, order)[local:]])
+                    value = np.concatenate([model.log10(g[s : s + 200_000]) for s in range(0, len(g), 200_000)]).astype(np.float32)
                 kept.seek(0)
                 held, size = [], 0
                 for _ in range(asked):
@@ -280,7 +292,7 @@ class Known:
         return out
 
 
-def _scores(order: int):
+def _scores(order: int, local: int):
     """Per text: words and the end, words known from training, the sum of log10(c + 1) and the model's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +304,7 @@ def _scores(order: int):
             text, length = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             row = np.concatenate([[0], np.cumsum(length)])
             raw, start, end, first = spans(text, row, 0, len(length))
-            score = np.add.reduceat(chances.of(ppm.grams(text, row, order)), row[:-1])
+            score = np.add.reduceat(chances.of(turned(ppm.grams(text, row, order), order, local)), row[:-1])
             c = counts.of(_words(raw, start, end))
             weight, seen = np.concatenate([[0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
             cols = [pa.concat_arrays([h[k] for h in held]) for k in (2, 3)] + [pa.array(np.diff(first) + 1)]
@@ -327,6 +339,7 @@ def scores(docs: DataFrame, held_out: Column | None = None, order: int = ppm.ORD
     below `share` of the training bytes are pruned: by default none."""
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     kind, local = docs.schema["doc_id"].dataType.simpleString(), min(LOCAL, order)
     shards = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
@@ -343,10 +356,12 @@ def scores(docs: DataFrame, held_out: Column | None = None, order: int = ppm.ORD
     few = [(unpacked_keys(r.keys, r.kinds), unpacked(r.numbers, r.kinds, np.int64)) for r in sums.where((F.col("kind") == LOW) & (F.col("kinds") > 0)).collect()]
     key, count = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in few)]) for k in (0, 1))
     low = docs.sparkSession.sparkContext.broadcast(ppm.shares(key, count, least, local - 1))
-    asked = sent.where(F.col("kind") != LOW).repartition(n, "kind", "part").sortWithinPartitions("kind", "part")
+    asked = sent.where(F.col("kind") != LOW).repartitionById(2 * shards, (F.col("kind") * shards + F.col("part")).cast("int")).sortWithinPartitions("kind", "part")
     both = asked.mapInArrow(_answers(low, order, local, least), _columns(kind)).unionByName(rows)
-    dealt = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "part")
-    out = dealt.mapInArrow(_scores(order), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, weight double, score double")
+    # a task's first chunk bears its number; later ones go elsewhere
+    place = F.pmod(F.col("chunk") + F.shiftright("chunk", 32) * 37, F.lit(n)).cast("int")
+    dealt = both.repartitionById(n, place).sortWithinPartitions("chunk", "kind", "part")
+    out = dealt.mapInArrow(_scores(order, local), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, weight double, score double")
     base = F.col("weight") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + kinds + 1)))
     known = F.col("n_known") + F.lit(int(ends > 0))
     return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
