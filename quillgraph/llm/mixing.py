@@ -9,7 +9,8 @@ is added up on its own, so no task sees a whole source.
 Defined results: null or empty text has size 0 and takes 0; a null source is a source
 of its own, after all others; rows that repeat get equal keys, hence neighbouring
 places; an empty table gives an empty result; other columns are kept unless one of them
-carries the name of a result column, which then replaces it.
+carries the name of a result column, which then replaces it; helper columns have names
+that no column of docs has.
 """
 
 from __future__ import annotations
@@ -61,40 +62,56 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None, most:
     A budget of q whole epochs and a rest takes every row q times and, in order of the
     keys, rows up to the rest; the row at the cut gives just the words that are missing.
     """
-    own = {"size", "source_size", "target", "taken", "_key", "_range"}
-    d = docs.drop(*[c for c in docs.columns if c in own])
-    d = d.withColumns({"size": n_words(), "_key": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
-    d = d.withColumn("_range", F.substring("_key", 1, DIGITS))
-    slim = d.select("source", "_range", "size")
-    ranges = slim.groupBy("source", "_range").agg(F.sum("size").alias("in_range"))
-    goal = targets(ranges.groupBy("source").agg(F.sum("in_range").alias("source_size")), weight, most, share)
-    by = Window.partitionBy("source").orderBy("_range")
-    starts = ranges.withColumn("before_range", F.sum("in_range").over(by) - F.col("in_range")).withColumnsRenamed({"source": "_s", "_range": "_r"})
-    starts = starts.join(goal.withColumnRenamed("source", "_g"), F.col("_s").eqNullSafe(F.col("_g"))).drop("_g", "in_range", "weight")
-    j = d.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("before_range") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    spare = _spare(docs)
+    key, digits, in_range, before_range, s_, r_, g_, w_ = (spare(x) for x in ("key", "digits", "in_range", "before_range", "s", "r", "g", "weight"))
+    d = docs.drop("size", "source_size", "target", "taken")
+    d = d.withColumns({"size": n_words(), key: F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
+    d = d.withColumn(digits, F.substring(key, 1, DIGITS))
+    ranges = d.groupBy(F.col("source").alias("source"), F.col(digits).alias(r_)).agg(F.sum("size").alias(in_range))
+    goal = targets(ranges.groupBy("source").agg(F.sum(in_range).alias("source_size")), weight, most, share)
+    goal = goal.withColumnsRenamed({"source": g_, "weight": w_}).drop(w_)
+    by = Window.partitionBy("source").orderBy(r_)
+    starts = ranges.withColumn(before_range, F.sum(in_range).over(by) - F.col(in_range)).withColumnRenamed("source", s_)
+    starts = starts.join(goal, F.col(s_).eqNullSafe(F.col(g_))).drop(g_, in_range)
+    j = d.join(starts, F.col("source").eqNullSafe(F.col(s_)) & (F.col(digits) == F.col(r_))).drop(s_, r_)
+    inside = Window.partitionBy("source", digits).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col(before_range) + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target").cast("long")
     epochs = F.coalesce(F.expr("try_divide(floor(target), source_size)"), F.lit(0))
     rest = budget - F.floor(epochs).cast("long") * F.col("source_size")
     taken = F.floor(epochs).cast("long") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before)).cast("long")
-    return j.withColumn("taken", taken).drop("_key", "_range", "before_range")
+    return j.withColumn("taken", taken).drop(key, digits, before_range)
+
+
+def _spare(docs: DataFrame):
+    """Names that docs does not have, whatever it has (names ignore case)."""
+    known = {c.lower() for c in docs.columns}
+
+    def name(x: str) -> str:
+        x = f"_{x}"
+        while x in known:
+            x += "_"
+        return x
+
+    return name
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each row once per epoch, and the row at
     the cut shortened to the words it gives (joined by one space)."""
     keep = docs.columns
-    own = {c: f"_own_{c}" for c in keep if c in ("size", "source_size", "target", "taken")}
+    spare = _spare(docs)
+    own = {c: spare(f"own_{c}") for c in keep if c.lower() in ("size", "source_size", "target", "taken")}
+    n_ = spare("n")
     m = mix(docs.withColumnsRenamed(own), **options)
     whole = F.coalesce(F.expr("try_divide(taken, size)"), F.lit(0)).cast("long")
     # each element: how many words this copy gives
     copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(F.col("taken") > whole * F.col("size"), F.array(F.col("taken") - whole * F.col("size"))).otherwise(F.array().cast("array<bigint>")))
-    m = m.withColumn("_n", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("_n").cast("int")), " ")
-    m = m.withColumn("text", F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("text")))
+    m = m.withColumn(n_, F.explode(copies))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col(n_).cast("int")), " ")
+    m = m.withColumn("text", F.when(F.col(n_) < F.col("size"), cut).otherwise(F.col("text")))
     if "n_chars" in keep:
-        m = m.withColumn("n_chars", F.when(F.col("_n") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        m = m.withColumn("n_chars", F.when(F.col(n_) < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return m.select(*(F.col(own.get(c, c)).alias(c) for c in keep))
 
 

@@ -1,9 +1,11 @@
 """Token ids of whole texts, with a public tokenizer file of the `tokenizers` library.
 
 The byte-level BPE starts a new piece at each single space or line end between two characters
-that are not white space, whatever surrounds it. So a text may be cut there, and only the
-distinct pieces of a batch need encoding: pieces are told apart by a 64-bit hash and their
-length, and the ids of the pieces met first stay in a worker's bounded table.
+that are not white space, whatever surrounds it; a special token in a text (which the library
+finds before all else) holds no white space and so lies in one piece. So a text may be cut there,
+and only the distinct pieces of a batch need encoding: pieces are told apart by a 64-bit hash and
+their length, and the ids of the pieces met first stay in a worker's bounded table. With a file
+whose added tokens hold or strip white space, texts are not cut.
 """
 
 from __future__ import annotations
@@ -72,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content) for t in added)
         self.begins = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         for piece, i in self.tok.get_vocab().items():
             self.begins[i] = piece.startswith(("Ġ", "Ċ"))
@@ -137,7 +140,7 @@ class Encoder:
     def encode(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in b that begin at off, each text's followed by END, and the
         number of ids of each text."""
-        s = piece_starts(b, off)
+        s = off[:-1][off[:-1] < off[1:]] if self.whole else piece_starts(b, off)
         if len(s):
             size = np.diff(np.append(s, len(b)))
             rel = np.arange(len(b)) - np.repeat(s, size)

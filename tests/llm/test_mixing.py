@@ -29,3 +29,13 @@ def test_empty_and_copies(spark):
     assert out.columns == [c.split()[0] for c in COLS.split(", ")]
     words = sum(len(r.text.split()) for r in out.collect())
     assert words == run(spark, rows).taken.sum()
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    names = ["before_range", "_before_range", "_s", "_r", "_key", "_range", "_g", "_digits", "weight", "_weight", "_n", "n", "_own_size", "size", "SIZE_", "taken", "in_range"]
+    rows = [(i, "one two  three", "s" if i % 3 else None, *(f"{c}{i}" for c in names)) for i in range(9)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in names)]))
+    out = mixing.mix(docs)
+    assert set(out.columns) == {*docs.columns, "source_size", "target"} and all(r["_range"] == f"_range{r.doc_id}" and r["_key"] == f"_key{r.doc_id}" for r in out.collect())
+    again = mixing.mixed(docs)
+    assert again.columns == docs.columns and all(r[c] == f"{c}{r.doc_id}" for r in again.collect() for c in names)

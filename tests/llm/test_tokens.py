@@ -3,15 +3,16 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
 from quillgraph.llm import packing, tokenfile, tokens, wavelet
 
-DOCS = "doc_id long, text string, extra string"
-ODD = [(3, None, "x"), (1, "", None), (2, "a  b\n c 's don't 12 34 é z  \n\n x", ""), (9, "<|endoftext|> hi", "k"), (5, " lead trail ", "k"), (7, "tab\tb\x1cq \x1c z", ""), (7, "tab\tb\x1cq \x1c z", ""), (8, "x\0 y\n z", ""), (10, "word " * 5000, "")]
+DOCS = "doc_id long, text string, part string"
+ODD = [(3, None, "x"), (1, "", None), (2, "a  b\n c 's don't 12 34 é z  \n\n x", ""), (9, "<|endoftext|> hi", "k"), (11, "a <|endoftext|> b", "k"), (12, "x<|endoftext|>y\n<|endoftext|><|endoftext|> \n z <|endoftext", ""), (5, " lead trail ", "k"), (7, "tab\tb\x1cq \x1c z", ""), (7, "tab\tb\x1cq \x1c z", ""), (8, "x\0 y\n z", ""), (10, "word " * 5000, "")]
 
 
 def truth(rows):
-    tok = tokens.encoder(tokens.default_path()).tok
+    tok = Tokenizer.from_file(tokens.default_path())
     out, at = [], 0
     for d, t in sorted(((r[0], r[1] or "") for r in rows)):
         ids = tok.encode(t, add_special_tokens=False).ids + [0]
@@ -82,3 +83,17 @@ def test_cuts_are_optimal():
         price = dict(zip(at.tolist(), cost))
         assert cuts[0] == 0 and cuts[-1] == at[-1]
         assert sum(pad(int(y - x)) + price[int(y)] for x, y in zip(cuts, cuts[1:])) == f[-1]
+
+
+def test_clashing_columns_and_null_ids(spark):
+    kinds = "doc_id long, text string, part string, start string, n_tokens string, shard string, before string, data string, length string, offset string"
+    rows = [(d, t, *"abcdefgh") for d, t in ((None, "no id"), (None, "no id"), (1, None), (2, "two"))]
+    docs = spark.createDataFrame(rows, kinds)
+    got = tokenfile.round_trip(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == [(False, 1, 1), (False, 2, 2), (True, 0, 3), (True, 0, 3)]
+    assert sum(r.length for r in packing.pack(docs).collect()) == 9
+
+
+def test_special_token_of_a_text(spark):
+    ids, n = tokens.Encoder(tokens.default_path()).encode(np.frombuffer(b"a <|endoftext|> b", np.uint8), np.array([0, 17]))
+    assert n.tolist() == [5] and 50256 in ids
