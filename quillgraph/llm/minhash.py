@@ -6,17 +6,20 @@ element visits the slots of the signature in an order of its own, its j-th visit
 j + r; a slot keeps its lowest bid. Once the highest slot of a document is below j + 1 no
 later visit can win, so long documents stop after the first visits.
 
-Documents with equal sets are one class from the start, which a member represents. Classes
-that share a band of their signatures are candidates. First every member of a bucket is
+Rows with equal texts are one class from the start, which a row represents; texts that differ
+are linked by their full sets only, equal sets included. Classes that share a band of their signatures are candidates. First every member of a bucket is
 compared with the bucket's leader, the class that shares bands with most others; this links
 all but the outer members of a group of copies. Where a bucket still holds several
 components, the members outside its largest one are compared with all others: within a
-task, in pairs of blocks, and only links that join components leave it. So no link between
+task, in pairs of blocks, and only links that join components leave it. A member of the largest
+one travels once per block of the others, which are few. So no link between
 candidates is lost and none is written out that does not matter. Links are always decided
 on the full sets of the whole texts.
 
-Defined results: null text is no words; repeated rows are equal sets (rows that repeat an
-id are taken to repeat its text); an empty table gives an empty result; other columns are not read.
+Defined results: null text is no words; rows that repeat an id are documents of their own, with
+whatever text; a row without an id takes part like any other, and a component's id is the least
+there is in it, null where no row of it has one; an empty table gives an empty result; other
+columns are not read by near_duplicates, and deduplicated returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from .words import hash_words, mix, slices, spans, text_column, windows
 
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with a chance of 3e-5
 BLOCK = 1024  # classes of a bucket that meet at a time
-SHARD_ROWS = 20_000  # places in buckets that a task closes
+BLOCK_BYTES = 8 << 20  # of the sets of a block
+SHARD_BYTES = 16 << 20  # of sets, with their places in buckets, that a task closes
+KEPT = ("row", "doc_id", "text", "key")
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, i: int, j: int, k: int) -> list[np.ndarray]:
@@ -94,9 +99,12 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 40  # rows are told apart by it, not by their ids
         for b in batches:
             data, off = text_column(b, "text")
-            ids = b.column(b.schema.get_field_index("doc_id"))
+            cols = [b.column(b.schema.get_field_index(c)) for c in KEPT]
             for i, j in slices(off):
                 sets = shingle_sets(data, off, i, j, k)
                 sig = super_minhash(sets, BANDS * ROWS).view(np.uint64).reshape(len(sets), BANDS, ROWS)
@@ -105,12 +113,11 @@ def _signatures(k: int):
                     for c in range(ROWS):
                         keys = mix(keys * np.uint64(31) + sig[:, :, c])
                     keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                    one = [int(s.sum() if len(s) else 0) for s in sets]
-                    two = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() if len(s) else 0) for s in sets]
                 has = np.array([len(s) > 0 for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), pa.array(keys[has].ravel().view(np.int64)))
-                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *signed, lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+                numbers = [pa.array(rid + np.arange(j - i)), pa.array([len(s) for s in sets], pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in cols), *numbers], [*KEPT, "rid", "n_shingles", "bands"])
+                rid += j - i
 
     return run
 
@@ -137,8 +144,8 @@ def _overlap(k: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs (a, b) with ok: whether 100 * intersection >= percent * union of the whole texts' sets."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    one = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
     full = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(_overlap(k), "a long, b long, both long, every long").select("a", "b", (F.col("both") * 100 >= F.col("every") * percent).alias("ok"))
 
@@ -153,7 +160,7 @@ def _own_sets(k: int):
             data, off = text_column(b, "text")
             for i, j in slices(off):
                 sets = [s.tobytes() for s in shingle_sets(data, off, i, j, k)]
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")).slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "set"])
 
     return run
 
@@ -175,8 +182,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _closing(percent: int):
-    """In each bucket, links between members of the main component and the rest, and among the
-    rest, as far as they join components."""
+    """In each pair of blocks of a bucket, links as far as they join components."""
 
     def run(t: pa.Table) -> pa.Table:
         rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
@@ -196,8 +202,8 @@ def _closing(percent: int):
 
         for (_, p, q), rows in places.items():
             row, own, rest = (np.array(x) for x in zip(*rows))
-            jobs = [(row[rest], row)] if p == q else [(row[rest & (own == p)], row[own == q]), (row[rest & (own == q)], row[~rest & (own == p)])]
-            for a, b in jobs:
+            # a block of the rest with itself or another one, or (q below 0) with one of the main component
+            for a, b in [(row[rest], row[~rest])] if q < 0 else [(row[own == p], row[own == q])]:
                 if not len(a) or not len(b):
                     continue
                 both = intersections([sets[r] for r in a], [sets[r] for r in b])
@@ -215,39 +221,62 @@ def _closing(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    s = written(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
-    same = ["n_shingles", "s1", "s2"]
-    classes = s.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row of docs: row (its columns but the text), doc_id, text, n_shingles, component_id and
+    first: whether the row is the one of its component that stays, by least id, rows without one last."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    plain = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("key"))
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in plain.schema["row"].dataType.fields)
+    s = plain.mapInArrow(_signatures(k), f"row struct<{kinds}>, doc_id long, text string, key binary, rid long, n_shingles long, bands array<long>")
+    s = written(s, "signatures", compression="zstd")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    classes = s.where("n_shingles > 0").groupBy("key").agg(F.min(place).alias("least"), F.min("rid").alias("rep"), F.min_by("bands", "rid").alias("bands"), (F.min("n_shingles") * 8).alias("bytes"))
     classes = written(classes, "classes")
-    band = classes.select("rep", F.explode("bands").alias("key"))
+    band = classes.select("rep", "bytes", F.explode("bands").alias("key"))
     sizes = band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(band.join(sizes, "key"), "buckets")
     # the more classes share bands with a class, the nearer it is to the middle of its group
     middle = buckets.groupBy("rep").agg(F.sum("size").alias("reach"))
-    texts = written(docs.join(middle.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    texts = written(s.select("rid", "text").join(middle.select(F.col("rep").alias("rid")), "rid"), "candidates", compression="zstd")
     placed = buckets.join(middle, "rep").select("key", "rep", "size", F.struct("reach", F.xxhash64("rep").alias("h")).alias("place"))
     lead = placed.groupBy("key").agg(F.max_by("rep", "place").alias("lead"))
     star = written(buckets.join(lead, "key").where("rep <> lead").select(*_low(F.col("rep"), F.col("lead"))).distinct(), "pairs")
     edges = written(verified(star, texts, k, percent).where("ok").select("a", "b"), "links")
 
     comp = components(edges)
-    member = buckets.where("size > 2").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    member = buckets.where("size > 2").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "bytes", "size", F.coalesce("component", "rep").alias("comp"))
     member = written(member, "members")
-    parts_ = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    left = member.join(parts_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    p, q = F.least("own", "o"), F.greatest("own", "o")
-    total = left.count()
-    shards = max(1, -(-total // SHARD_ROWS))
-    key = F.struct("key", p.alias("p"), q.alias("q"), "own", (F.col("comp") != F.col("main")).alias("rest"))
-    dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", p, q), F.lit(shards))).groupBy("shard", "rep", "comp").agg(F.collect_list(key).alias("keys"))
+    each = member.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    main = each.groupBy("key").agg(F.max_by(F.struct("comp", "n", "b"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("int")
+    main = main.select("key", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")).alias("of_rest"), blocks(F.col("main.n"), F.col("main.b")).alias("of_main"))
+    left = member.join(main, "key").withColumn("rest", F.col("comp") != F.col("main"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("of_rest")).otherwise(F.col("of_main"))).cast("int"))
+    meets = F.expr("""CASE WHEN rest THEN concat(transform(sequence(0, of_rest - 1), o -> struct(least(own, o) AS p, greatest(own, o) AS q)),
+        transform(sequence(0, of_main - 1), o -> struct(own AS p, -1 - o AS q))) ELSE transform(sequence(0, of_rest - 1), o -> struct(o AS p, -1 - own AS q)) END""")
+    left = left.withColumn("at", F.explode(meets))
+    shards = 1 + (left.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES
+    key = F.struct("key", "at.p", "at.q", "own", "rest")
+    dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", "at.p", "at.q"), F.lit(shards))).groupBy("shard", "rep", "comp").agg(F.collect_list(key).alias("keys"))
     sets = texts.mapInArrow(_own_sets(k), "rep long, set binary")
     more = written(dealt.join(sets, "rep").groupBy("shard").applyInArrow(_closing(percent), "a long, b long"), "more")
 
     c = components(edges.unionByName(more))
-    named = classes.select(*same, "rep").join(c, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    out = s.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(c, F.col("rep") == F.col("node"), "left").select("key", "least", F.coalesce("component", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    named = named.select("key", "component").join(least, "component").select("key", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("one"))
+    out = s.join(named, "key", "left")
+    return out.withColumns({"component_id": F.coalesce("component_id", "doc_id"), "first": F.coalesce(F.col("one") == F.col("rid"), F.lit(True))})
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    out = _grouped(docs.select("doc_id", "text"), k, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near duplicates: of each component the row with
+    the least id, and only that one where ids repeat or are missing."""
+    out = _grouped(docs, k, percent).where("first")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
