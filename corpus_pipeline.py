@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash, mixing, packing, store, substring
@@ -22,13 +22,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the
-    least id stays, once. Rows without an id stay."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the least id
+    stays, and only that one where ids repeat or are missing."""
     share_code(spark)
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.lit(0))
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_n", F.row_number().over(first))
-    return rest.where("_n = 1 OR doc_id IS NULL").select(*docs.columns)
+    return minhash.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
