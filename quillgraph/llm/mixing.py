@@ -62,7 +62,7 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None, most:
     A budget of q whole epochs and a rest takes every row q times and, in order of the
     keys, rows up to the rest; the row at the cut gives just the words that are missing.
     """
-    spare = _spare(docs)
+    spare = spare_names(docs)
     key, digits, in_range, before_range, s_, r_, g_, w_ = (spare(x) for x in ("key", "digits", "in_range", "before_range", "s", "r", "g", "weight"))
     d = docs.drop("size", "source_size", "target", "taken")
     d = d.withColumns({"size": n_words(), key: F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None, most:
     return j.withColumn("taken", taken).drop(key, digits, before_range)
 
 
-def _spare(docs: DataFrame):
+def spare_names(docs: DataFrame):
     """Names that docs does not have, whatever it has (names ignore case)."""
     known = {c.lower() for c in docs.columns}
 
@@ -100,7 +100,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each row once per epoch, and the row at
     the cut shortened to the words it gives (joined by one space)."""
     keep = docs.columns
-    spare = _spare(docs)
+    spare = spare_names(docs)
     own = {c: spare(f"own_{c}") for c in keep if c.lower() in ("size", "source_size", "target", "taken")}
     n_ = spare("n")
     m = mix(docs.withColumnsRenamed(own), **options)

@@ -2,22 +2,22 @@
 
 A window is so many consecutive words of one text. Where it recurs, its lowest hashed
 12-gram recurs at the same place in it; these lowest 12-grams (anchors) are counted first.
-For an anchor that recurs, each place sends its surroundings (all windows that hold the
-anchor, and no more) to the shard of the anchor. A shard builds a compressed FM-index over
-the surroundings it got and streams them through it: the matching statistics tell at each
-place how long a match occurs twice, and matches of a window's length are reported as
-intervals of words to remove. The first word of the anchor is marked with the anchor, so
-only places of the same anchor can match and no occurrence is counted twice.
-
-Texts that are equal as a whole are one string with a weight. An anchor with more than
-HOT places (a licence line in a third of all texts) would fill one shard; the windows that
-hold such an anchor are told apart by a 64-bit hash instead and counted with partial sums,
-which no single task sees. Both ways are exact but for collisions of 64-bit hashes.
+For an anchor that recurs, each run of windows with it as their lowest 12-gram is a string that
+goes to the shard of the anchor, so that a window is in one string and equal windows meet. A shard
+leaves out windows whose hash is alone there, builds a compressed FM-index over the strings that
+remain and streams them through it: the matching statistics tell at each place how long a match
+occurs twice, and matches of a window's length are reported as intervals of words to remove.
+
+Equal strings are one with a weight. An anchor with more than HOT places (a licence line in a third
+of all texts) would fill one shard; the windows with such an anchor are told apart by a 64-bit hash
+instead and counted with partial sums, which no single task sees. Both ways are exact but for
+collisions of 64-bit hashes, by which words and texts are told apart too.
 
 Defined results: a null text has no words; a window never spans two texts; windows are
-judged on the input; repeated rows are occurrences of each other; rows that repeat an id
-are taken to repeat its text; a row without an id goes by the 64-bit hash of its text; an
-empty table gives an empty result; texts of any length are whole; other columns are not read.
+judged on the input; rows are documents of their own, whether they repeat an id, lack one or repeat
+a text; an empty table gives an empty result; texts of any length are whole; other columns are not
+read by the query and come back unchanged, whatever their names, where texts are asked for, unless
+one has the name of a result column.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
+from .mixing import spare_names
 from .store import written
-from .words import hash_words, mix, slices, spans, text_column, windows
+from .words import hash_words, slices, spans, text_column, windows
 
 GRAM = 12
 HOT = 200
 SHARD_STRINGS = 10_000
+RUN = 36  # windows in a string at most
 
 
 def _slide(f, x: np.ndarray, n: int) -> np.ndarray:
@@ -49,22 +51,28 @@ def _slide(f, x: np.ndarray, n: int) -> np.ndarray:
     return f(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of n-grams that are the lowest of some window; h: word hashes of rows
-    that begin at first (and the end)."""
-    span = window - gram + 1
+def lowest(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of n-grams, the lowest of each window: 0 where none fits in a row); h: word hashes of
+    rows that begin at first (and the end)."""
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     g = windows(h, gram) | np.uint64(1)
-    low = _slide(np.minimum, g, span)
+    low = _slide(np.minimum, g, window - gram + 1)
     fits = np.zeros(len(h) + 1, np.int64)
     n = np.diff(first)
     long = n >= window
     np.add.at(fits, first[:-1][long], 1)
     np.add.at(fits, first[:-1][long] + n[long] - window + 1, -1)
-    low = np.where(np.cumsum(fits)[: len(low)] > 0, low, np.uint64(0))
-    edge = np.zeros(span - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), span) == g)
+    return g, np.where(np.cumsum(fits)[: len(low)] > 0, low, np.uint64(0))
+
+
+def anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of n-grams that are the lowest of some window."""
+    g, low = lowest(h, first, window, gram)
+    if not len(low):
+        return np.zeros(0, np.int64), g
+    edge = np.zeros(window - gram, np.uint64)
+    at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), window - gram + 1) == g)
     return at, g[at]
 
 
@@ -88,43 +96,40 @@ def _anchor_rows(window: int, gram: int):
 
 
 def _send(window: int, gram: int, hot: bool):
-    """From texts with their recurring anchors: surroundings of the rare ones, or hashed windows
-    that hold a hot one."""
-    side = window - gram
+    """From texts with their recurring anchors: strings of the windows with a rare one, or hashed
+    windows with a hot one."""
 
     def places(b: pa.RecordBatch) -> Iterator[tuple]:
-        """(word hashes, first words of rows, row and word of each anchor, doc_ids, copies)."""
+        """(word hashes, first words of rows, windows that have one of the anchors lowest, these, doc_ids, copies)."""
         data, off = text_column(b, "text")
         ids, copies = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "copies"))
         at = b.column(b.schema.get_field_index("hot" if hot else "cold"))
-        flat, edge = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in at.to_pylist()])])
+        flat, edge = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in at])])
         for i, j in slices(off):
             if edge[j] > edge[i]:
                 h, first = _read(b, i, j, data, off)
-                row = np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
-                yield h, first, row, first[row] + flat[edge[i] : edge[j]], ids[i:j], copies[i:j]
+                g, low = lowest(h, first, window, gram)
+                known = np.unique(g[np.repeat(first[:-1], np.diff(edge[i : j + 1])) + flat[edge[i] : edge[j]]])
+                w = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
+                yield h, first, w, low[w], ids[i:j], copies[i:j]
 
     def cold(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for h, first, row, p, ids, copies in places(b):
-            anchor = windows(h, gram)[p] | np.uint64(1)
-            a, z = np.maximum(p - side, first[row]), np.minimum(p + gram + side, first[row + 1])
-            cut = np.concatenate([[0], np.cumsum(z - a)])
-            words = h[np.arange(cut[-1]) + np.repeat(a - cut[:-1], z - a)]
-            words[cut[:-1] + p - a] = mix(anchor)
-            strings = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[row]), pa.array((a - first[row]).astype(np.int32)), pa.array(copies[row]), strings], ["anchor", "doc_id", "at", "copies", "words"])
+        for h, first, w, low, ids, copies in places(b):
+            row = np.searchsorted(first, w, "right") - 1
+            begin = np.concatenate([[True], (np.diff(w) > 1) | (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
+            place = np.arange(len(w))
+            begin |= (place - np.maximum.accumulate(np.where(begin, place, 0))) % RUN == 0
+            k = np.flatnonzero(begin)
+            a, size = w[k], np.diff(np.append(k, len(w))) + window - 1
+            cut = np.concatenate([[0], np.cumsum(size)])
+            words = h[np.arange(cut[-1]) + np.repeat(a - cut[:-1], size)]
+            strings = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(low[k].view(np.int64)), pa.array(ids[row[k]]), pa.array((a - first[row[k]]).astype(np.int32)), pa.array(copies[row[k]]), strings], ["anchor", "doc_id", "at", "copies", "words"])
 
     def hashed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for h, first, row, p, ids, copies in places(b):
-            w = windows(h, window)
-            a, z = np.maximum(p - side, first[row]), np.minimum(p, first[row + 1] - window) + 1  # windows a..z hold the anchor
-            fits = a < z
-            cover = np.zeros(len(h) + 2, np.int64)
-            np.add.at(cover, a[fits], 1)
-            np.add.at(cover, z[fits], -1)
-            at = np.flatnonzero(np.cumsum(cover)[: len(w)] > 0)
+        for h, first, at, _, ids, copies in places(b):
             row = np.searchsorted(first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(ids[row]), pa.array((at - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
+            yield pa.RecordBatch.from_arrays([pa.array(windows(h, window)[at].view(np.int64)), pa.array(ids[row]), pa.array((at - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,36 +149,61 @@ def _runs(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
     return out
 
 
+def _clipped(strings: list[bytes], weight: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose hash is not alone among the strings: distinct ones with their weights, and
+    for each string's runs (string, place in it, number of the distinct run)."""
+    size = np.array([len(x) // 8 for x in strings])
+    first = np.concatenate([[0], np.cumsum(size)])
+    h = np.frombuffer(b"".join(strings), np.uint64)
+    key = windows(h, window)
+    at = np.arange(len(key))
+    owner = np.searchsorted(first, at, "right") - 1
+    inside = at + window <= first[owner + 1]
+    at, owner = at[inside], owner[inside]
+    _, back = np.unique(key[at], return_inverse=True)
+    twice = np.bincount(back, weight[owner])[back] > 1
+    at, owner = at[twice], owner[twice]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (owner[1:] != owner[:-1])])) if len(at) else at
+    a, z, owner = at[begin], at[np.append(begin[1:], len(at)) - 1] + window if len(at) else at, owner[begin]
+    kinds: dict[bytes, int] = {}
+    kind = np.array([kinds.setdefault(h[x:y].tobytes(), len(kinds)) for x, y in zip(a.tolist(), z.tolist())], np.int64)
+    runs = [np.frombuffer(x, np.uint64) for x in kinds]
+    return runs, np.bincount(kind, weight[owner], len(runs)).astype(np.int64), np.stack([owner, a - first[owner]], axis=1), kind
+
+
 def _search(window: int):
     def run(t: pa.Table) -> pa.Table:
-        kinds: dict[bytes, int] = {}  # equal surroundings are one string with a weight
-        kind = np.array([kinds.setdefault(x, len(kinds)) for x in t.column("words").to_pylist()])
-        strings = [np.frombuffer(x, np.uint64) for x in kinds]
+        kinds: dict[bytes, int] = {}  # equal strings are one with a weight
+        kind = np.array([kinds.setdefault(x.as_py(), len(kinds)) for x in t.column("words")])
         weight = np.bincount(kind, t.column("copies").to_numpy()).astype(np.int64)
-        hits: list = [np.arange(len(s)) + window <= len(s) for s in strings]  # a string that recurs matches as a whole
-        ask = [i for i, s in enumerate(strings) if weight[i] == 1 and len(s) >= window]
+        runs, heavy, of, which = _clipped(list(kinds), weight, window)
+        hits: list = [np.arange(len(s)) + window <= len(s) for s in runs]  # a run that recurs matches as a whole
+        ask = [i for i in range(len(runs)) if heavy[i] == 1]
         if ask:
-            for i, m in zip(ask, FMIndex(strings, weight).matching([strings[i] for i in ask])):
+            for i, m in zip(ask, FMIndex(runs, heavy).matching([runs[i] for i in ask])):
                 hits[i] = m >= window
-        runs = [_runs(h, window) for h in hits]
-        out = [(d, a + x, a + y) for d, a, k in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), kind.tolist()) for x, y in runs[k]]
+        spans_ = [_runs(h, window) for h in hits]
+        found: dict[int, list] = {}
+        for (s, a), k in zip(of.tolist(), which.tolist()):
+            found.setdefault(s, []).extend((a + x, a + y) for x, y in spans_[k])
+        out = [(d, a + x, a + y) for d, a, k in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), kind.tolist()) for x, y in found.get(k, ())]
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1], pa.int32()), "b": pa.array(cols[2], pa.int32())})
 
     return run
 
 
-def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(intervals, classes): covered words (doc_id, a, b) of one text of each class of equal texts,
-    and the classes (key, rep, copies)."""
-    classes = written(docs.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
+def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
+    """Covered words (doc_id, a, b) of docs (doc_id, text), where equal texts, and only they, have the
+    same id."""
+    classes = written(docs.groupBy("doc_id").agg(F.count("*").alias("copies")), "texts")
     places = docs.mapInArrow(_anchor_rows(window, gram), "anchor long, doc_id long, at int")
     known = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     of = places.join(known, "anchor").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("n") <= HOT, F.col("at"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("at"))).alias("hot")
     )
-    of = written(of.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"), "places")
-    full = docs.join(of, "doc_id").dropDuplicates(["doc_id"])
+    of = written(of.join(classes, "doc_id"), "places")
+    full = docs.dropDuplicates(["doc_id"]).join(of, "doc_id")  # copies meet before the shuffle
     shards = max(1, -(-(of.agg(F.sum(F.size("cold"))).first()[0] or 0) // SHARD_STRINGS))
     sent = full.where(F.size("cold") > 0).mapInArrow(_send(window, gram, False), "anchor long, doc_id long, at int, copies long, words binary")
     rare = sent.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search(window), "doc_id long, a int, b int")
@@ -181,7 +211,7 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> tuple[DataF
     each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, True), "window long, doc_id long, at int, copies long"), "windows")
     twice = written(each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "twice")
     common = each.join(twice, "window").select("doc_id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return rare.unionByName(common), classes
+    return rare.unionByName(common)
 
 
 def _covered(spans_: list | None, n: int) -> np.ndarray:
@@ -196,19 +226,18 @@ def removed(docs: DataFrame, window: int = 35, gram: int = GRAM, texts: bool = T
     """docs (doc_id, text, ...) with n_words, n_removed, kept_sha256 and, unless texts is false,
     kept (the kept words joined by one space). Without texts, only doc_id stays of docs."""
     added = ["n_words", "n_removed", "kept_sha256", "kept"] if texts else ["n_words", "n_removed", "kept_sha256"]
-    keep = [c for c in docs.columns if c not in added and c not in ("spans", "_text_key")] if texts else ["doc_id"]
-    kinds = dict(docs.dtypes)
-    # never null: a null id would match nothing, and make Arrow's ids floats
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"), "text")
-    intervals, classes = repeated(slim, window, gram)
-    by = intervals.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    # the spans of a class's text hold for all its copies
-    per = classes.join(written(by, "spans").withColumnRenamed("doc_id", "rep"), "rep", "left").where("spans IS NOT NULL").select(F.col("key").alias("_text_key"), "spans")
+    keep = [c for c in docs.columns if c not in added] if texts else ["doc_id"]
+    kinds, spare = dict(docs.dtypes), spare_names(docs)
+    key, found = spare("text_key"), spare("spans")
+    # a text goes by its hash: never null, the same for copies and only for them
+    slim = docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text IS NOT NULL")
+    intervals = repeated(slim, window, gram)
+    per = written(intervals.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("a", "b")).alias(found)), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in added]
-            for text, hits in zip(b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("spans"))):
+            for text, hits in zip(b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index(found))):
                 words = (text.as_py() or "").encode().split()
                 gone, kept = 0, words
                 if hits.is_valid:
@@ -220,5 +249,6 @@ def removed(docs: DataFrame, window: int = 35, gram: int = GRAM, texts: bool = T
             cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, keep + added)
 
-    full = docs.withColumn("_text_key", F.md5("text")).join(per, "_text_key", "left").select(*dict.fromkeys([*keep, "text"]), "spans")
+    wanted = list(dict.fromkeys([*keep, "text"]))
+    full = docs.select(*(F.col(f"`{c}`") for c in wanted), F.xxhash64("text").alias(key)).join(per, key, "left").select(*(F.col(f"`{c}`") for c in wanted), found)
     return full.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_words long", "n_removed long", "kept_sha256 string", "kept string"][: len(added)]))

@@ -79,3 +79,16 @@ def test_rows_without_an_id(spark, monkeypatch):
     assert sum(x[2] > 0 for x in want) == 5 and whole() == want
     monkeypatch.setattr(substring, "HOT", 1)
     assert whole() == want
+
+
+def test_repeated_ids_with_other_texts_and_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    w = [f"w{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(w, n))
+    shared = text(50)
+    rows = [(7, f"{text(9)} {shared} {text(8)}", "s"), (7, f"{shared} {text(30)}", "t"), (7, text(60), "u"), (8, text(60), "v")]
+    assert got(spark, rows) == truth(rows, 35)
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, spans string, _text_key string, _spans string")
+    out = substring.removed(docs)
+    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "kept"]
+    assert sorted((r.spans, r.n_removed) for r in out.collect()) == [("s", 50), ("t", 50), ("u", 0), ("v", 0)]
