@@ -8,10 +8,12 @@ leaves out windows whose hash is alone there, builds a compressed FM-index over
 remain and streams them through it: the matching statistics tell at each place how long a match
 occurs twice, and matches of a window's length are reported as intervals of words to remove.
 
-Equal strings are one with a weight. An anchor with more than HOT places (a licence line in a third
-of all texts) would fill one shard; the windows with such an anchor are told apart by a 64-bit hash
-instead and counted with partial sums, which no single task sees. Both ways are exact but for
-collisions of 64-bit hashes, by which words and texts are told apart too.
+Equal strings are one with a weight. The strings of an anchor with more than HOT places (a licence
+line in a third of all texts) would fill one shard. Their lone windows are left out before, counted
+by a 64-bit hash with partial sums, which no single task sees; what remains is a few distinct
+strings, merged with their weights on the way to the shards, and what the FM-index finds in one
+goes to all its places. Either way is exact but for collisions of 64-bit hashes, by which words and
+texts are told apart too.
 
 Defined results: a null text has no words; a window never spans two texts; windows are
 judged on the input; rows are documents of their own, whether they repeat an id, lack one or repeat
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .fmindex import FMIndex
 from .mixing import spare_names
 from .store import written
-from .words import hash_words, slices, spans, text_column, windows
+from .words import hash_words, mix, slices, spans, text_column, windows
 
 GRAM = 12
 HOT = 200
@@ -95,45 +97,62 @@ def _anchor_rows(window: int, gram: int):
     return run
 
 
-def _send(window: int, gram: int, hot: bool):
-    """From texts with their recurring anchors: strings of the windows with a rare one, or hashed
-    windows with a hot one."""
+def _strings(w: np.ndarray, low: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the windows w begin a string, words in it): runs with one anchor in one row."""
+    begin = np.concatenate([[True], (np.diff(w) > 1) | (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
+    place = np.arange(len(w))
+    begin |= (place - np.maximum.accumulate(np.where(begin, place, 0))) % RUN == 0
+    k = np.flatnonzero(begin)
+    return k, np.diff(np.append(k, len(w))) + window - 1
+
+
+def _packed(h: np.ndarray, a: np.ndarray, size: np.ndarray) -> pa.Array:
+    cut = np.concatenate([[0], np.cumsum(size)])
+    words = h[np.arange(cut[-1]) + np.repeat(a - cut[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(words)])
+
+
+def _send(window: int, gram: int, what: str):
+    """From texts with a list of words: `cold`, strings of the windows with an anchor from there; `hot`,
+    these windows hashed; `again`, strings of the windows that begin there, one of equal ones with its words."""
 
     def places(b: pa.RecordBatch) -> Iterator[tuple]:
-        """(word hashes, first words of rows, windows that have one of the anchors lowest, these, doc_ids, copies)."""
+        """(word hashes, windows, the lowest of each, row of each, first words of rows, doc_ids, copies)."""
         data, off = text_column(b, "text")
         ids, copies = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "copies"))
-        at = b.column(b.schema.get_field_index("hot" if hot else "cold"))
+        at = b.column(b.schema.get_field_index(what))
         flat, edge = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in at])])
         for i, j in slices(off):
             if edge[j] > edge[i]:
                 h, first = _read(b, i, j, data, off)
                 g, low = lowest(h, first, window, gram)
-                known = np.unique(g[np.repeat(first[:-1], np.diff(edge[i : j + 1])) + flat[edge[i] : edge[j]]])
-                w = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
-                yield h, first, w, low[w], ids[i:j], copies[i:j]
-
-    def cold(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for h, first, w, low, ids, copies in places(b):
-            row = np.searchsorted(first, w, "right") - 1
-            begin = np.concatenate([[True], (np.diff(w) > 1) | (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
-            place = np.arange(len(w))
-            begin |= (place - np.maximum.accumulate(np.where(begin, place, 0))) % RUN == 0
-            k = np.flatnonzero(begin)
-            a, size = w[k], np.diff(np.append(k, len(w))) + window - 1
-            cut = np.concatenate([[0], np.cumsum(size)])
-            words = h[np.arange(cut[-1]) + np.repeat(a - cut[:-1], size)]
-            strings = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(low[k].view(np.int64)), pa.array(ids[row[k]]), pa.array((a - first[row[k]]).astype(np.int32)), pa.array(copies[row[k]]), strings], ["anchor", "doc_id", "at", "copies", "words"])
-
-    def hashed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for h, first, at, _, ids, copies in places(b):
-            row = np.searchsorted(first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(windows(h, window)[at].view(np.int64)), pa.array(ids[row]), pa.array((at - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
+                w = np.repeat(first[:-1], np.diff(edge[i : j + 1])) + flat[edge[i] : edge[j]]
+                if what == "again":
+                    w = np.sort(w)
+                else:
+                    known = np.unique(g[w])
+                    w = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
+                yield h, w, low[w], np.searchsorted(first, w, "right") - 1, first, ids[i:j], copies[i:j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from (hashed if hot else cold)(b)
+            for h, w, low, row, first, ids, copies in places(b):
+                if what == "hot":
+                    yield pa.RecordBatch.from_arrays([pa.array(windows(h, window)[w].view(np.int64)), pa.array(ids[row]), pa.array((w - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
+                    continue
+                k, size = _strings(w, low, row, window)
+                a, r = w[k], row[k]
+                cols = [pa.array(low[k].view(np.int64)), pa.array(ids[r]), pa.array((a - first[r]).astype(np.int32)), pa.array(copies[r])]
+                if what == "cold":
+                    yield pa.RecordBatch.from_arrays([*cols, _packed(h, a, size)], ["anchor", "doc_id", "at", "copies", "words"])
+                    continue
+                key = windows(h, window)
+                with np.errstate(over="ignore"):  # the first and the last window hold all words, as RUN is no more than a window and one
+                    key = mix(key[a] * np.uint64(0x9E3779B97F4A7C15) + mix(key[a + size - window]) + size.astype(np.uint64))
+                one = np.zeros(len(k), bool)
+                one[np.unique(key, return_index=True)[1]] = True
+                words = _packed(h, a[one], size[one]).take(pa.array(np.where(one, np.cumsum(one) - 1, 0), mask=~one))
+                yield pa.RecordBatch.from_arrays([*cols, words, pa.array(key.view(np.int64))], ["anchor", "doc_id", "at", "copies", "words", "string"])
 
     return run
 
@@ -204,14 +223,24 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
     )
     of = written(of.join(classes, "doc_id"), "places")
     full = docs.dropDuplicates(["doc_id"]).join(of, "doc_id")  # copies meet before the shuffle
-    shards = max(1, -(-(of.agg(F.sum(F.size("cold"))).first()[0] or 0) // SHARD_STRINGS))
-    sent = full.where(F.size("cold") > 0).mapInArrow(_send(window, gram, False), "anchor long, doc_id long, at int, copies long, words binary")
-    rare = sent.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search(window), "doc_id long, a int, b int")
+    string = "anchor long, doc_id long, at int, copies long, words binary"
+
+    def searched(sent: DataFrame, n: int) -> DataFrame:
+        dealt = sent.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n // SHARD_STRINGS)))))
+        return dealt.groupBy("shard").applyInArrow(_search(window), "doc_id long, a int, b int")
+
+    cold = searched(full.where(F.size("cold") > 0).mapInArrow(_send(window, gram, "cold"), string), of.agg(F.sum(F.size("cold"))).first()[0] or 0)
     # written, so that a window in very many texts is a skewed side of the join below, which can be split
-    each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, True), "window long, doc_id long, at int, copies long"), "windows")
+    each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, "hot"), "window long, doc_id long, at int, copies long"), "windows")
     twice = written(each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "twice")
-    common = each.join(twice, "window").select("doc_id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return rare.unionByName(common)
+    again = each.join(twice, "window").groupBy("doc_id").agg(F.collect_list("at").alias("again"))
+    hot = written(full.select("doc_id", "text", "copies").join(again, "doc_id").mapInArrow(_send(window, gram, "again"), f"{string}, string long"), "strings")
+    weights = hot.groupBy("string").agg(F.sum("copies").alias("copies"))
+    merged = hot.where("words IS NOT NULL").select("anchor", "string", "words").dropDuplicates(["string"]).join(weights, "string")
+    merged = written(merged.select("anchor", F.col("string").alias("doc_id"), F.lit(0).alias("at"), "copies", "words"), "merged")
+    found = searched(merged, merged.count()).withColumnRenamed("doc_id", "string")
+    common = hot.select("string", "doc_id", "at").join(found, "string").select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    return cold.unionByName(common)
 
 
 def _covered(spans_: list | None, n: int) -> np.ndarray:
