@@ -238,7 +238,8 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
     weights = hot.groupBy("string").agg(F.sum("copies").alias("copies"))
     merged = hot.where("words IS NOT NULL").select("anchor", "string", "words").dropDuplicates(["string"]).join(weights, "string")
     merged = written(merged.select("anchor", F.col("string").alias("doc_id"), F.lit(0).alias("at"), "copies", "words"), "merged")
-    found = searched(merged, merged.count()).withColumnRenamed("doc_id", "string")
+    # written, as a string in very many texts is a skewed side of the join with it
+    found = written(searched(merged, merged.count()).withColumnRenamed("doc_id", "string"), "found")
     common = hot.select("string", "doc_id", "at").join(found, "string").select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     return cold.unionByName(common)
 
