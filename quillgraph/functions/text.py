@@ -67,6 +67,22 @@ def section_match(query: Column, target: Column) -> Column:
     return F.coalesce(both & (_inside(F.lower(query), F.lower(target)) | (named & (_inside(qn, tn) | (word_share(qn, tn) >= 0.6)))), F.lit(False))
 
 
+def section_keys(header: Column) -> Column:
+    """What section_match compares, worked out once per header."""
+    n = normalize_header(header)
+    return F.struct(F.lower(header).alias("raw"), n.alias("name"), F.array_distinct(words(n)).alias("words"))
+
+
+def keys_match(query: Column, target: Column) -> Column:
+    """section_match of two section_keys; the word arrays only where nothing cheaper decides."""
+    q, t = query, target
+    both = (F.coalesce(q["raw"], F.lit("")) != "") & (F.coalesce(t["raw"], F.lit("")) != "")
+    named = (q["name"] != "") & (t["name"] != "")
+    shared = F.size(F.array_intersect(q["words"], t["words"])) / F.size(q["words"])
+    close = F.when((F.size(q["words"]) >= 2) & (F.size(t["words"]) > 0), shared >= 0.6).otherwise(F.lit(False))
+    return F.coalesce(both & F.when(_inside(q["raw"], t["raw"]), F.lit(True)).when(~named, F.lit(False)).when(_inside(q["name"], t["name"]), F.lit(True)).otherwise(close), F.lit(False))
+
+
 def section_alias(i: Column) -> Column:
     """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA, ... for every int."""
     n, first, out = i.cast("long"), 0, None
@@ -150,7 +166,8 @@ def has_cjk(c: Column) -> Column:
 def answer_keywords(c: Column, most: int = 8) -> Column:
     """Up to five numbers, three runs of capitalised words, three acronyms; so many in all."""
     find = lambda p, n: F.slice(F.regexp_extract_all(c, F.lit(p), 0), 1, n)
-    return F.slice(F.concat(find(r"\d+\.?\d*%?", 5), find(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", 3), find(r"\b[A-Z]{2,}\b", 3)), 1, most)
+    acronyms = F.filter(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: w.rlike("^[A-Z]{2,}$"))
+    return F.slice(F.concat(find(r"\d+\.?\d*%?", 5), find(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", 3), F.slice(acronyms, 1, 3)), 1, most)
 
 
 def found_in(keywords: Column, text: Column) -> Column:

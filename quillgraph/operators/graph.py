@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import written
+
 
 def edge_score(influential: Column, contexts: Column, intents: Column, least: int = 80) -> Column:
     """Relevance of a reference: 10 if influential, 2 per context of `least` characters, half per any
@@ -62,19 +66,21 @@ def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...]
     score, path."""
 
     def step(width: int):
-        def choose(rows: pd.DataFrame) -> pd.DataFrame:
-            seen = set(rows["seen"].iloc[0])
+        def choose(t: pa.Table) -> pa.Table:
+            rows = t.to_pylist()  # of one seed: at most the product of its parents and their reachable candidates
+            seen = set(rows[0]["seen"])
+            rows.sort(key=lambda r: (r["order"], r["pos"]))
             out = []
-            for _, own in rows[rows["dst"].notna()].sort_values(["order", "pos"]).groupby("order", sort=True):
-                fresh = own[~own["dst"].isin(seen)].drop_duplicates("dst")
-                best = fresh[fresh["score"] >= least]
-                if best.empty:
-                    best = fresh.assign(score=(fresh["cited"] / 100.0).clip(upper=50.0))
-                best = best.sort_values(["score", "pos"], ascending=[False, True], kind="stable").head(width)
-                for r in best.itertuples():
-                    seen.add(r.dst)
-                    out.append((r.seed, r.parent, r.dst, float(r.score), list(r.path) + [r.dst]))
-            return pd.DataFrame([(*x, i + 1) for i, x in enumerate(out)], columns=["seed", "parent", "node", "score", "path", "rank"])
+            for _, own in groupby(rows, key=lambda r: r["order"]):
+                fresh = list({r["dst"]: r for r in reversed([r for r in own if r["dst"] not in seen])}.values())
+                best = [(-r["score"], r["pos"], r) for r in fresh if r["score"] >= least]
+                best = best or [(-min(float(r["cited"]) / 100.0, 50.0), r["pos"], r) for r in fresh]
+                for score, _, r in sorted(best, key=lambda x: x[:2])[:width]:
+                    seen.add(r["dst"])
+                    out.append((r["seed"], r["parent"], r["dst"], -float(score), [*r["path"], r["dst"]], len(out) + 1))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.int32())
+            cols = zip(*out) if out else [()] * len(kinds)
+            return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["seed", "parent", "node", "score", "path", "rank"])
 
         return choose
 
@@ -85,7 +91,10 @@ def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...]
         held = front.join(edges.withColumnRenamed("src", "parent"), "parent")
         # an earlier parent takes `width` nodes at most, so deeper candidates cannot be reached
         held = held.where(~F.array_contains("seen", F.col("dst"))).withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= F.col("order") * width)
-        new = held.groupBy("seed").applyInPandas(step(width), "seed string, parent string, node string, score double, path array<string>, rank int").withColumn("depth", F.lit(depth))
+        held = held.select("seed", "parent", "order", "path", "seen", "dst", "pos", F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"))
+        new = held.groupBy("seed").applyInArrow(step(width), "seed string, parent string, node string, score double, path array<string>, rank int").withColumn("depth", F.lit(depth))
+        if depth < len(widths):
+            new = written(new, "expanded")  # read twice below
         out = new if out is None else out.unionByName(new)
         if depth < len(widths):
             taken = new.groupBy("seed").agg(F.collect_set("node").alias("got"))

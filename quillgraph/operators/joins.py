@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_TOKENS = 1_000_000  # of queries that are broadcast
+
 
 def prefix_join(rows: DataFrame, name: str, dim: DataFrame, longest: bool = True, most: int = 64) -> DataFrame:
     """Left join on the longest (or, by column ord, the first) prefix of `name` in dim (ord, prefix, ...).
@@ -57,11 +59,19 @@ def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFr
 
 def token_overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """Keyword search: docs (doc, pos, tokens) by the number of a query's (qid, tokens) distinct tokens
-    they have; above 0; k (1 to 10) per query, equal scores in order of pos."""
-    from pyspark.sql import Window
+    they have; above 0; k (1 to 10) per query, equal scores in order of pos.
 
+    Queries of at most MOST_TOKENS tokens in all are broadcast: then documents stay where they are,
+    a document's hits are added up in its task, and the best k of each task are all that a shuffle
+    sees. More of them are joined by token."""
     k = min(max(k, 1), 10)
     q = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("w"))
+    if q.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+        q = F.broadcast(q.groupBy("w").agg(F.collect_list("qid").alias("qids")))
+        d = docs.select("doc", "pos", F.explode(F.array_distinct("tokens")).alias("w"))
+        hits = d.join(q, "w").select("doc", "pos", F.explode("qids").alias("qid")).groupBy("qid", "doc", "pos").agg(F.count("*").alias("overlap"))
+        w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "pos")
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "doc", "pos", "overlap", "rank")
     d = docs.select("doc", "pos", F.explode(F.array_distinct("tokens")).alias("w"))
     hits = d.join(q, "w").groupBy("qid", "doc", "pos").agg(F.count("*").alias("overlap"))
     w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "pos")

@@ -32,8 +32,10 @@ def fixed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAINS_SQL = f"""WITH {SCORED_SQL},
 b AS (SELECT src, dst, pos, score FROM sc UNION ALL SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src), score FROM sc),
-r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, pos) AS k FROM b)
-SELECT x.src AS seed, x.dst AS hop1, y.dst AS hop2, (x.score + y.score)::DOUBLE AS chain_score FROM r x JOIN r y ON y.src = x.dst WHERE x.k <= 10 AND y.k <= 5 AND y.dst <> x.src AND x.src IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, pos) AS k FROM b),
+x AS MATERIALIZED (SELECT src, dst, score FROM r WHERE k <= 10 AND src IN (SELECT 'S' || s_suppkey FROM supplier)),
+y AS MATERIALIZED (SELECT src, dst, score FROM r WHERE k <= 5)
+SELECT x.src AS seed, x.dst AS hop1, y.dst AS hop2, (x.score + y.score)::DOUBLE AS chain_score FROM x JOIN y ON y.src = x.dst AND y.dst <> x.src"""
 
 _KINDS = [*C.PROMISING, *C.WEAK, "unclassified"]
 
@@ -91,7 +93,7 @@ def reply_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", R.answer_of(F.array("x", "y")).alias("answer"), R.json_part(F.concat(F.lit("ok {\"a\": "), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")), F.lit("} end"))).alias("json"))
 
 
-ANSWERS_SQL = """WITH d AS (SELECT o_orderkey, o_orderkey % 7 AS x, o_orderkey // 7 % 7 AS y FROM orders WHERE o_orderkey < 3000),
+ANSWERS_SQL = """WITH d AS (SELECT o_orderkey, o_orderkey % 7 AS x, o_orderkey // 7 % 7 AS y FROM orders),
 p AS (SELECT *, [ 'A', NULL, NULL, NULL, NULL, 'B', NULL][x + 1] AS lx, ['A', NULL, NULL, NULL, NULL, 'B', NULL][y + 1] AS ly, [NULL, 'B', 'C', 'D', NULL, 'B', 'A'][x + 1] AS px, [NULL, 'B', 'C', 'D', NULL, 'B', 'A'][y + 1] AS py FROM d)
 SELECT o_orderkey, coalesce(lx, ly, px, py) AS answer, CASE WHEN o_orderkey % 2 = 0 THEN '{"a": ' || o_orderkey || '}' END AS json FROM p"""
 
@@ -101,7 +103,7 @@ QUERIES = {
     "trim_tiers": (trim_tiers, "WITH t(tier, target) AS (VALUES ('1-URGENT', 50), ('2-HIGH', 30), ('5-LOW', 20)), r AS (SELECT o_orderpriority AS tier, round(o_totalprice * 100)::BIGINT AS coverage, o_orderkey AS pos, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round(o_totalprice * 100)::BIGINT DESC, o_orderkey) AS place FROM orders) SELECT r.* FROM r JOIN t USING (tier) WHERE place <= target"),
     "fixed_chains": (fixed_chains, CHAINS_SQL),
     "chain_decisions": (chain_decisions, DECISIONS_SQL),
-    "inventory": (inventory, "WITH o AS (SELECT * FROM orders WHERE o_orderkey < 4000), u AS (SELECT 'p' || o_orderkey % 97 AS id, 0 AS o, 'seed' AS role, 0 AS depth FROM o UNION ALL SELECT 'p' || o_custkey % 301, 1, 'path', 1 FROM o UNION ALL SELECT 'p' || o_orderkey % 501, 1, 'path', 2 FROM o UNION ALL SELECT 'p' || o_custkey % 901, 2, 'terminal', 3 FROM o) SELECT id, arg_min(role, o) AS role, min(depth) AS depth, count(*) AS uses FROM u GROUP BY id".replace("'p' || o_orderkey % 97", "'p' || (o_orderkey % 97)").replace("'p' || o_custkey % 301", "'p' || (o_custkey % 301)").replace("'p' || o_orderkey % 501", "'p' || (o_orderkey % 501)").replace("'p' || o_custkey % 901", "'p' || (o_custkey % 901)")),
+    "inventory": (inventory, "WITH o AS (SELECT * FROM orders), u AS (SELECT 'p' || o_orderkey % 97 AS id, 0 AS o, 'seed' AS role, 0 AS depth FROM o UNION ALL SELECT 'p' || o_custkey % 301, 1, 'path', 1 FROM o UNION ALL SELECT 'p' || o_orderkey % 501, 1, 'path', 2 FROM o UNION ALL SELECT 'p' || o_custkey % 901, 2, 'terminal', 3 FROM o) SELECT id, arg_min(role, o) AS role, min(depth) AS depth, count(*) AS uses FROM u GROUP BY id".replace("'p' || o_orderkey % 97", "'p' || (o_orderkey % 97)").replace("'p' || o_custkey % 301", "'p' || (o_custkey % 301)").replace("'p' || o_orderkey % 501", "'p' || (o_orderkey % 501)").replace("'p' || o_custkey % 901", "'p' || (o_custkey % 901)")),
     "valid_distractors": (valid_distractors, DISTRACTORS_SQL),
     "fold_retries": (fold_retries, f"WITH {T.CALLS_SQL}, e AS (SELECT sample, tool, count(*) AS calls, sum(round(tokens * 100)::BIGINT)::BIGINT AS cents FROM calls GROUP BY 1, 2) SELECT sample, count(*) - 1 AS retry_count, sum(calls)::BIGINT AS calls, sum(cents)::BIGINT AS cents, max(tool) AS ended_by FROM e GROUP BY 1"),
     "reply_answers": (reply_answers, ANSWERS_SQL),

@@ -68,8 +68,7 @@ def greedy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("title"))
-    e = T.edges(spark, sf_dir).where("pos <= 20")
-    return graph.neighbours(e, nodes).select("src", "n", F.md5("listing").alias("listing"))
+    return graph.neighbours(T.edges(spark, sf_dir), nodes).select("src", "n", F.md5("listing").alias("listing"))
 
 
 def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,19 +77,19 @@ def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sibling_pairs(d).select("seed", "pos1", "pos2", "t1", "t2", F.array_join("shared", "|").alias("shared"))
 
 
-SIBLING_SQL = """WITH d AS (SELECT l_orderkey AS seed, 'P' || l_partkey AS terminal, [l_returnflag || year(l_shipdate), l_linestatus] AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS pos FROM lineitem WHERE l_orderkey % 4 = 0)
+SIBLING_SQL = """WITH d AS (SELECT l_orderkey AS seed, 'P' || l_partkey AS terminal, [l_returnflag || year(l_shipdate), l_linestatus] AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS pos FROM lineitem)
 SELECT a.seed, a.pos AS pos1, b.pos AS pos2, a.terminal AS t1, b.terminal AS t2, array_to_string(list_sort(list_intersect(a.c, b.c))[1:2], '|') AS shared FROM d a JOIN d b ON a.seed = b.seed AND a.pos < b.pos AND a.terminal <> b.terminal"""
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0))
-    q = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(tok(F.col("text")), 1, 6).alias("tokens"))
-    d = T.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("pos"), tok(F.col("text")).alias("tokens"))
+    q = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tok(F.col("text")).alias("tokens"))
+    d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("pos"), tok(F.col("text")).alias("tokens"))
     return joins.token_overlap_search(q, d, 5).select("qid", "doc", "overlap", "rank")
 
 
-SEARCH_SQL = r"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct_in_order[1:6]) AS w FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS l FROM benchmark))),
-d AS (SELECT doc_id AS doc, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM documents WHERE lang = 'en'),
+SEARCH_SQL = r"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM benchmark),
+d AS (SELECT doc_id AS doc, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM documents),
 h AS (SELECT qid, doc, count(*) AS overlap FROM q JOIN d USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, doc) AS rank FROM h)
 SELECT * FROM r WHERE rank <= 5"""
 
@@ -103,7 +102,7 @@ def first_match_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TITLE_SQL = """WITH t AS (SELECT doc_id AS tid, lower(trim(string_split(text, chr(10))[1])) AS t FROM documents),
-q AS (SELECT doc_id AS qid, lower(trim(CASE WHEN doc_id % 2 = 0 THEN lower(string_split(text, chr(10))[1][1:30]) ELSE ' ' || string_split(text, chr(10))[1] END)) AS q FROM documents WHERE doc_id % 3 = 0),
+q AS (SELECT doc_id AS qid, lower(trim(CASE WHEN doc_id % 2 = 0 THEN lower(string_split(text, chr(10))[1][1:30]) ELSE ' ' || string_split(text, chr(10))[1] END)) AS q FROM documents),
 e AS (SELECT qid, min(tid) AS tid FROM q JOIN t ON q = t WHERE q <> '' GROUP BY 1), p AS (SELECT qid, min(tid) AS tid FROM q JOIN t ON contains(t, q[1:40]) WHERE q <> '' AND qid NOT IN (SELECT qid FROM e) GROUP BY 1)
 SELECT q.qid, coalesce(e.tid, p.tid) AS tid, CASE WHEN e.tid IS NOT NULL THEN 0 WHEN p.tid IS NOT NULL THEN 1 END AS rank FROM q LEFT JOIN e USING (qid) LEFT JOIN p USING (qid)"""
 
@@ -206,7 +205,7 @@ def verdict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERDICT_SQL = """WITH c AS (SELECT l_orderkey AS k, l_orderkey::VARCHAR AS sample, 'vf' AS kind, l_linenumber AS idx, min(l_returnflag) AS section, min(l_linestatus) AS relevance FROM lineitem GROUP BY 1, 4),
-v AS (SELECT o_orderkey AS k, (o_custkey % 7)::INT AS idx, o_custkey % 4 AS v FROM orders WHERE o_orderkey % 3 = 0)
+v AS (SELECT o_orderkey AS k, (o_custkey % 7)::INT AS idx, o_custkey % 4 AS v FROM orders)
 SELECT c.sample, kind, c.idx, CASE WHEN o.v = 2 THEN 'X' ELSE section END AS section, CASE WHEN o.v = 2 THEN section END AS repointed_from, CASE WHEN o.v = 3 THEN 'supporting' ELSE relevance END AS relevance, CASE WHEN o.v = 3 THEN relevance END AS demoted_from
 FROM c LEFT JOIN v o ON c.k = o.k AND c.idx = o.idx AND o.v > 0 WHERE c.k NOT IN (SELECT k FROM v WHERE v = 0) AND coalesce(o.v, 9) <> 1"""
 
@@ -258,12 +257,12 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "edge_score": (edge_score, SCORE_SQL),
     "top_references": (top_references, f"WITH {SCORED_SQL}, r AS (SELECT src, dst, score::DOUBLE AS score, row_number() OVER (PARTITION BY src ORDER BY score DESC, pos) AS rank FROM sc) SELECT * FROM r WHERE rank <= 10"),
-    "two_hop": (two_hop, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 10 = 0) SELECT seed, a.dst AS mid, b.dst AS node FROM s JOIN edges a ON a.src = seed AND a.pos <= 30 JOIN edges b ON b.src = a.dst AND b.pos <= 30 WHERE b.dst <> seed"),
-    "bridge_path": (bridge_path, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed, 'S' || (s_suppkey + 1) AS terminal FROM supplier WHERE s_suppkey % 10 = 0) SELECT seed, terminal, arg_min(a.dst, a.pos) AS bridge FROM s JOIN edges a ON a.src = seed JOIN edges b ON b.src = a.dst AND b.dst = terminal GROUP BY 1, 2"),
+    "two_hop": (two_hop, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed FROM supplier) SELECT seed, a.dst AS mid, b.dst AS node FROM s JOIN edges a ON a.src = seed AND a.pos <= 30 JOIN edges b ON b.src = a.dst AND b.pos <= 30 WHERE b.dst <> seed"),
+    "bridge_path": (bridge_path, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed, 'S' || (s_suppkey + 1) AS terminal FROM supplier) SELECT seed, terminal, arg_min(a.dst, a.pos) AS bridge FROM s JOIN edges a ON a.src = seed JOIN edges b ON b.src = a.dst AND b.dst = terminal GROUP BY 1, 2"),
     "reachable": (reachable, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed, CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 'P' END || (s_suppkey * 3) AS target FROM supplier) SELECT seed, target, EXISTS (SELECT 1 FROM edges a WHERE a.src = seed AND a.dst = target) OR EXISTS (SELECT 1 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = seed AND b.dst = target) AS reachable FROM s"),
     "reference_jaccard": (reference_jaccard, f"WITH {T.EDGES_SQL}, n AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), p AS (SELECT 'S' || s_suppkey AS a, 'S' || (s_suppkey + 1) AS b FROM supplier), h AS (SELECT a, b, count(*) AS shared FROM p JOIN edges x ON x.src = a JOIN edges y ON y.src = b AND y.dst = x.dst GROUP BY 1, 2) SELECT p.a, p.b, coalesce(shared, 0) AS shared, round(coalesce(shared / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(shared, 0), 0), 0), 4) AS jaccard FROM p LEFT JOIN h USING (a, b) LEFT JOIN n na ON na.src = p.a LEFT JOIN n nb ON nb.src = p.b"),
     "greedy_expand": (greedy_expand, None),
-    "neighbours": (neighbours, f"WITH {T.EDGES_SQL} SELECT src, count(*) AS n, md5(array_to_string(list(pos || '. ' || CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END ORDER BY pos), chr(10))) AS listing FROM edges LEFT JOIN part ON 'P' || p_partkey = dst WHERE pos <= 20 GROUP BY src".replace("CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END", "CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END")),
+    "neighbours": (neighbours, f"WITH {T.EDGES_SQL} SELECT src, count(*) AS n, md5(array_to_string(list(pos || '. ' || CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END ORDER BY pos), chr(10))) AS listing FROM edges LEFT JOIN part ON 'P' || p_partkey = dst GROUP BY src".replace("CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END", "CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END")),
     "sibling_pairs": (sibling_pairs, SIBLING_SQL),
     "keyword_search": (keyword_search, SEARCH_SQL),
     "first_match_title": (first_match_title, TITLE_SQL),

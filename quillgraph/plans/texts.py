@@ -33,14 +33,14 @@ def normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _headers(spark, sf_dir)
-    q = h.select("doc_id", F.col("pos").alias("qpos"), F.lower("header").alias("query"))
-    return q.join(h, "doc_id").where(X.section_match(F.col("query"), F.col("header"))).groupBy("doc_id").agg(F.count("*").alias("hits"), F.sum(F.col("qpos") * 1000 + F.col("pos")).alias("which"))
+    h = _headers(spark, sf_dir).select("doc_id", "pos", X.section_keys(F.col("header")).alias("keys"))
+    q = _headers(spark, sf_dir).select("doc_id", F.col("pos").alias("qpos"), X.section_keys(F.lower("header")).alias("query"))
+    return q.join(h, "doc_id").where(X.keys_match(F.col("query"), F.col("keys"))).groupBy("doc_id").agg(F.count("*").alias("hits"), F.sum(F.col("qpos") * 1000 + F.col("pos")).alias("which"))
 
 
 MATCH_SQL = f"""WITH {HEADERS_SQL},
 n AS (SELECT *, {sql_norm('header')} AS norm FROM headers),
-q AS (SELECT doc_id, pos AS qpos, lower(header) AS query, {sql_norm('lower(header)')} AS qn FROM headers WHERE pos < 3),
+q AS (SELECT doc_id, pos AS qpos, lower(header) AS query, {sql_norm('lower(header)')} AS qn FROM headers),
 j AS (SELECT q.doc_id, qpos, pos, list_distinct(regexp_extract_all(qn, '[^\\s]+')) AS qw, list_distinct(regexp_extract_all(norm, '[^\\s]+')) AS tw,
   contains(lower(header), query) OR contains(query, lower(header)) AS raw, qn <> '' AND norm <> '' AS named, contains(norm, qn) OR contains(qn, norm) AS sub FROM q JOIN n ON q.doc_id = n.doc_id)
 SELECT doc_id, count(*) AS hits, sum(qpos * 1000 + pos)::BIGINT AS which FROM j
@@ -75,7 +75,7 @@ def match_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATCH_SECTION_SQL = f"""WITH {HEADERS_SQL},
-a AS (SELECT doc_id, list(header ORDER BY pos) AS hs FROM headers WHERE pos < 12 GROUP BY doc_id),
+a AS (SELECT doc_id, list(header ORDER BY pos) AS hs FROM headers GROUP BY doc_id),
 b AS (SELECT doc_id, hs, CASE doc_id % 5 WHEN 0 THEN '(B)' WHEN 1 THEN ' ' || hs[1] WHEN 2 THEN string_split(hs[2], ' ')[1] WHEN 3 THEN 'zz top' ELSE 'ABC' END AS q0 FROM a),
 c AS (SELECT doc_id, hs, trim(q0) AS q, lower(trim(q0)) AS ql, {sql_norm('q0')} AS qn, regexp_extract(upper(trim(q0)), '^\\(?([A-Z]{{1,3}})\\)?$', 1) AS al, list_transform(hs, lambda h: {sql_norm('h')}) AS ns FROM b),
 d AS (SELECT *, CASE WHEN len(al) = 1 THEN ascii(al) - 65 WHEN len(al) = 2 THEN (ascii(al[1]) - 64) * 26 + ascii(al[2]) - 65 WHEN len(al) = 3 THEN ((ascii(al[1]) - 64) * 26 + ascii(al[2]) - 64) * 26 + ascii(al[3]) - 65 END AS ai,
@@ -91,8 +91,10 @@ def answer_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.lines(spark, sf_dir).where("pos < 2").groupBy("doc_id").agg(F.max(F.when(F.col("pos") == 0, F.col("body"))).alias("a"), F.max(F.when(F.col("pos") == 1, F.col("body"))).alias("b")).where("b IS NOT NULL")
-    return d.select("doc_id", X.word_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    """Each line of a document with the next."""
+    d = T.lines(spark, sf_dir).select("doc_id", "pos", "body")
+    n = d.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("body").alias("after"))
+    return d.join(n, ["doc_id", "pos"]).select("doc_id", "pos", X.word_jaccard(F.col("body"), F.col("after")).alias("jaccard"))
 
 
 def numeric_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +137,12 @@ SELECT o_orderkey, kind, CASE WHEN r = 'METHOD' THEN 'METHOD' WHEN r = 'RESULT'
 
 
 def answer_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     k = X.answer_keywords(F.col("text"))
     return d.select("doc_id", F.array_join(k, "|").alias("keywords"), X.found_in(k, F.upper("text")).alias("found"))
 
 
-KEYWORDS_SQL = r"""WITH k AS (SELECT doc_id, text, list_concat(list_concat(regexp_extract_all(text, '\d+\.?\d*%?')[1:5], regexp_extract_all(text, '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+')[1:3]), regexp_extract_all(text, '\b[A-Z]{2,}\b')[1:3])[1:8] AS k FROM documents WHERE lang = 'en')
+KEYWORDS_SQL = r"""WITH k AS (SELECT doc_id, text, list_concat(list_concat(regexp_extract_all(text, '\d+\.?\d*%?')[1:5], regexp_extract_all(text, '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+')[1:3]), list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}'))[1:3])[1:8] AS k FROM documents)
 SELECT doc_id, array_to_string(k, '|') AS keywords, len(list_filter(k, lambda x: contains(upper(text), x))) AS found FROM k"""
 
 
@@ -172,7 +174,7 @@ def clean_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", X.clean_brackets(t).alias("clean"))
 
 
-BRACKETS_SQL = "SELECT o_orderkey, 'as in [' || o_custkey || '] and [20, ,, ' || o_custkey || ', ,4] but [x] not' AS clean FROM orders WHERE o_orderkey < 2000"
+BRACKETS_SQL = "SELECT o_orderkey, 'as in [' || o_custkey || '] and [20, ,, ' || o_custkey || ', ,4] but [x] not' AS clean FROM orders"
 
 
 def section_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,11 +186,11 @@ def section_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERS_SQL = """WITH {lines},
-n AS (SELECT doc_id, pos, body, ['Introduction', 'Results', 'Our Method', 'Ablation', 'Appendix', 'Model setup'][(doc_id * 5 + pos * 5) % 6 + 1] AS h FROM lines WHERE pos < 6),
+n AS (SELECT doc_id, pos, body, ['Introduction', 'Results', 'Our Method', 'Ablation', 'Appendix', 'Model setup'][(doc_id * 5 + pos * 5) % 6 + 1] AS h FROM lines),
 k AS (SELECT *, CASE WHEN h IN ('Results', 'Ablation') THEN 0 WHEN h IN ('Our Method', 'Model setup') THEN 1 ELSE 2 END AS rk FROM n)
 SELECT doc_id, md5(array_to_string(list('### ' || h || chr(10) || body ORDER BY rk, pos), chr(10) || chr(10))) AS ordered,
   CASE WHEN coalesce(sum(length(body)) FILTER (WHERE rk = 0), 0) < 200 THEN array_to_string(list(h ORDER BY pos), '|') ELSE array_to_string(list(h ORDER BY pos) FILTER (WHERE rk = 0), '|') END AS relevant,
-  md5(array_to_string(list('(' || chr(65 + pos::INT) || ') ' || h || ' [' || length(body) || ' chars]' ORDER BY pos), chr(10))) AS listing FROM k GROUP BY doc_id""".replace("{lines}", T.LINES_SQL)
+  md5(array_to_string(list('(' || CASE WHEN pos < 26 THEN chr(65 + pos::INT) ELSE chr(64 + pos::INT // 26) || chr(65 + pos::INT % 26) END || ') ' || h || ' [' || length(body) || ' chars]' ORDER BY pos), chr(10))) AS listing FROM k GROUP BY doc_id""".replace("{lines}", T.LINES_SQL)
 
 
 def appendix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,15 +235,15 @@ def authors_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "customer").select("c_custkey", X.author_short(names).alias("authors"), X.is_transient(err).alias("transient"), F.md5(X.context_list(names)).alias("listed"))
 
 
-_OK = "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 0 WHEN 8 THEN 2 ELSE -1 END AS idx FROM orders WHERE o_orderkey < 1000"
+_OK = "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 0 WHEN 8 THEN 2 ELSE -1 END AS idx FROM orders"
 QUERIES = {
     "normalize_header": (normalize_header, f"WITH {HEADERS_SQL} SELECT doc_id, pos, {sql_norm('header')} AS norm FROM headers"),
     "section_match_join": (section_match_join, MATCH_SQL.replace("\\\\s", "\\s")),
     "theta_anti": (theta_anti, ANTI_SQL.replace("\\\\s", "\\s")),
-    "section_alias": (section_alias, "SELECT p_partkey::INT AS i, CASE WHEN p_partkey < 26 THEN chr(65 + p_partkey::INT) WHEN p_partkey < 702 THEN chr(64 + p_partkey::INT // 26) || chr(65 + p_partkey::INT % 26) ELSE chr(65 + (p_partkey::INT - 702) // 676) || chr(65 + (p_partkey::INT - 702) // 26 % 26) || chr(65 + (p_partkey::INT - 702) % 26) END AS alias, p_partkey::INT AS back FROM part WHERE p_partkey < 1500"),
+    "section_alias": (section_alias, "SELECT p_partkey::INT AS i, CASE WHEN p_partkey < 26 THEN chr(65 + p_partkey::INT) WHEN p_partkey < 702 THEN chr(64 + p_partkey::INT // 26) || chr(65 + p_partkey::INT % 26) ELSE chr(65 + (p_partkey::INT - 702) // 676) || chr(65 + (p_partkey::INT - 702) // 26 % 26) || chr(65 + (p_partkey::INT - 702) % 26) END AS alias, p_partkey::INT AS back FROM part"),
     "match_section": (match_section, MATCH_SECTION_SQL.replace("\\\\(", "\\(").replace("\\\\)", "\\)")),
     "answer_letter": (answer_letter, _OK),
-    "word_jaccard": (word_jaccard, rf"WITH {T.LINES_SQL}, w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(max(body) FILTER (WHERE pos = 0)), '[^\s]+')) AS a, list_distinct(regexp_extract_all(lower(max(body) FILTER (WHERE pos = 1)), '[^\s]+')) AS b FROM lines WHERE pos < 2 GROUP BY 1 HAVING max(pos) = 1) SELECT doc_id, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0) AS jaccard FROM w"),
+    "word_jaccard": (word_jaccard, rf"WITH {T.LINES_SQL}, w AS (SELECT x.doc_id, x.pos, list_distinct(regexp_extract_all(lower(x.body), '[^\s]+')) AS a, list_distinct(regexp_extract_all(lower(y.body), '[^\s]+')) AS b FROM lines x JOIN lines y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1) SELECT doc_id, pos, coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS jaccard FROM w"),
     "numeric_overlap": (numeric_overlap, NUMERIC_SQL),
     "citation_counts": (citation_counts, CITATIONS_SQL),
     "context_types": (context_types, _sql_phrases()),
@@ -280,5 +282,5 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["tool_call_texts"] = (tool_call_texts, """SELECT o_orderkey, 'text_1' AS id, ['think', 'read_section', 'search_papers', 'get_references'][o_orderkey % 6 + 1] AS name,
-CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 6 < 4""")
+CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey % 6 < 4""")
 QUERIES["html_sections"] = (html_sections, None)

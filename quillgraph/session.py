@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quillgraph", **conf: str) -> SparkSession:
@@ -24,3 +26,30 @@ def share_code(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if here not in known:
         env["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which executors and driver share. Only where it is
+    unset and Spark runs in one process (tests), a folder of this machine is set."""
+    jsc = spark.sparkContext._jsc.sc()
+    known = jsc.getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return jsc.getCheckpointDir().get()
+
+
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder, read back: a lost executor costs no recomputation. It goes
+    when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Queries that once read only a part of their tables, against the same SQL without the cut."""
+"""Queries that once read only a part of their tables, on tables that go beyond the former bounds."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,35 +7,14 @@ from oracle import connect, same
 from quillgraph.functions import text as X
 from quillgraph.plans import catalog
 
+LARGER = "/root/testdata/sf0.01"
+WHOLE = ["answer_letter", "clean_brackets", "tool_call_texts", "section_alias", "inventory", "reply_answers", "section_match_join", "match_section", "section_orders", "fixed_chains"]
 
-@pytest.fixture(scope="module")
-def con(sf):
-    return connect(sf)
 
-
-@pytest.fixture(scope="module")
-def larger():
-    """Tables that go beyond the former bounds of ids."""
-    return "/root/testdata/sf0.01"
-
-
-#: The part of the registered SQL that cuts, and what the whole table needs in its place.
-CUTS = {
-    "two_hop": [(" WHERE s_suppkey % 10 = 0", "")],
-    "bridge_path": [(" WHERE s_suppkey % 10 = 0", "")],
-    "fixed_chains": [(" WHERE s_suppkey % 10 = 0", "")],
-    "sibling_pairs": [(" WHERE l_orderkey % 4 = 0", "")],
-    "first_match_title": [(" WHERE doc_id % 3 = 0", "")],
-    "verdict_merge": [(" WHERE o_orderkey % 3 = 0", "")],
-}
-
-
-@pytest.mark.parametrize("name", CUTS)
-def test_whole_table(spark, sf, con, name):
+@pytest.mark.parametrize("name", WHOLE)
+def test_every_row(spark, name):
     query, sql = catalog.QUERIES[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    same(query(spark, sf), con, sql)
+    same(query(spark, LARGER), connect(LARGER), sql)
 
 
 def test_greedy_expand_starts_from_every_supplier(spark, sf):
@@ -55,25 +34,6 @@ def test_greedy_expand_starts_from_every_supplier(spark, sf):
     assert sorted(got) == sorted(x for x in want if x[0] in seeds)
 
 
-#: As CUTS, for bounds that only tables of more rows pass.
-BOUNDS = {
-    "answer_letter": [(" WHERE o_orderkey < 1000", "")],
-    "clean_brackets": [(" WHERE o_orderkey < 2000", "")],
-    "tool_call_texts": [("o_orderkey < 3000 AND ", "")],
-    "section_alias": [(" WHERE p_partkey < 1500", "")],
-    "inventory": [(" WHERE o_orderkey < 4000", "")],
-    "reply_answers": [(" WHERE o_orderkey < 3000", "")],
-}
-
-
-@pytest.mark.parametrize("name", BOUNDS)
-def test_every_row(spark, larger, name):
-    query, sql = catalog.QUERIES[name]
-    for cut, whole in BOUNDS[name]:
-        sql = sql.replace(cut, whole)
-    same(query(spark, larger), connect(larger), sql)
-
-
 def test_alias_of_any_number(spark):
     def alias(i):
         return alias(i // 26 - 1) + chr(65 + i % 26) if i >= 26 else chr(65 + i)
@@ -82,20 +42,3 @@ def test_alias_of_any_number(spark):
     a = X.section_alias(F.col("i"))
     got = spark.createDataFrame([(i,) for i in at], "i int").select("i", a.alias("alias"), X.alias_index(a).alias("back")).collect()
     assert sorted(map(tuple, got)) == [(i, alias(i), i) for i in at]
-
-
-#: As BOUNDS, for the first lines of a document; the letters of section_orders' listing ended at Z.
-LINES = {
-    "section_match_join": [(" WHERE pos < 3", "")],
-    "match_section": [(" WHERE pos < 12", "")],
-    "section_orders": [(" WHERE pos < 6", ""), ("chr(65 + pos::INT)", "CASE WHEN pos < 26 THEN chr(65 + pos::INT) ELSE chr(64 + pos::INT // 26) || chr(65 + pos::INT % 26) END")],
-}
-
-
-@pytest.mark.parametrize("name", LINES)
-def test_every_line(spark, larger, name):
-    query, sql = catalog.QUERIES[name]
-    for cut, whole in LINES[name]:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    same(query(spark, larger), connect(larger), sql)
