@@ -206,6 +206,22 @@ def clean_brackets(c: Column) -> Column:
     return F.aggregate(F.array_distinct(inner), one, lambda s, g: F.replace(s, g, tidy(g)))
 
 
+def paragraphs(c: Column) -> Column:
+    """Parts between blank lines, without the empty ones."""
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), strip), lambda p: p != "")
+
+
+def table_text(caption: Column, rows: Column) -> Column:
+    """A table (rows: arrays of cells) as lines with bars between cells, after its caption."""
+    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("Table: "), F.coalesce(caption, F.lit("")))), lines), "\n")
+
+
+def claimed(header: Column, section: Column) -> Column:
+    """Whether a header is the section a claim names: section_match, an empty header included."""
+    return (F.coalesce(header, F.lit("")) == F.coalesce(section, F.lit(""))) | section_match(section, header)
+
+
 def author_short(names: Column) -> Column:
     """One name, two names, or the first and et al.; Unknown without any."""
     return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.lit("Unknown")).when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.size(names) == 2, F.concat(F.get(names, F.lit(0)), F.lit(" and "), F.get(names, F.lit(1)))).otherwise(F.concat(F.get(names, F.lit(0)), F.lit(" et al.")))

@@ -102,12 +102,13 @@ def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...]
     return out
 
 
-def sibling_pairs(targets: DataFrame, key: str = "seed") -> DataFrame:
-    """Pairs of a seed's different targets (in order of pos) and the contexts they share, most
-    specific first; targets: key, pos, terminal, contexts."""
-    a = targets.select(key, F.col("pos").alias("pos1"), F.col("terminal").alias("t1"), F.col("contexts").alias("c1"))
-    b = targets.select(key, F.col("pos").alias("pos2"), F.col("terminal").alias("t2"), F.col("contexts").alias("c2"))
-    pairs = a.join(b, key).where("pos1 < pos2 AND t1 <> '' AND t2 <> '' AND t1 <> t2")
+def sibling_pairs(targets: DataFrame, key: str | list[str] = "seed") -> DataFrame:
+    """Pairs of a seed's (or of another key's, as a seed and its first step) different targets, in order
+    of pos, and the contexts they share, most specific first; targets: key, pos, terminal, contexts."""
+    keys = [key] if isinstance(key, str) else key
+    a = targets.select(*keys, F.col("pos").alias("pos1"), F.col("terminal").alias("t1"), F.col("contexts").alias("c1"))
+    b = targets.select(*keys, F.col("pos").alias("pos2"), F.col("terminal").alias("t2"), F.col("contexts").alias("c2"))
+    pairs = a.join(b, keys).where("pos1 < pos2 AND t1 <> '' AND t2 <> '' AND t1 <> t2")
     return pairs.withColumn("shared", F.slice(F.array_sort(F.array_intersect("c1", "c2")), 1, 2)).drop("c1", "c2")
 
 

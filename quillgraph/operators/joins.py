@@ -57,6 +57,29 @@ def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFr
     return queries.select("qid").join(best.select("qid", "_best.*"), "qid", "left")
 
 
+def title_in_scope(queries: DataFrame, nodes: DataFrame, scope: str, most: int = 30) -> DataFrame:
+    """As first_title, among the nodes (scope, node, pos, title) of the query's (qid, scope, title) own
+    sample: an equal title, else one that holds the query's first characters, case ignored."""
+    q, n = queries.where("title <> ''"), nodes.select(scope, "node", "pos", F.col("title").alias("t"))
+    j = q.join(n, scope)
+    rank = F.when(F.col("t") == F.col("title"), 0).when(F.contains(F.lower("t"), F.lower(F.substring("title", 1, most))), 1)
+    best = j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("qid").agg(F.min_by(F.struct("node", "rank"), F.struct("rank", "pos")).alias("_best"))
+    return queries.select("qid").join(best.select("qid", "_best.*"), "qid", "left")
+
+
+def by_either_id(rows: DataFrame, table: DataFrame, first: str, second: str, key: str, value: str) -> DataFrame:
+    """rows with the value of a table (key, value) under their new id, else under their old one."""
+    one = table.select(F.col(key).alias("_k"), F.col(value).alias(value))
+    new = rows.join(one.withColumnsRenamed({"_k": first, value: "_new"}), first, "left")
+    both = new.join(one.withColumnsRenamed({"_k": second, value: "_old"}), second, "left")
+    return both.withColumn(value, F.coalesce("_new", "_old")).drop("_new", "_old")
+
+
+def provider_of(rows: DataFrame, name: str, dim: DataFrame, override: str) -> DataFrame:
+    """rows with provider: the override where given, else that of the first prefix of the name in dim."""
+    return prefix_join(rows, name, dim, longest=False).withColumn("provider", F.coalesce(F.nullif(F.col(override), F.lit("")), F.col("provider")))
+
+
 def token_overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """Keyword search: docs (doc, pos, tokens) by the number of a query's (qid, tokens) distinct tokens
     they have; above 0; k (1 to 10) per query, equal scores in order of pos.

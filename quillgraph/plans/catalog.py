@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import construction, graphs, reports, texts
+from quillgraph.plans import construction, graphs, reports, reviews, texts
 
-QUERIES = {**reports.QUERIES, **graphs.QUERIES, **texts.QUERIES, **construction.QUERIES}
+QUERIES = {**reports.QUERIES, **graphs.QUERIES, **texts.QUERIES, **construction.QUERIES, **reviews.QUERIES}

@@ -67,3 +67,24 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VOTES_SQL = """votes AS (SELECT l_orderkey AS qid, l_linenumber AS provider, l_returnflag AS answer, l_partkey AS paper,
 CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' WHEN 'P' THEN 'R' END AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as finished trajectories with what is known of their samples."""
+    pick = lambda *xs: F.array(*map(F.lit, xs))
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "o_orderstatus", "o_orderpriority").select(
+        F.concat(F.lit("s"), "k").alias("sample_id"), F.when(F.col("c") % 2 == 0, "single-target").otherwise("multi-target").alias("question_type"), (F.col("k") % 2 + 1).cast("int").alias("depth"),
+        F.element_at(pick("METHOD", "RESULT", "MOTIVE", "GROUND"), (F.col("c") % 4 + 1).cast("int")).alias("reasoning_type"), F.col("o_orderpriority").alias("venue"), F.when(F.col("c") % 5 != 0, "gold").alias("tier"),
+        (F.col("c") % 3).alias("filter_agreement"), F.when(F.col("k") % 3 != 0, F.col("k") % 3 == 1).alias("bridge_necessary"), (F.col("o_orderstatus") == "F").alias("is_correct"),
+        F.when(F.col("c") % 7 == 0, "error").when(F.col("c") % 7 == 1, "budget").otherwise("answer").alias("terminated_by"), (F.col("k") % 6 - 1).cast("int").alias("predicted_index"), (F.col("c") % 4).cast("int").alias("correct_index"),
+        pick("seed_only", "correct", "wrong_paper", "no_context").alias("distractor_types"), (F.col("c") % 20 + 1).alias("total_turns"), (F.col("c") * 10).alias("total_prompt_tokens"), (F.col("c") % 100).alias("total_completion_tokens"),
+        (F.col("k") % 50 * 100).alias("cache_read_tokens"), (F.col("k") % 10).alias("cache_creation_tokens"), (F.col("k") % 1000 / 8).alias("wall_time_s"), (F.col("k") % 31).alias("budget_used"),
+        (F.col("k") % 11 == 0).cast("int").alias("api_error_count"), (F.col("c") % 13).alias("transient_retry_count"), (F.col("c") % 3).alias("tool_errors"), (F.col("k") % 4).alias("retry_count"),
+    )
+
+
+RUNS_SQL = """runs AS (SELECT 's' || o_orderkey AS sample_id, CASE WHEN o_custkey % 2 = 0 THEN 'single-target' ELSE 'multi-target' END AS question_type, o_orderkey % 2 + 1 AS depth,
+['METHOD', 'RESULT', 'MOTIVE', 'GROUND'][o_custkey % 4 + 1] AS reasoning_type, o_orderpriority AS venue, CASE WHEN o_custkey % 5 <> 0 THEN 'gold' END AS tier, o_custkey % 3 AS filter_agreement,
+CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 3 = 1 END AS bridge_necessary, o_orderstatus = 'F' AS ok, CASE o_custkey % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'budget' ELSE 'answer' END AS terminated_by,
+o_orderkey % 6 - 1 AS predicted_index, o_custkey % 4 AS correct_index, o_custkey % 20 + 1 AS total_turns, o_custkey * 10 AS prompt, o_custkey % 100 AS completion, o_orderkey % 50 * 100 AS cread, o_orderkey % 10 AS ccreate,
+o_orderkey % 1000 / 8 AS wall, o_orderkey % 31 AS budget, (o_orderkey % 11 = 0)::INT AS api, o_custkey % 13 AS transient, o_custkey % 3 AS terr, o_orderkey % 4 AS retry_count FROM orders)"""
