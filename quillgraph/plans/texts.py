@@ -284,3 +284,20 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["tool_call_texts"] = (tool_call_texts, """SELECT o_orderkey, 'text_1' AS id, ['think', 'read_section', 'search_papers', 'get_references'][o_orderkey % 6 + 1] AS name,
 CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey % 6 < 4""")
 QUERIES["html_sections"] = (html_sections, None)
+
+
+def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made by a rule: numbered and appendix sections, references, a table; every fifth has none."""
+    from quillgraph.sources.papers import counted, parse_papers
+
+    k = F.col("o_orderkey").cast("string")
+    page = F.concat(
+        F.lit("<html><body><section><h2>"), k, F.lit(". Intro "), F.col("o_orderstatus"), F.lit("</h2><p>First <b>words</b> of "), k, F.lit(".</p><p>More.</p></section><section><h2>Appendix B Proofs</h2><p>A &amp; b</p></section>"),
+        F.lit("<section><h2>References</h2><p>[1]</p></section>"), F.when(F.col("o_orderkey") % 3 == 0, F.lit('<figure class="ltx_table"><figcaption class="ltx_caption">Cap</figcaption><table><tr><th>a</th><td>b</td></tr></table></figure>')).otherwise(""), F.lit("</body></html>"),
+    )
+    d = T.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, page).otherwise("<p></p>").alias("html"))
+    p = counted(parse_papers(d, "o_orderkey", "html"))
+    return p.select("o_orderkey", "n_sections", "n_tables", F.array_join(F.transform("sections", lambda s: F.concat(s["header"], F.lit("="), s["text"])), "|").alias("sections"))
+
+
+QUERIES["html_rules"] = (html_rules, """SELECT o_orderkey, 2 AS n_sections, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_tables, 'Intro ' || o_orderstatus || '=First words of ' || o_orderkey || '. More.|Apdx_B: Proofs=A & b' AS sections FROM orders WHERE o_orderkey % 5 > 0""")

@@ -30,14 +30,46 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = No
 
 def json_documents(spark: SparkSession, path: str, schema: str, skip_prefix: str = "", start: int | None = None, stop: int | None = None) -> DataFrame:
     """One JSON document (or array) per file, in order of file names: files start..stop (inclusive,
-    from 0) of those that do not begin with skip_prefix."""
-    d = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
-    if skip_prefix:
-        d = d.where(~F.startswith("file", F.lit(skip_prefix)))
-    if start is not None or stop is not None:
-        order = d.select("file").distinct().withColumn("n", F.row_number().over(Window.orderBy("file")) - 1)  # one row per file
-        d = d.join(order.where(F.col("n").between(start or 0, 2**31 if stop is None else stop)).select("file"), "file", "left_semi")
-    return d
+    from 0) of those that do not begin with skip_prefix. The range is taken from the listing, before
+    any file is read."""
+    if skip_prefix or start is not None or stop is not None:
+        names = [n for n in listed(spark, path) if not (skip_prefix and n.rsplit("/", 1)[-1].startswith(skip_prefix))]
+        names = names[start or 0 : None if stop is None else stop + 1]
+        if not names:
+            return spark.createDataFrame([], schema).withColumn("file", F.lit(""))
+        path = names
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Files of a folder, or that a pattern names, in order of their names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p) or []
+    each = [x for s in found for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return sorted((x.getPath().toString() for x in each if x.isFile()), key=lambda n: n.rsplit("/", 1)[-1])
+
+
+def release(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Samples of a release folder (its qa/*.jsonl) or of one JSON file with an object or an array."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return json_lines(spark, f"{path}/qa/*.jsonl", schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def chain_files(spark: SparkSession, folder: str, schema: str, depth: int | None = None, steps: int = 0) -> DataFrame:
+    """Chains of all chains_d*.json in a folder, of one depth and with so many steps in their path."""
+    d = json_documents(spark, f"{folder}/chains_d*.json", schema)
+    if depth is not None:
+        d = d.where(F.col("depth") == depth)
+    return d.where(F.size("path") >= steps) if steps else d
+
+
+def verdict_dirs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Verdicts of verdicts/<auditor>/*.json with the auditor from the path."""
+    d = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/*.json")
+    return d.withColumn("auditor", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
 def header_peek(spark: SparkSession, path: str, pattern: str, first: int = 500) -> DataFrame:
@@ -67,6 +99,24 @@ def write_lines(df: DataFrame, path: str, dry_run: bool = False) -> None:
         df.write.mode("overwrite").json(path)
 
 
+def write_combined(parts: list[DataFrame], path: str) -> None:
+    """All parts as the lines of one table, missing fields left out."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    write_lines(every, path)
+
+
+def write_failed(runs: DataFrame, path: str) -> None:
+    """Attempts that ended with an error, beside the results."""
+    write_lines(runs.where("terminated_by = 'error'"), path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one nested row as one JSON document."""
+    report.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_per_key(df: DataFrame, path: str, key: str) -> None:
     """A folder for each key, its rows in one file."""
     df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, MutableMapping
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,12 +22,20 @@ def cache_key(url: str) -> str:
     return f"{safe}_{hashlib.md5(url.encode()).hexdigest()[:12]}"
 
 
-def fetch(url: str, transport: Transport, spacing: float = 2.0, tries: int = 6, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """JSON of a URL: 429 waits 30 s more each time (120 at most), 504 waits 10 s, other codes give {}."""
+def fetch(url: str, transport: Transport, spacing: float = 2.0, tries: int = 6, sleep: Callable[[float], None] = time.sleep, cache: MutableMapping[str, str] | None = None) -> dict:
+    """JSON of a URL: 429 waits 30 s more each time (120 at most), 504 waits 10 s, other codes give {}.
+
+    What was served is kept in `cache` by cache_key and asked for there first, without waiting. Tasks
+    that run at once share a limit when `spacing` is the limit times their number."""
+    key = cache_key(url)
+    if cache is not None and key in cache:
+        return json.loads(cache[key])
     for attempt in range(1, tries + 1):
         sleep(spacing)
         code, body = transport(url)
         if code == 200:
+            if cache is not None:
+                cache[key] = body
             return json.loads(body)
         if code not in (429, 504):
             return {}
@@ -44,8 +54,38 @@ def pages(url: str, transport: Transport, most: int = 10, **options) -> Iterator
             return
 
 
+class FileCache(MutableMapping):
+    """Served bodies as files of a folder, which tasks on one machine share."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = Path(folder)
+
+    def __getitem__(self, key: str) -> str:
+        try:
+            return (self.folder / key).read_text()
+        except FileNotFoundError:
+            raise KeyError(key) from None
+
+    def __setitem__(self, key: str, body: str) -> None:
+        self.folder.mkdir(parents=True, exist_ok=True)
+        part = self.folder / f".{key}.{os.getpid()}"
+        part.write_text(body)
+        part.replace(self.folder / key)  # whole or not there
+
+    def __delitem__(self, key: str) -> None:
+        (self.folder / key).unlink()
+
+    def __iter__(self):
+        return (p.name for p in self.folder.glob("[!.]*"))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
 def register(spark: SparkSession, name: str, schema_: str, transport: Transport, **options) -> None:
-    """Makes spark.read.format(name).option("urls", "[...]") read records; each URL is a partition."""
+    """Makes spark.read.format(name).option("urls", "[...]") read records. Each URL is a partition; as
+    many may run at once as there are cores, so the spacing of one is the limit times these."""
+    options = {**options, "spacing": options.get("spacing", 2.0) * max(1, spark.sparkContext.defaultParallelism)}
 
     class Reader(DataSourceReader):
         def __init__(self, urls: list[str]) -> None:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Sections that are left out, by how their header begins.
 LEFT_OUT = ("references", "bibliography", "acknowledgement", "acknowledgment", "acknowledg", "checklist", "version control", "author contrib", "contributions", "ethics", "ethical", "disclosure of funding", "broader impact", "impact statement", "reproducibility", "summary of contributions", "список литературы")
@@ -178,6 +179,11 @@ def tables(top: Node) -> list[dict]:
 SCHEMA = "sections array<struct<header string, text string>>, tables array<struct<caption string, rows array<array<string>>>>"
 
 
+def counted(papers: DataFrame) -> DataFrame:
+    """Parsed papers that have sections, with the numbers of their sections and tables."""
+    return papers.where(F.size("sections") > 0).withColumns({"n_sections": F.size("sections"), "n_tables": F.size("tables")})
+
+
 def parse_papers(pages: DataFrame, key: str, html: str) -> DataFrame:
     """pages (key, html) as (key, sections, tables); a page is parsed as a whole, once."""
     kind = dict(pages.dtypes)[key]

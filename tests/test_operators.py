@@ -146,3 +146,59 @@ def test_schemas_and_reads(spark):
     t = spark.createDataFrame([row], "sample_id string, turns array<struct<tool_results:array<struct<name:string,args:map<string,string>,output:string>>>>")
     n = spark.createDataFrame([("s", "p", "1.1")], "sample string, pid string, arxiv_id string")
     assert sorted((r.paper, r.section) for r in report.section_reads(t, n).collect()) == [("1.1", "2 Method"), ("1.1", "Y")]
+
+
+def test_files_by_name(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"s{i}.json").write_text(json.dumps({"id": i}))
+    (tmp_path / "meta0.json").write_text("no json at all")
+    at = lambda **o: sorted(r.id for r in files.json_documents(spark, str(tmp_path), "id long", "meta", **o).collect())
+    assert at() == [0, 1, 2, 3] and at(start=1, stop=2) == [1, 2] and at(start=9) == []
+    (tmp_path / "one.json").write_text(json.dumps([{"id": 7}, {"id": 8}]))
+    assert files.release(spark, str(tmp_path / "one.json"), "id long").count() == 2
+    (tmp_path / "rel" / "qa").mkdir(parents=True)
+    (tmp_path / "rel" / "qa" / "full.jsonl").write_text('{"id": 1}\n{"id": 2}\n')
+    assert files.release(spark, str(tmp_path / "rel"), "id long").count() == 2
+
+
+def test_chain_and_verdict_files(spark, tmp_path):
+    (tmp_path / "chains_d1.json").write_text(json.dumps([{"depth": 1, "path": ["a"]}]))
+    (tmp_path / "chains_d2.json").write_text(json.dumps([{"depth": 2, "path": ["a", "b"]}, {"depth": 2, "path": ["a"]}]))
+    kinds = "depth int, path array<string>"
+    assert [files.chain_files(spark, str(tmp_path), kinds, **o).count() for o in ({}, {"depth": 2}, {"depth": 2, "steps": 2})] == [3, 2, 1]
+    for who in ("ann", "bo"):
+        (tmp_path / "verdicts" / who).mkdir(parents=True)
+        (tmp_path / "verdicts" / who / "c1.json").write_text(json.dumps({"case_id": "vf_1_c0"}))
+    assert sorted(r.auditor for r in files.verdict_dirs(spark, str(tmp_path / "verdicts"), "case_id string").collect()) == ["ann", "bo"]
+
+
+def test_combined_failed_and_report_files(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "error")], "id int, terminated_by string"), spark.createDataFrame([(2, "x")], "id int, more string")
+    files.write_combined([a, b], str(tmp_path / "all"))
+    files.write_failed(a.unionByName(b, allowMissingColumns=True), str(tmp_path / "failed"))
+    assert spark.read.json(str(tmp_path / "all")).count() == 2 and spark.read.json(str(tmp_path / "failed")).first().id == 1
+    from quillgraph.operators import evaluation
+    from quillgraph.plans import tables
+
+    files.write_report(evaluation.evaluation(tables.runs(spark, "/root/testdata/sf0.001"), {"model": "m"}), str(tmp_path / "report"))
+    got = json.loads(spark.read.text(str(tmp_path / "report")).first()[0])
+    assert got["fingerprint"] == {"model": "m"} and got["total"] == 1500 and set(got["sections"]["predicted"]) == set("ABCD")
+    assert evaluation.evaluation(tables.runs(spark, "/root/testdata/sf0.001").limit(0)).first().total == 0
+
+
+def test_response_cache(tmp_path):
+    asked = []
+    send = lambda u: (asked.append(u), (200, '{"data": [1]}'))[1]
+    for _ in range(2):
+        assert http.fetch("http://x/a?b", send, sleep=lambda s: None, cache=http.FileCache(str(tmp_path))) == {"data": [1]}
+    assert len(asked) == 1 and len(http.FileCache(str(tmp_path))) == 1
+
+
+def test_contents_memoised(spark):
+    from quillgraph.operators import seeds
+
+    pool = spark.createDataFrame([("a", "A")], "id string, content string")
+    pages = spark.createDataFrame([("a", "<a>"), ("b", "<b>"), ("b", "<b>")], "id string, html string")
+    want = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
+    out = seeds.contents(want, pool, pages, lambda h: F.upper(h)).collect()
+    assert sorted(map(tuple, out)) == [("a", "A", False), ("b", "<B>", True)]
