@@ -1,24 +1,28 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-A filter is a direction; a vector belongs to it when their inner product reaches a
-threshold. The directions form a random product code: one unit codeword for each half of
-the dimensions, so that all directions a vector exceeds follow from the two short lists of
-inner products (list decoding), without visiting every direction. Vectors that share a
-filter are candidates and are verified in double precision.
+A filter is a direction; a vector belongs to it when their inner product reaches the
+vector's own threshold, its LIST-th highest one. The directions form a random product code:
+one unit codeword for each half of the dimensions, so that all directions a vector exceeds
+follow from the heads of its two lists of inner products (list decoding), without visiting
+every direction and without a sample. Vectors that share a filter are candidates and are
+verified in double precision.
 
 The number of directions grows with the table, so that a filter holds about PER_FILTER
-vectors, and the threshold is set on a bounded sample (SAMPLE rows) so that a vector
-exceeds about LIST directions; one with fewer than LEAST takes the next lower ones. Two
-vectors at cosine 0.9 then share none with a chance below 1e-4 (tests measure recall).
+vectors. Two random vectors at a cosine of exactly 0.9 share none at a rate that the tests
+measure by the number of vectors (README has the figures); above it the rate falls fast.
 
-Equal vectors are one class with a weight. Filters are dealt to shards, a vector travels
-once per shard; a filter with more than BLOCK classes is split into pairs of blocks. No
-pair leaves a task: a shard returns, per class, the weight it is linked with (a pair counts
-in its first common filter only) and the least class of its part of the component.
+Equal vectors are one class with a weight. Filters are dealt to shards by their first codeword,
+of which a vector's list has few, and a vector travels once per shard; a codeword with more
+places than a shard should hold is split by the second one. A filter with more than BLOCK
+classes is split into pairs of blocks. No pair leaves a task: a shard returns, per class, the
+weight it is linked with (a pair counts in its first common filter only) and the least class of
+its part of the component.
 
 Defined results: null, empty or zero vectors and those with null or non-finite components
-link with nothing; vectors of different lengths never link; repeated rows are equal
-vectors; an empty table gives an empty result; other columns are not read.
+link with nothing; vectors of different lengths never link; rows are vectors of their own,
+whether they repeat an id, lack one or repeat a vector; a component's id is the least there is
+in it, null where no row of it has one; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -33,8 +37,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import written
 
-LIST, LEAST, PER_FILTER, SAMPLE, BLOCK = 40, 16, 80, 2000, 2048
-SHARD_ROWS = 40_000
+LIST, PER_FILTER, BLOCK = 48, 96, 2048
+SHARD_BYTES = 32 << 20  # of vectors and their lists, with places in filters, that a task holds
+ROWS = 512  # decoded at a time
+
+# Places (i, j) of two descending lists that can be among the LIST highest sums.
+_HEAD = np.array([(i, j) for i in range(LIST) for j in range(LIST) if (i + 1) * (j + 1) <= LIST]).T
 
 
 class Code:
@@ -52,30 +60,23 @@ class Code:
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half] @ self.words[0].T, x[:, self.half :] @ self.words[1].T
 
-    def threshold(self, x: np.ndarray) -> float:
-        """So that rows of x exceed LIST directions on average."""
-        best = []
-        for i in range(0, len(x), 50):
-            a, b = self.scores(x[i : i + 50])
-            s = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-            k = min(s.shape[1], 40 * LIST)
-            best.append(np.partition(s, s.shape[1] - k, axis=1)[:, -k:].ravel())
-        best = np.sort(np.concatenate(best))
-        return float(best[max(0, len(best) - LIST * len(x))])
-
-    def decode(self, x: np.ndarray, t: float) -> list[np.ndarray]:
-        out = []
-        for a, b in zip(*self.scores(x)):
-            order = np.argsort(-b)
-            low = -b[order]
-            own = t
-            while True:
-                n = np.searchsorted(low, a - own, "right")  # -b <= a - t
-                if n.sum() >= min(LEAST, self.size**2):
-                    break
-                own -= 0.02
-            i = np.repeat(np.arange(self.size), n)
-            out.append(np.sort(i * self.size + order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]))
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The LIST (or all) directions that each row of x exceeds, by its own threshold: first codeword
+        << 20 | second codeword, in no order."""
+        most = min(LIST, self.size**2)
+        i, j = _HEAD[:, (_HEAD < self.size).all(axis=0)]
+        out = np.zeros((len(x), most), np.int64)
+        for s in range(0, len(x), ROWS):
+            best = []
+            for scores in self.scores(x[s : s + ROWS]):
+                k = min(LIST, self.size)
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                value = np.take_along_axis(scores, top, axis=1)
+                order = np.argsort(-value, axis=1, kind="stable")
+                best.append((np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)))
+            (p, a), (q, b) = best
+            at = np.argpartition(-(a[:, i] + b[:, j]), most - 1, axis=1)[:, :most]
+            out[s : s + ROWS] = (np.take_along_axis(p[:, i], at, axis=1) << 20) | np.take_along_axis(q[:, j], at, axis=1)
         return out
 
 
@@ -179,21 +180,19 @@ def _first_here(a: np.ndarray, b: np.ndarray, lists: list[np.ndarray], f: int) -
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 40  # rows are told apart by it, not by their ids
         for b in batches:
             u = unit_rows(b.column(b.schema.get_field_index("embedding")))
             ids = b.column(b.schema.get_field_index("vec_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([None if x is None else len(x) for x in u], pa.int32()), pa.array([None if x is None else x.tobytes() for x in u], pa.binary())], ["vec_id", "d", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(u))), ids, pa.array([None if x is None else len(x) for x in u], pa.int32()), pa.array([None if x is None else x.tobytes() for x in u], pa.binary())], ["rid", "vec_id", "d", "unit"])
+            rid += len(u)
 
-    rows = written(vectors.select("vec_id", "embedding").mapInArrow(units, "vec_id long, d int, unit binary").withColumn("key", F.md5("unit")), "units")
-    classes = written(rows.where("unit IS NOT NULL").groupBy("key", "d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit")), "vectors")
-    codes = {}
-    for d, n in classes.groupBy("d").count().orderBy("d").collect():  # one row per length of vector
-        code = Code(d, LIST * n // PER_FILTER)
-        x = classes.where(F.col("d") == d).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("unit").collect()
-        codes[d] = (LIST * n // PER_FILTER, code.threshold(np.stack([np.frombuffer(r.unit, np.float64) for r in x])))
+    rows = written(vectors.select("vec_id", "embedding").mapInArrow(units, "rid long, vec_id long, d int, unit binary").withColumn("key", F.md5("unit")), "units")
+    classes = written(rows.where("unit IS NOT NULL").groupBy("key", "d").agg(F.min("vec_id").alias("least"), F.min("rid").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit")), "vectors")
+    filters = {r.d: LIST * r["count"] // PER_FILTER for r in classes.groupBy("d").count().collect()}  # one row per length of vector
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Code] = {}
@@ -202,26 +201,33 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             unit = [np.frombuffer(v, np.float64) for v in b.column(b.schema.get_field_index("unit")).to_pylist()]
             found: list = [None] * len(d)
             for n in set(d):
-                code = made.setdefault(n, Code(n, codes[n][0]))
+                code = made.setdefault(n, Code(n, filters[n]))
                 at = [i for i, k in enumerate(d) if k == n]
-                for i, x in zip(at, code.decode(np.stack([unit[i] for i in at]), codes[n][1])):
-                    found[i] = x.astype(np.int64) * (1 << 16) + n  # of this length only
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rep")), b.column(b.schema.get_field_index("weight")), b.column(b.schema.get_field_index("unit")), pa.array([np.sort(x).tobytes() for x in found], pa.binary()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["rep", "weight", "unit", "filters", "list"])
+                for i, x in zip(at, code.decode(np.stack([unit[i] for i in at]))):
+                    found[i] = np.sort(x * (1 << 16) + n)  # of this length only
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rep")), b.column(b.schema.get_field_index("weight")), b.column(b.schema.get_field_index("unit")), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["rep", "weight", "unit", "filters", "list"])
 
     coded = written(classes.mapInArrow(decode, "rep long, weight long, unit binary, filters binary, list array<long>"), "filters")
     each = coded.select("rep", F.explode("list").alias("f"))
     sizes = each.groupBy("f").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    split = each.join(sizes, "f").withColumn("own", own).select("rep", "f", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    split = each.join(sizes, "f").withColumn("own", own).select("rep", "f", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_ROWS))
+    most = SHARD_BYTES // (8 * (max(filters, default=0) + LIST))  # places of a shard
+    shards = max(1, -(-total // most))
+    words = max(1, *(int(n**0.5) for n in filters.values())) if filters else 1
+    parts = max(1, -(-total // (most * words)))  # of a first codeword
     key = F.struct("f", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own")
-    dealt = split.withColumn("shard", F.pmod(F.xxhash64("f", F.least("own", "o"), F.greatest("own", "o")), F.lit(shards)))
+    word, second = F.shiftright("f", 36), F.shiftright("f", 16).bitwiseAND(F.lit((1 << 20) - 1))
+    place = F.when(F.col("blocks") > 1, F.xxhash64("f", F.least("own", "o"), F.greatest("own", "o"))).otherwise(F.xxhash64(word, F.pmod(second, F.lit(parts))))
+    dealt = split.withColumn("shard", F.pmod(place, F.lit(shards)))
     dealt = dealt.groupBy("shard", "rep").agg(F.collect_list(key).alias("keys")).join(coded.drop("list"), "rep")
     found = written(dealt.groupBy("shard").applyInArrow(_shard(cosine), "rep long, linked long, root long"), "linked")
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "rep", "weight").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    named = named.select("key", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("key", "least", "rep", "weight").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    named = named.select("key", "least", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.drop("least").join(least, "component")
     out = rows.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
