@@ -2,10 +2,13 @@
 
 A page is read once, tag by tag, into blocks of text between block-level tags. A block's
 features are its word count and link density, those of the blocks before and after it,
-whether it is a heading, and whether the nearest telling container around it is one of
-main text (article, main, ...) or of page furniture (nav, footer, aside, form, ..., or a
-class, id or role that says so). A small tree (CART, Gini) decides; it is trained from
-the labelled table below each time, which takes milliseconds.
+whether it is a heading, and three marks of where it stands: inside a container of main text
+(article, main or an element named so), outside (in navigation, footers, asides, forms or an
+element named after page furniture), or elsewhere on a page that has main containers. The marks
+are inputs like the others: no mark alone decides. An element's name tells when all words of one
+of its class, id or role names do ("site-footer", not "comments-off" or "side-note"); an
+article's own class tells nothing. The tree (CART, Gini) is trained each time, in about a second,
+from the labelled table below: pages as runs of labelled blocks, each also with other lengths.
 
 Defined results: null or blank html gives empty text; text in scripts, styles, templates,
 the head, comments and hidden elements is never a block; a page cut short keeps what it
@@ -24,64 +27,133 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FEATURES = ("words_before", "links_before", "words", "links", "words_after", "links_after", "inside", "outside", "heading")
+FEATURES = ("words_before", "links_before", "words", "links", "words_after", "links_after", "inside", "outside", "elsewhere", "heading")
 
-# The labelled table: pages as runs of blocks. Each block: main text or not (+/-), words,
-# link density in percent, i inside a main container, o inside page furniture, h heading.
+# The labelled table. A line is a page: name{ ... } an element, name.class{ with a class; a block is
+# + (main text) or - (not), h for a heading, l for a link as a whole, its words, and k with the
+# percentage of them that are linked.
 LABELLED = """
--6,100,o -1,100,o -1,100,o -8,0,o +6,0,ih +54,0,i +110,0,i +2,0,i +1,0,i +48,4,i -12,30,o
--1,100,o -2,100,o -9,0,o +9,0,ih +3,0,i +80,10,i +2,0,i +35,0,i -9,0,o -15,20,o
--3,0,o +5,0,ih +1,0,i +1,0,i +30,0,i +12,60,i +3,100,i -40,0,o -25,0,o -4,50,o
--2,100 -1,100 -1,100 -3,100 +7,0,h +60,3 +45,0 +9,0 +120,6 -4,100 -3,100 -9,20
--1,100 -1,100 +5,0,h +33,0 +71,0 +4,0,h +52,9 +18,0 +66,0 -2,100 -2,100 -1,100 -6,0
--4,0,o -2,100,o -30,0,o -55,0,o +8,0,h +90,2 +41,0 -22,0,o -61,0,o -5,0,o
--5,100 -6,80 +12,0,h +25,0 +19,0 +64,12 +7,0 +58,0 -8,75 -3,100 -12,0,o
--45,0,o -70,10,o +6,0,ih +150,1,i +4,0,i -35,0,o -48,5,o -80,0,o -3,100,o
--1,100 -1,100 -1,100 -1,100 -2,100 -2,100 -3,50 -5,0 -1,100 -8,0
--7,0 -2,100 -2,100 +40,0 +55,5 +62,0 -2,100 -6,50
-+5,0,ih +15,0,i +8,100,i +2,0,i
-+4,0,h +29,0 +44,0
-+75,0
-+6,0
-+14,0 +11,0
--2,100 +30,0
--3,100
--10,90 -12,85 +48,20 +39,0 -14,90
+header{ -l1 -3 } nav{ -l1 -l1 -l2 } article{ +h6 +54 +110 +2 +1 +48k4 } aside{ -30 -l4 } footer{ -9k20 -6 }
+nav{ -l1 -l1 -l1 } div.ad{ -9 } article{ +h12 +40 +20 +75 +33 } footer{ -10 }
+nav{ -l2 -l2 } div.ad{ -14 } article{ +h9 +3 +2 +60 +1 +45 } footer{ -8 }
+nav{ -l1 } article{ +h3 -l2 +40 +55 } footer{ -5 }
+article{ +h2 -l2 +40 }
+article{ +h5 -l3 -4k50 +38 +62 +41 } div{ -l2 }
+article{ +40 } div{ -l2 }
+article{ +40 } div{ -l2 -l2 -l3 } footer{ -9 }
+article{ +12 } div{ -l2 }
+main{ +75 } div{ -l3 }
+div{ -l2 } article{ +25 } div{ -l2 }
+div{ -l1 -l2 -l1 } article{ +h4 +8 +44 }
+article{ +h4 +33 +12k60 +18k30 +29 } aside{ -12 -25 -l6 }
+article{ +h6 +45 +h3 +60 +h2 +9 +71 } section.comments{ -h2 -14 -30 -8 }
+article{ +h6 +45 +30 section.comments{ -h1 -20 -35 -5 -l1 } }
+article{ +h8 +70 div.advert{ -12 } +66 div.ad-box{ -9k40 } +40 form{ -1 -5 } +38 }
+article{ header{ +h6 -l2 -4 } +50 +61 footer{ -8 -l2 } }
+article{ header{ +h5 +20 } +41 +39 }
+main{ +h5 +40 ul{ +6 +9 +4 +12 } +31 +h3 ul{ +2 +3 +2 } +15 }
+main{ +h4 +14 ul{ +5k60 +8k50 +l7 +6k80 } +35 }
+div.content{ +h7 +52 +3 +47 } div.sidebar{ -h2 -22 -l4 -l5 -l3 -40 } div.footer{ -15k30 }
+div.main-content{ +h5 +20 +33 } div.related{ -h2 -l8 -l9 -l7 } div.newsletter{ -h4 -18 }
+div.post{ +h6 +45 +9 +88 } div.post-comments{ -h2 -25 -60 -11 -44 }
+div.site-header{ -3 -l1 -l1 } div.content{ +h5 +28 +50 } div.site-footer{ -12 -l2 -l2 }
+div.cookie-notice{ -18 -l2 } nav{ -l1 -l2 } article{ +h7 +40 +35 } footer{ -7 }
+div.cookie{ -40 -l1 } div.content{ +h5 +60 +25 } div.banner{ -20 }
+header{ -h3 -9 nav{ -l1 -l1 } } main{ article{ +h6 +33 +47 } } footer{ -5 -l2 -l3 }
+-l2 -l1 -l1 -l3 +h7 +60k3 +45 +9 +120k6 -l4 -l3 -9k20
+-l1 -l1 +h5 +33 +71 +h4 +52k9 +18 +66 -l2 -l2 -l1 -6
+-l2 -l2 +40 +55k5 +62 -l2 -6k50
+-5k100 -6k80 +h12 +25 +19 +64k12 +7 +58 -8k75 -l3
+-l1 -l1 -l1 -l1 -l2 -l2 -3k50 -l1 -8k40
+-2k100 +h3 +40 +40 -l2
+-3k67 +h2 +48 +51 -l2 -l2
+-45k100 +h6 +50 +44
++h5 +62 +31 -40k95
+div{ -l40 } div{ +h4 +35 +28 } div{ -l30 }
+ul{ -l1 -l1 -l2 -l1 } div{ +h6 +22 +64 +90 } ul{ -l2 -l3 -l2 }
+ul{ -l1 -l2 } p{ } +h6 +41 +12 +38 -h2 ul{ -l6 -l7 -l9 }
+-7 -l2 -l2 +h8 +40 +55k5 +62 -l2 -6k50
+aside{ -45 -70k10 } main{ +h6 +150k1 +4 } aside{ -35 -48k5 } section.comments{ -80 -l3 }
+nav{ -4 -l2 } div{ +h5 +30 +55 } aside{ -h2 -90k2 -41 } div.comments{ -22 -61 -5 }
+form{ -2 -3 -1 } article{ +h5 +42 +30 } form{ -8 -1 }
+form{ article{ +h5 +42 +30 } }
+div.comments{ article{ -30 -12 } article{ -25 } }
+aside{ article{ -h4 -20 } article{ -h5 -25k20 } }
+nav{ ul{ -3 -2 -4 } } +h5 +60 +35
+div.menu{ -2 -2 -3 } div{ +h4 +44 +37 } div.footer{ -9 }
+div{ -3 } article{ +h5 +50 } div{ -12 -30 -6 } footer{ -10 }
+div{ -20 } main{ +h5 +50 +60 } div{ -25k10 -40 } footer{ -4 }
+article{ +15 +8 +l8 +2 }
+article{ +1 +1 }
+article{ +l1 }
+article{ +l6 }
+article{ +h2 }
+article{ +2 }
+article{ +h1 +l5 +30 }
+article{ +6 +l1 }
+main{ +10k90 +12k85 +48k20 +39 +14k90 }
++h4 +29 +44
++75
++6
++1
++14 +11
++30 +25 +40
+-l3
+-l1 -l1
+-l2 +30
++35 -l2
++h3 +12
 """
 
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 SKIP = frozenset("head template noscript svg canvas object audio video map select datalist button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header".split())
+# Elements and words of names that tell where a block stands. DEEP ones hold whatever
+# is nested in them; of the others the nearest counts.
 MAIN_TAGS = frozenset(("article", "main"))
-FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side comment comments reply replies disqus cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer header masthead widget popup modal overlay toolbar pagination pager contentinfo complementary search byline".split())
-STRONG_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner comment comments reply replies disqus cookie cookies consent gdpr newsletter popup modal".split())
-MAIN_WORDS = frozenset("article main content post entry story".split())
+DEEP_TAGS = frozenset("nav footer aside menu dialog".split())
+FURNITURE_TAGS = DEEP_TAGS | {"form", "header"}
+DEEP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments reply replies disqus cookie cookies consent gdpr newsletter related recommended breadcrumb breadcrumbs nav navbar navigation popup modal pagination pager share sharing social footer contentinfo complementary".split())
+FURNITURE_WORDS = DEEP_WORDS | frozenset("banner notice notices alert subscribe subscription signup login menu header masthead widget overlay toolbar search byline".split())
+MAIN_WORDS = frozenset("article main content post entry story body text".split())
+NEUTRAL_WORDS = frozenset("site page top bottom left right user blog global primary secondary box wrap wrapper container block section area list item bar inner outer unit slot form links the".split())
 
 _TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^"'>]|"[^"]*"|'[^']*')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attr2>[^>]*)>|[!?/][^>]*(?:>|\Z)|/?[a-zA-Z][^<>]*\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
-
-
-def _kind(name: str, attr: str) -> tuple[int, bool]:
-    """(1 main, -1 furniture, 0 neither; whether what it holds is furniture throughout or hidden)."""
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
+
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class, id or role has a name of furniture, of deep furniture, of main text."""
+    furniture = deep = main = False
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()}
+        other = words - NEUTRAL_WORDS - MAIN_WORDS
+        if other and other <= FURNITURE_WORDS:
+            furniture = True
+            deep = deep or bool(other & DEEP_WORDS)
+        elif words & MAIN_WORDS and not other:
+            main = True
+    return furniture, deep, main
+
+
+def _kind(name: str, attr: str) -> tuple[int, bool, bool]:
+    """(1 main, -1 furniture, 0 neither; whether it is so for all that is nested; whether hidden)."""
     kind = 1 if name in MAIN_TAGS else -1 if name in FURNITURE_TAGS else 0
-    strong = name == "form"
-    if attr:
-        for key, value in _ATTR.findall(attr):
-            key, value = key.lower(), value.strip("\"' ").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1, True
-            if key in ("class", "id", "role"):
-                words = {w.lower() for w in _NAME.findall(value)}
-                if words & STRONG_WORDS and not (name in ("body", "html", "main")):
-                    return -1, True
-                if words & FURNITURE_WORDS and name not in ("body", "html", "main", "article"):
-                    kind = -1
-                elif not kind and words & MAIN_WORDS:
-                    kind = 1
-    return kind, strong
+    deep = name in DEEP_TAGS
+    for key, value in _ATTR.findall(attr) if attr else ():
+        key, value = key.lower(), value.strip("\"' ")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+            return -1, True, True
+        if key in ("class", "id", "role") and name not in ("body", "html", "main", "article"):
+            furniture, below, main = _named(value)
+            if furniture:
+                kind, deep = -1, deep or below
+            elif main and not kind:
+                kind = 1
+    return kind, deep, False
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
@@ -90,14 +162,13 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     text: list[str] = []
     linked = length = 0  # characters
     in_link = heading = skip = 0
-    stack: list[tuple[str, int, bool]] = []  # open elements that are block-level, skipped or telling
+    stack: list[tuple[str, int, bool, bool]] = []  # open elements that are block-level, skipped or telling
 
     def close() -> None:
         nonlocal linked, length
         t = " ".join(unescape("".join(text)).split())
         if t:
-            strong = any(s[2] for s in stack)
-            kind = -1 if strong else next((s[1] for s in reversed(stack) if s[1]), 0)
+            kind = -1 if any(s[2] for s in stack) else next((s[1] for s in reversed(stack) if s[1]), 0)
             out.append((t, t.count(" ") + 1, linked / max(length, 1), int(kind > 0), int(kind < 0), int(heading > 0)))
         text.clear()
         linked = length = 0
@@ -137,8 +208,8 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                 if name in BLOCK or name in SKIP:
                     close()
                 while stack:
-                    n, _, _ = stack.pop()
-                    skip -= n in SKIP
+                    n, _, _, unseen = stack.pop()
+                    skip -= unseen or n in SKIP
                     heading -= n in ("h1", "h2", "h3", "h4", "h5", "h6")
                     if n == name:
                         break
@@ -147,19 +218,22 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             if name in BLOCK:
                 in_link = 0
         elif name not in VOID and not m.group().endswith("/>"):
-            kind, strong = _kind(name, m["attr"] or m["attr2"] or "")
-            if name in BLOCK or name in SKIP or strong:
+            kind, deep, unseen = _kind(name, m["attr"] or m["attr2"] or "")
+            if name == "header" and kind < 0 and not deep and any(x[1] > 0 for x in stack):
+                kind = 0  # the header of an article belongs to it
+            if name in BLOCK or name in SKIP or deep or unseen:
                 close()
                 if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name or name in BLOCK and stack and stack[-1][0] == "p":
-                    stack.pop()
+                    skip -= stack.pop()[3]
                 if name == "body":
                     while stack:
-                        skip -= stack.pop()[0] in SKIP
-                stack.append((name, kind, strong))
-                skip += name in SKIP
+                        n, _, _, gone = stack.pop()
+                        skip -= gone or n in SKIP
+                stack.append((name, kind, deep, unseen))
+                skip += unseen or name in SKIP
                 heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
             elif kind:
-                stack.append((name, kind, strong))
+                stack.append((name, kind, deep, unseen))
         elif name == "hr":
             close()
     close()
@@ -170,34 +244,61 @@ def features(b: list[tuple]) -> np.ndarray:
     """One row per block, in the order of FEATURES; links in percent."""
     own = np.array([(w, 100 * d, i, o, h) for _, w, d, i, o, h in b], float).reshape(-1, 5)
     edge = np.zeros((1, 2))
-    before, after = np.concatenate([edge, own[:-1, :2]]), np.concatenate([own[1:, :2], edge])
-    return np.concatenate([before[: len(own)], own[:, :2], after[-len(own) :] if len(own) else own[:, :2], own[:, 2:]], axis=1)
-
-
-def labelled() -> tuple[np.ndarray, np.ndarray]:
+    before, after = np.concatenate([edge, own[:, :2]])[: len(own)], np.concatenate([own[1:, :2], edge])[: len(own)]
+    elsewhere = (own[:, 2].any() & (own[:, 2] == 0) & (own[:, 3] == 0)).astype(float)
+    return np.column_stack([before, own[:, :2], after, own[:, 2:4], elsewhere, own[:, 4]])
+
+
+def _page(line: str, rng: np.random.Generator | None) -> tuple[str, list[bool]]:
+    """A line of the table as HTML, with the labels of its blocks; rng varies the lengths."""
+    out, open_, marks = [], [], []
+    for item in line.split():
+        if item.endswith("{"):
+            name, *names = item[:-1].split(".")
+            out.append(f'<{name} class="{" ".join(names)}">')
+            open_.append(name)
+        elif item == "}":
+            out.append(f"</{open_.pop()}>")
+        else:
+            mark, heading, link, words, linked = _ITEM.fullmatch(item).groups()
+            n = int(words)
+            if rng is not None and n > 3:
+                n = max(4, round(n * rng.choice([0.6, 0.8, 1.25, 1.7])))
+            k = n if link else round(n * int(linked or 0) / 100)
+            text = " ".join(["<a href=x>" + " ".join(["word"] * k) + "</a>"] * (k > 0) + ["word"] * (n - k))
+            tag = "h2" if heading else "li" if open_ and open_[-1] == "ul" else "p"
+            out.append(f"<{tag}>{text}</{tag}>")
+            marks.append(mark == "+")
+    return "".join(out), marks
+
+
+_ITEM = re.compile(r"([+-])(h?)(l?)(\d+)(?:k(\d+))?")
+
+
+def labelled(times: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The table's blocks as written, and with other lengths."""
+    rng = np.random.default_rng(11)
     rows, marks = [], []
-    for page in LABELLED.split("\n"):
-        b = []
-        for item in page.split():
-            words, links, *kind = item[1:].split(",")
-            k = kind[0] if kind else ""
-            b.append(("", int(words), int(links) / 100, int("i" in k), int("o" in k), int("h" in k)))
-            marks.append(item[0] == "+")
-        if b:
-            rows.append(features(b))
+    for line in LABELLED.strip().split("\n"):
+        for k in range(times):
+            html, own = _page(line, rng if k else None)
+            rows.append(features(blocks(html)))
+            marks += own
     return np.concatenate(rows), np.array(marks)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3):
     """A tree: (feature, threshold, tree at or below, tree above) or a share of main text."""
     share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0):
+    if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
         return share
     best = (share * (1 - share) * len(y) - 1e-9, None, None)
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             left = x[:, f] <= t
+            if not least <= left.sum() <= len(y) - least:
+                continue
             a, b = y[left].mean(), y[~left].mean()
             score = left.sum() * a * (1 - a) + (~left).sum() * b * (1 - b)
             if score < best[0]:
@@ -205,7 +306,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if best[1] is None:
         return share
     left = x[:, best[1]] <= best[2]
-    return (best[1], float(best[2]), grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
+    return (best[1], float(best[2]), grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
 
 
 def train():
