@@ -1,34 +1,12 @@
-"""Where an operator keeps what it must cut from its lineage."""
+"""Where an operator keeps what it must cut from its lineage, and bounds of what it handles at a time."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which executors and driver share. Only where it is
-    unset and Spark runs in one process (tests), a folder of this machine is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    known = jsc.getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return jsc.getCheckpointDir().get()
-
-
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder, read back: a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pyspark.sql import SparkSession
+
+from quillgraph.session import shared_folder, written
+
+__all__ = ["parts", "shared_folder", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -397,7 +397,8 @@ def sample(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[list[str],
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(use)
     order = F.xxhash64("doc_id")
     some = one.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(one.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN))
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow()  # TOXIC + CLEAN ids at most
+    # TOXIC + CLEAN rows at most: of rows that repeat an id the one whose text has the least md5
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text")).toArrow()
     ids, first = np.unique(got.column("doc_id").to_numpy().astype(np.int64), return_index=True)
     first = first[np.argsort(mix(ids.view(np.uint64)), kind="stable")]
     got = got.take(pa.array(first))
