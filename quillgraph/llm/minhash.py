@@ -250,7 +250,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     main = each.groupBy("key").agg(F.max_by(F.struct("comp", "n", "b"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("int")
     main = main.select("key", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")).alias("of_rest"), blocks(F.col("main.n"), F.col("main.b")).alias("of_main"))
-    left = member.join(main, "key").withColumn("rest", F.col("comp") != F.col("main"))
+    left = member.join(written(main, "mains"), "key").withColumn("rest", F.col("comp") != F.col("main"))
     left = left.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("of_rest")).otherwise(F.col("of_main"))).cast("int"))
     meets = F.expr("""CASE WHEN rest THEN concat(transform(sequence(0, of_rest - 1), o -> struct(least(own, o) AS p, greatest(own, o) AS q)),
         transform(sequence(0, of_main - 1), o -> struct(own AS p, -1 - o AS q))) ELSE transform(sequence(0, of_rest - 1), o -> struct(o AS p, -1 - own AS q)) END""")
