@@ -92,15 +92,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     lex = written(lexicon(docs), "lexicon")
     small = lex.count() <= MOST_BROADCAST
-    by = parts(docs.sparkSession)
+    by, names = parts(docs.sparkSession), None
     sizes = written(docs.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "sizes")
     if sizes.agg(F.max("rows") > 1).first()[0]:  # ids repeat: places in the order of the rows take their part
         rows = docs.select("k", "text", F.md5("text").alias("m"), F.monotonically_increasing_id().alias("i"))
         rows = rows.repartitionByRange(by, "k", "m", "i").sortWithinPartitions("k", "m")
-        docs = written(rows.select(F.col("k").alias("id"), "text", F.monotonically_increasing_id().alias("k")), "rows")
+        named = written(rows.select(F.col("k").alias("id"), "text", F.monotonically_increasing_id().alias("k")), "rows")
+        docs, names = named.select("k", "text"), named.select("k", "id")
         sizes = docs.select("k", F.length("text").alias("n"))
-    else:
-        docs = docs.withColumn("id", F.col("k"))
     order = written(following(sizes.select("k"), by).join(sizes.select("k", "n"), "k"), "next")
     # each document sends what its predecessor takes of it
     need = order.select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"))
@@ -109,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lists = both.select("k", F.posexplode(F.array(words(F.col("text")), words(F.col("edited")))).alias("e", "terms"))
     hits = lists.select("k", "e", F.explode("terms").alias("term")).join(F.broadcast(lex) if small else lex, "term")
     own = hits.groupBy("k").agg(*(F.sort_array(F.collect_list(F.when(F.col("e") == i, F.col("h")))).alias(c) for i, c in enumerate(("t0", "t1"))))
-    rows = both.select("k", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("m0"), F.md5("edited").alias("m1"), "text", "edited")
+    rows = both.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("m0"), F.md5("edited").alias("m1"), "text", "edited")
     rows = rows.join(own, "k", "left")
     # an array of another text is empty, not null, where only one of the two has lexicon terms
     rows = rows.withColumns({c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.col(c)).otherwise(F.sort_array(F.transform(words(F.col(t)), hashed))) for c, t in (("t0", "text"), ("t1", "edited"))})
@@ -117,6 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).drop("t0", "t1", "m0", "m1", "text", "edited"), "prints")
     after = rows.select("k", F.col("fingerprint").alias("next_fingerprint")).join(need.select("k", "to"), "k").select(F.col("to").alias("k"), "next_fingerprint")
     out = rows.join(after, "k").withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
+    out = out.withColumn("id", F.col("k")) if names is None else out.join(names, "k")
     return out.select(F.when(F.col("id") != NULL, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
