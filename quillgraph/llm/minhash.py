@@ -239,7 +239,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     middle = buckets.groupBy("rep").agg(F.sum("size").alias("reach"))
     texts = written(s.select("rid", "text").join(middle.select(F.col("rep").alias("rid")), "rid"), "candidates", compression="zstd")
     placed = buckets.join(middle, "rep").select("key", "rep", "size", F.struct("reach", F.xxhash64("rep").alias("h")).alias("place"))
-    lead = placed.groupBy("key").agg(F.max_by("rep", "place").alias("lead"))
+    lead = written(placed.groupBy("key").agg(F.max_by("rep", "place").alias("lead")), "leads")  # so that the join below can be split
     star = written(buckets.join(lead, "key").where("rep <> lead").select(*_low(F.col("rep"), F.col("lead"))).distinct(), "pairs")
     edges = written(verified(star, texts, k, percent).where("ok").select("a", "b"), "links")
 

@@ -106,3 +106,31 @@ def test_keeps_rare_grams_of_a_large_corpus(spark, monkeypatch):
         want.append((d, zlib.crc32(str(d).encode()) % 7 == 2, model.log10(ppm.grams(text, np.array([0, len(text)]))).sum()))
     assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
     assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)])
+
+
+def test_many_chunks_shards_and_messages(spark, sf, monkeypatch):
+    """The same scores however the corpus is cut into chunks, shards, messages and batches."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(120)
+    docs = spark.createDataFrame([*map(tuple, docs.collect()), (None, "no id"), (None, "no id"), (7000, None)], "doc_id long, text string")
+    key = lambda r: [(x is None, x or 0) for x in r]
+    want = sorted(map(tuple, lm.scores(docs).collect()), key=key)
+    monkeypatch.setattr(lm, "KEYS", 3000)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(lm, "MESSAGE", 40)
+    monkeypatch.setattr(lm, "SPOOL", 100)
+    got = sorted(map(tuple, lm.scores(docs.repartition(3)).collect()), key=key)
+    assert [x[:5] for x in got] == [x[:5] for x in want] and len(got) == 123
+    assert np.allclose([x[5:] for x in got], [x[5:] for x in want])
+
+
+def test_packing_of_numbers():
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.integers(0, 2**56, 5000))
+    assert (lm.unpacked_keys(lm.packed_keys(x), len(x)) == x).all()
+    assert (lm.back(lm.turned(x, 6, 3), 6, 3) == x).all() and (lm.back(lm.turned(x % 2**24, 2, 2), 2, 2) == x % 2**24).all()
+    t = lm.Tally()
+    for a in (x[:3000], x[2000:], x[:10]):
+        t.add(a)
+    t.add(x[:5], counted=False)
+    t.merge()
+    assert (t.key == x).all() and t.n.sum() == 3000 + 3000 + 10 and t.n[0] == 2
