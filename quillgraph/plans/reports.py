@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import numbers
-from quillgraph.operators import replay, report
+from quillgraph.operators import ranges, replay, report
 from quillgraph.plans import tables as T
 
 _RATE = "coalesce(round(({0})::DOUBLE / nullif({1}, 0), 4), 0)"
@@ -112,8 +112,9 @@ def token_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return T.qa(spark, sf_dir).select("source", "doc_id", F.round(F.avg(F.col("is_correct").cast("int")).over(w), 4).alias("accuracy"))
+    d = T.qa(spark, sf_dir).select("source", "doc_id", F.col("is_correct").cast("int").alias("ok"))
+    d = ranges.running(d, "source", "doc_id", {"right": F.col("ok"), "seen": F.lit(1)})
+    return d.select("source", "doc_id", F.round(F.col("right") / F.col("seen"), 4).alias("accuracy"))
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.ranges import numbered
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -122,13 +124,10 @@ def write_per_key(df: DataFrame, path: str, key: str) -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
 
 
-def append_with_ids(old: DataFrame, new: DataFrame, id_column: str, prefix: str, order: list[Column]) -> DataFrame:
-    """old and new, with ids for new that go on counting: prefix and four digits or more. The new rows
-    of each batch are numbered in one window: a batch is what one call adds."""
-    begin = old.agg(F.count("*").alias("n"))
-    n = F.col("n") + F.row_number().over(Window.orderBy(*order)) - 1
-    text = n.cast("string")
-    named = new.crossJoin(F.broadcast(begin)).withColumn(id_column, F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0")))).drop("n")
+def append_with_ids(old: DataFrame, new: DataFrame, id_column: str, prefix: str, order: list[Column | str]) -> DataFrame:
+    """old and new, with ids for new that go on counting: prefix and four digits or more."""
+    text = F.col("_id").cast("string")
+    named = numbered(new, order, "_id", F.lit(old.count())).withColumn(id_column, F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0")))).drop("_id")
     return old.unionByName(named, allowMissingColumns=True)
 
 
