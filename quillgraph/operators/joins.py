@@ -38,23 +38,42 @@ def keep_first(rows: DataFrame, key: list[str], order: list[Column], last: bool
     return best.select(*[f"_best.{n}" for n in names])
 
 
-def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFrame:
+def first_title(queries: DataFrame, titles: DataFrame, most: int = 40, gram: int = 8) -> DataFrame:
     """For queries (qid, title): the titles (tid, pos, title) row equal to it (trimmed, case ignored),
     else the first that contains its first `most` characters.
 
-    The second case asks an index of the titles' character 8-grams for the query's first
-    8-gram; queries shorter than that fall back to a contains join of their own few rows."""
+    Equal titles and equal beginnings are handled once. A beginning is looked up by the one of its
+    inner words (whole ones, then, wherever it stands) that fewest titles have, so a word that very
+    many share is no one's key; beginnings without an inner word go by their character grams in the
+    same way, and those shorter than a gram by a contains join of their own few rows."""
     norm = lambda c: F.lower(F.trim(c))
     q = queries.select("qid", norm(F.col("title")).alias("q")).where("q <> ''")
-    t = titles.select("tid", "pos", norm(F.col("title")).alias("t"))
-    exact = q.join(t, F.col("q") == F.col("t")).select("qid", "tid", "pos", F.lit(0).alias("rank"))
-    part = q.join(exact.select("qid").distinct(), "qid", "left_anti").withColumn("head", F.substring("q", 1, most))
-    grams = t.where(F.length("t") >= 8).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 7), lambda i: F.substring(F.col("t"), i, F.lit(8))))))
-    long = part.where(F.length("head") >= 8).withColumn("g", F.substring("head", 1, 8)).join(grams, "g").where(F.contains("t", F.col("head")))
-    short = part.where(F.length("head") < 8).join(t, F.contains("t", F.col("head")))
-    found = exact.unionByName(long.select("qid", "tid", "pos", F.lit(1).alias("rank"))).unionByName(short.select("qid", "tid", "pos", F.lit(1).alias("rank")))
-    best = found.groupBy("qid").agg(F.min_by(F.struct("tid", "rank"), F.struct("rank", "pos")).alias("_best"))
-    return queries.select("qid").join(best.select("qid", "_best.*"), "qid", "left")
+    t = titles.groupBy(norm(F.col("title")).alias("t")).agg(F.min_by("tid", "pos").alias("tid"), F.min("pos").alias("pos"))
+    both = q.join(t.withColumnRenamed("t", "q"), "q", "left").withColumn("head", F.substring("q", 1, most))
+    exact = both.where("pos IS NOT NULL").select("qid", "tid", F.lit(0).alias("rank"))
+    part = both.where("pos IS NULL").select("qid", "head")
+    heads = part.select("head").distinct()
+    words = lambda c: F.split(F.col(c), " ")
+    inner = F.filter(F.slice(words("head"), 2, F.greatest(F.size(words("head")) - 2, F.lit(0))), lambda w: w != "")
+    heads = heads.withColumn("inner", F.array_distinct(inner))
+
+    def looked_up(of_head: DataFrame, of_title: DataFrame) -> DataFrame:
+        """of_head (head, g) by their rarest g among of_title (t, tid, pos, g)."""
+        of_title = of_title.join(of_head.select("g").distinct(), "g", "left_semi")
+        seen = of_title.groupBy("g").agg(F.count("*").alias("n"))
+        rarest = of_head.join(seen, "g", "left").groupBy("head").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
+        return rarest.join(of_title, "g").where(F.contains("t", F.col("head"))).select("head", "tid", "pos")
+
+    found = looked_up(heads.where(F.size("inner") > 0).select("head", F.explode("inner").alias("g")), t.select("t", "tid", "pos", F.explode(F.array_distinct(words("t"))).alias("g")))
+    bare = heads.where(F.size("inner") == 0).select("head")
+    if not bare.isEmpty():
+        # the characters are a lambda's argument: split once, not for each gram
+        each = lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - gram + 1), lambda i: F.array_join(F.slice(cs, i, gram), ""))
+        grams = lambda c: F.explode(F.array_distinct(F.get(F.transform(F.array(F.split(F.col(c), "")), each), F.lit(0))))
+        found = found.unionByName(looked_up(bare.where(F.length("head") >= gram).select("head", grams("head").alias("g")), t.where(F.length("t") >= gram).select("t", "tid", "pos", grams("t").alias("g"))))
+        found = found.unionByName(bare.where(F.length("head") < gram).join(t, F.contains("t", F.col("head"))).select("head", "tid", "pos"))
+    inside = part.join(found.groupBy("head").agg(F.min_by("tid", "pos").alias("tid")), "head").select("qid", "tid", F.lit(1).alias("rank"))
+    return queries.select("qid").join(exact.unionByName(inside), "qid", "left")
 
 
 def title_in_scope(queries: DataFrame, nodes: DataFrame, scope: str, most: int = 30) -> DataFrame:
