@@ -35,6 +35,7 @@ WINDOW, STEP = 32, 16
 HIDDEN, EMBED, BUCKETS, GRAMS = 8, 6, 4096, 1 << 15
 INPUTS = 3 + 2 * EMBED
 KNOWN = 1 << 18  # words that a worker keeps the input terms of
+SOME = 20_000  # words whose inputs are worked out at a time
 
 _PUNCT = np.ones(256, bool)
 _PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -140,7 +141,7 @@ class Network:
                 code, word = ngrams(flat, edge, n)
                 i = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
                 hit = keys[i] == code
-                np.add.at(total, word[hit], odds[i[hit]])
+                total += np.bincount(word[hit], odds[i[hit]], len(h))
                 np.maximum.at(top, word[hit], odds[i[hit]])
         x[:, 1], x[:, 2] = total / 4, top
         g, begin = trigrams(b, a, z)
@@ -231,24 +232,24 @@ def _grid(start: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray,
 def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of each word, first word of each row, then of the distinct words: hash, bytes, start, end),
     a slice at a time."""
-    hashes, counts, seen = [], [np.zeros(1, np.int64)], {}
+    distinct, numbers, counts, seen = [], [], [np.zeros(1, np.int64)], {}
     for i, j in slices(off):
         b, a, z, h, first = core_words(data, off, i, j)
-        hashes.append(h)
+        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        distinct.append(u)
+        numbers.append(back.astype(np.int32))
         counts.append(np.diff(first))
-        u, at = np.unique(h, return_index=True)
         raw = b.tobytes()
         for k, x, y in zip(u.tolist(), a[at].tolist(), z[at].tolist()):
             seen.setdefault(k, raw[x:y])
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    del hashes
-    uniq, back = np.unique(h, return_inverse=True)
-    del h
+    uniq = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct]))
+    back = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(uniq, u).astype(np.int32)[n] for u, n in zip(distinct, numbers))])
+    del distinct, numbers
     pieces = [seen[k] for k in uniq.tolist()]
     del seen
     size = np.array([len(x) for x in pieces], np.int64)
     end = np.cumsum(size)
-    return back.astype(np.int32), np.cumsum(np.concatenate(counts)), uniq, np.frombuffer(b"".join(pieces), np.uint8), end - size, end
+    return back, np.cumsum(np.concatenate(counts)), uniq, np.frombuffer(b"".join(pieces), np.uint8), end - size, end
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8) -> Network:
@@ -268,6 +269,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
     pair = np.unique(back[half[row]].astype(np.int64) * len(y) + row[half[row]])
     t = y[pair % len(y)]
     toxic, clean = np.bincount(pair // len(y), t, len(uniq)), np.bincount(pair // len(y), 1 - t, len(uniq))
+    del row, pair, t
     many = toxic + clean >= 3
     net.word_odds = (uniq[many], _odds(toxic, clean, y[half].sum(), (1 - y[half]).sum())[many])
     heard = np.flatnonzero(toxic + clean)
@@ -287,8 +289,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
     del flat
     # windows of the other half: suspicious ones first
     odd = np.zeros((len(uniq), 2), np.float32)
-    for k in range(0, len(uniq), 20_000):
-        some = slice(k, k + 20_000)
+    for k in range(0, len(uniq), SOME):
+        some = slice(k, k + SOME)
         odd[some] = net.inputs(b, a[some], z[some], uniq[some])[0][:, [0, 2]]
     wrow, start, length = windows_of(first)
     total = np.concatenate([[0], np.cumsum((np.maximum(odd[back, 0], 0) + odd[back, 1]) ** 2)])
@@ -300,6 +302,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
         order = own[np.argsort(-doubt[own], kind="stable")]
         use.append(order[:1] if y[r] else np.concatenate([order[:2], rng.choice(own, min(3, len(own)), replace=False)]))
     use = np.concatenate(use)
+    del total, doubt
     label = y[wrow[use]]
     weight = np.where(label > 0, max(1.0, (label == 0).sum() / max(1, label.sum()) / 4), 1.0)
     first_m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -327,6 +330,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 8)
                 move = first_m[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)
                 scale = 0.1 if name in ("word", "gram") else 1.0
                 net.p[name] = (net.p[name] - scale * rate * (move + 1e-3 * net.p[name])).astype(np.float32)
+    del back, first_m, second
     # calibration on whole texts of the other half
     scorer = Scorer(net)
     worst = np.concatenate([scorer.worst(data, off, i, j) for i, j in slices(off)])[~half]
@@ -361,11 +365,16 @@ class Scorer:
         if len(miss):
             new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
             at = miss[at]
-            x, _, _ = self.net.inputs(b, a[at], z[at], new)
-            while self.n + len(new) > len(self.terms["f"]):
-                self.terms = {s: np.concatenate([t, np.zeros_like(t)]) for s, t in self.terms.items()}
-            for s in "fb":
-                self.terms[s][self.n : self.n + len(new)] = x @ self.net.p[f"W{s}"] + self.net.p[f"c{s}"]
+            size, had = self.n + len(new), len(self.terms["f"])
+            if size > had:
+                size = max(size, min(2 * had, KNOWN))
+                for s in "fb":
+                    self.terms[s] = np.concatenate([self.terms[s], np.zeros((size - had, 3 * HIDDEN), np.float32)])
+            for k in range(0, len(new), SOME):
+                some = at[k : k + SOME]
+                x, _, _ = self.net.inputs(b, a[some], z[some], new[k : k + SOME])
+                for s in "fb":
+                    self.terms[s][self.n + k : self.n + k + len(some)] = x @ self.net.p[f"W{s}"] + self.net.p[f"c{s}"]
             i[miss] = self.n + back
             if self.n + len(new) <= KNOWN:  # else the next slice overwrites them
                 self.table.add(new, self.n + np.arange(len(new), dtype=float))
