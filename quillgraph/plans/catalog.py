@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import bundles, construction, graphs, reports, reviews, texts
+from quillgraph.plans import bundles, construction, graphs, reports, reviews, storage, texts
 
-QUERIES = {**reports.QUERIES, **graphs.QUERIES, **texts.QUERIES, **construction.QUERIES, **reviews.QUERIES, **bundles.QUERIES}
+QUERIES = {**reports.QUERIES, **graphs.QUERIES, **texts.QUERIES, **construction.QUERIES, **reviews.QUERIES, **bundles.QUERIES, **storage.QUERIES}
