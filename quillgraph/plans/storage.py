@@ -51,7 +51,7 @@ def per_key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in a folder for each nation."""
     at = _folder(spark, "nations")
     files.write_per_key(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), at, "c_nationkey")
-    return spark.read.schema("c_custkey long, c_name string, c_nationkey long").json(at)
+    return spark.read.schema("c_custkey long, c_name string, c_nationkey int").json(at)
 
 
 def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +59,15 @@ def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark, "heads")
     d = T.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
     d.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").write.partitionBy("n_regionkey").json(at)
-    return files.header_peek(spark, f"{at}/*/*.json", r'"n_nationkey":(\d+)').select(F.col("value").cast("long").alias("first"))
+    return files.header_peek(spark, f"{at}/*/*.json", r'"n_nationkey":(\d+)').select(F.col("value").cast("int").alias("first"))
 
 
 def file_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per nation, of which the fourth to the tenth are asked for, and those of every file."""
     at = _folder(spark, "range")
     _one_each(T.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), at, "n_nationkey")
-    some = files.json_documents(spark, at, "n_nationkey long, n_name string", skip_prefix="_", start=3, stop=9)
-    every = files.json_documents(spark, at, "n_nationkey long, n_name string", skip_prefix="_")
+    some = files.json_documents(spark, at, "n_nationkey int, n_name string", skip_prefix="_", start=3, stop=9)
+    every = files.json_documents(spark, at, "n_nationkey int, n_name string", skip_prefix="_")
     return some.select(F.lit("some").alias("part"), "n_nationkey", "n_name").unionByName(every.select(F.lit("every").alias("part"), "n_nationkey", "n_name"))
 
 
@@ -154,7 +154,7 @@ REQUESTS_SQL = "SELECT 'q_' || o_orderkey AS custom_id, 'm' AS model, 'user' AS
 
 def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table rewritten twice; every version stays."""
-    at, kind = _folder(spark, "versions"), "c_custkey long, c_nationkey long"
+    at, kind = _folder(spark, "versions"), "c_custkey long, c_nationkey int"
     files.write_lines(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), f"{at}/v1")
     files.rewrite(spark, at, kind, lambda d: d.where("c_custkey % 2 = 0"))
     files.rewrite(spark, at, kind, lambda d: d.withColumn("c_nationkey", F.col("c_nationkey") + 100))
