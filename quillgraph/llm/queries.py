@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +71,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infilled
+
+    out = infilled(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict:
-    from . import imatch, mixing
+    from . import imatch, infill, linededup, mixing
 
-    return {"op1_mixing": mixing.SQL, "op10_fingerprints": imatch.SQL}
+    return {"op1_mixing": mixing.SQL, "op10_fingerprints": imatch.SQL, "op11_line_dedup": linededup.SQL, "op12_fill_in_middle": infill.SQL}
