@@ -84,11 +84,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives, quantized
+
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label")
+    return hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", label, quantized("embedding", 256).alias("vector"), F.expr("vec_id % 100 = 0").alias("anchor")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict:
-    from . import imatch, infill, linededup, mixing
+    from . import imatch, infill, linededup, mixing, negatives
 
-    return {"op1_mixing": mixing.SQL, "op10_fingerprints": imatch.SQL, "op11_line_dedup": linededup.SQL, "op12_fill_in_middle": infill.SQL}
+    return {"op1_mixing": mixing.SQL, "op10_fingerprints": imatch.SQL, "op11_line_dedup": linededup.SQL, "op12_fill_in_middle": infill.SQL, "op13_hard_negatives": negatives.SQL}
