@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_TOKENS = 1_000_000  # of queries that are broadcast
+from quillgraph.packed import MEET, meet, meet_batch, pack, packed_texts, texts_of
+from quillgraph.session import written
 
 
-def prefix_join(rows: DataFrame, name: str, dim: DataFrame, longest: bool = True, most: int = 64) -> DataFrame:
+def prefix_join(rows: DataFrame, name: str, dim: DataFrame, longest: bool = True) -> DataFrame:
     """Left join on the longest (or, by column ord, the first) prefix of `name` in dim (ord, prefix, ...).
 
-    Each distinct name meets its own prefixes by equality, so this needs no nested loop."""
+    Each distinct name meets its own prefixes by equality, up to the longest of dim, so this needs no nested loop."""
+    most = dim.agg(F.max(F.length("prefix"))).first()[0] or 0
     names = rows.select(name).where(F.col(name).isNotNull()).distinct()
     own = names.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(name), F.lit(most)))), lambda n: F.substring(F.col(name), F.lit(1), n))))
     rank = F.struct((-F.length("prefix") if longest else F.col("ord")).alias("a"), F.col("ord").alias("b"))
@@ -38,42 +43,84 @@ def keep_first(rows: DataFrame, key: list[str], order: list[Column], last: bool
     return best.select(*[f"_best.{n}" for n in names])
 
 
-def first_title(queries: DataFrame, titles: DataFrame, most: int = 40, gram: int = 8) -> DataFrame:
+HEADS = 50_000  # of an automaton: some 2 million states
+SLICES = 4  # of titles for each partition that Spark shuffles to
+
+
+def _head_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+        yield meet_batch([(k, kind, place, pack(**packed_texts(x.values))) for k, kind, place, x in zip(*(col[c].to_pylist() for c in ("key", "kind", "place")), col["texts"])])
+
+
+def _title_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield meet_batch([(0, 1, 0, pack(pos=b.column(1).to_numpy(zero_copy_only=False), **packed_texts(b.column(0))))])
+
+
+def _found(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Titles of a slice past the automaton of a shard of heads: for each head found the first title with it."""
+    here, heads, automaton, best = None, [], None, {}
+
+    def batch() -> pa.RecordBatch:
+        at = list(best)
+        pos, title = zip(*best.values())
+        return pa.RecordBatch.from_arrays([pa.array([heads[i] for i in at]), pa.array(title), pa.array(pos, pa.int64())], ["head", "t", "pos"])
+
+    for key, kind, _, x in rows:
+        if key != here:
+            if best:
+                yield batch()
+            here, heads, automaton, best = key, [], None, {}
+        if kind == 0:
+            import ahocorasick
+
+            heads, automaton = texts_of(x), ahocorasick.Automaton()
+            for i, h in enumerate(heads):
+                automaton.add_word(h, i)
+            automaton.make_automaton()
+        elif automaton is not None:
+            for title, pos in zip(texts_of(x), x["pos"].tolist()):
+                for i in {i for _, i in automaton.iter(title)}:
+                    if i not in best or pos < best[i][0]:
+                        best[i] = pos, title
+    if best:
+        yield batch()
+
+
+def first_containing(heads: DataFrame, titles: DataFrame) -> DataFrame:
+    """(head, t): for each of the distinct heads found in one of the distinct titles (t, pos), the title of
+    least pos that contains it.
+
+    Heads are dealt to automata of Aho and Corasick, HEADS in each at most on average; titles are cut into
+    slices, and each slice streams through each automaton in a task of its own, which returns a
+    row for a head at most. So a head that very many titles contain is found in all of them, but a row only
+    once for a slice."""
+    spark = heads.sparkSession
+    shards = max(1, -(-heads.count() // HEADS))
+    slices = SLICES * int(spark.conf.get("spark.sql.shuffle.partitions")) if shards == 1 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.groupBy(F.pmod(F.xxhash64("head"), F.lit(shards)).alias("shard")).agg(F.collect_list("head").alias("texts"))
+    dealt = dealt.select((F.col("shard") * slices).alias("first"), "texts").select(F.explode(F.sequence("first", F.col("first") + slices - 1)).alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), "texts")
+    blocks = titles.select("t", "pos").mapInArrow(_title_block, MEET).withColumn("at", F.pmod(F.xxhash64("data"), F.lit(slices)))
+    blocks = blocks.select(F.explode(F.sequence("at", F.col("at") + (shards - 1) * slices, F.lit(slices).cast("long"))).alias("key"), "kind", "place", "data")
+    hits = meet(dealt.mapInArrow(_head_shard, MEET).unionByName(blocks), _found, "head string, t string, pos long")
+    return hits.groupBy("head").agg(F.min_by("t", "pos").alias("t"))
+
+
+def first_title(queries: DataFrame, titles: DataFrame, most: int = 40) -> DataFrame:
     """For queries (qid, title): the titles (tid, pos, title) row equal to it (trimmed, case ignored),
     else the first that contains its first `most` characters.
 
-    Equal titles and equal beginnings are handled once. A beginning is looked up by the one of its
-    inner words (whole ones, then, wherever it stands) that fewest titles have, so a word that very
-    many share is no one's key; beginnings without an inner word go by their character grams in the
-    same way, and those shorter than a gram by a contains join of their own few rows."""
+    Equal titles and equal beginnings are handled once. An empty or null title finds nothing."""
     norm = lambda c: F.lower(F.trim(c))
     q = queries.select("qid", norm(F.col("title")).alias("q")).where("q <> ''")
-    t = titles.groupBy(norm(F.col("title")).alias("t")).agg(F.min_by("tid", "pos").alias("tid"), F.min("pos").alias("pos"))
-    both = q.join(t.withColumnRenamed("t", "q"), "q", "left").withColumn("head", F.substring("q", 1, most))
-    exact = both.where("pos IS NOT NULL").select("qid", "tid", F.lit(0).alias("rank"))
-    part = both.where("pos IS NULL").select("qid", "head")
-    heads = part.select("head").distinct()
-    words = lambda c: F.split(F.col(c), " ")
-    inner = F.filter(F.slice(words("head"), 2, F.greatest(F.size(words("head")) - 2, F.lit(0))), lambda w: w != "")
-    heads = heads.withColumn("inner", F.array_distinct(inner))
-
-    def looked_up(of_head: DataFrame, of_title: DataFrame) -> DataFrame:
-        """of_head (head, g) by their rarest g among of_title (t, tid, pos, g)."""
-        of_title = of_title.join(of_head.select("g").distinct(), "g", "left_semi")
-        seen = of_title.groupBy("g").agg(F.count("*").alias("n"))
-        rarest = of_head.join(seen, "g", "left").groupBy("head").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
-        return rarest.join(of_title, "g").where(F.contains("t", F.col("head"))).select("head", "tid", "pos")
-
-    found = looked_up(heads.where(F.size("inner") > 0).select("head", F.explode("inner").alias("g")), t.select("t", "tid", "pos", F.explode(F.array_distinct(words("t"))).alias("g")))
-    bare = heads.where(F.size("inner") == 0).select("head")
-    if not bare.isEmpty():
-        # the characters are a lambda's argument: split once, not for each gram
-        each = lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - gram + 1), lambda i: F.array_join(F.slice(cs, i, gram), ""))
-        grams = lambda c: F.explode(F.array_distinct(F.get(F.transform(F.array(F.split(F.col(c), "")), each), F.lit(0))))
-        found = found.unionByName(looked_up(bare.where(F.length("head") >= gram).select("head", grams("head").alias("g")), t.where(F.length("t") >= gram).select("t", "tid", "pos", grams("t").alias("g"))))
-        found = found.unionByName(bare.where(F.length("head") < gram).join(t, F.contains("t", F.col("head"))).select("head", "tid", "pos"))
-    inside = part.join(found.groupBy("head").agg(F.min_by("tid", "pos").alias("tid")), "head").select("qid", "tid", F.lit(1).alias("rank"))
-    return queries.select("qid").join(exact.unionByName(inside), "qid", "left")
+    t = written(titles.groupBy(norm(F.col("title")).alias("t")).agg(F.min_by("tid", "pos").alias("tid"), F.min("pos").cast("long").alias("pos")).where("t <> ''"), "titles")
+    both = q.join(t.select(F.col("t").alias("q"), "tid", F.lit(0).alias("exact")), "q", "left").withColumn("head", F.when(F.col("exact").isNull(), F.substring("q", 1, most)))
+    both = written(both.select("qid", "tid", "exact", "head"), "titled")
+    found = first_containing(both.where("head IS NOT NULL").select("head").distinct(), t).join(t.select("t", F.col("tid").alias("inside")), "t")
+    out = both.join(found.select("head", "inside", F.lit(1).alias("part")), "head", "left").withColumn("rank", F.coalesce("exact", "part")).where("rank IS NOT NULL")
+    out = out.select("qid", F.when(F.col("rank") == 0, F.col("tid")).otherwise(F.col("inside")).alias("tid"), "rank")
+    return queries.select("qid").join(out, "qid", "left")
 
 
 def title_in_scope(queries: DataFrame, nodes: DataFrame, scope: str, most: int = 30) -> DataFrame:
@@ -97,24 +144,3 @@ def by_either_id(rows: DataFrame, table: DataFrame, first: str, second: str, key
 def provider_of(rows: DataFrame, name: str, dim: DataFrame, override: str) -> DataFrame:
     """rows with provider: the override where given, else that of the first prefix of the name in dim."""
     return prefix_join(rows, name, dim, longest=False).withColumn("provider", F.coalesce(F.nullif(F.col(override), F.lit("")), F.col("provider")))
-
-
-def token_overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """Keyword search: docs (doc, pos, tokens) by the number of a query's (qid, tokens) distinct tokens
-    they have; above 0; k (1 to 10) per query, equal scores in order of pos.
-
-    Queries of at most MOST_TOKENS tokens in all are broadcast: then documents stay where they are,
-    a document's hits are added up in its task, and the best k of each task are all that a shuffle
-    sees. More of them are joined by token."""
-    k = min(max(k, 1), 10)
-    q = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("w"))
-    if q.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
-        q = F.broadcast(q.groupBy("w").agg(F.collect_list("qid").alias("qids")))
-        d = docs.select("doc", "pos", F.explode(F.array_distinct("tokens")).alias("w"))
-        hits = d.join(q, "w").select("doc", "pos", F.explode("qids").alias("qid")).groupBy("qid", "doc", "pos").agg(F.count("*").alias("overlap"))
-        w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "pos")
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "doc", "pos", "overlap", "rank")
-    d = docs.select("doc", "pos", F.explode(F.array_distinct("tokens")).alias("w"))
-    hits = d.join(q, "w").groupBy("qid", "doc", "pos").agg(F.count("*").alias("overlap"))
-    w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "pos")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import audit, ensemble, graph, joins, report, sampling, validate
+from quillgraph.operators import audit, ensemble, graph, joins, report, sampling, search, validate
 from quillgraph.functions import sections as S
 from quillgraph.plans import tables as T
 
@@ -85,7 +85,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0))
     q = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tok(F.col("text")).alias("tokens"))
     d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("pos"), tok(F.col("text")).alias("tokens"))
-    return joins.token_overlap_search(q, d, 5).select("qid", "doc", "overlap", "rank")
+    return search.token_overlap_search(q, d, 5).select("qid", "doc", "overlap", "rank")
 
 
 SEARCH_SQL = r"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM benchmark),
