@@ -31,8 +31,10 @@ def triage_cases(claims: DataFrame, labels: DataFrame, pool: DataFrame) -> DataF
     direct = direct.join(papers.select("arxiv_id", F.lit(True).alias("known")), "arxiv_id", "left")
     titles = named.select(F.col("title").alias("_t"), "tid")
     direct = direct.join(titles, (F.lower(F.trim("title")) == F.col("_t")) & F.col("known").isNull(), "left").withColumn("arxiv_id", F.coalesce("tid", "arxiv_id")).drop("_t", "tid", "known")
-    direct = direct.join(papers, "arxiv_id", "left")
-    missing = direct.where(~F.coalesce(any_match(F.col("sections"), F.col("section")), F.lit(False)))
+    # headers are compared once for each paper and section, however many labels name them
+    pairs = direct.select("arxiv_id", F.col("section").alias("_s")).distinct().join(papers, "arxiv_id", "left")
+    pairs = pairs.where(~F.coalesce(any_match(F.col("sections"), F.col("_s")), F.lit(False))).withColumnRenamed("arxiv_id", "_a")
+    missing = direct.join(pairs, (F.col("arxiv_id") == F.col("_a")) & F.col("section").eqNullSafe(F.col("_s")))
     us = missing.select(F.lit(1).alias("ord"), F.concat(F.lit("us_"), "sample", F.lit("_l"), "idx").alias("case_id"), F.lit("unresolved_section").alias("type"), "sample", "arxiv_id", "section", F.greatest(size, F.lit(0)).alias("n_sections"))
     return vf.unionByName(us)
 
