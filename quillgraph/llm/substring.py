@@ -4,16 +4,17 @@ A window is so many consecutive words of one text. Where it recurs, its lowest h
 12-gram recurs at the same place in it; these lowest 12-grams (anchors) are counted first.
 For an anchor that recurs, each run of windows with it as their lowest 12-gram is a string that
 goes to the shard of the anchor, so that a window is in one string and equal windows meet. A shard
-leaves out windows whose hash is alone there, builds a compressed FM-index over the strings that
-remain and streams them through it: the matching statistics tell at each place how long a match
-occurs twice, and matches of a window's length are reported as intervals of words to remove.
+builds a compressed FM-index over all its distinct strings and streams them through it: the matching
+statistics tell at each place how long a match occurs twice, and matches of a window's length are
+reported as intervals of words to remove. Nothing but them says which words go.
 
 Equal strings are one with a weight. The strings of an anchor with more than HOT places (a licence
-line in a third of all texts) would fill one shard. Their lone windows are left out before, counted
-by a 64-bit hash with partial sums, which no single task sees; what remains is a few distinct
-strings, merged with their weights on the way to the shards, and what the FM-index finds in one
-goes to all its places. Either way is exact but for collisions of 64-bit hashes, by which words and
-texts are told apart too.
+line in a third of all texts) would fill one shard, so its windows travel one by one to the shard of
+their own hash. Those whose first window - MARGIN words occur once, counted by a 64-bit hash with
+partial sums, are left out before, as an anchor that occurs once is: they cannot recur, and of the others
+the FM-index decides. Equal windows are one with a weight, with words from one of its places; what
+the FM-index finds in it goes to all its places. Either way is exact but for collisions of 64-bit
+hashes, by which words and texts are told apart too.
 
 Defined results: a null text has no words; a window never spans two texts; windows are
 judged on the input; rows are documents of their own, whether they repeat an id, lack one or repeat
@@ -36,12 +37,13 @@ from pyspark.sql import functions as F
 from .fmindex import FMIndex
 from .mixing import spare_names
 from .store import written
-from .words import hash_words, mix, slices, spans, text_column, windows
+from .words import hash_words, slices, spans, text_column, windows
 
 GRAM = 12
 HOT = 200
 SHARD_STRINGS = 10_000
 RUN = 36  # windows in a string at most
+MARGIN = 3
 
 
 def _slide(f, x: np.ndarray, n: int) -> np.ndarray:
@@ -114,45 +116,36 @@ def _packed(h: np.ndarray, a: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _send(window: int, gram: int, what: str):
     """From texts with a list of words: `cold`, strings of the windows with an anchor from there; `hot`,
-    these windows hashed; `again`, strings of the windows that begin there, one of equal ones with its words."""
-
-    def places(b: pa.RecordBatch) -> Iterator[tuple]:
-        """(word hashes, windows, the lowest of each, row of each, first words of rows, doc_ids, copies)."""
-        data, off = text_column(b, "text")
-        ids, copies = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "copies"))
-        at = b.column(b.schema.get_field_index(what))
-        flat, edge = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in at])])
-        for i, j in slices(off):
-            if edge[j] > edge[i]:
-                h, first = _read(b, i, j, data, off)
-                g, low = lowest(h, first, window, gram)
-                w = np.repeat(first[:-1], np.diff(edge[i : j + 1])) + flat[edge[i] : edge[j]]
-                if what == "again":
-                    w = np.sort(w)
-                else:
-                    known = np.unique(g[w])
-                    w = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
-                yield h, w, low[w], np.searchsorted(first, w, "right") - 1, first, ids[i:j], copies[i:j]
+    these windows hashed, and their beginnings; `again`, the words of windows that are asked for by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, w, low, row, first, ids, copies in places(b):
+            data, off = text_column(b, "text")
+            ids, copies = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "copies"))
+            at = b.column(b.schema.get_field_index(what))
+            items, edge = at.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in at])])
+            flat = (items.field("at") if what == "again" else items).to_numpy(zero_copy_only=False)
+            for i, j in slices(off):
+                if edge[j] == edge[i]:
+                    continue
+                h, first = _read(b, i, j, data, off)
+                w = np.repeat(first[:-1], np.diff(edge[i : j + 1])) + flat[edge[i] : edge[j]]
+                if what == "again":
+                    own, n = (items.field(c).slice(edge[i], len(w)) for c in ("window", "copies"))
+                    yield pa.RecordBatch.from_arrays([own, own, pa.array(np.zeros(len(w), np.int32)), n, _packed(h, w, np.full(len(w), window))], ["anchor", "doc_id", "at", "copies", "words"])
+                    continue
+                g, low = lowest(h, first, window, gram)
+                known = np.unique(g[w])
+                w = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
+                row = np.searchsorted(first, w, "right") - 1
                 if what == "hot":
-                    yield pa.RecordBatch.from_arrays([pa.array(windows(h, window)[w].view(np.int64)), pa.array(ids[row]), pa.array((w - first[row]).astype(np.int32)), pa.array(copies[row])], ["window", "doc_id", "at", "copies"])
+                    kinds = [pa.array(windows(h, n)[w].view(np.int64)) for n in (window, window - MARGIN)]
+                    yield pa.RecordBatch.from_arrays([*kinds, pa.array(ids[i:j][row]), pa.array((w - first[row]).astype(np.int32)), pa.array(copies[i:j][row])], ["window", "begin", "doc_id", "at", "copies"])
                     continue
-                k, size = _strings(w, low, row, window)
+                k, size = _strings(w, low[w], row, window)
                 a, r = w[k], row[k]
-                cols = [pa.array(low[k].view(np.int64)), pa.array(ids[r]), pa.array((a - first[r]).astype(np.int32)), pa.array(copies[r])]
-                if what == "cold":
-                    yield pa.RecordBatch.from_arrays([*cols, _packed(h, a, size)], ["anchor", "doc_id", "at", "copies", "words"])
-                    continue
-                key = windows(h, window)
-                with np.errstate(over="ignore"):  # the first and the last window hold all words, as RUN is no more than a window and one
-                    key = mix(key[a] * np.uint64(0x9E3779B97F4A7C15) + mix(key[a + size - window]) + size.astype(np.uint64))
-                one = np.zeros(len(k), bool)
-                one[np.unique(key, return_index=True)[1]] = True
-                words = _packed(h, a[one], size[one]).take(pa.array(np.where(one, np.cumsum(one) - 1, 0), mask=~one))
-                yield pa.RecordBatch.from_arrays([*cols, words, pa.array(key.view(np.int64))], ["anchor", "doc_id", "at", "copies", "words", "string"])
+                cols = [pa.array(low[a].view(np.int64)), pa.array(ids[i:j][r]), pa.array((a - first[r]).astype(np.int32)), pa.array(copies[i:j][r])]
+                yield pa.RecordBatch.from_arrays([*cols, _packed(h, a, size)], ["anchor", "doc_id", "at", "copies", "words"])
 
     return run
 
@@ -168,44 +161,14 @@ def _runs(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _clipped(strings: list[bytes], weight: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows whose hash is not alone among the strings: distinct ones with their weights, and
-    for each string's runs (string, place in it, number of the distinct run)."""
-    size = np.array([len(x) // 8 for x in strings])
-    first = np.concatenate([[0], np.cumsum(size)])
-    h = np.frombuffer(b"".join(strings), np.uint64)
-    key = windows(h, window)
-    at = np.arange(len(key))
-    owner = np.searchsorted(first, at, "right") - 1
-    inside = at + window <= first[owner + 1]
-    at, owner = at[inside], owner[inside]
-    _, back = np.unique(key[at], return_inverse=True)
-    twice = np.bincount(back, weight[owner])[back] > 1
-    at, owner = at[twice], owner[twice]
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (owner[1:] != owner[:-1])])) if len(at) else at
-    a, z, owner = at[begin], at[np.append(begin[1:], len(at)) - 1] + window if len(at) else at, owner[begin]
-    kinds: dict[bytes, int] = {}
-    kind = np.array([kinds.setdefault(h[x:y].tobytes(), len(kinds)) for x, y in zip(a.tolist(), z.tolist())], np.int64)
-    runs = [np.frombuffer(x, np.uint64) for x in kinds]
-    return runs, np.bincount(kind, weight[owner], len(runs)).astype(np.int64), np.stack([owner, a - first[owner]], axis=1), kind
-
-
 def _search(window: int):
     def run(t: pa.Table) -> pa.Table:
         kinds: dict[bytes, int] = {}  # equal strings are one with a weight
         kind = np.array([kinds.setdefault(x.as_py(), len(kinds)) for x in t.column("words")])
         weight = np.bincount(kind, t.column("copies").to_numpy()).astype(np.int64)
-        runs, heavy, of, which = _clipped(list(kinds), weight, window)
-        hits: list = [np.arange(len(s)) + window <= len(s) for s in runs]  # a run that recurs matches as a whole
-        ask = [i for i in range(len(runs)) if heavy[i] == 1]
-        if ask:
-            for i, m in zip(ask, FMIndex(runs, heavy).matching([runs[i] for i in ask])):
-                hits[i] = m >= window
-        spans_ = [_runs(h, window) for h in hits]
-        found: dict[int, list] = {}
-        for (s, a), k in zip(of.tolist(), which.tolist()):
-            found.setdefault(s, []).extend((a + x, a + y) for x, y in spans_[k])
-        out = [(d, a + x, a + y) for d, a, k in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), kind.tolist()) for x, y in found.get(k, ())]
+        strings = [np.frombuffer(x, np.uint64) for x in kinds]
+        spans_ = [_runs(m >= window, window) for m in FMIndex(strings, weight).matching(strings)]
+        out = [(d, a + x, a + y) for d, a, k in zip(t.column("doc_id").to_pylist(), t.column("at").to_pylist(), kind.tolist()) for x, y in spans_[k]]
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1], pa.int32()), "b": pa.array(cols[2], pa.int32())})
 
@@ -230,17 +193,16 @@ def repeated(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
         return dealt.groupBy("shard").applyInArrow(_search(window), "doc_id long, a int, b int")
 
     cold = searched(full.where(F.size("cold") > 0).mapInArrow(_send(window, gram, "cold"), string), of.agg(F.sum(F.size("cold"))).first()[0] or 0)
-    # written, so that a window in very many texts is a skewed side of the join below, which can be split
-    each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, "hot"), "window long, doc_id long, at int, copies long"), "windows")
-    twice = written(each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "twice")
-    again = each.join(twice, "window").groupBy("doc_id").agg(F.collect_list("at").alias("again"))
-    hot = written(full.select("doc_id", "text", "copies").join(again, "doc_id").mapInArrow(_send(window, gram, "again"), f"{string}, string long"), "strings")
-    weights = hot.groupBy("string").agg(F.sum("copies").alias("copies"))
-    merged = hot.where("words IS NOT NULL").select("anchor", "string", "words").dropDuplicates(["string"]).join(weights, "string")
-    merged = written(merged.select("anchor", F.col("string").alias("doc_id"), F.lit(0).alias("at"), "copies", "words"), "merged")
-    # written, as a string in very many texts is a skewed side of the join with it
-    found = written(searched(merged, merged.count()).withColumnRenamed("doc_id", "string"), "found")
-    common = hot.select("string", "doc_id", "at").join(found, "string").select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    # written, so that a window in very many texts is a skewed side of the joins below, which can be split
+    each = written(full.where(F.size("hot") > 0).mapInArrow(_send(window, gram, "hot"), "window long, begin long, doc_id long, at int, copies long"), "windows")
+    begun = written(each.groupBy("begin").agg(F.sum("copies").alias("n")).where("n > 1").select("begin"), "begun")
+    place = F.struct("doc_id", "at")
+    kinds = written(each.join(begun, "begin").groupBy("window").agg(F.min(place).alias("place"), F.sum("copies").alias("copies")), "kinds")
+    again = kinds.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.at", "window", "copies")).alias("again"))
+    sent = full.select("doc_id", "text", "copies").join(again, "doc_id").mapInArrow(_send(window, gram, "again"), string)
+    # written, as a window in very many texts is a skewed side of the join with it
+    found = written(searched(sent, kinds.count()).select(F.col("doc_id").alias("window")), "found")
+    common = each.join(found, "window").select("doc_id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
     return cold.unionByName(common)
 
 

@@ -92,3 +92,46 @@ def test_repeated_ids_with_other_texts_and_clashing_names(spark):
     out = substring.removed(docs)
     assert out.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "kept"]
     assert sorted((r.spans, r.n_removed) for r in out.collect()) == [("s", 50), ("t", 50), ("u", 0), ("v", 0)]
+
+
+def test_the_index_decides(monkeypatch):
+    """With matching statistics that are wrong, the words that go are others, for either kind of anchor."""
+    import pyarrow as pa
+
+    from quillgraph.llm.words import text_column
+
+    rng = np.random.default_rng(10)
+    w = [f"w{i}" for i in range(2000)]
+    shared = list(rng.choice(w, 60))
+    texts = [" ".join([*rng.choice(w, 40), *shared[: 40 + i], *rng.choice(w, 40)]) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    data, off = text_column(batch, "text")
+    ids = np.arange(8)
+
+    def covered(hot):
+        anchor = next(iter(substring._anchor_rows(35, 12)(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(ids)], ["text", "doc_id"])]))))
+        n = Counter(anchor.column(0).to_pylist())
+        at: list[list[int]] = [[] for _ in ids]
+        for a, d, x in zip(*(c.to_pylist() for c in anchor.columns)):
+            if n[a] > 1:
+                at[d].append(x)
+        full = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(np.ones(8, np.int64)), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "text", "copies", "hot" if hot else "cold"])
+        sent = pa.Table.from_batches(substring._send(35, 12, "hot" if hot else "cold")(iter([full])))
+        if hot:
+            begun = Counter(sent.column("begin").to_pylist())
+            rows = [r for r in sent.to_pylist() if begun[r["begin"]] > 1]
+            one = {r["window"]: r for r in rows}
+            weight = Counter(r["window"] for r in rows)
+            asked: list[list[dict]] = [[{"at": r["at"], "window": r["window"], "copies": weight[r["window"]]} for r in one.values() if r["doc_id"] == d] for d in ids]
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("window", pa.int64()), ("copies", pa.int64())]))
+            again = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(np.ones(8, np.int64)), pa.array(asked, kind)], ["doc_id", "text", "copies", "again"])
+            found = set(substring._search(35)(pa.Table.from_batches(substring._send(35, 12, "again")(iter([again])))).column("doc_id").to_pylist())
+            return {(r["doc_id"], x) for r in rows if r["window"] in found for x in range(r["at"], r["at"] + 35)}
+        return {(d, x) for d, a, b in zip(*(substring._search(35)(sent).column(c).to_pylist() for c in ("doc_id", "a", "b"))) for x in range(a, b)}
+
+    want = {(i, x) for i, n, gone, *_ in truth([(i, t) for i, t in enumerate(texts)], 35) for x in range(40, 40 + gone)}
+    assert covered(False) == want and covered(True) == want
+    matching = FMIndex.matching
+    for wrong in (lambda self, q: [np.arange(len(x), 0, -1) for x in q], lambda self, q: [m - 1 for m in matching(self, q)]):
+        monkeypatch.setattr(FMIndex, "matching", wrong)
+        assert covered(False) != want and covered(True) != want
