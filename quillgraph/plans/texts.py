@@ -9,6 +9,7 @@ from quillgraph.functions import sections as S
 from quillgraph.functions import text as X
 from quillgraph.operators import sampling
 from quillgraph.plans import tables as T
+from quillgraph.sources import papers
 
 
 def sql_norm(x: str) -> str:
@@ -275,28 +276,32 @@ def tool_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.sources.papers import parse_papers
+    """All pages as papers: counts, the first header, and md5 of all headers, texts and cells."""
+    d = papers.parse_papers(T.table(spark, sf_dir, "pages"), "page_id", "html")
+    whole = F.array_join(F.transform("sections", lambda s: F.concat(s["header"], F.lit("="), s["text"])), "|")
+    cells = F.array_join(F.transform("tables", lambda t: F.concat(t["caption"], F.lit("="), F.array_join(F.flatten(t["rows"]), ","))), "|")
+    return d.select("page_id", F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.get("sections", F.lit(0))["header"].alias("header"), F.md5(whole).alias("sections"), F.md5(cells).alias("tables"))
 
-    d = parse_papers(T.table(spark, sf_dir, "pages"), "page_id", "html")
-    return d.select("page_id", F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.get("sections", F.lit(0))["header"].alias("header"))
+
+HTML_SQL = papers.sql_of("SELECT page_id AS k, html FROM pages") + """
+SELECT k AS page_id, len(sections)::INT AS n_sections, len(tables)::INT AS n_tables, sections[1].header AS header,
+  md5(array_to_string(list_transform(sections, lambda s: s.header || '=' || s.text), '|')) AS sections, md5(array_to_string(list_transform(tables, lambda t: t.caption || '=' || array_to_string(flatten(t.rows), ',')), '|')) AS tables FROM result"""
 
 
 QUERIES["tool_call_texts"] = (tool_call_texts, """SELECT o_orderkey, 'text_1' AS id, ['think', 'read_section', 'search_papers', 'get_references'][o_orderkey % 6 + 1] AS name,
 CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey % 6 < 4""")
-QUERIES["html_sections"] = (html_sections, None)
+QUERIES["html_sections"] = (html_sections, HTML_SQL)
 
 
 def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made by a rule: numbered and appendix sections, references, a table; every fifth has none."""
-    from quillgraph.sources.papers import counted, parse_papers
-
     k = F.col("o_orderkey").cast("string")
     page = F.concat(
         F.lit("<html><body><section><h2>"), k, F.lit(". Intro "), F.col("o_orderstatus"), F.lit("</h2><p>First <b>words</b> of "), k, F.lit(".</p><p>More.</p></section><section><h2>Appendix B Proofs</h2><p>A &amp; b</p></section>"),
         F.lit("<section><h2>References</h2><p>[1]</p></section>"), F.when(F.col("o_orderkey") % 3 == 0, F.lit('<figure class="ltx_table"><figcaption class="ltx_caption">Cap</figcaption><table><tr><th>a</th><td>b</td></tr></table></figure>')).otherwise(""), F.lit("</body></html>"),
     )
     d = T.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, page).otherwise("<p></p>").alias("html"))
-    p = counted(parse_papers(d, "o_orderkey", "html"))
+    p = papers.counted(papers.parse_papers(d, "o_orderkey", "html"))
     return p.select("o_orderkey", "n_sections", "n_tables", F.array_join(F.transform("sections", lambda s: F.concat(s["header"], F.lit("="), s["text"])), "|").alias("sections"))
 
 

@@ -1,196 +1,217 @@
-"""Paper pages as sections and tables, one pass per page over a small element tree."""
+"""Paper pages as sections and tables, relationally: tags are rows, elements are intervals.
+
+A page is cut into tokens, one row each. Running sums over the tags of a name give each start tag its
+level, and with it the end tag at that level; an element whose end tag is missing ends with the innermost
+closed element around it, and of end tags without a start tag nothing remains. Running sums over all
+starts and ends give depths. Sections, headings, table cells and texts then meet by joins on the page
+and on positions inside intervals. A page may be of any length; rows of different pages never meet.
+
+The steps are SQL, written once for both engines that run it (`Dialect`): Spark keeps the tables that
+several steps read in the shared folder, and `sql_of` gives the same steps as one statement with CTEs.
+
+Defined results: a null page is empty, and pages without sections have empty arrays; where two elements cross, each
+ends at its own end tag; script and style texts belong to no section, but do to a header's part where they
+follow it directly; rows that repeat a key are not told apart, so keys must be distinct.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html
+from collections.abc import Callable
+from dataclasses import dataclass
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.session import written
+
 # Sections that are left out, by how their header begins.
 LEFT_OUT = ("references", "bibliography", "acknowledgement", "acknowledgment", "acknowledg", "checklist", "version control", "author contrib", "contributions", "ethics", "ethical", "disclosure of funding", "broader impact", "impact statement", "reproducibility", "summary of contributions", "список литературы")
 # How headers of appendices begin.
 APPENDIX = ("appendix", "supplementary", "приложение")
-_NO_END = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEADING = re.compile("h[1-6]$")
-
-
-class Node:
-    __slots__ = ("name", "kinds", "parent", "parts")
-
-    def __init__(self, name: str, kinds: str = "", parent: Node | None = None) -> None:
-        self.name, self.kinds, self.parent = name, kinds, parent
-        self.parts: list[Node | str] = []
-
-    def elements(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node)]
-
-    def walk(self) -> Iterator[Node]:
-        for e in self.elements():
-            yield e
-            yield from e.walk()
-
-    def first(self, test) -> Node | None:
-        return next((e for e in self.walk() if test(e)), None)
-
-    def strings(self) -> Iterator[str]:
-        for p in self.parts:
-            if isinstance(p, str):
-                if p.strip():
-                    yield p.strip()
-            else:
-                yield from p.strings()
-
-    def text(self, between: str = "") -> str:
-        return between.join(self.strings())
-
-
-class _Builder(HTMLParser):
-    """A tree without math annotations, which repeat what stands beside them."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.top = self.at = Node("")
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        n = Node(tag, dict(attrs).get("class") or "", self.at)
-        self.at.parts.append(n)
-        if tag not in _NO_END:
-            self.at = n
-
-    def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.parent is not None and n.name != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.parts.append(data)
-
-
-def tree(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    for e in [b.top, *b.top.walk()]:
-        e.parts = [p for p in e.parts if not (isinstance(p, Node) and p.name in ("annotation", "annotation-xml"))]
-    return b.top
-
-
-def _is_heading(e: Node) -> bool:
-    return bool(_HEADING.match(e.name))
-
-
-def _left_out(header: str) -> bool:
-    low = header.lower()
-    return low.startswith(LEFT_OUT) or "paper checklist" in low.split("\n")[0]
-
-
-def clean_header(raw: str) -> str | None:
-    """A header without numbering, appendices marked Apdx; None if the section is left out."""
-    header = re.sub(r"^[\d.]+\s*", "", re.sub(r"^[IVXLC]+(?=[A-Z])", "", raw))
-    if _left_out(header):
-        return None
-    low = header.lower()
-    start = next((a for a in APPENDIX if low.startswith(a)), None)
-    if start is not None:
-        rest = re.sub(r"^[\d.]+\s*", "", re.sub(r"^\s*:?\s*", "", header[len(start) :]))
-        lettered = re.match(r"[A-Z]", rest)
-        mark, title = ("Apdx_" + rest[0], re.sub(r"^[\s:]*", "", rest[1:]).strip()) if lettered else ("Apdx", rest.strip())
-        return f"{mark}: {title}" if title else mark
-    numbered = re.match(r"([AS])\.(\d+)\s*(.*)", header)
-    if numbered:
-        mark, title = f"Apdx_{numbered[1]}.{numbered[2]}", numbered[3].strip()
-        return f"{mark}: {title}" if title else mark
-    return header
-
-
-def sections(top: Node) -> list[dict]:
-    """Sections by h2; by h3 if that gives more and h2 gives one at most; else the outermost; without
-    any section element, what stands between headings."""
-    every = [e for e in top.walk() if e.name == "section"]
-    own = [(s, next((c for c in s.elements() if _is_heading(c)), None)) for s in every]
-    by = {n: [(s, h) for s, h in own if h is not None and h.name == n] for n in ("h2", "h3")}
-    chosen = by["h3"] if len(by["h2"]) <= 1 and len(by["h3"]) > len(by["h2"]) else by["h2"]
-    if not chosen:
-        outer = [s for s in every if not any(a.name == "section" for a in _above(s))]
-        chosen = [(s, h) for s in outer if (h := s.first(_is_heading)) is not None]
-    out = []
-    for s, h in chosen:
-        raw = h.text()
-        header = clean_header(raw)
-        if header is None:
-            continue
-        for inner in [e for e in s.walk() if e.name == "section"]:
-            head = inner.first(_is_heading)
-            if head is not None and _left_out(re.sub(r"^[\d.]+\s*", "", head.text())):
-                inner.parts = []  # the page keeps this for later sections too
-        text = s.text(" ")
-        text = text[len(raw) :].strip() if text.startswith(raw) else text
-        if text:
-            out.append({"header": header, "text": text})
-    return out or _between_headings(top)
-
-
-def _above(e: Node) -> Iterator[Node]:
-    while e.parent is not None:
-        e = e.parent
-        yield e
-
-
-def _between_headings(top: Node) -> list[dict]:
-    out = []
-    for h in [e for e in top.walk() if _is_heading(e)]:
-        header = re.sub(r"^[\d.]+\s*", "", h.text())
-        if _left_out(header):
-            continue
-        after = h.parent.elements()
-        body = []
-        for e in after[after.index(h) + 1 :]:
-            if _is_heading(e):
-                break
-            if (t := e.text(" ")) != "":
-                body.append(t)
-        if body:
-            out.append({"header": header, "text": "\n\n".join(body)})
-    return out
-
-
-def tables(top: Node) -> list[dict]:
-    """Tables in marked containers with their captions; without any, plain tables of two rows or more."""
-
-    def rows(t: Node) -> list[list[str]]:
-        lines = ([c.text() for c in r.walk() if c.name in ("td", "th")] for r in t.walk() if r.name == "tr")
-        return [x for x in lines if x]
 
-    out = []
-    for e in top.walk():
-        if "ltx_table" in e.kinds or "table-wrapper" in e.kinds:
-            t, c = e.first(lambda x: x.name == "table"), e.first(lambda x: "caption" in x.kinds)
-            if t is not None and (r := rows(t)):
-                out.append({"caption": c.text() if c is not None else "", "rows": r})
-    return out or [{"caption": "", "rows": r} for e in top.walk() if e.name == "table" and len(r := rows(e)) > 1]
+_NO_END = tuple("area base br col embed hr img input link meta param source track wbr".split())
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = rf"^{_WS}+|{_WS}+\z"
+_ATTRS = r'(?:[^"\x27>]+|"[^"]*"|\x27[^\x27]*\x27)*'
+_RAW = "|".join(rf"<{n}\b[^>]*>.*?(?:</{n}[^>]*>|\z)" for n in ("script", "style"))
+_ENTITY = "&(?:#[0-9]+;?|#x[0-9a-f]+;?|[a-z][a-z0-9]{1,31};?)"
+_TOKEN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}|<[!?][^>]*>|</?[a-z]{_ATTRS}>|{_ENTITY}|(?:[^<&]+|<[^a-z/!?<&])+|[<&]"
+_NAME, _SCRIPT = r"^</?([a-zA-Z][^/>\s]*)", r"(?is)^<(?:script|style)\b"
+_CLASS = r'(?i)\sclass\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^>\s]+)'
+_END = 1 << 30
+
+
+@dataclass(frozen=True)
+class Dialect:
+    regex: Callable[[str], str]  # a pattern as a literal
+    tokens: str  # (k, i, tok) of pages (k, html)
+    found: Callable[[str, str], str]
+    stripped: Callable[[str], str]
+    group1: str  # in a replacement
+    joined: Callable[[str, str, str], str]  # values with a separator, in an order
+    listed: Callable[[str, str], str]
+    unicode: Callable[[str], str]  # the character of a number
+    hexed: Callable[[str], str]
+    struct: Callable[[str, str, str, str], str]
+    none: str
+    begins: str  # a function: whether a text begins with another
+    gap: str  # two newlines
+
+
+def _spark_rx(p: str) -> str:
+    return f"r'{p}'"
+
+
+SPARK = Dialect(
+    _spark_rx, f"SELECT k, posexplode(regexp_extract_all(html, {_spark_rx(_TOKEN)}, 0)) AS (i, tok) FROM pages", lambda a, p: f"regexp_like({a}, {_spark_rx(p)})",
+    lambda a: f"regexp_replace({a}, {_spark_rx(_ENDS)}, '')", "$1", lambda a, s, o: f"string_agg({a}, {s}) WITHIN GROUP (ORDER BY {o})",
+    lambda a, o: f"transform(array_sort(collect_list(struct({o} AS o, {a} AS v))), x -> x.v)", lambda n: f"decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32')", lambda h: f"cast(conv({h}, 16, 10) AS bigint)",
+    lambda n, a, m, b: f"named_struct('{n}', {a}, '{m}', {b})", "array()", "startswith", r"'\n\n'",
+)
+
+
+def _duck_rx(p: str) -> str:
+    return f"'{p}'"
+
+
+DUCKDB = Dialect(
+    _duck_rx, f"SELECT k, unnest(range(len(t))) AS i, unnest(t) AS tok FROM (SELECT k, regexp_extract_all(html, {_duck_rx(_TOKEN)}) AS t FROM pages_)", lambda a, p: f"regexp_matches({a}, {_duck_rx(p)})",
+    lambda a: f"regexp_replace({a}, {_duck_rx(_ENDS)}, '', 'g')", r"\1", lambda a, s, o: f"string_agg({a}, {s} ORDER BY {o})",
+    lambda a, o: f"list({a} ORDER BY {o})", lambda n: f"chr({n}::INT)", lambda h: f"('0x' || {h})::BIGINT", lambda n, a, m, b: f"{{'{n}': {a}, '{m}': {b}}}","[]", "starts_with", "chr(10) || chr(10)",
+)
+
+
+def entity_rows() -> list[tuple[str, str]]:
+    """Names of character references (without &) and what they stand for, and numbers that do not stand for themselves."""
+    odd = [0, 13, *range(128, 160)]
+    return sorted(html5.items()) + [(f"#{n}", html.unescape(f"&#{n};")) for n in odd]
+
+
+def _clean(d: Dialect, raw: str) -> str:
+    """The header without numbering, appendices marked Apdx."""
+    rep = lambda x, p, by="''": f"regexp_replace({x}, {d.regex(p)}, {by})"
+    ex = lambda x, p, g=1: f"regexp_extract({x}, {d.regex(p)}, {g})"
+    h = rep(rep(raw, "^[IVXLC]+([A-Z])", f"'{d.group1}'"), rf"^[\p{{Nd}}.]+{_WS}*")
+    rest = rep(rep(rep(h, f"(?i)^(?:{'|'.join(APPENDIX)})"), f"^{_WS}*:?{_WS}*"), rf"^[\p{{Nd}}.]+{_WS}*")
+    lettered = d.stripped(rep(f"substring({rest}, 2)", f"^(?:{_WS}|:)*"))
+    number = rf"^([AS])\.(\p{{Nd}}+){_WS}*(.*)"
+    titled = lambda mark, title: f"CASE WHEN {title} <> '' THEN concat({mark}, ': ', {title}) ELSE {mark} END"
+    marked = f"CASE WHEN {d.found(rest, '^[A-Z]')} THEN {titled(f'''concat('Apdx_', substring({rest}, 1, 1))''', lettered)} ELSE {titled(chr(39) + 'Apdx' + chr(39), d.stripped(rest))} END"
+    numbered = titled(f"concat('Apdx_', {ex(h, number)}, '.', {ex(h, number, 2)})", d.stripped(ex(h, number, 3)))
+    return f"CASE WHEN {d.found(h, f'(?i)^(?:{chr(124).join(APPENDIX)})')} THEN {marked} WHEN {d.found(h, number)} THEN {numbered} ELSE {h} END"
+
+
+def _left_out(d: Dialect, header: str) -> str:
+    return d.found(header, rf"(?i)^(?:{'|'.join(LEFT_OUT)})|^[^\n]*paper checklist")
+
+
+def steps(d: Dialect) -> list[tuple[str, str, bool]]:
+    """(name, statement over pages (k, html) and earlier steps, whether several later steps read it)."""
+    rep = lambda x, p, by="''": f"regexp_replace({x}, {d.regex(p)}, {by})"
+    cut = lambda x: rep(x, rf"^[\p{{Nd}}.]+{_WS}*")
+    roman = rep("h.raw", "^[IVXLC]+([A-Z])", f"'{d.group1}'")
+    number = f"CASE WHEN lower(e.tok) LIKE '&#x%' THEN {d.hexed(rep(rep('lower(e.tok)', '^&#x0*(.*)', chr(39) + '0' + d.group1 + chr(39)), ';$'))} ELSE cast({rep(rep('e.tok', '^&#0*(.*)', chr(39) + '0' + d.group1 + chr(39)), ';$')} AS bigint) END"
+    heading = d.found("name", "^h[1-6]$")
+    return [
+        ("tok", d.tokens, False),
+        ("tags", f"""SELECT k, i, tok, lower(regexp_extract(tok, {d.regex(_NAME)}, 1)) AS name,
+           CASE WHEN {d.found('tok', f'(?i)^{_ENTITY}$')} THEN 'entity' WHEN NOT {d.found('tok', '^<[a-zA-Z/!?]')} OR tok = '</' THEN 'text' WHEN {d.found('tok', _SCRIPT)} THEN 'raw'
+             WHEN {d.found('tok', '^<[a-zA-Z]')} THEN CASE WHEN {d.found('tok', '(?s)/>$')} OR lower(regexp_extract(tok, {d.regex(_NAME)}, 1)) IN {_NO_END} THEN 'void' ELSE 'open' END
+             WHEN {d.found('tok', '^</[a-zA-Z]')} THEN 'close' ELSE 'other' END AS kind FROM tok""", True),
+        ("sums", "SELECT k, i, name, kind, sum(CASE kind WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY k, name ORDER BY i) AS s FROM tags WHERE kind IN ('open', 'close')", False),
+        ("lows", "SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY k, name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM sums", False),
+        ("levels", "SELECT k, i, name, kind, CASE kind WHEN 'open' THEN s - low ELSE s - low + 1 END AS lvl FROM lows WHERE kind = 'open' OR s >= low", False),
+        ("next", "SELECT *, lead(kind) OVER w AS nk, lead(i) OVER w AS ni FROM levels WINDOW w AS (PARTITION BY k, name, lvl ORDER BY i)", False),
+        ("opens", "SELECT k, i AS a, name, CASE WHEN nk = 'close' THEN ni END AS b FROM next WHERE kind = 'open'", True),
+        ("ended", f"""SELECT o.k, o.a, o.name, coalesce(o.b, e.b, {_END}) AS b FROM opens o
+           LEFT JOIN (SELECT u.k, u.a, min(c.b) AS b FROM opens u JOIN opens c ON u.k = c.k AND u.a > c.a AND u.a < c.b WHERE u.b IS NULL AND c.b IS NOT NULL GROUP BY u.k, u.a) e ON o.k = e.k AND o.a = e.a""", True),
+        ("moves", f"""SELECT k, i, max(tok) AS tok, max(kind) AS kind, max(name) AS name, sum(d) AS d, sum(x) AS x FROM (
+           SELECT k, i, tok, kind, name, CASE WHEN kind = 'open' THEN 1 ELSE 0 END AS d, CASE WHEN kind = 'open' AND name IN ('annotation', 'annotation-xml') THEN 1 ELSE 0 END AS x FROM tags
+           UNION ALL SELECT k, b, NULL, NULL, NULL, -1, CASE WHEN name IN ('annotation', 'annotation-xml') THEN -1 ELSE 0 END FROM ended WHERE b < {_END}) m GROUP BY k, i""", False),
+        ("placed", """SELECT k, i, tok, kind, name, sum(d) OVER w AS depth, sum(x) OVER w AS dropped, sum(CASE WHEN kind IN ('text', 'entity') THEN 0 ELSE 1 END) OVER w AS gap
+           FROM moves WINDOW w AS (PARTITION BY k ORDER BY i)""", False),
+        ("nodes", "SELECT * FROM placed WHERE dropped = 0", True),
+        ("elements", f"""SELECT n.k, n.i AS a, coalesce(e.b, n.i) AS b, n.name, n.depth + CASE WHEN n.kind = 'open' THEN 0 ELSE 1 END AS depth,
+           CASE WHEN n.kind = 'raw' THEN '' ELSE regexp_extract(n.tok, {d.regex(_CLASS)}, 1) END AS kinds
+           FROM nodes n LEFT JOIN ended e ON n.k = e.k AND n.i = e.a WHERE n.kind IN ('open', 'void', 'raw')""", True),
+        ("known", f"""SELECT tok, max_by(v, n) AS v FROM (
+           SELECT e.tok, length(x.name) AS n, concat(x.v, substring(e.tok, 2 + length(x.name))) AS v FROM (SELECT DISTINCT tok FROM nodes WHERE kind = 'entity') e
+             JOIN entities x ON substring(e.tok, 2, 2) = substring(x.name, 1, 2) AND {d.begins}(substring(e.tok, 2), x.name) WHERE x.name NOT LIKE '#%'
+           UNION ALL SELECT tok, 0, coalesce(x.v, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) ELSE {d.unicode('n')} END)
+             FROM (SELECT tok, CASE WHEN length(tok) > 12 THEN 1114112 ELSE {number} END AS n FROM (SELECT DISTINCT tok FROM nodes WHERE kind = 'entity' AND tok LIKE '&#%') e) e
+             LEFT JOIN entities x ON x.name = concat('#', cast(n AS VARCHAR(9)))) z GROUP BY tok""".replace("chr(65533)", d.unicode("65533")), False),
+        ("texts", f"""SELECT * FROM (SELECT k, min(i) AS i, max(depth) AS depth, {d.stripped(d.joined('coalesce(q.v, n.tok)', "''", 'i'))} AS s, false AS raw
+             FROM nodes n LEFT JOIN known q ON n.tok = q.tok AND n.kind = 'entity' WHERE kind IN ('text', 'entity') GROUP BY k, gap
+           UNION ALL SELECT k, i, depth, {d.stripped(rep(rep('tok', '(?s)^<[^>]*>'), '(?is)</(?:script|style)[^>]*>$'))}, true FROM nodes WHERE kind = 'raw') t WHERE s <> ''""", True),
+        ("heads", f"""SELECT *, {cut('raw')} AS cut FROM (SELECT h.k, h.a, h.b, h.name, h.depth, coalesce({d.joined('t.s', "''", 't.i')}, '') AS raw
+           FROM elements h LEFT JOIN texts t ON h.k = t.k AND t.i > h.a AND t.i < h.b AND NOT t.raw WHERE {heading.replace('name', 'h.name')} GROUP BY h.k, h.a, h.b, h.name, h.depth) x""", True),
+        ("secs", """SELECT s.k, s.a, s.b, min(CASE WHEN h.depth = s.depth + 1 THEN h.a END) AS own, min(h.a) AS sub, count(DISTINCT o.a) AS above
+           FROM elements s LEFT JOIN heads h ON s.k = h.k AND h.a > s.a AND h.a < s.b LEFT JOIN (SELECT * FROM elements WHERE name = 'section') o ON s.k = o.k AND s.a > o.a AND s.a < o.b
+           WHERE s.name = 'section' GROUP BY s.k, s.a, s.b""", True),
+        ("ranked", """SELECT s.*, h.name AS level, count(CASE WHEN h.name = 'h2' THEN 1 END) OVER w AS n2, count(CASE WHEN h.name = 'h3' THEN 1 END) OVER w AS n3
+           FROM secs s LEFT JOIN heads h ON s.k = h.k AND s.own = h.a WINDOW w AS (PARTITION BY s.k)""", False),
+        ("chosen", """SELECT k, a, b, CASE WHEN n2 + n3 = 0 THEN sub ELSE own END AS head FROM ranked
+           WHERE CASE WHEN n2 <= 1 AND n3 > n2 THEN level = 'h3' WHEN n2 > 0 THEN level = 'h2' ELSE above = 0 AND sub IS NOT NULL END""", False),
+        ("kept", f"""SELECT c.k, c.a, c.b, h.raw, {_clean(d, 'h.raw')} AS header FROM chosen c JOIN heads h ON c.k = h.k AND c.head = h.a WHERE NOT {_left_out(d, cut(roman))}""", True),
+        ("gone", f"""SELECT DISTINCT x.k, x.a, x.b FROM secs x JOIN heads h ON x.k = h.k AND x.sub = h.a JOIN kept c ON x.k = c.k AND x.a > c.a AND x.a < c.b WHERE {_left_out(d, 'h.cut')}""", False),
+        ("words", "SELECT t.* FROM texts t LEFT ANTI JOIN gone g ON t.k = g.k AND t.i > g.a AND t.i < g.b" if d is SPARK else "SELECT t.* FROM texts t ANTI JOIN gone g ON t.k = g.k AND t.i > g.a AND t.i < g.b", True),
+        ("own", f"""SELECT k, a, header, CASE WHEN {d.begins}(body, raw) THEN {d.stripped('substring(body, length(raw) + 1)')} ELSE body END AS body FROM (
+           SELECT c.k, c.a, c.header, c.raw, {d.joined('t.s', "' '", 't.i')} AS body FROM kept c JOIN words t ON c.k = t.k AND t.i > c.a AND t.i < c.b AND NOT t.raw GROUP BY c.k, c.a, c.header, c.raw) x""", False),
+        ("mains", "SELECT * FROM own WHERE body <> ''", True),
+        ("alone", "SELECT h.* FROM heads h LEFT JOIN (SELECT DISTINCT k FROM mains) m ON h.k = m.k WHERE m.k IS NULL", False),
+        ("parts", f"""SELECT k, a, b, depth, cut, least(pb, coalesce(lead(a) OVER (PARTITION BY k, pa, depth ORDER BY a), {_END})) AS stop FROM (
+           SELECT h.k, h.a, h.b, h.depth, h.cut, coalesce(max(p.a), -1) AS pa, coalesce(max(p.b), {_END}) AS pb
+           FROM alone h LEFT JOIN elements p ON h.k = p.k AND h.a > p.a AND h.a < p.b AND p.depth = h.depth - 1 GROUP BY h.k, h.a, h.b, h.depth, h.cut) x""", False),
+        ("pieces", f"""SELECT p.k, p.a, p.cut, e.a AS ea, {d.joined('t.s', "' '", 't.i')} AS s FROM parts p JOIN elements e ON p.k = e.k AND e.a > p.b AND e.a < p.stop AND e.depth = p.depth
+           JOIN words t ON e.k = t.k AND (t.i > e.a AND t.i < e.b AND NOT t.raw OR t.i = e.a) WHERE NOT {_left_out(d, 'p.cut')} GROUP BY p.k, p.a, p.cut, e.a""", False),
+        ("found", f"SELECT k, a, header, body FROM mains UNION ALL SELECT k, a, cut, {d.joined('s', d.gap, 'ea')} FROM pieces GROUP BY k, a, cut", False),
+        ("cells", f"""SELECT c.k, r.a AS ra, c.a, coalesce({d.joined('t.s', "''", 't.i')}, '') AS s FROM elements r JOIN elements c ON r.k = c.k AND c.a > r.a AND c.a < r.b AND c.name IN ('td', 'th')
+           LEFT JOIN texts t ON c.k = t.k AND t.i > c.a AND t.i < c.b AND NOT t.raw WHERE r.name = 'tr' GROUP BY c.k, r.a, c.a""", False),
+        ("lines", f"SELECT k, ra, {d.listed('s', 'a')} AS line FROM cells GROUP BY k, ra", False),
+        ("grids", f"""SELECT t.k, t.a, count(*) AS n, {d.listed('l.line', 'l.ra')} AS grid FROM elements t JOIN lines l ON t.k = l.k AND l.ra > t.a AND l.ra < t.b WHERE t.name = 'table' GROUP BY t.k, t.a""", True),
+        ("marked", """SELECT w.k, w.a, min(CASE WHEN e.name = 'table' THEN e.a END) AS ta, min(CASE WHEN e.kinds LIKE '%caption%' THEN e.a END) AS ca FROM elements w JOIN elements e ON w.k = e.k AND e.a > w.a AND e.a < w.b
+           WHERE w.kinds LIKE '%ltx!_table%' ESCAPE '!' OR w.kinds LIKE '%table-wrapper%' GROUP BY w.k, w.a""", False),
+        ("framed", f"""SELECT m.k, m.a, coalesce({d.joined('t.s', "''", 't.i')}, '') AS caption, max(g.a) AS ta FROM marked m JOIN grids g ON m.k = g.k AND m.ta = g.a
+           LEFT JOIN elements c ON m.k = c.k AND m.ca = c.a LEFT JOIN texts t ON c.k = t.k AND t.i > c.a AND t.i < c.b AND NOT t.raw GROUP BY m.k, m.a""", True),
+        ("tabs", """SELECT f.k, f.a, f.caption, g.grid FROM framed f JOIN grids g ON f.k = g.k AND f.ta = g.a
+           UNION ALL SELECT g.k, g.a, '', g.grid FROM grids g LEFT JOIN (SELECT DISTINCT k FROM framed) f ON g.k = f.k WHERE f.k IS NULL AND g.n > 1""", False),
+        ("result", f"""SELECT p.k, coalesce(s.sections, {d.none}) AS sections, coalesce(t.tables, {d.none}) AS tables FROM pages p
+           LEFT JOIN (SELECT k, {d.listed(d.struct('header', 'header', 'text', 'body'), 'a')} AS sections FROM found GROUP BY k) s ON p.k = s.k
+           LEFT JOIN (SELECT k, {d.listed(d.struct('caption', 'caption', 'rows', 'grid'), 'a')} AS tables FROM tabs GROUP BY k) t ON p.k = t.k""", False),
+    ]
+
+
+def sql_of(pages: str) -> str:
+    """CTEs, up to result (k, sections, tables), for DuckDB; pages: a statement that gives (k, html)."""
+    rows = ", ".join(f"('{n}', '{v.replace(chr(39), chr(39) * 2)}')" for n, v in entity_rows())
+    every = [("pages_", pages), ("entities", f"SELECT * FROM (VALUES {rows}) v(name, v)")]
+    every += [(n, s.replace("FROM pages p", "FROM pages_ p")) for n, s, _ in steps(DUCKDB)]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in every)
+
+
+def parse_papers(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """pages (key, html) as (key, sections: array of header and text, tables: array of caption and rows)."""
+    spark: SparkSession = pages.sparkSession
+    known = {"pages": pages.select(F.col(key).alias("k"), F.col(html).alias("html")), "entities": spark.createDataFrame(entity_rows(), "name string, v string")}
+    for name, statement, shared in steps(SPARK):
+        df = spark.sql(_with_frames(statement, known), **{n: known[n] for n in known if f"{{{n}}}" in _with_frames(statement, known)})
+        known[name] = written(df, name) if shared else df
+    return known["result"].withColumnRenamed("k", key)
 
 
-SCHEMA = "sections array<struct<header string, text string>>, tables array<struct<caption string, rows array<array<string>>>>"
+def _with_frames(statement: str, known: dict) -> str:
+    """Names of earlier steps after FROM and JOIN as fields for the frames."""
+    out = []
+    before = ""
+    for word in statement.replace("{", "{{").replace("}", "}}").split(" "):
+        name = word.rstrip(")\n")
+        out.append(f"{{{name}}}{word[len(name):]}" if before in ("FROM", "JOIN") and name in known else word)
+        before = word.strip().rpartition("\n")[2]
+    return " ".join(out)
 
 
 def counted(papers: DataFrame) -> DataFrame:
     """Parsed papers that have sections, with the numbers of their sections and tables."""
     return papers.where(F.size("sections") > 0).withColumns({"n_sections": F.size("sections"), "n_tables": F.size("tables")})
-
-
-def parse_papers(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """pages (key, html) as (key, sections, tables); a page is parsed as a whole, once."""
-    kind = dict(pages.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tops = [tree(h) for h in b[html]]
-            yield pd.DataFrame({key: b[key], "sections": [sections(t) for t in tops], "tables": [tables(t) for t in tops]})
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {SCHEMA}")

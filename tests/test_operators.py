@@ -5,21 +5,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import audit, bundle, ensemble, graph, joins, sampling
 from quillgraph.plans import runner
-from quillgraph.sources import files, http, papers
+from quillgraph.sources import files, http
 from quillgraph.streaming import live
 
-PAGE = """<html><body><section><h2>1 Intro</h2><p>Hello <math>x<annotation>raw</annotation></math> world.</p><section><h3>References</h3><p>gone</p></section></section>
-<section><h2>Appendix A Proofs</h2><p>proof</p></section><section><h2>A.1Title</h2><p>t</p></section><section><h2>References</h2><p>r</p></section>
-<figure class="ltx_table"><figcaption class="ltx_caption">Cap</figcaption><table><tr><th>a</th><td>b</td></tr></table></figure></body></html>"""
-
-
-def test_page_sections():
-    t = papers.tree(PAGE)
-    assert papers.sections(t) == [{"header": "Intro", "text": "Hello x world."}, {"header": "Apdx_A: Proofs", "text": "proof"}, {"header": "Apdx_A.1: Title", "text": "t"}]
-    assert papers.tables(t) == [{"caption": "Cap", "rows": [["a", "b"]]}]
-    assert papers.sections(papers.tree("<h1>2. X</h1><p>a</p><div>b</div><h2>Acknowledgments</h2><p>c</p>")) == [{"header": "X", "text": "a\n\nb"}]
-    assert papers.clean_header("CLIP Training") == "P Training" and papers.clean_header("Appendix: Additional") == "Apdx_A: dditional" and papers.clean_header("IIntroduction") == "Introduction"
-
 
 def test_edge_score(spark):
     c = F.array(*(F.lit("x" * n) for n in (100, 130, 10)))
