@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.packed import MEET, meet, meet_batch, pack, unpacked
+
 from .mixing import spare_names
-from .packed import MEET, meet, meet_batch, pack, unpack, unpacked
 from .perfecthash import PerfectHash
 from .store import small_batches, written
 

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packed import MEET, meet, pack
+from quillgraph.packed import MEET, meet, pack
+
 from .store import parts, small_batches, written
 
 BUCKET, BLOCK = 1024, 512

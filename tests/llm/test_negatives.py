@@ -62,7 +62,7 @@ def _parts(rows, n):
 
 
 def negatives_unpack(data):
-    from quillgraph.llm.packed import unpack
+    from quillgraph.packed import unpack
 
     return unpack(data)
 
