@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,51 +52,52 @@ def reference_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return d.select("a", "b", shared.cast("long").alias("shared"), F.round(F.coalesce(F.try_divide(shared.cast("double"), either), F.lit(0.0)), 4).alias("jaccard"))
 
 
+#: Bounded greedy expansion as a recursive statement: a row is a seed and the parent whose turn it is.
+GREEDY = """WITH RECURSIVE t AS (
+  SELECT seed, 1 AS level, 1 AS i, array(named_struct('node', seed, 'path', array(seed))) AS cur, cast(array() AS array<struct<node: string, path: array<string>>>) AS nxt, array(seed) AS seen,
+    0 AS at, 0 AS ranked, cast(NULL AS string) AS parent, cast(array() AS array<struct<node: string, score: double, path: array<string>>>) AS picked FROM {seeds}
+  UNION ALL
+  SELECT seed, CASE WHEN i < size(cur) THEN level ELSE level + 1 END, CASE WHEN i < size(cur) THEN i + 1 ELSE 1 END, CASE WHEN i < size(cur) THEN cur ELSE more END,
+    CASE WHEN i < size(cur) THEN more ELSE cast(array() AS array<struct<node: string, path: array<string>>>) END, concat(seen, transform(picked, x -> x.node)), level, size(nxt), parent_, picked
+  FROM (SELECT *, concat(nxt, transform(picked, x -> named_struct('node', x.node, 'path', x.path))) AS more
+    FROM (SELECT *, transform(slice(CASE WHEN size(good) > 0 THEN good ELSE filter(others, x -> NOT array_contains(seen, x.dst)) END, 1, width), x -> named_struct('node', x.dst, 'score', x.score, 'path', concat(path, array(x.dst)))) AS picked
+      FROM (SELECT t.*, cur[i - 1].node AS parent_, cur[i - 1].path AS path, element_at(array({{widths}}), level) AS width, coalesce(c.weak, array()) AS others, filter(coalesce(c.strong, array()), x -> NOT array_contains(seen, x.dst)) AS good
+        FROM (SELECT seed, level, i, cur, nxt, seen FROM t WHERE level <= {{levels}} AND i <= size(cur)) t LEFT JOIN {cands} c ON c.src = cur[i - 1].node) x) y) z
+) SELECT seed, at AS depth, ranked, parent, picked FROM t WHERE at > 0"""
+
+
+def candidates(edges: DataFrame, most: int, least: float) -> DataFrame:
+    """Per source the `most` best edges of a score of `least` (strong) and the `most` most cited (weak), each
+    in order, of equal targets the first. No choice can reach further, so a hub's other edges go here."""
+    one = edges.groupBy("src", "dst").agg(F.min_by(F.struct(F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"), "pos"), "pos").alias("e")).select("src", "dst", "e.*")
+    one = one.withColumn("rest", F.least(F.col("cited") / 100.0, F.lit(50.0)))
+    parts = []
+    for name, value, rows in (("strong", "score", one.where(F.col("score") >= least)), ("weak", "rest", one)):
+        n = F.row_number().over(Window.partitionBy("src").orderBy(F.col(value).desc(), "pos"))
+        own = rows.withColumn("n", n).where(F.col("n") <= most).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst", F.col(value).alias("score")))).alias(name))
+        parts.append(own.withColumn(name, F.transform(name, lambda x: F.struct(x["dst"].alias("dst"), x["score"].alias("score")))))
+    return parts[1].join(parts[0], "src", "left")
+
+
 def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...] = (10, 7), least: float = 3.0) -> DataFrame:
     """Bounded greedy expansion: per depth, parents in order take their best references not yet
     taken by any earlier parent or depth; where none reaches `least`, those cited most.
 
-    edges: src, dst, pos, score, cited. The choice of a parent depends on all before it, so a
-    seed is one sequential unit; seeds run in parallel. At depth d a seed needs the edges of
-    the few parents chosen so far (at most widths[0] * ... of them), fetched by a join for
-    each depth, so a task never sees more than these. Returns seed, depth, parent, node, rank,
-    score, path."""
-
-    def step(width: int):
-        def choose(t: pa.Table) -> pa.Table:
-            rows = t.to_pylist()  # of one seed: at most the product of its parents and their reachable candidates
-            seen = set(rows[0]["seen"])
-            rows.sort(key=lambda r: (r["order"], r["pos"]))
-            out = []
-            for _, own in groupby(rows, key=lambda r: r["order"]):
-                fresh = list({r["dst"]: r for r in reversed([r for r in own if r["dst"] not in seen])}.values())
-                best = [(-r["score"], r["pos"], r) for r in fresh if r["score"] >= least]
-                best = best or [(-min(float(r["cited"]) / 100.0, 50.0), r["pos"], r) for r in fresh]
-                for score, _, r in sorted(best, key=lambda x: x[:2])[:width]:
-                    seen.add(r["dst"])
-                    out.append((r["seed"], r["parent"], r["dst"], -float(score), [*r["path"], r["dst"]], len(out) + 1))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.int32())
-            cols = zip(*out) if out else [()] * len(kinds)
-            return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["seed", "parent", "node", "score", "path", "rank"])
-
-        return choose
-
-    front = seeds.select("seed", F.col("seed").alias("parent"), F.lit(1).alias("order"), F.array("seed").alias("path"), F.array("seed").alias("seen"))
-    out = None
-    for depth, width in enumerate(widths, 1):
-        most = Window.partitionBy("seed", "order").orderBy((F.col("score") >= least).desc(), F.when(F.col("score") >= least, F.col("score")).otherwise(F.col("cited")).desc(), "pos")
-        held = front.join(edges.withColumnRenamed("src", "parent"), "parent")
-        # an earlier parent takes `width` nodes at most, so deeper candidates cannot be reached
-        held = held.where(~F.array_contains("seen", F.col("dst"))).withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= F.col("order") * width)
-        held = held.select("seed", "parent", "order", "path", "seen", "dst", "pos", F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"))
-        new = held.groupBy("seed").applyInArrow(step(width), "seed string, parent string, node string, score double, path array<string>, rank int").withColumn("depth", F.lit(depth))
-        if depth < len(widths):
-            new = written(new, "expanded")  # read twice below
-        out = new if out is None else out.unionByName(new)
-        if depth < len(widths):
-            taken = new.groupBy("seed").agg(F.collect_set("node").alias("got"))
-            front = new.select("seed", F.col("node").alias("parent"), F.col("rank").alias("order"), "path").join(taken, "seed").withColumn("seen", F.array_union(F.array("seed"), F.col("got"))).drop("got")
-    return out
+    edges: src, dst, pos, score, cited. The choice of a parent depends on all before it, so a seed is a
+    sequence of turns, and all seeds take the same turn together: a recursive query whose rows carry what a seed has
+    taken. A turn joins each seed with the candidates of one parent, which are ranked and cut once for all turns.
+    Returns seed, depth, parent, node, rank, score, path."""
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    steps, most = 1, 1
+    for w in widths:
+        steps *= w
+        most += steps
+    cands = written(candidates(edges, most, least), "candidates")
+    statement = GREEDY.replace("{{widths}}", ", ".join(map(str, widths))).replace("{{levels}}", str(len(widths))).replace("picked\n  FROM (SELECT *, concat(nxt", "picked\n  FROM (SELECT *, concat(nxt")
+    rows = spark.sql(statement, cands=cands, seeds=seeds.select("seed"))
+    out = rows.select("seed", "depth", "ranked", "parent", F.posexplode("picked").alias("p", "x"))
+    return out.select("seed", "parent", F.col("x.node").alias("node"), F.col("x.score").alias("score"), F.col("x.path").alias("path"), (F.col("ranked") + F.col("p") + 1).cast("int").alias("rank"), "depth")
 
 
 def sibling_pairs(targets: DataFrame, key: str | list[str] = "seed") -> DataFrame:

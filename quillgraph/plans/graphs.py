@@ -66,6 +66,24 @@ def greedy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seed", "depth", "rank", "parent", "node", "score", F.array_join("path", ">").alias("path"))
 
 
+_NODE, _PICK = "STRUCT(node VARCHAR, path VARCHAR[])[]", "STRUCT(node VARCHAR, score DOUBLE, path VARCHAR[])[]"
+GREEDY_SQL = f"""WITH RECURSIVE {SCORED_SQL}, ed AS (SELECT src, dst, pos, score, cited FROM sc UNION ALL SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src), score, cited FROM sc),
+c AS MATERIALIZED (SELECT src, list({{'dst': dst, 'score': score::DOUBLE}} ORDER BY score DESC, pos) FILTER (score >= 3) AS strong,
+  list({{'dst': dst, 'score': least(cited / 100.0, 50.0)::DOUBLE}} ORDER BY least(cited / 100.0, 50.0) DESC, pos) AS weak FROM ed GROUP BY src),
+t AS (
+  SELECT 'S' || s_suppkey AS seed, 1 AS level, 1 AS i, [{{'node': 'S' || s_suppkey, 'path': ['S' || s_suppkey]}}]::{_NODE} AS cur, []::{_NODE} AS nxt, ['S' || s_suppkey] AS seen,
+    0 AS did, 0::BIGINT AS ranked, NULL::VARCHAR AS parent, []::{_PICK} AS picked FROM supplier
+  UNION ALL
+  SELECT seed, CASE WHEN i < len(cur) THEN level ELSE level + 1 END, CASE WHEN i < len(cur) THEN i + 1 ELSE 1 END, CASE WHEN i < len(cur) THEN cur ELSE more END, CASE WHEN i < len(cur) THEN more ELSE [] END,
+    seen || list_transform(p, lambda x: x.node), level, len(nxt), par, p
+  FROM (SELECT *, nxt || list_transform(p, lambda x: {{'node': x.node, 'path': x.path}}) AS more
+    FROM (SELECT *, list_transform(list_slice(CASE WHEN len(good) > 0 THEN good ELSE list_filter(others, lambda x: NOT list_contains(seen, x.dst)) END, 1, [10, 7][level]), lambda x: {{'node': x.dst, 'score': x.score, 'path': pp || [x.dst]}}) AS p
+      FROM (SELECT q.*, q.cur[q.i].node AS par, q.cur[q.i].path AS pp, coalesce(c.weak, []) AS others, list_filter(coalesce(c.strong, []), lambda x: NOT list_contains(q.seen, x.dst)) AS good
+        FROM (SELECT seed, level, i, cur, nxt, seen FROM t WHERE level <= 2 AND i <= len(cur)) q LEFT JOIN c ON c.src = q.cur[q.i].node) x) y) z
+), o AS (SELECT seed, did AS depth, ranked, parent, unnest(picked) AS x, unnest(range(len(picked))) AS k FROM t WHERE did > 0)
+SELECT seed, depth, (ranked + k + 1)::INT AS rank, parent, x.node AS node, x.score AS score, array_to_string(x.path, '>') AS path FROM o"""
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("title"))
     return graph.neighbours(T.edges(spark, sf_dir), nodes).select("src", "n", F.md5("listing").alias("listing"))
@@ -261,7 +279,7 @@ QUERIES = {
     "bridge_path": (bridge_path, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed, 'S' || (s_suppkey + 1) AS terminal FROM supplier) SELECT seed, terminal, arg_min(a.dst, a.pos) AS bridge FROM s JOIN edges a ON a.src = seed JOIN edges b ON b.src = a.dst AND b.dst = terminal GROUP BY 1, 2"),
     "reachable": (reachable, f"WITH {T.EDGES_SQL}, s AS (SELECT 'S' || s_suppkey AS seed, CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 'P' END || (s_suppkey * 3) AS target FROM supplier) SELECT seed, target, EXISTS (SELECT 1 FROM edges a WHERE a.src = seed AND a.dst = target) OR EXISTS (SELECT 1 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = seed AND b.dst = target) AS reachable FROM s"),
     "reference_jaccard": (reference_jaccard, f"WITH {T.EDGES_SQL}, n AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), p AS (SELECT 'S' || s_suppkey AS a, 'S' || (s_suppkey + 1) AS b FROM supplier), h AS (SELECT a, b, count(*) AS shared FROM p JOIN edges x ON x.src = a JOIN edges y ON y.src = b AND y.dst = x.dst GROUP BY 1, 2) SELECT p.a, p.b, coalesce(shared, 0) AS shared, round(coalesce(shared / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(shared, 0), 0), 0), 4) AS jaccard FROM p LEFT JOIN h USING (a, b) LEFT JOIN n na ON na.src = p.a LEFT JOIN n nb ON nb.src = p.b"),
-    "greedy_expand": (greedy_expand, None),
+    "greedy_expand": (greedy_expand, GREEDY_SQL),
     "neighbours": (neighbours, f"WITH {T.EDGES_SQL} SELECT src, count(*) AS n, md5(array_to_string(list(pos || '. ' || CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END ORDER BY pos), chr(10))) AS listing FROM edges LEFT JOIN part ON 'P' || p_partkey = dst GROUP BY src".replace("CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END", "CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '?' END")),
     "sibling_pairs": (sibling_pairs, SIBLING_SQL),
     "keyword_search": (keyword_search, SEARCH_SQL),
