@@ -97,9 +97,7 @@ def filter_report(chains: DataFrame) -> DataFrame:
 
 def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(section, key, n, value): least, middle (at place n // 2) and greatest value per key."""
-    mid = order_stats(rows, key, value, {"median": 0.5})
-    ends = rows.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias("min"), F.max(value).alias("max"))
-    j = mid.join(ends, F.col(key).eqNullSafe(F.col("_k")))
+    j = order_stats(rows, key, value, {"median": 0.5}, ends=True)
     shown = F.explode(F.array(*(F.struct(F.lit(x).alias("key"), F.col(x).cast("double").alias("value")) for x in ("min", "median", "max")))).alias("f")
     return j.select(F.col(key).cast("string").alias("section"), "n", shown).select("section", "f.key", "n", "f.value")
 
