@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import sections as S
 from quillgraph.functions import text as X
+from quillgraph.functions import toolcalls
 from quillgraph.operators import sampling
 from quillgraph.plans import tables as T
 from quillgraph.sources import papers
@@ -263,16 +264,29 @@ QUERIES = {
 
 
 def tool_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.functions.toolcalls import maybe_calls, tool_calls
-
-    k = F.col("o_orderkey").cast("string")
+    """Documents and turns of conversations with a call of their own words in one of five notations, by SQL."""
+    docs = T.table(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) AS k", "doc_id % 5 AS f", "text")
+    turns = T.table(spark, sf_dir, "conversations").selectExpr("concat('c', conv_id, '-', turn) AS k", "(conv_id + turn) % 5 AS f", "text")
+    v = "regexp_replace(split(text, '\n')[0], '[^A-Za-z0-9 ]', '')"
     forms = [
-        F.concat(F.lit('ok <tool_call>{"name": "think", "arguments": {"a": "'), k, F.lit('"}}</tool_call>')), F.concat(F.lit("```tool_code\nread_section(paper_id='"), k, F.lit("', n=3)\n```")),
-        F.concat(F.lit('I call {"name": "search_papers", "arguments": {"q": "'), k, F.lit('"}} now')), F.concat(F.lit("get_references(paper_id="), k, F.lit(")")), F.concat(F.lit("unknown_tool(x="), k, F.lit(")")), F.lit("no call"),
+        f"""concat(text, ' <tool_call>{{"name": "think", "arguments": {{"a": "', {v}, '"}}}}</tool_call>')""", f"""concat('```tool_code\nread_section(paper_id="', {v}, '", n=', length(text), ')\n```\n', text)""",
+        f"""concat('I call {{"name": "search_papers", "arguments": {{"q": "', {v}, '"}}}} now ', text)""", f"""concat(text, '\nso [think(a=', length(text), '), get_references(b="', {v}, '")]')""",
+        f"""concat(text, '\nget_references(paper_id="', {v}, '")')""",
     ]
-    d = T.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
-    c = d.where(maybe_calls(F.col("t"))).withColumn("c", F.explode(tool_calls("t")))
-    return c.select("o_orderkey", "c.id", "c.name", F.array_join(F.array_sort(F.transform(F.map_entries("c.args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("args"))
+    toolcalls.register(spark)
+    texts = docs.unionByName(turns).selectExpr("k", f"CASE f {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(forms))} END AS t")
+    return spark.sql("SELECT k, c.id, c.name, array_join(array_sort(transform(map_entries(c.args), e -> concat(e.key, '=', e.value))), ',') AS args FROM {texts}, LATERAL tool_calls(t) c", texts=texts)
+
+
+CALLS_SQL = r"""WITH x AS (SELECT 'd' || doc_id AS k, doc_id % 5 AS f, text FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, (conv_id + turn) % 5, text FROM conversations),
+y AS (SELECT *, regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z0-9 ]', '', 'g') AS v FROM x WHERE text IS NOT NULL),
+t AS (SELECT k, CASE f WHEN 0 THEN text || ' <tool_call>{"name": "think", "arguments": {"a": "' || v || '"}}</tool_call>' WHEN 1 THEN '```tool_code' || chr(10) || 'read_section(paper_id="' || v || '", n=' || length(text) || ')' || chr(10) || '```' || chr(10) || text
+  WHEN 2 THEN 'I call {"name": "search_papers", "arguments": {"q": "' || v || '"}} now ' || text WHEN 3 THEN text || chr(10) || 'so [think(a=' || length(text) || '), get_references(b="' || v || '")]' ELSE text || chr(10) || 'get_references(paper_id="' || v || '")' END AS t FROM y)
+SELECT k, 'text_1' AS id, regexp_extract(t, '"name": "(\w+)"', 1) AS name, regexp_extract(t, '"arguments": \{"(\w)": "', 1) || '=' || regexp_extract(t, '"arguments": \{"\w": "([^"]*)"', 1) AS args FROM t WHERE regexp_matches(t, '\{"name": "')
+UNION ALL SELECT k, 'text_1', 'read_section', 'n=' || regexp_extract(t, ', n=(\d+)\)', 1) || ',paper_id=' || regexp_extract(t, 'read_section\(paper_id="([^"]*)"', 1) FROM t WHERE t LIKE '```tool_code%'
+UNION ALL SELECT k, 'text_1', 'think', 'a=' || regexp_extract(t, '\nso \[think\(a=(\d+)\)', 1) FROM t WHERE regexp_matches(t, '\nso \[think\(a=\d+\), get_references\(b="[^"]*"\)\]$')
+UNION ALL SELECT k, 'text_2', 'get_references', 'b=' || regexp_extract(t, 'get_references\(b="([^"]*)"\)\]$', 1) FROM t WHERE regexp_matches(t, '\nso \[think\(a=\d+\), get_references\(b="[^"]*"\)\]$')
+UNION ALL SELECT k, 'text_1', 'get_references', 'paper_id=' || regexp_extract(t, '\nget_references\(paper_id="([^"]*)"\)$', 1) FROM t WHERE regexp_matches(t, '\nget_references\(paper_id="[^"]*"\)$')""".replace("\\\\", "\\")
 
 
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +302,7 @@ SELECT k AS page_id, len(sections)::INT AS n_sections, len(tables)::INT AS n_tab
   md5(array_to_string(list_transform(sections, lambda s: s.header || '=' || s.text), '|')) AS sections, md5(array_to_string(list_transform(tables, lambda t: t.caption || '=' || array_to_string(flatten(t.rows), ',')), '|')) AS tables FROM result"""
 
 
-QUERIES["tool_call_texts"] = (tool_call_texts, """SELECT o_orderkey, 'text_1' AS id, ['think', 'read_section', 'search_papers', 'get_references'][o_orderkey % 6 + 1] AS name,
-CASE o_orderkey % 6 WHEN 0 THEN 'a=' || o_orderkey WHEN 1 THEN 'n=3,paper_id=' || o_orderkey WHEN 2 THEN 'q=' || o_orderkey ELSE 'paper_id=' || o_orderkey END AS args FROM orders WHERE o_orderkey % 6 < 4""")
+QUERIES["tool_call_texts"] = (tool_call_texts, CALLS_SQL)
 QUERIES["html_sections"] = (html_sections, HTML_SQL)
 
 

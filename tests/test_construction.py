@@ -13,6 +13,13 @@ def test_channels(spark):
     assert one(spark, replies.without_channels(F.lit(t))) == "Yes"
     assert one(spark, replies.without_channels(F.lit("<|channel|>analysis<|message|>hm<|end|> rest <|start|>x"))) == "rest"
     assert one(spark, replies.without_channels(F.lit("plain"))) == "plain"
+    odd = {
+        "a <|channel|>analysis<|message|>x<|channel|>final<|message|>Yes<|end|> b": "a  b", "<|channel|>final <|constrain|>json<|message|> {1} <|end|><|channel|>final<|message|>two\n<|end|>": "{1}\ntwo",
+        "x < y <|channel|>commentary to=functions.think": "x < y", "<|channel|>": "", "p<|end|>q<r <|channel|>!<|message|>m<|end|>": "p<r",
+    }
+    for t, want in odd.items():
+        assert one(spark, replies.without_channels(F.lit(t))) == want, t
+    assert one(spark, replies.without_channels(F.lit(None).cast("string"))) is None
 
 
 def test_json(spark):

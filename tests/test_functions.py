@@ -84,6 +84,26 @@ def test_tool_calls(written, calls):
     assert toolcalls.parse(written) == calls
 
 
+def test_tool_calls_of_odd_texts():
+    p = toolcalls.parse
+    assert p(None) == p("") == p("{ ( [") == p("think(") == p('<tool_call>{"name": "think"') == p("<tool_call>[1]</tool_call>") == []
+    assert p('<tool_call>{"name": "other", "arguments": {}}</tool_call>\nthink()') == [("think", {})] and p('<tool_call>{"name": "think", "arguments": "no json"}</tool_call>') == [("think", {"_raw": "no json"})]
+    assert p('{"name": "think", "arguments": [1]}') == [("think", {})] and p("see [1] and [think(a='x, y)'), 3]") == [] and p("[think(a='x, y)')]") == [("think", {"a": "x, y)"})]
+    assert p('{ {"name": "think", "arguments": {"a": "}"}}') == [("think", {"a": "}"})] and p('think(a="b", c=d, e=12)\n  # think(x=1)') == [("think", {"a": "b", "e": 12})]
+    assert p("{" * 20_000 + "think(a=1)") == [] and p("[" * 20_000 + "\nthink(a=1)") == [("think", {"a": 1})]
+
+
+def test_tool_calls_from_sql(spark):
+    toolcalls.register(spark)
+    t = spark.createDataFrame([(1, "think(a=1)\nread_section(p='x')"), (2, None), (3, "own(z=9)")], "i int, t string")
+    got = spark.sql("SELECT i, c.* FROM {t}, LATERAL tool_calls(t) c", t=t).collect()
+    assert [(r.i, r.id, r.name, r.args) for r in got] == [(1, "text_1", "think", {"a": "1"}), (1, "text_2", "read_section", {"p": "x"})]
+    assert [r.name for r in spark.sql("SELECT c.* FROM {t}, LATERAL tool_calls(t, array('own')) c", t=t).collect()] == ["own"]
+    for wrong in ("i", "t, 3"):
+        with pytest.raises(Exception, match="tool_calls"):
+            spark.sql(f"SELECT c.* FROM {{t}}, LATERAL tool_calls({wrong}) c", t=t).collect()
+
+
 def test_capped_text(spark):
     s = F.array(*(F.struct(F.lit(h).alias("header"), F.lit(t).alias("text")) for h, t in [("A", "x" * 9), ("Apdx_1", "y" * 6), ("Apdx_2", "z" * 6), ("Apdx_3", "w")]))
     out = one(spark, sections.capped_text(s, 8))
