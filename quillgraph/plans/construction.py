@@ -61,7 +61,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    d = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.concat("p_name", F.lit(" "), "p_size", F.lit(" of "), F.col("p_partkey") % 40).alias("name"))
     d = d.join(p, "p")
     a = d.where("l_linenumber = 1").select(F.col("l_orderkey").alias("qid"), F.col("name").alias("answer"))
@@ -69,7 +69,7 @@ def valid_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.valid_distractors(c.join(a, "qid"), needed=2).select("qid", "ord", "text", "valid")
 
 
-DISTRACTORS_SQL = r"""WITH d AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+DISTRACTORS_SQL = r"""WITH d AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
 n AS (SELECT d.*, p_name || ' ' || p_size || ' of ' || (p_partkey % 40) AS name FROM d JOIN part ON p = p_partkey),
 c AS (SELECT x.l_orderkey AS qid, x.l_linenumber AS ord, x.name AS t, a.name AS a FROM n x JOIN n a ON x.l_orderkey = a.l_orderkey AND a.l_linenumber = 1 WHERE x.l_linenumber > 1),
 w AS (SELECT *, list_distinct(string_split(t, ' ')) AS tw, list_distinct(string_split(a, ' ')) AS aw, list_filter(list_distinct(regexp_extract_all(a, '\d+\.?\d*')), lambda x: x NOT IN ('0','1','2','3','4','5')) AS an, list_filter(list_distinct(regexp_extract_all(t, '\d+\.?\d*')), lambda x: x NOT IN ('0','1','2','3','4','5')) AS tn FROM c),

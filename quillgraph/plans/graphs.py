@@ -161,7 +161,7 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def venue_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "orders").join(T.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderpriority = '1-URGENT'").select("o_orderkey", "c_mktsegment", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    d = T.table(spark, sf_dir, "orders").join(T.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return sampling.stratified_quota(d, "c_mktsegment", [F.col("cents").desc(), F.col("o_orderkey")], 303, 5).select("o_orderkey", "c_mktsegment")
 
 
@@ -289,7 +289,7 @@ QUERIES = {
     "last_wins": (last_wins, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2"),
     "one_per_seed": (one_per_seed, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1"),
     "round_robin": (round_robin, "WITH t AS (SELECT o_orderpriority, o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY cents DESC, o_orderkey) AS turn FROM t) SELECT * FROM r ORDER BY turn, cents DESC, o_orderkey LIMIT 400"),
-    "venue_quota": (venue_quota, "WITH t AS (SELECT o_orderkey, c_mktsegment, round(o_totalprice * 100)::BIGINT AS cents FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY cents DESC, o_orderkey) > 60 AS f FROM t) SELECT o_orderkey, c_mktsegment FROM r ORDER BY f, cents DESC, o_orderkey LIMIT 303"),
+    "venue_quota": (venue_quota, "WITH t AS (SELECT o_orderkey, c_mktsegment, round(o_totalprice * 100)::BIGINT AS cents FROM orders JOIN customer ON o_custkey = c_custkey), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY cents DESC, o_orderkey) > 60 AS f FROM t) SELECT o_orderkey, c_mktsegment FROM r ORDER BY f, cents DESC, o_orderkey LIMIT 303"),
     "slice_filter": (slice_filter, "SELECT doc_id, n_chars FROM documents WHERE lang = 'fr' AND n_chars > 500 ORDER BY doc_id LIMIT 50"),
     "metadata_coverage": (metadata_coverage, "SELECT l_suppkey, round(avg((l_discount > 0.04)::INT), 6) AS coverage FROM lineitem GROUP BY 1 HAVING avg((l_discount > 0.04)::INT) >= 0.5"),
     "vote_gates": (vote_gates, GATES_SQL),

@@ -133,7 +133,7 @@ def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by their first address, else by a second one; only long pages that were served count."""
     d = T.table(spark, sf_dir, "pages")
     status = F.when(F.col("page_id") % 3 == 0, 404).otherwise(200)
-    page = seeds.fetched(F.col("html"), status, F.substring("html", 1, 1500), F.lit(200))
+    page = seeds.fetched(F.col("html"), status, F.concat("html", "url"), F.lit(200))
     return d.select("page_id", F.length(page).alias("n_chars"))
 
 
@@ -388,7 +388,7 @@ QUERIES = {
     "tier_seeds": (tier_seeds, TIER_SQL),
     "search_bulk": (search_bulk, "SELECT 'p' || o_custkey AS \"paperId\", o_orderkey AS pos, year(o_orderdate)::INT AS year, o_orderkey * 7 % 1000 AS \"citationCount\" FROM orders WHERE o_orderpriority = '2-HIGH' AND year(o_orderdate) BETWEEN 1994 AND 1997 AND o_orderkey * 7 % 1000 >= 300 ORDER BY pos LIMIT 200"),
     "narrowing_fields": (narrowing_fields, NARROW_SQL),
-    "page_fetch": (page_fetch, "SELECT page_id, CASE WHEN page_id % 3 > 0 AND length(html) > 1000 THEN length(html) WHEN least(length(html), 1500) > 1000 THEN least(length(html), 1500) END AS n_chars FROM pages"),
+    "page_fetch": (page_fetch, "SELECT page_id, CASE WHEN page_id % 3 > 0 AND length(html) > 1000 THEN length(html) WHEN length(html) + length(url) > 1000 THEN length(html) + length(url) END AS n_chars FROM pages"),
     "paper_fields": (paper_fields, "SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 THEN 'a' || p.p_partkey WHEN p.p_partkey % 2 = 0 THEN 'o' || p.p_partkey ELSE '' END AS arxiv, CASE p.p_type WHEN 'ECONOMY' THEN 'ECO' WHEN 'SMALL' THEN 'S' ELSE p.p_type END AS venue, CASE WHEN q.p_partkey IS NOT NULL THEN p.p_size END AS p_size FROM part p LEFT JOIN part q ON q.p_partkey + 3 = p.p_partkey"),
     "abstract_backfill": (abstract_backfill, "WITH l AS (SELECT l_orderkey, l_partkey, CASE WHEN min(l_quantity) > 10 THEN min(l_returnflag) END AS a FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_partkey, coalesce(a, CASE WHEN p_partkey % 4 > 0 THEN p_name END) AS abstract FROM l LEFT JOIN part ON p_partkey = l_partkey"),
     "siblings": (siblings, "WITH c AS (SELECT 'S' || l_suppkey AS seed, 'P' || l_partkey AS terminal, l_orderkey * 10 + l_linenumber AS pos, min(l_returnflag) AS title FROM lineitem WHERE l_partkey % 10 > 0 GROUP BY 1, 2, 3) SELECT seed, terminal, arg_min(title, pos) AS title FROM c GROUP BY 1, 2"),

@@ -58,15 +58,15 @@ lines AS (SELECT doc_id, pos, body, array_to_string(regexp_extract_all(body, '[^
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 1 to 3 of an order vote with their flag for the order's status."""
+    """Lines of an order vote with their flag for the order's status."""
     t = F.create_map(F.lit("F"), F.lit("A"), F.lit("O"), F.lit("N"), F.lit("P"), F.lit("R"))
-    v = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("provider"), F.col("l_returnflag").alias("answer"), F.col("l_partkey").alias("paper"))
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("provider"), F.col("l_returnflag").alias("answer"), F.col("l_partkey").alias("paper"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.element_at(t, F.col("o_orderstatus")).alias("truth"))
     return v.join(o, "qid")
 
 
 VOTES_SQL = """votes AS (SELECT l_orderkey AS qid, l_linenumber AS provider, l_returnflag AS answer, l_partkey AS paper,
-CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' WHEN 'P' THEN 'R' END AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3)"""
+CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' WHEN 'P' THEN 'R' END AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,18 +50,18 @@ WHERE raw OR (named AND (sub OR (len(qw) >= 2 AND len(tw) > 0 AND len(list_inter
 
 
 def theta_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents none of whose first lines matches a line of the next document."""
+    """Headers of each document that match no line of the next document."""
     h = _headers(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header"))), lambda x: F.struct(x["header"].alias("header"))).alias("sections"))
-    q = _headers(spark, sf_dir).where("pos = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.col("header").alias("query"))
+    q = _headers(spark, sf_dir).select((F.col("doc_id") + 1).alias("doc_id"), F.col("header").alias("query")).distinct()
     return q.join(h, "doc_id").where(~S.any_match(F.col("sections"), F.col("query"))).select("doc_id", "query")
 
 
 ANTI_SQL = f"""WITH {HEADERS_SQL},
 n AS (SELECT *, {sql_norm('header')} AS norm FROM headers),
-q AS (SELECT doc_id + 1 AS doc_id, header AS query, {sql_norm('header')} AS qn FROM headers WHERE pos = 0),
-hit AS (SELECT DISTINCT q.doc_id FROM q JOIN n ON q.doc_id = n.doc_id WHERE contains(lower(header), lower(query)) OR contains(lower(query), lower(header)) OR (qn <> '' AND norm <> '' AND (contains(norm, qn) OR contains(qn, norm)
+q AS (SELECT DISTINCT doc_id + 1 AS doc_id, header AS query, {sql_norm('header')} AS qn FROM headers),
+hit AS (SELECT DISTINCT q.doc_id, q.query FROM q JOIN n ON q.doc_id = n.doc_id WHERE contains(lower(header), lower(query)) OR contains(lower(query), lower(header)) OR (qn <> '' AND norm <> '' AND (contains(norm, qn) OR contains(qn, norm)
   OR (len(list_distinct(regexp_extract_all(qn, '[^\\s]+'))) >= 2 AND len(list_intersect(list_distinct(regexp_extract_all(qn, '[^\\s]+')), list_distinct(regexp_extract_all(norm, '[^\\s]+')))) / len(list_distinct(regexp_extract_all(qn, '[^\\s]+'))) >= 0.6))))
-SELECT q.doc_id, q.query FROM q WHERE doc_id IN (SELECT doc_id FROM n) AND doc_id NOT IN (SELECT doc_id FROM hit)"""
+SELECT q.doc_id, q.query FROM q ANTI JOIN hit USING (doc_id, query) WHERE doc_id IN (SELECT doc_id FROM n)"""
 
 
 def section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
