@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.ranges import running
+
 
 def sibling_index(chains: DataFrame) -> DataFrame:
     """chains (seed, terminal, arxiv_id, title, pos): each seed's terminals in order, each once, as rows
@@ -105,10 +107,6 @@ def batch_results(asked: DataFrame, replies: DataFrame, default: str) -> DataFra
 
 def killed(runs: DataFrame, limit: int) -> DataFrame:
     """runs (pos, tokens) with `run`: whether a run still began, as all tokens before it are below the
-    limit. Sums of ranges of pos come first, so no task holds all runs."""
-    width = 4096
-    d = runs.withColumn("_r", F.floor(F.col("pos") / width))
-    per = d.groupBy("_r").agg(F.sum("tokens").alias("_s"))
-    per = per.withColumn("_b", F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).drop("_s")  # a row for 4096 runs
-    inside = Window.partitionBy("_r").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return d.join(per, "_r").withColumn("run", F.col("_b") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)) < limit).drop("_r", "_b")
+    limit."""
+    d = running(runs.withColumn("_all", F.lit(0)), "_all", "pos", {"_upto": F.col("tokens")})
+    return d.withColumn("run", F.col("_upto") - F.col("tokens") < limit).drop("_upto", "_all")

@@ -42,3 +42,25 @@ def test_alias_of_any_number(spark):
     a = X.section_alias(F.col("i"))
     got = spark.createDataFrame([(i,) for i in at], "i int").select("i", a.alias("alias"), X.alias_index(a).alias("back")).collect()
     assert sorted(map(tuple, got)) == [(i, alias(i), i) for i in at]
+
+
+def test_running_sums_of_sparse_and_null_orders(spark):
+    """Numbers far apart, one hot key, keys that are null: sums of ranges and inside them."""
+    import random
+
+    from quillgraph.operators import access, ranges
+
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(("a", None)), pos, rng.randrange(9)) for pos in rng.sample(range(-(2**60), 2**60), 3000)]
+    out = ranges.running(spark.createDataFrame(rows, "k string, pos long, v int"), "k", "pos", {"s": F.col("v")}).collect()
+    sums, want = {}, []
+    for k, pos, v in sorted(rows, key=lambda r: r[1]):
+        sums[k] = sums.get(k, 0) + v
+        want.append((str(k), pos, v, sums[k]))
+    assert sorted((str(r.k), r.pos, r.v, r.s) for r in out) == sorted(want)
+    runs = access.killed(spark.createDataFrame([(p, v) for _, p, v in rows], "pos long, tokens int"), 4000).collect()
+    before, begun = 0, []
+    for _, pos, v in sorted(rows, key=lambda r: r[1]):
+        begun.append((pos, before < 4000))
+        before += v
+    assert sorted((r.pos, r.run) for r in runs) == begun
