@@ -80,7 +80,8 @@ def file_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark, "print")
     T.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("value")).coalesce(1).sortWithinPartitions("value").write.text(at)
     name = next(n for n in files.listed(spark, at) if n.endswith(".txt"))
-    return spark.createDataFrame([("regions", files.fingerprint(spark, name)), ("none", files.fingerprint(spark, f"{at}/none"))], "file string, print string")
+    paths = spark.createDataFrame([("regions", name), ("none", f"{at}/none")], "file string, path string")
+    return files.fingerprints(spark, paths).select("file", "print")
 
 
 PRINTS_SQL = "SELECT 'regions' AS file, substr(sha256(string_agg(r_regionkey::VARCHAR || chr(10), '' ORDER BY r_regionkey::VARCHAR)), 1, 16) AS print FROM region UNION ALL SELECT 'none', ''"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.ranges import numbered
+from quillgraph.sources.blocks import blocks
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,16 +76,19 @@ def verdict_dirs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def header_peek(spark: SparkSession, path: str, pattern: str, first: int = 500) -> DataFrame:
-    """(file, value): a pattern's first group in the first bytes of each file."""
-    head = F.decode(F.substring("content", 1, first), "UTF-8")
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.regexp_extract(head, pattern, 1).alias("value"))
-
-
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """The first 16 hex digits of the file's SHA-256; empty without the file."""
-    if not exists(spark, path):
-        return ""
-    return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
+    """(file, value): a pattern's first group in the first bytes of each file; no more of it is read."""
+    head = F.decode(F.col("head"), "UTF-8")
+    return blocks(spark, listed(spark, path), first).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.regexp_extract(head, pattern, 1).alias("value"))
+
+
+def fingerprints(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """paths (name, path) with print: the first 16 hex digits of the file's SHA-256; empty without the file. Paths
+    are listed by the driver, contents are digested block by block where they are read."""
+    asked = {r.path: listed(spark, r.path) for r in paths.select("path").distinct().collect()}  # addresses only
+    found = blocks(spark, sorted({f for fs in asked.values() for f in fs}))
+    of = spark.createDataFrame([(p, f) for p, fs in asked.items() for f in fs[:1]], "path string, file string")
+    print_ = of.join(found.select(F.col("path").alias("file"), F.substring("sha256", 1, 16).alias("print")), "file").select("path", "print")
+    return paths.join(print_, "path", "left").withColumn("print", F.coalesce("print", F.lit("")))
 
 
 def id_from_name(suffix: str = ".json", unsafe: str = "_", safe: str = "/") -> Column:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import time
 from collections.abc import Callable, Iterator, MutableMapping
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -54,34 +52,6 @@ def pages(url: str, transport: Transport, most: int = 10, **options) -> Iterator
             return
 
 
-class FileCache(MutableMapping):
-    """Served bodies as files of a folder, which tasks on one machine share."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
-
-    def __getitem__(self, key: str) -> str:
-        try:
-            return (self.folder / key).read_text()
-        except FileNotFoundError:
-            raise KeyError(key) from None
-
-    def __setitem__(self, key: str, body: str) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        part = self.folder / f".{key}.{os.getpid()}"
-        part.write_text(body)
-        part.replace(self.folder / key)  # whole or not there
-
-    def __delitem__(self, key: str) -> None:
-        (self.folder / key).unlink()
-
-    def __iter__(self):
-        return (p.name for p in self.folder.glob("[!.]*"))
-
-    def __len__(self) -> int:
-        return sum(1 for _ in self)
-
-
 def register(spark: SparkSession, name: str, schema_: str, transport: Transport, **options) -> None:
     """Makes spark.read.format(name).option("urls", "[...]") read records. Each URL is a partition; as
     many may run at once as there are cores, so the spacing of one is the limit times these."""

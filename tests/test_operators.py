@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import audit, bundle, ensemble, graph, joins, sampling
 from quillgraph.plans import runner
-from quillgraph.sources import files, http
+from quillgraph.sources import files, http, search
 from quillgraph.streaming import live
 
 
@@ -68,8 +69,10 @@ def test_files(spark, tmp_path):
     a.mkdir()
     (a / "x.jsonl").write_text('{"id": "1", "v": 1}\n{"id": "2", "v": 2}\n{"id": "1", "v": 3}\n')
     assert {r.id: r.v for r in files.json_lines(spark, str(a), "id string, v int", key="id").collect()} == {"1": 3, "2": 2}
-    assert files.json_lines(spark, str(tmp_path / "none"), "id string", missing_ok=True).count() == 0 and files.fingerprint(spark, str(tmp_path / "none")) == ""
-    assert len(files.fingerprint(spark, str(a / "x.jsonl"))) == 16
+    assert files.json_lines(spark, str(tmp_path / "none"), "id string", missing_ok=True).count() == 0
+    names = spark.createDataFrame([("a", str(a / "x.jsonl")), ("b", str(tmp_path / "none"))], "name string, path string")
+    prints = {r.name: r.print for r in files.fingerprints(spark, names).collect()}
+    assert prints == {"a": hashlib.sha256((a / "x.jsonl").read_bytes()).hexdigest()[:16], "b": ""}
     (a / "bad.jsonl").write_text('{"id": "9", "v": 1}\n{broken\n')
     assert files.json_lines(spark, str(a / "bad.jsonl"), "id string, v int", tolerant=True).collect()[0].id == "9"
     d = tmp_path / "docs"
@@ -178,8 +181,8 @@ def test_response_cache(tmp_path):
     asked = []
     send = lambda u: (asked.append(u), (200, '{"data": [1]}'))[1]
     for _ in range(2):
-        assert http.fetch("http://x/a?b", send, sleep=lambda s: None, cache=http.FileCache(str(tmp_path))) == {"data": [1]}
-    assert len(asked) == 1 and len(http.FileCache(str(tmp_path))) == 1
+        assert http.fetch("http://x/a?b", send, sleep=lambda s: None, cache=search.SharedCache(f"file://{tmp_path}")) == {"data": [1]}
+    assert len(asked) == 1 and len(search.SharedCache(f"file://{tmp_path}")) == 1
 
 
 def test_contents_memoised(spark):
