@@ -12,7 +12,7 @@ from quillgraph.operators import evaluation
 from quillgraph.plans import reviews, runner
 from quillgraph.plans import tables as T
 from quillgraph.session import shared_folder
-from quillgraph.sources import files
+from quillgraph.sources import files, versions
 
 
 def _folder(spark: SparkSession, what: str) -> str:
@@ -48,10 +48,11 @@ def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in a folder for each nation."""
+    """Customers in a file for each nation, named by it."""
     at = _folder(spark, "nations")
-    files.write_per_key(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), at, "c_nationkey")
-    return spark.read.schema("c_custkey long, c_name string, c_nationkey int").json(at)
+    versions.save(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), at, "c_nationkey")
+    d = spark.read.schema("c_custkey long, c_name string").json(versions.listed(at))
+    return d.withColumn("c_nationkey", F.regexp_extract("_metadata.file_name", r"^(\d+)\.json$", 1).cast("int"))
 
 
 def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +155,12 @@ REQUESTS_SQL = "SELECT 'q_' || o_orderkey AS custom_id, 'm' AS model, 'user' AS
 
 
 def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table rewritten twice; every version stays."""
+    """A table rewritten twice; every version stays readable."""
     at, kind = _folder(spark, "versions"), "c_custkey long, c_nationkey int"
-    files.write_lines(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), f"{at}/v1")
-    files.rewrite(spark, at, kind, lambda d: d.where("c_custkey % 2 = 0"))
-    files.rewrite(spark, at, kind, lambda d: d.withColumn("c_nationkey", F.col("c_nationkey") + 100))
-    parts = [files.json_lines(spark, f"{at}/v{v}", kind).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    names = [versions.save(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), at)]
+    names.append(versions.save(versions.load(spark, at, kind).where("c_custkey % 2 = 0"), at))
+    names.append(versions.save(versions.load(spark, at, kind).withColumn("c_nationkey", F.col("c_nationkey") + 100), at))
+    parts = [versions.load(spark, at, kind, n).withColumn("version", F.lit(v)) for v, n in enumerate(names, 1)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
