@@ -8,24 +8,42 @@ from pyspark.sql import functions as F
 from quillgraph.functions import replies as R
 from quillgraph.operators import audit, bundle, construction, graph, replay, report
 from quillgraph.plans import tables as T
+from quillgraph.plans.texts import sql_norm
 from quillgraph.sources import files
 
-_ASKED = ["results", "Introduction", "Results Main Table", "accuracy", "nothing here", ""]
 
-
-def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of an order's lines against the three sections of each order."""
-    pick = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("l_orderkey") % 6 + 1).cast("int"))
-    c = T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    c = c.select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("claim_id"), F.when(F.col("l_linenumber") % 2 == 0, "small ring accuracy 12%").otherwise("77 foobar").alias("claim"), pick.alias("source_section"))
-    held = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(h).alias("header"), F.lit(t).alias("text")) for i, (h, t) in enumerate([("Introduction", "About red things 77"), ("4.2. Main Results", "Accuracy 12% for small ring"), ("Method", "None")])))
-    s = c.select("sample").distinct().select("sample", F.explode(held).alias("s")).select("sample", "s.*")
-    return bundle.verify_claims(c, s)
+LOW = "abcdefghijklmnopqrstuvwxyz"
 
 
-CLAIMS_SQL = """WITH c AS (SELECT DISTINCT l_orderkey AS sample, l_linenumber AS claim_id, l_orderkey % 6 AS a, l_linenumber % 2 = 0 AS even FROM lineitem)
-SELECT sample, claim_id, CASE WHEN a = 5 THEN 'skip_empty' WHEN a = 4 THEN 'section_not_found' WHEN a = 1 THEN CASE WHEN even THEN 'no_match' ELSE 'confirmed' END ELSE CASE WHEN even THEN 'confirmed' ELSE 'no_match' END END AS band,
-  CASE a WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS how FROM c"""
+def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents in a row are the papers of a sample and their lines its sections; each line is a claim too, under
+    its header in other letters, with a number, in reverse, under an end of its text, or under an unknown name."""
+    d = T.lines(spark, sf_dir).withColumns({"sample": F.floor(F.col("doc_id") / 3), "at": F.col("doc_id") * 100_000 + F.col("pos")})
+    asked = F.when(F.col("pos") % 5 == 0, F.translate("header", LOW, LOW.upper())).when(F.col("pos") % 5 == 1, F.concat(F.lit("4.2. "), "header")).when(F.col("pos") % 5 == 2, F.array_join(F.reverse(F.split("header", " ")), " "))
+    asked = asked.when(F.col("pos") % 5 == 3, F.expr("right(body, 12)")).otherwise("no such section")
+    claim = F.when(F.col("doc_id") % 2 == 0, F.col("body")).otherwise(F.concat(F.col("header"), F.lit(" 12.5% "), F.col("pos").cast("string")))
+    return bundle.verify_claims(d.select("sample", F.col("at").alias("claim_id"), claim.alias("claim"), asked.alias("source_section")), d.select("sample", F.col("at").alias("pos"), "header", F.col("body").alias("text")))
+
+
+def claim_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by band."""
+    return claim_verification(spark, sf_dir).groupBy("band").agg(F.count("*").alias("n"))
+
+
+CLAIMS_SQL = rf"""WITH {T.LINES_SQL},
+s AS (SELECT doc_id // 3 AS sample, doc_id * 100000 + pos AS place, lower(header) AS h, {sql_norm('header')} AS hn, lower(body) AS body FROM lines),
+a AS (SELECT doc_id // 3 AS sample, doc_id * 100000 + pos AS claim_id, CASE WHEN doc_id % 2 = 0 THEN body ELSE header || ' 12.5% ' || pos END AS claim,
+  CASE pos % 5 WHEN 0 THEN translate(header, '{LOW}', '{LOW.upper()}') WHEN 1 THEN '4.2. ' || header WHEN 2 THEN array_to_string(list_reverse(string_split(header, ' ')), ' ') WHEN 3 THEN right(body, 12) ELSE 'no such section' END AS asked FROM lines),
+c AS (SELECT *, lower(asked) AS q, {sql_norm('asked')} AS qn, list_concat(regexp_extract_all(claim, '\d+\.?\d*%?'), list_transform(regexp_extract_all(claim, '[A-Za-z]{{4,}}'), lambda x: lower(x))[1:5]) AS t FROM a),
+w AS (SELECT sample, place, h, hn, body, list_distinct(regexp_extract_all(hn, '[^\s]+')) AS hw FROM s),
+v AS (SELECT *, list_distinct(regexp_extract_all(qn, '[^\s]+')) AS qw FROM c),
+p AS (SELECT v.sample, claim_id, t, w.place, w.body, CASE WHEN len(qw) >= 2 AND len(hw) > 0 THEN len(list_intersect(qw, hw)) / len(qw) ELSE 0 END AS share, h, hn, q, qn FROM v JOIN w ON v.sample = w.sample),
+r AS (SELECT *, CASE WHEN contains(h, q) OR contains(q, h) THEN 1 WHEN qn <> '' AND (contains(hn, qn) OR contains(qn, hn)) THEN 2 WHEN share >= 0.6 THEN 3 WHEN length(qn) >= 5 AND (contains(body, qn) OR contains(body, q)) THEN 4 END AS how FROM p),
+m AS (SELECT *, len(list_filter(t, lambda x: contains(body, lower(x)))) AS f FROM r WHERE how IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample, claim_id ORDER BY how, CASE WHEN how = 3 THEN -share ELSE 0 END, place) = 1),
+b AS (SELECT c.sample, c.claim_id, c.claim = '' OR c.asked = '' AS bare, len(c.t) AS n, m.f, m.how FROM c LEFT JOIN m ON c.sample = m.sample AND c.claim_id = m.claim_id),
+claims AS (SELECT sample, claim_id, CASE WHEN bare THEN 'skip_empty' WHEN n = 0 THEN 'skip_no_terms' WHEN how IS NULL THEN 'section_not_found' WHEN f / n >= 0.5 THEN 'confirmed' WHEN f > 0 THEN 'partial' ELSE 'no_match' END AS band,
+  CASE WHEN NOT bare THEN how END AS how FROM b)
+"""
 
 
 def termination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +124,8 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "claim_verification": (claim_verification, CLAIMS_SQL),
+    "claim_verification": (claim_verification, CLAIMS_SQL + "SELECT * FROM claims"),
+    "claim_tally": (claim_tally, CLAIMS_SQL + "SELECT band, count(*) AS n FROM claims GROUP BY 1"),
     "termination": (termination, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_custkey % 5 = 0 THEN 'answer' WHEN o_custkey * 300 > 200000 THEN 'token_limit' WHEN o_orderkey % 4 >= 2 THEN 'budget' ELSE 'max_turns' END AS ended FROM orders"),
     "reply_forms": (reply_forms, REPLIES_SQL),
     "graph_package": (graph_package, PACKAGE_SQL),
