@@ -61,8 +61,10 @@ def oversized(sections: Column, most: int = 70_015) -> Column:
     return F.exists(sections, lambda s: F.length(s["text"]) > most)
 
 
-def without_oversized(sections: Column, most: int = 70_015) -> Column:
-    return F.filter(sections, lambda s: F.length(s["text"]) <= most)
+def without_oversized(sections: Column, most: int = 70_015, gold: Column | None = None) -> Column:
+    """Sections without oversized ones; those of gold papers (true in `gold`) stay as they are."""
+    slim = F.filter(sections, lambda s: F.length(s["text"]) <= most)
+    return slim if gold is None else F.when(F.coalesce(gold, F.lit(False)), sections).otherwise(slim)
 
 
 def capped_text(sections: Column, cap: int = 15_000) -> Column:

@@ -20,9 +20,22 @@ def bucket_accuracy(rows: DataFrame, sets: list[list[str]], ok: str = "is_correc
     return rows.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id().alias("level"), *_accuracy(ok))
 
 
-def with_defaults(rows: DataFrame, columns: list[str], default: str = "?") -> DataFrame:
-    """Null and empty keys as one bucket."""
-    return rows.withColumns({c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(default)).otherwise(F.col(c)) for c in columns})
+# The fields of a sample with their types and what stands for a missing one (None: it stays null).
+SAMPLE = {
+    "id": ("string", ""), "question_type": ("string", ""), "depth": ("int", 0), "reasoning_type": ("string", ""), "cognitive_skill": ("string", ""), "venue": ("string", ""), "consensus_tier": ("string", ""),
+    "question": ("string", ""), "options": ("array<string>", []), "correct_index": ("int", 0), "distractor_types": ("array<string>", None), "seed_paper_id": ("string", ""), "seed_arxiv_id": ("string", ""), "seed_title": ("string", ""),
+    "gold_paper_ids": ("array<string>", []), "gold_arxiv_ids": ("array<string>", []), "bridge_paper_ids": ("array<string>", []), "bridge_arxiv_ids": ("array<string>", []), "filter_agreement": ("string", None),
+}
+
+
+def samples(rows: DataFrame) -> DataFrame:
+    """The fields of SAMPLE, in their order and types, of rows that may lack any of them or hold nulls; other columns go."""
+    out = []
+    for name, (kind, default) in SAMPLE.items():
+        value = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+        given = F.array().cast(kind) if default == [] else F.lit(default).cast(kind)
+        out.append((value if default is None else F.coalesce(value, given)).alias(name))
+    return rows.select(*out)
 
 
 def by_bridge(rows: DataFrame) -> DataFrame:

@@ -234,6 +234,19 @@ def oversize_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.drop_flagged(d, gold_bad, "doc_id").select("doc_id", F.size(S.without_oversized(F.col("s"), 900)).alias("sections"))
 
 
+def pool_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers without their oversized lines, but for gold ones (those that a label marks as good)."""
+    d = T.lines(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header", "body"))), lambda x: F.struct(x["header"].alias("header"), x["body"].alias("text"))).alias("s"))
+    gold = T.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("gold", F.lit(True))
+    s = S.without_oversized(F.col("s"), 900, F.col("gold"))
+    chars = F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return d.join(gold, "doc_id", "left").select("doc_id", F.size(s).alias("sections"), (F.size("s") - F.size(s)).alias("stripped"), chars.alias("chars"))
+
+
+STRIP_SQL = f"""WITH {T.LINES_SQL}, g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), k AS (SELECT lines.*, g.doc_id IS NOT NULL OR length(body) <= 900 AS stays FROM lines LEFT JOIN g ON lines.doc_id = g.doc_id)
+SELECT doc_id, count_if(stays) AS sections, count_if(NOT stays) AS stripped, coalesce(sum(length(body)) FILTER (stays), 0)::BIGINT AS chars FROM k GROUP BY doc_id"""
+
+
 def audit_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.progress(T.table(spark, sf_dir, "documents"), T.table(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
@@ -297,6 +310,7 @@ QUERIES = {
     "sanity_flags": (sanity_flags, SANITY_SQL),
     "issue_histogram": (issue_histogram, f"WITH s AS ({SANITY_SQL}) SELECT x AS issue, count(*) AS n FROM (SELECT unnest(string_split(issues, '|')) AS x FROM s) WHERE x <> '' GROUP BY 1"),
     "verdict_merge": (verdict_merge, VERDICT_SQL),
+    "pool_strip": (pool_strip, STRIP_SQL),
     "oversize_drop": (oversize_drop, f"WITH {T.LINES_SQL} SELECT doc_id, count_if(length(body) <= 900) AS sections FROM lines GROUP BY doc_id HAVING NOT (doc_id % 2 = 0 AND bool_or(length(body) > 900))"),
     "audit_progress": (audit_progress, "SELECT count(*) AS total, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS remaining, min(d.doc_id) FILTER (WHERE l.doc_id IS NULL) AS first_open FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"),
     "review_merge": (review_merge, "WITH u AS (SELECT doc_id AS id, 0 AS o, 'toxic' AS r FROM labels WHERE toxic = 1 UNION SELECT doc_id, 1, 'low quality' FROM labels WHERE quality = 0 UNION SELECT doc_id, 2, 'long' FROM documents WHERE n_chars > 5000) SELECT id, array_to_string(list(r ORDER BY o), '|') AS reasons, count(DISTINCT o) AS sources FROM u GROUP BY id"),

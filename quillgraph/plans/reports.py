@@ -57,6 +57,19 @@ def turn_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.turn_profile(d, "cents").select("k", "n", "mean")
 
 
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what labels know of them as samples with all fields, missing ones by their defaults."""
+    d = T.qa(spark, sf_dir)
+    rows = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("question_type"), F.col("quality").alias("depth"), F.col("source").alias("venue"), F.when(F.col("toxic") == 1, F.array("lang", "source")).alias("options"), F.col("toxic").alias("filter_agreement"), "n_chars")
+    s = report.samples(rows)
+    return s.withColumns({c: F.array_join(c, ",") for c, k in s.dtypes if k.startswith("array")})
+
+
+SAMPLES_SQL = f"""WITH {T.QA_SQL} SELECT coalesce(doc_id::VARCHAR, '') AS id, coalesce(lang, '') AS question_type, coalesce(quality, 0) AS depth, '' AS reasoning_type, '' AS cognitive_skill, coalesce(source, '') AS venue, '' AS consensus_tier,
+  '' AS question, CASE WHEN toxic = 1 THEN concat_ws(',', lang, source) ELSE '' END AS options, 0 AS correct_index, NULL AS distractor_types, '' AS seed_paper_id, '' AS seed_arxiv_id, '' AS seed_title,
+  '' AS gold_paper_ids, '' AS gold_arxiv_ids, '' AS bridge_paper_ids, '' AS bridge_arxiv_ids, toxic::VARCHAR AS filter_agreement FROM qa"""
+
+
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.order_stats(T.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
 
@@ -164,6 +177,7 @@ SELECT failure, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 4
     "tool_usage": (tool_usage, f"""WITH {T.CALLS_SQL}, x AS (SELECT *, {_COST_SQL.replace("x.tool", "tool")} AS cost, tokens > 20 AS rejected FROM calls)
 SELECT tool, count(*) AS calls, round(count(*) / (SELECT count(DISTINCT sample) FROM x), 4) AS per_sample, sum(cost)::BIGINT AS budget, {_RATE.format('sum(cost)', 'sum(sum(cost)) OVER ()')} AS budget_share, {_RATE.format('count_if(rejected)', 'count(*)')} AS rejection_rate FROM x GROUP BY tool"""),
     "turn_profile": (turn_profile, f"WITH {T.CALLS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY ts, event_id) - 1 AS k FROM calls) SELECT k, count(*) AS n, avg(round(tokens * 100)::BIGINT) AS mean FROM o GROUP BY k"),
+    "sample_rows": (sample_rows, SAMPLES_SQL),
     "order_statistics": (order_statistics, """WITH o AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
 SELECT l_returnflag, max(n) AS n, round(avg(v), 2) AS mean, max(v) FILTER (WHERE i = floor(0.5 * n)) AS p50, max(v) FILTER (WHERE i = least(floor(0.9::DOUBLE * n), n - 1)) AS p90, max(v) FILTER (WHERE i = least(floor(0.95::DOUBLE * n), n - 1)) AS p95 FROM o GROUP BY 1"""),
     "retry_histogram": (retry_histogram, f"WITH {T.CALLS_SQL}, s AS (SELECT sample, count_if(tool = 'think') AS retries FROM calls GROUP BY 1) SELECT retries, count(*) AS n, sum(retries)::BIGINT AS total FROM s GROUP BY 1"),
