@@ -17,7 +17,6 @@ def rate(part: Column | str, whole: Column | str, places: int = 4) -> Column:
 SKETCH = 4096  # of a quantile sketch; its ranks are off by ERROR at most, but in one case of a hundred
 ERROR = 2.3 / SKETCH**0.9
 MOST_INSIDE = 1 << 20  # distinct values of a bracket that are ordered in one task
-CUTS = 64
 
 
 def _quantile(ranks: str) -> str:
@@ -37,25 +36,25 @@ def _inside(rows: DataFrame, brackets: DataFrame) -> DataFrame:
     return part.groupBy("k", "name", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
 
 
-def _narrowed(inside: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Brackets cut down to that of CUTS cells, about equal in distinct values, that holds the place."""
-    ranks = ", ".join(f"{i / CUTS}D" for i in range(1, CUTS))
+def _narrowed(inside: DataFrame, brackets: DataFrame, cells: int) -> DataFrame:
+    """Brackets cut down to that of so many cells, about equal in distinct values, that holds the place."""
+    ranks = ", ".join(f"{i / cells}D" for i in range(1, cells))
     cuts = inside.where("v IS NOT NULL").groupBy("k", "name").agg(F.kll_sketch_agg_double("v", SKETCH).alias("q")).select("k", "name", F.expr(_quantile(f"array({ranks})")).alias("cuts"))
     cell = F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("v"))))
     per = _both(inside, cuts).groupBy("k", "name", cell.alias("cell")).agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    upto = F.sum("c").over(Window.partitionBy("k", "name").orderBy("cell"))  # CUTS + 1 rows
+    upto = F.sum("c").over(Window.partitionBy("k", "name").orderBy("cell"))  # cells + 1 rows
     at = _both(per.withColumn("upto", upto), brackets.drop("lo", "hi"))
     return at.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(brackets.columns)
 
 
-def order_stats(df: DataFrame, key: str, value: str, shares: dict[str, float], ends: bool = False) -> DataFrame:
+def order_stats(df: DataFrame, key: str, value: str, shares: dict[str, float], cells: int = 64, ends: bool = False) -> DataFrame:
     """Per key: n, mean and, for each share p, the value at place min(floor(p * n), n - 1) of the
     ascending order, exactly; nan is the greatest value. With `ends`, also min and max.
 
     A key may hold any number of rows. A quantile sketch per key, made in one aggregation, gives each place a
     bracket of values; one more pass counts what lies below a bracket and the values inside, of which
     the running sum picks the place. A bracket that misses its place (a sketch may err) is widened to all values;
-    one with more than MOST_INSIDE distinct values is narrowed by cells until they can be ordered."""
+    one with more than MOST_INSIDE distinct values is narrowed to one of so many cells until they can be ordered."""
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     names = list(shares)
     total = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.min("v").alias("min"), F.max("v").alias("max"), F.kll_sketch_agg_double("v", SKETCH).alias("q"))
@@ -76,7 +75,7 @@ def order_stats(df: DataFrame, key: str, value: str, shares: dict[str, float], e
             brackets = written(wide.select(brackets.columns), "brackets")
             inside = written(_inside(rows, brackets), "inside")
         elif most > MOST_INSIDE:
-            brackets = written(_narrowed(inside, brackets), "brackets")
+            brackets = written(_narrowed(inside, brackets, cells), "brackets")
             own = _both(inside, brackets.select("k", "name", "lo", "hi")).where("v IS NULL OR v <= hi")
             inside = written(own.groupBy("k", "name", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.sum("c").alias("c")), "inside")
         else:

@@ -41,10 +41,14 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\S+"), 0)
 
 
+# What a header's numbering and appendix marks look like.
+HEADER_MARKS = (r"^apdx_[a-z][\d.]*:\s*", r"^apdx:\s*", r"^[ivxlc]+-?[a-z]?\s+", r"^[\d.]+\s*")
+
+
 def normalize_header(c: Column) -> Column:
     """A section header without case, numbering, appendix marks and dashes."""
     c = strip(F.lower(c))
-    for pattern in (r"^apdx_[a-z][\d.]*:\s*", r"^apdx:\s*", r"^[ivxlc]+-?[a-z]?\s+", r"^[\d.]+\s*"):
+    for pattern in HEADER_MARKS:
         c = F.regexp_replace(c, pattern, "")
     return strip(F.regexp_replace(F.regexp_replace(c, r"[:\-–—]", " "), r"\s+", " "))
 

@@ -60,22 +60,24 @@ GREEDY = """WITH RECURSIVE t AS (
   SELECT seed, CASE WHEN i < size(cur) THEN level ELSE level + 1 END, CASE WHEN i < size(cur) THEN i + 1 ELSE 1 END, CASE WHEN i < size(cur) THEN cur ELSE more END,
     CASE WHEN i < size(cur) THEN more ELSE cast(array() AS array<struct<node: string, path: array<string>>>) END, concat(seen, transform(picked, x -> x.node)), level, size(nxt), parent_, picked
   FROM (SELECT *, concat(nxt, transform(picked, x -> named_struct('node', x.node, 'path', x.path))) AS more
-    FROM (SELECT *, transform(slice(CASE WHEN size(good) > 0 THEN good ELSE filter(others, x -> NOT array_contains(seen, x.dst)) END, 1, width), x -> named_struct('node', x.dst, 'score', x.score, 'path', concat(path, array(x.dst)))) AS picked
-      FROM (SELECT t.*, cur[i - 1].node AS parent_, cur[i - 1].path AS path, element_at(array({{widths}}), level) AS width, coalesce(c.weak, array()) AS others, filter(coalesce(c.strong, array()), x -> NOT array_contains(seen, x.dst)) AS good
+    FROM (SELECT *, CASE WHEN size(good) > 0 THEN transform(slice(good, 1, width), x -> named_struct('node', x, 'score', strong_of[x], 'path', concat(path, array(x))))
+        ELSE transform(slice(array_except(coalesce(weak, array()), seen), 1, width), x -> named_struct('node', x, 'score', weak_of[x], 'path', concat(path, array(x)))) END AS picked
+      FROM (SELECT t.*, cur[i - 1].node AS parent_, cur[i - 1].path AS path, element_at(array({{widths}}), level) AS width, c.weak, c.strong_of, c.weak_of, array_except(coalesce(c.strong, array()), seen) AS good
         FROM (SELECT seed, level, i, cur, nxt, seen FROM t WHERE level <= {{levels}} AND i <= size(cur)) t LEFT JOIN {cands} c ON c.src = cur[i - 1].node) x) y) z
 ) SELECT seed, at AS depth, ranked, parent, picked FROM t WHERE at > 0"""
 
 
 def candidates(edges: DataFrame, most: int, least: float) -> DataFrame:
-    """Per source the `most` best edges of a score of `least` (strong) and the `most` most cited (weak), each
-    in order, of equal targets the first. No choice can reach further, so a hub's other edges go here."""
-    one = edges.groupBy("src", "dst").agg(F.min_by(F.struct(F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"), "pos"), "pos").alias("e")).select("src", "dst", "e.*")
+    """Per source the targets of the `most` best edges of a score of `least` (strong) and of the `most` most cited
+    (weak), each in order, of equal targets the first, and maps of what they score (strong_of, weak_of). No choice can
+    reach further, so a hub's other edges go here."""
+    one = edges.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.min_by(F.struct(F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"), "pos"), "pos").alias("e")).select("src", "dst", "e.*")
     one = one.withColumn("rest", F.least(F.col("cited") / 100.0, F.lit(50.0)))
     parts = []
     for name, value, rows in (("strong", "score", one.where(F.col("score") >= least)), ("weak", "rest", one)):
         n = F.row_number().over(Window.partitionBy("src").orderBy(F.col(value).desc(), "pos"))
         own = rows.withColumn("n", n).where(F.col("n") <= most).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst", F.col(value).alias("score")))).alias(name))
-        parts.append(own.withColumn(name, F.transform(name, lambda x: F.struct(x["dst"].alias("dst"), x["score"].alias("score")))))
+        parts.append(own.select("src", F.col(f"{name}.dst").alias(name), F.map_from_arrays(f"{name}.dst", f"{name}.score").alias(f"{name}_of")))
     return parts[1].join(parts[0], "src", "left")
 
 

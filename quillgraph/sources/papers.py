@@ -89,18 +89,22 @@ def entity_rows() -> list[tuple[str, str]]:
     return sorted(html5.items()) + [(f"#{n}", html.unescape(f"&#{n};")) for n in odd]
 
 
+# Numbering before a header, and numbered appendix headers.
+ROMAN, NUMBERED = "^[IVXLC]+([A-Z])", rf"^([AS])\.(\p{{Nd}}+){_WS}*(.*)"
+DIGITS = rf"^[\p{{Nd}}.]+{_WS}*"
+
+
 def _clean(d: Dialect, raw: str) -> str:
     """The header without numbering, appendices marked Apdx."""
     rep = lambda x, p, by="''": f"regexp_replace({x}, {d.regex(p)}, {by})"
     ex = lambda x, p, g=1: f"regexp_extract({x}, {d.regex(p)}, {g})"
-    h = rep(rep(raw, "^[IVXLC]+([A-Z])", f"'{d.group1}'"), rf"^[\p{{Nd}}.]+{_WS}*")
-    rest = rep(rep(rep(h, f"(?i)^(?:{'|'.join(APPENDIX)})"), f"^{_WS}*:?{_WS}*"), rf"^[\p{{Nd}}.]+{_WS}*")
+    h = rep(rep(raw, ROMAN, f"'{d.group1}'"), DIGITS)
+    rest = rep(rep(rep(h, f"(?i)^(?:{'|'.join(APPENDIX)})"), f"^{_WS}*:?{_WS}*"), DIGITS)
     lettered = d.stripped(rep(f"substring({rest}, 2)", f"^(?:{_WS}|:)*"))
-    number = rf"^([AS])\.(\p{{Nd}}+){_WS}*(.*)"
     titled = lambda mark, title: f"CASE WHEN {title} <> '' THEN concat({mark}, ': ', {title}) ELSE {mark} END"
     marked = f"CASE WHEN {d.found(rest, '^[A-Z]')} THEN {titled(f'''concat('Apdx_', substring({rest}, 1, 1))''', lettered)} ELSE {titled(chr(39) + 'Apdx' + chr(39), d.stripped(rest))} END"
-    numbered = titled(f"concat('Apdx_', {ex(h, number)}, '.', {ex(h, number, 2)})", d.stripped(ex(h, number, 3)))
-    return f"CASE WHEN {d.found(h, f'(?i)^(?:{chr(124).join(APPENDIX)})')} THEN {marked} WHEN {d.found(h, number)} THEN {numbered} ELSE {h} END"
+    numbered = titled(f"concat('Apdx_', {ex(h, NUMBERED)}, '.', {ex(h, NUMBERED, 2)})", d.stripped(ex(h, NUMBERED, 3)))
+    return f"CASE WHEN {d.found(h, f'(?i)^(?:{chr(124).join(APPENDIX)})')} THEN {marked} WHEN {d.found(h, NUMBERED)} THEN {numbered} ELSE {h} END"
 
 
 def _left_out(d: Dialect, header: str) -> str:
@@ -110,8 +114,8 @@ def _left_out(d: Dialect, header: str) -> str:
 def steps(d: Dialect) -> list[tuple[str, str, bool]]:
     """(name, statement over pages (k, html) and earlier steps, whether several later steps read it)."""
     rep = lambda x, p, by="''": f"regexp_replace({x}, {d.regex(p)}, {by})"
-    cut = lambda x: rep(x, rf"^[\p{{Nd}}.]+{_WS}*")
-    roman = rep("h.raw", "^[IVXLC]+([A-Z])", f"'{d.group1}'")
+    cut = lambda x: rep(x, DIGITS)
+    roman = rep("h.raw", ROMAN, f"'{d.group1}'")
     number = f"CASE WHEN lower(e.tok) LIKE '&#x%' THEN {d.hexed(rep(rep('lower(e.tok)', '^&#x0*(.*)', chr(39) + '0' + d.group1 + chr(39)), ';$'))} ELSE cast({rep(rep('e.tok', '^&#0*(.*)', chr(39) + '0' + d.group1 + chr(39)), ';$')} AS bigint) END"
     heading = d.found("name", "^h[1-6]$")
     return [
