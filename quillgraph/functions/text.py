@@ -145,8 +145,7 @@ def specificity(contexts: Column) -> Column:
 def context_type(text: Column) -> Column:
     """The type with most patterns that occur; the earlier of equals; 'unclassified' without any."""
     scored = [F.struct(sum((F.rlike(text, F.lit("(?i)" + p)).cast("int") for p in ps), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, ps) in enumerate(CONTEXT_TYPES.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["t"]).otherwise(F.lit("unclassified"))
+    return F.array_max(F.array(*scored, F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("unclassified").alias("t"))))["t"]
 
 
 def relation(types: Column) -> Column:
