@@ -51,9 +51,10 @@ WHERE raw OR (named AND (sub OR (len(qw) >= 2 AND len(tw) > 0 AND len(list_inter
 
 def theta_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of each document that match no line of the next document."""
-    h = _headers(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header"))), lambda x: F.struct(x["header"].alias("header"))).alias("sections"))
-    q = _headers(spark, sf_dir).select((F.col("doc_id") + 1).alias("doc_id"), F.col("header").alias("query")).distinct()
-    return q.join(h, "doc_id").where(~S.any_match(F.col("sections"), F.col("query"))).select("doc_id", "query")
+    d = _headers(spark, sf_dir).select("doc_id", "header").distinct()
+    h = d.groupBy("doc_id").agg(F.collect_list(X.section_keys(F.col("header"))).alias("keys"))
+    q = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("header").alias("query"), X.section_keys(F.col("header")).alias("own"))
+    return q.join(h, "doc_id").where(~F.exists("keys", lambda k: X.keys_match(F.col("own"), k))).select("doc_id", "query")
 
 
 ANTI_SQL = f"""WITH {HEADERS_SQL},
