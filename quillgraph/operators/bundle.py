@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import claim_band, claim_terms, normalize_header, word_share
+from quillgraph.functions.text import claim_band, claim_terms, normalize_header, words
 
 NODES = "map<string,struct<title:string,arxivId:string,year:int,abstract:string>>"
 
@@ -41,16 +41,17 @@ def verify_claims(claims: DataFrame, sections: DataFrame) -> DataFrame:
     Samples bound the pairs; candidates are ranked by partial aggregation."""
     c = claims.withColumn("terms", claim_terms(F.col("claim"))).withColumn("q", F.lower("source_section")).withColumn("qn", normalize_header(F.col("source_section")))
     s = sections.select("sample", "pos", F.lower("header").alias("h"), normalize_header(F.col("header")).alias("hn"), F.lower("text").alias("body"))
-    j = c.join(s, "sample")
-    share = word_share(F.col("qn"), F.col("hn"))
-    how = (
-        F.when(F.contains("h", F.col("q")) | F.contains("q", F.col("h")), 1)
-        .when((F.col("qn") != "") & (F.contains("hn", F.col("qn")) | F.contains("qn", F.col("hn"))), 2)
-        .when(share >= 0.6, 3)
-        .when((F.length("qn") >= 5) & (F.contains("body", F.col("qn")) | F.contains("body", F.col("q"))), 4)
-    )
-    order = F.struct(how.alias("how"), F.when(how == 3, -share).otherwise(F.lit(0.0)).alias("share"), F.col("pos").alias("pos"))
-    best = j.where(how.isNotNull()).groupBy("sample", "claim_id").agg(F.min_by(F.struct(claim_band(F.col("terms"), F.col("body")).alias("band"), how.alias("how"), "pos"), order).alias("m"))
+    word_set = lambda n: F.array_distinct(words(F.col(n)))
+    j = c.select("sample", "claim_id", "terms", "q", "qn", word_set("qn").alias("qw")).join(s.withColumn("hw", word_set("hn")), "sample")
+    share = F.when((F.size("qw") >= 2) & (F.size("hw") > 0), F.size(F.array_intersect("qw", "hw")) / F.size("qw")).otherwise(F.lit(0.0))
+    ways = [
+        F.contains("h", F.col("q")) | F.contains("q", F.col("h")), (F.col("qn") != "") & (F.contains("hn", F.col("qn")) | F.contains("qn", F.col("hn"))),
+        share >= 0.6, (F.length("qn") >= 5) & (F.contains("body", F.col("qn")) | F.contains("body", F.col("q"))),
+    ]
+    how = F.when(ways[0], 1).when(ways[1], 2).when(ways[2], 3).otherwise(4)
+    hits = j.where(ways[0] | ways[1] | ways[2] | ways[3]).withColumn("how", how)
+    order = F.struct("how", F.when(F.col("how") == 3, -share).otherwise(F.lit(0.0)).alias("share"), "pos")
+    best = hits.groupBy("sample", "claim_id").agg(F.min_by(F.struct(claim_band(F.col("terms"), F.col("body")).alias("band"), "how", "pos"), order).alias("m"))
     d = c.join(best, ["sample", "claim_id"], "left")
     empty = (F.coalesce("claim", F.lit("")) == "") | (F.coalesce("source_section", F.lit("")) == "")
     band = F.when(empty, F.lit("skip_empty")).when(F.size("terms") == 0, F.lit("skip_no_terms")).otherwise(F.coalesce("m.band", F.lit("section_not_found")))
