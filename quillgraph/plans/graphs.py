@@ -177,10 +177,7 @@ def metadata_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vote_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = T.votes(spark, sf_dir)
-    papers = v.groupBy("qid").agg(F.count_distinct("paper").alias("papers"))
-    a, b, c = ensemble.gate_a(v), ensemble.gate_b(v, 1), ensemble.gate_c(v, papers)
-    d = a.withColumnsRenamed({"passed": "a_passed"}).join(b, "qid").join(c.withColumnsRenamed({"right": "c_right", "passed": "c_passed"}), "qid")
+    d = ensemble.gates(T.votes(spark, sf_dir), b=1)
     return d.select("qid", "votes", "right", "a_passed", "sufficient", "c_right", "c_passed", ensemble.tier(F.col("right"), F.col("c_right"), F.col("a_passed")).alias("tier"))
 
 

@@ -29,12 +29,25 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers cite the parts of their lines and parts their suppliers; pos in order of the target."""
-    d = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+def tasks(rows: DataFrame, each: int = 250_000) -> int:
+    """How many tasks a table's rows are dealt to by key, so that a task's share does not grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
+def edges(spark: SparkSession, sf_dir: str, which: str = "SP") -> DataFrame:
+    """Suppliers cite the parts of their lines (S) and parts their suppliers (P); pos in order of the target."""
+    d = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    n, out = tasks(d), None
     s, p = F.concat(F.lit("S"), F.col("l_suppkey")), F.concat(F.lit("P"), F.col("l_partkey"))
-    e = d.select(s.alias("src"), p.alias("dst")).unionByName(d.select(p.alias("src"), s.alias("dst")))
-    return e.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    w = Window.partitionBy("src").orderBy("dst")
+    for kind, src, dst in (("S", s, p), ("P", p, s)):
+        if kind in which:
+            # equal targets of a source follow each other, so one sort gives places and leaves out copies
+            e = d.select(src.alias("src"), dst.alias("dst")).repartition(n, "src")
+            e = e.select("src", "dst", F.dense_rank().over(w).alias("pos"), F.row_number().over(w).alias("at"), F.lag("dst").over(w).alias("before"))
+            e = e.where(~F.col("dst").eqNullSafe(F.col("before")) | (F.col("at") == 1)).select("src", "dst", "pos")
+            out = e if out is None else out.unionByName(e)
+    return out
 
 
 EDGES_SQL = """d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
@@ -62,7 +75,8 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.create_map(F.lit("F"), F.lit("A"), F.lit("O"), F.lit("N"), F.lit("P"), F.lit("R"))
     v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("provider"), F.col("l_returnflag").alias("answer"), F.col("l_partkey").alias("paper"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.element_at(t, F.col("o_orderstatus")).alias("truth"))
-    return v.join(o, "qid")
+    n = tasks(v)
+    return v.repartition(n, "qid").join(o.repartition(n, "qid"), "qid")
 
 
 VOTES_SQL = """votes AS (SELECT l_orderkey AS qid, l_linenumber AS provider, l_returnflag AS answer, l_partkey AS paper,
