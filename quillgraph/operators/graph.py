@@ -34,22 +34,28 @@ def two_hop(edges: DataFrame, seeds: DataFrame, width: int = 30) -> DataFrame:
     return one.join(near.select(F.col("src").alias("mid"), F.col("dst").alias("node")), "mid").where("node <> seed").select("seed", "mid", "node")
 
 
-def bridges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For (seed, terminal): the first neighbour of the seed whose neighbours hold the terminal."""
-    a = edges.select(F.col("src").alias("seed"), F.col("dst").alias("mid"), F.col("pos").alias("p"))
-    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("terminal")).distinct()
-    return pairs.join(a, "seed").join(b, ["mid", "terminal"]).groupBy("seed", "terminal").agg(F.min_by("mid", "p").alias("bridge"))
-
-
-def reference_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For (a, b): shared references, and their Jaccard similarity (0 where a side has none)."""
-    one = edges.select("src", "dst").distinct()
-    n = one.groupBy("src").agg(F.count("*").alias("n"))
-    both = pairs.join(one.withColumnsRenamed({"src": "a"}), "a").join(one.withColumnsRenamed({"src": "b"}), ["b", "dst"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    d = pairs.distinct().join(both, ["a", "b"], "left").join(n.withColumnsRenamed({"src": "a", "n": "na"}), "a", "left").join(n.withColumnsRenamed({"src": "b", "n": "nb"}), "b", "left")
+def bridges(edges: DataFrame, pairs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """For (seed, terminal): the first neighbour of the seed whose neighbours hold the terminal. The steps that meet
+    are dealt to so many tasks, if given."""
+    dealt = lambda d: d.repartition(tasks, "mid", "terminal") if tasks else d
+    ends = pairs.select("terminal").distinct()
+    a = pairs.distinct().join(edges.select(F.col("src").alias("seed"), F.col("dst").alias("mid"), F.col("pos").alias("p")), "seed")
+    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("terminal")).join(ends, "terminal", "left_semi")
+    return dealt(a).join(dealt(b), ["mid", "terminal"], "left_semi").groupBy("seed", "terminal").agg(F.min_by("mid", "p").alias("bridge"))
+
+
+def reference_jaccard(edges: DataFrame, pairs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """For (a, b): shared references, and their Jaccard similarity (0 where a side has none). The references of both
+    sides meet by pair and target, dealt to so many tasks, if given."""
+    one, two = pairs.distinct(), edges.select("src", "dst")
+    sides = [one.join(two.withColumnRenamed("src", x), x).select("a", "b", "dst", F.lit(x == "a").alias("of_a"), F.lit(x == "b").alias("of_b")) for x in ("a", "b")]
+    rows = sides[0].unionByName(sides[1])
+    rows = rows.repartition(tasks, "a", "b") if tasks else rows
+    each = rows.groupBy("a", "b", "dst").agg(F.bool_or("of_a").alias("of_a"), F.bool_or("of_b").alias("of_b"))
+    n = each.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("of_a") & F.col("of_b") & F.col("dst").isNotNull()).alias("shared"), F.count_if(F.col("of_a") & F.col("of_b")).alias("same"))
     shared = F.coalesce("shared", F.lit(0))
-    either = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - shared
-    return d.select("a", "b", shared.cast("long").alias("shared"), F.round(F.coalesce(F.try_divide(shared.cast("double"), either), F.lit(0.0)), 4).alias("jaccard"))
+    either = F.coalesce(F.col("n") + F.col("same") - F.col("shared"), F.lit(0))
+    return one.join(n, ["a", "b"], "left").select("a", "b", shared.cast("long").alias("shared"), F.round(F.coalesce(F.try_divide(shared.cast("double"), either), F.lit(0.0)), 4).alias("jaccard"))
 
 
 #: Bounded greedy expansion as a recursive statement: a row is a seed and the parent whose turn it is.

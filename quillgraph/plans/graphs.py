@@ -46,7 +46,7 @@ def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _seeds(spark, sf_dir).withColumn("terminal", F.concat(F.lit("S"), F.substring("seed", 2, 9).cast("int") + 1))
-    return graph.bridges(T.edges(spark, sf_dir), pairs)
+    return graph.bridges(T.edges(spark, sf_dir), pairs, T.tasks(T.table(spark, sf_dir, "lineitem")))
 
 
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = T.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("a"), F.concat(F.lit("S"), F.col("s_suppkey") + 1).alias("b"))
-    return graph.reference_jaccard(T.edges(spark, sf_dir), pairs)
+    return graph.reference_jaccard(T.edges(spark, sf_dir, "S"), pairs, T.tasks(T.table(spark, sf_dir, "lineitem")))
 
 
 def greedy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
