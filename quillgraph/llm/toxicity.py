@@ -20,6 +20,7 @@ higher label; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -401,24 +402,34 @@ class Scorer:
 _ready: dict = {}
 
 
-def sample(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[list[str], np.ndarray]:
-    """The bounded labelled sample, in a fixed order."""
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network of all rows (doc_id, toxic, text) of a task."""
+    held = [b for b in batches if b.num_rows]
+    texts, y = [], np.zeros(0)
+    if held:
+        rows = pa.Table.from_batches(held)
+        ids, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(first[np.argsort(mix(ids.view(np.uint64)), kind="stable")]))
+        texts, y = rows.column("text").to_pylist(), rows.column("toxic").to_numpy()
+    yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(train(texts, y))], pa.binary())})
+
+
+def trained(docs: DataFrame, labels: DataFrame, use: Column) -> Network:
+    """A network from the bounded labelled sample in a fixed order, trained in a task: only the network meets the driver."""
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(use)
     order = F.xxhash64("doc_id")
     some = one.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC).unionByName(one.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN))
     # TOXIC + CLEAN rows at most: of rows that repeat an id the one whose text has the least md5
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text")).toArrow()
-    ids, first = np.unique(got.column("doc_id").to_numpy().astype(np.int64), return_index=True)
-    first = first[np.argsort(mix(ids.view(np.uint64)), kind="stable")]
-    got = got.take(pa.array(first))
-    return got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float)
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text"))
+    sent = got.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double"), "text").repartition(1).mapInArrow(_fit, "net binary").collect()
+    return pickle.loads(sent[0]["net"]) if sent else train([], np.zeros(0))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """docs with held_out, score and predicted. Rows where held_out holds teach nothing."""
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    net = train(*sample(docs, labels, ~held_out))
+    net = trained(docs, labels, ~held_out)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     kinds = dict(docs.dtypes)

@@ -109,3 +109,11 @@ def test_equals_definition():
     got = X.Scorer(net).score(data, off, 0, len(rows))
     want = [plain_score(net, t) for t in rows]
     assert np.allclose(got, want, atol=1e-4) and np.ptp(want) > 0.2
+
+
+def test_trained_in_a_task(spark, monkeypatch):
+    """The driver sees neither the sample nor its training."""
+    monkeypatch.setattr(X, "train", None)
+    docs = spark.createDataFrame([(i, "awful stuff" if i % 2 else "good words") for i in range(40)], "doc_id long, text string")
+    out = X.toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")).collect()
+    assert len(out) == 40 and all(0 <= r.score <= 1 for r in out)
