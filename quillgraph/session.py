@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,31 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, what: str, n: int, key: str) -> DataFrame:
+    """df as a table in the shared folder in n buckets of a key, read back as dealt so: joins and groupings by the key
+    move nothing. df itself is best dealt by the key to n tasks, as each task writes a file for each of its buckets."""
+    spark = df.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.format("parquet").bucketBy(n, key).options(path=path, compression="zstd").saveAsTable(name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files stay
+    return out
+
+
+@contextmanager
+def staying(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun inside join rows that are dealt by some of their keys where they lie, and read buckets as such."""
+    conf = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

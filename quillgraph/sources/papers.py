@@ -8,6 +8,7 @@ and on positions inside intervals. A page may be of any length; rows of differen
 
 The steps are SQL, written once for both engines that run it (`Dialect`): Spark keeps the tables that
 several steps read in the shared folder, and `sql_of` gives the same steps as one statement with CTEs.
+Spark deals pages to tasks by page once; `dealt_steps` are its steps, which move no row from then on.
 
 Defined results: a null page is empty, and pages without sections have empty arrays; where two elements cross, each
 ends at its own end tag; script and style texts belong to no section, but do to a header's part where they
@@ -24,7 +25,7 @@ from html.entities import html5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.session import written
+from quillgraph.session import bucketed, staying
 
 # Sections that are left out, by how their header begins.
 LEFT_OUT = ("references", "bibliography", "acknowledgement", "acknowledgment", "acknowledg", "checklist", "version control", "author contrib", "contributions", "ethics", "ethical", "disclosure of funding", "broader impact", "impact statement", "reproducibility", "summary of contributions", "список литературы")
@@ -41,6 +42,8 @@ _TOKEN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}|<[!?][^>]*>|</?[a-z]{_ATTRS}>|{_ENTITY
 _NAME, _SCRIPT = r"^</?([a-zA-Z][^/>\s]*)", r"(?is)^<(?:script|style)\b"
 _CLASS = r'(?i)\sclass\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^>\s]+)'
 _END = 1 << 30
+# How many bytes of pages a task takes, and how many tasks there are at most.
+TASK_BYTES, MOST_TASKS = 4 << 20, 100_000
 
 
 @dataclass(frozen=True)
@@ -195,13 +198,52 @@ def sql_of(pages: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in every)
 
 
+def dealt_steps() -> list[tuple[str, str, bool]]:
+    """Spark's steps over pages that are dealt by page: without unions, which lose how rows are dealt; references are
+    looked up in the broadcast table, by their whole name or number or by the longest short name they begin with, and
+    steps that join by more than the page are kept."""
+    d = SPARK
+    rep = lambda x, p, by="''": f"regexp_replace({x}, {d.regex(p)}, {by})"
+    digits = lambda p: rep(rep("lower(tok)", p, f"'0{d.group1}'"), ";$")
+    number = f"CASE WHEN length(tok) > 12 THEN 1114112 WHEN lower(tok) LIKE '&#x%' THEN {d.hexed(digits('^&#x0*(.*)'))} ELSE cast({digits('^&#0*(.*)')} AS bigint) END"
+    short = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    other = f"CASE WHEN num BETWEEN 55296 AND 57343 OR num > 1114111 THEN {d.unicode('65533')} ELSE {d.unicode('num')} END"
+    own = {
+        "moves": f"""SELECT t.k, t.i, t.tok, t.kind, t.name, CASE WHEN t.kind = 'open' THEN 1 ELSE 0 END - coalesce(e.n, 0) AS d,
+           CASE WHEN t.kind = 'open' AND t.name IN ('annotation', 'annotation-xml') THEN 1 ELSE 0 END - coalesce(e.x, 0) AS x
+           FROM tags t LEFT JOIN (SELECT k, b, count(*) AS n, count(CASE WHEN name IN ('annotation', 'annotation-xml') THEN 1 END) AS x FROM ended WHERE b < {_END} GROUP BY k, b) e ON t.k = e.k AND t.i = e.b""",
+        "known": f"""SELECT n.k, n.i, n.tok, n.kind, n.depth, n.gap, CASE WHEN n.num IS NOT NULL THEN coalesce(x.v, {other.replace('num', 'n.num')})
+             WHEN x.name IS NOT NULL THEN x.v WHEN y.name IS NOT NULL THEN concat(y.v, substring(n.tok, 2 + length(y.name))) ELSE n.tok END AS v
+           FROM (SELECT *, CASE WHEN num IS NOT NULL THEN concat('#', num) WHEN kind = 'entity' THEN substring(tok, 2) END AS whole,
+             CASE WHEN kind = 'entity' AND num IS NULL THEN regexp_extract(tok, {d.regex(f'^&({short})')}, 1) END AS short
+             FROM (SELECT *, CASE WHEN kind = 'entity' AND tok LIKE '&#%' THEN {number} END AS num FROM nodes WHERE kind IN ('text', 'entity', 'raw')) m) n
+           LEFT JOIN entities x ON n.whole = x.name LEFT JOIN entities y ON n.short = y.name""",
+        "texts": f"""SELECT * FROM (SELECT k, min(i) AS i, max(depth) AS depth,
+             CASE WHEN kind = 'raw' THEN {d.stripped(rep(rep('max(tok)', '(?s)^<[^>]*>'), '(?is)</(?:script|style)[^>]*>$'))} ELSE {d.stripped(d.joined('v', "''", 'i'))} END AS s, kind = 'raw' AS raw
+             FROM (SELECT k, i, tok, depth, gap, v, CASE WHEN kind = 'raw' THEN kind ELSE 'text' END AS kind FROM known) n GROUP BY k, gap, kind) t WHERE s <> ''""",
+        "framed": next(s for n, s, _ in steps(d) if n == "framed").replace("c.k = t.k", "m.k = t.k"),  # c may be missing
+        "tabs": "SELECT f.k, f.a, f.caption, g.grid FROM framed f JOIN grids g ON f.k = g.k AND f.ta = g.a",
+        "result": f"""SELECT p.k, coalesce(m.sections, s.sections, {d.none}) AS sections, coalesce(t.tables, g.tables, {d.none}) AS tables FROM pages p
+           LEFT JOIN (SELECT k, {d.listed(d.struct('header', 'header', 'text', 'body'), 'a')} AS sections FROM mains GROUP BY k) m ON p.k = m.k
+           LEFT JOIN (SELECT k, {d.listed(d.struct('header', 'cut', 'text', 'body'), 'a')} AS sections FROM (SELECT k, a, cut, {d.joined('s', d.gap, 'ea')} AS body FROM pieces GROUP BY k, a, cut) x GROUP BY k) s ON p.k = s.k
+           LEFT JOIN (SELECT k, {d.listed(d.struct('caption', 'caption', 'rows', 'grid'), 'a')} AS tables FROM tabs GROUP BY k) t ON p.k = t.k
+           LEFT JOIN (SELECT k, {d.listed(d.struct('caption', "''", 'rows', 'grid'), 'a')} AS tables FROM grids WHERE n > 1 GROUP BY k) g ON p.k = g.k""",
+    }
+    return [(n, own.get(n, s), shared or n in ("pieces", "tabs")) for n, s, shared in steps(d) if n != "found"]
+
+
 def parse_papers(pages: DataFrame, key: str, html: str) -> DataFrame:
     """pages (key, html) as (key, sections: array of header and text, tables: array of caption and rows)."""
     spark: SparkSession = pages.sparkSession
-    known = {"pages": pages.select(F.col(key).alias("k"), F.col(html).alias("html")), "entities": spark.createDataFrame(entity_rows(), "name string, v string")}
-    for name, statement, shared in steps(SPARK):
-        df = spark.sql(_with_frames(statement, known), **{n: known[n] for n in known if f"{{{n}}}" in _with_frames(statement, known)})
-        known[name] = written(df, name) if shared else df
+    d = pages.select(F.col(key).alias("k"), F.col(html).alias("html"))
+    size = d.agg(F.sum(F.octet_length("html"))).head()[0] or 0
+    n = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    known = {"pages": d.repartition(n, "k"), "entities": F.broadcast(spark.createDataFrame(entity_rows(), "name string, v string"))}
+    with staying(spark):
+        for name, statement, shared in dealt_steps():
+            text = _with_frames(statement, known)
+            df = spark.sql(text, **{x: known[x] for x in known if f"{{{x}}}" in text})
+            known[name] = bucketed(df, name, n, "k") if shared else df
     return known["result"].withColumnRenamed("k", key)
 
 

@@ -62,3 +62,30 @@ def test_no_python_worker_and_no_pages(spark, capsys):
     out.explain()
     plan = capsys.readouterr().out
     assert "InPandas" not in plan and "Python" not in plan and "InArrow" not in plan
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_pages_are_dealt_once(spark):
+    """Pages and their keys move, and one row of a task for a sum; no token, element or text does, joined with whatever."""
+    rng = random.Random(11)
+    pages = [made(rng) for _ in range(60)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    kept = {k: spark.conf.get(k, None) for k in (*conf, "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.sources.bucketing.autoBucketedScan.enabled")}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        before = shuffled(spark)
+        got = parsed(spark, pages)
+        moved = sum(v for k, v in shuffled(spark).items() if k not in before)
+    finally:
+        for k in conf:
+            spark.conf.unset(k) if kept[k] is None else spark.conf.set(k, kept[k])
+    assert [got[i] for i in range(60)] == [(paper_tree.sections(t := paper_tree.tree(p)), paper_tree.tables(t)) for p in pages]
+    assert 120 <= moved <= 2 * 60 + 2 * spark.sparkContext.defaultParallelism
+    assert all(spark.conf.get(k, None) == v for k, v in kept.items()) and not spark.catalog.listTables()
