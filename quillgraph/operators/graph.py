@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import written
+from quillgraph.session import bucketed, staying
 
 
 def edge_score(influential: Column, contexts: Column, intents: Column, least: int = 80) -> Column:
@@ -58,54 +58,59 @@ def reference_jaccard(edges: DataFrame, pairs: DataFrame, tasks: int | None = No
     return one.join(n, ["a", "b"], "left").select("a", "b", shared.cast("long").alias("shared"), F.round(F.coalesce(F.try_divide(shared.cast("double"), either), F.lit(0.0)), 4).alias("jaccard"))
 
 
-#: Bounded greedy expansion as a recursive statement: a row is a seed and the parent whose turn it is.
-GREEDY = """WITH RECURSIVE t AS (
-  SELECT seed, 1 AS level, 1 AS i, array(named_struct('node', seed, 'path', array(seed))) AS cur, cast(array() AS array<struct<node: string, path: array<string>>>) AS nxt, array(seed) AS seen,
-    0 AS at, 0 AS ranked, cast(NULL AS string) AS parent, cast(array() AS array<struct<node: string, score: double, path: array<string>>>) AS picked FROM {seeds}
-  UNION ALL
-  SELECT seed, CASE WHEN i < size(cur) THEN level ELSE level + 1 END, CASE WHEN i < size(cur) THEN i + 1 ELSE 1 END, CASE WHEN i < size(cur) THEN cur ELSE more END,
-    CASE WHEN i < size(cur) THEN more ELSE cast(array() AS array<struct<node: string, path: array<string>>>) END, concat(seen, transform(picked, x -> x.node)), level, size(nxt), parent_, picked
-  FROM (SELECT *, concat(nxt, transform(picked, x -> named_struct('node', x.node, 'path', x.path))) AS more
-    FROM (SELECT *, CASE WHEN size(good) > 0 THEN transform(slice(good, 1, width), x -> named_struct('node', x, 'score', strong_of[x], 'path', concat(path, array(x))))
-        ELSE transform(slice(array_except(coalesce(weak, array()), seen), 1, width), x -> named_struct('node', x, 'score', weak_of[x], 'path', concat(path, array(x)))) END AS picked
-      FROM (SELECT t.*, cur[i - 1].node AS parent_, cur[i - 1].path AS path, element_at(array({{widths}}), level) AS width, c.weak, c.strong_of, c.weak_of, array_except(coalesce(c.strong, array()), seen) AS good
-        FROM (SELECT seed, level, i, cur, nxt, seen FROM t WHERE level <= {{levels}} AND i <= size(cur)) t LEFT JOIN {cands} c ON c.src = cur[i - 1].node) x) y) z
-) SELECT seed, at AS depth, ranked, parent, picked FROM t WHERE at > 0"""
+#: The turns of a seed's parents in order: what they take, and all that is taken by then.
+TURNS = """aggregate(turns, named_struct('seen', seen, 'picked', cast(array() AS array<struct<node: string, score: double, parent: string, path: array<string>>>)),
+  (s, x) -> transform(array(array_except(x.strong, s.seen)), good -> transform(array(slice(if(size(good) > 0, good, array_except(x.weak, s.seen)), 1, {width})), nodes -> named_struct(
+    'seen', concat(s.seen, nodes),
+    'picked', concat(s.picked, transform(nodes, y -> named_struct('node', y, 'score', if(size(good) > 0, x.strong_of[array_position(x.strong, y) - 1], x.weak_of[array_position(x.weak, y) - 1]),
+      'parent', x.parent, 'path', concat(x.path, array(y)))))))[0])[0])"""
 
 
 def candidates(edges: DataFrame, most: int, least: float) -> DataFrame:
     """Per source the targets of the `most` best edges of a score of `least` (strong) and of the `most` most cited
-    (weak), each in order, of equal targets the first, and maps of what they score (strong_of, weak_of). No choice can
-    reach further, so a hub's other edges go here."""
-    one = edges.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.min_by(F.struct(F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"), "pos"), "pos").alias("e")).select("src", "dst", "e.*")
+    (weak), each in order, of equal targets the first, and what they score in the same order (strong_of, weak_of). No
+    choice can reach further, so a hub's other edges go here. Edges dealt by src stay where they are."""
+    one = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min_by(F.struct(F.col("score").cast("double").alias("score"), F.col("cited").cast("double").alias("cited"), "pos"), "pos").alias("e")).select("src", "dst", "e.*")
     one = one.withColumn("rest", F.least(F.col("cited") / 100.0, F.lit(50.0)))
-    parts = []
-    for name, value, rows in (("strong", "score", one.where(F.col("score") >= least)), ("weak", "rest", one)):
-        n = F.row_number().over(Window.partitionBy("src").orderBy(F.col(value).desc(), "pos"))
-        own = rows.withColumn("n", n).where(F.col("n") <= most).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst", F.col(value).alias("score")))).alias(name))
-        parts.append(own.select("src", F.col(f"{name}.dst").alias(name), F.map_from_arrays(f"{name}.dst", f"{name}.score").alias(f"{name}_of")))
-    return parts[1].join(parts[0], "src", "left")
+    place = lambda *order: F.row_number().over(Window.partitionBy("src").orderBy(*order, "pos"))
+    strong = F.coalesce(F.col("score") >= least, F.lit(False))
+    one = one.withColumns({"s": F.when(strong, place(strong.desc(), F.col("score").desc())), "w": place(F.col("rest").desc())}).where((F.col("s") <= most) | (F.col("w") <= most))
+    own = lambda n, value: F.array_sort(F.collect_list(F.when(F.col(n) <= most, F.struct(n, "dst", F.col(value).alias("v")))))
+    both = one.groupBy("src").agg(own("s", "score").alias("s"), own("w", "rest").alias("w"))
+    return both.select("src", F.col("s.dst").alias("strong"), F.col("s.v").alias("strong_of"), F.col("w.dst").alias("weak"), F.col("w.v").alias("weak_of"))
 
 
-def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...] = (10, 7), least: float = 3.0) -> DataFrame:
+def expand_greedily(edges: DataFrame, seeds: DataFrame, widths: tuple[int, ...] = (10, 7), least: float = 3.0, tasks: int | None = None) -> DataFrame:
     """Bounded greedy expansion: per depth, parents in order take their best references not yet
     taken by any earlier parent or depth; where none reaches `least`, those cited most.
 
-    edges: src, dst, pos, score, cited. The choice of a parent depends on all before it, so a seed is a
-    sequence of turns, and all seeds take the same turn together: a recursive query whose rows carry what a seed has
-    taken. A turn joins each seed with the candidates of one parent, which are ranked and cut once for all turns.
+    edges: src, dst, pos, score, cited; already dealt by src to so many tasks, if given. A depth is one job: the parents
+    of all seeds meet their candidates, which are ranked, cut and kept once for all depths, and return to their seed, whose
+    parents take their turns in a fold over what is taken: the choice of a parent depends on all before it.
     Returns seed, depth, parent, node, rank, score, path."""
     spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    if not tasks:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-edges.count() // 250_000))
+        edges = edges.repartition(tasks, "src")
     steps, most = 1, 1
     for w in widths:
         steps *= w
         most += steps
-    cands = written(candidates(edges, most, least), "candidates")
-    statement = GREEDY.replace("{{widths}}", ", ".join(map(str, widths))).replace("{{levels}}", str(len(widths))).replace("picked\n  FROM (SELECT *, concat(nxt", "picked\n  FROM (SELECT *, concat(nxt")
-    rows = spark.sql(statement, cands=cands, seeds=seeds.select("seed"))
-    out = rows.select("seed", "depth", "ranked", "parent", F.posexplode("picked").alias("p", "x"))
-    return out.select("seed", "parent", F.col("x.node").alias("node"), F.col("x.score").alias("score"), F.col("x.path").alias("path"), (F.col("ranked") + F.col("p") + 1).cast("int").alias("rank"), "depth")
+    out = None
+    with staying(spark):
+        cands = bucketed(candidates(edges, most, least), "candidates", tasks, "src").withColumnRenamed("src", "parent")
+        first = F.array(F.struct(F.col("seed").alias("node"), F.array("seed").alias("path")))
+        state = seeds.where("seed IS NOT NULL").repartition(tasks, "seed").groupBy("seed").agg(F.count("*").cast("int").alias("copies")).select("seed", "copies", F.array("seed").alias("seen"), first.alias("picked"))
+        for depth, width in enumerate(widths, 1):
+            parents = state.select("seed", F.posexplode("picked").alias("i", "x")).select("seed", "i", F.col("x.node").alias("parent"), F.col("x.path").alias("path"))
+            met = parents.repartition(tasks, "parent").join(cands, "parent").repartition(tasks, "seed")
+            turns = met.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("i", "parent", "path", "strong", "strong_of", "weak", "weak_of"))).alias("turns"))
+            taken = state.select("seed", "copies", "seen").join(turns, "seed").select("seed", "copies", F.expr(TURNS.replace("{width}", str(width))).alias("t"))
+            state = bucketed(taken.select("seed", "copies", "t.seen", "t.picked"), "picked", tasks, "seed")
+            own = state.select("seed", "copies", F.lit(depth).alias("depth"), F.posexplode("picked").alias("p", "x"))
+            out = own if out is None else out.unionByName(own)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select("seed", "x.parent", "x.node", "x.score", "x.path", (F.col("p") + 1).alias("rank"), "depth")
 
 
 def sibling_pairs(targets: DataFrame, key: str | list[str] = "seed") -> DataFrame:

@@ -60,9 +60,15 @@ def reference_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir)
-    back = s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score", "cited").withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    out = graph.expand_greedily(s.select("src", "dst", "pos", "score", "cited").unionByName(back), _seeds(spark, sf_dir))
+    """Suppliers and the parts of their lines refer to each other; lines are dealt by source once, both ways."""
+    d = T.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_returnflag") == "R").alias("r"), "l_quantity")
+    n = T.tasks(d, 125_000)
+    s, p = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
+    ends = F.explode(F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst"))))
+    g = d.select(ends.alias("e"), "r", "l_quantity").select("e.src", "e.dst", "r", "l_quantity").repartition(n, "src").groupBy("src", "dst")
+    g = g.agg((F.count("*") * 2.5 + F.max(F.when(F.col("r"), 10.0).otherwise(0.0)) - 2.5).alias("score"), F.sum("l_quantity").alias("cited"))
+    g = g.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    out = graph.expand_greedily(g, _seeds(spark, sf_dir), tasks=n)
     return out.select("seed", "depth", "rank", "parent", "node", "score", F.array_join("path", ">").alias("path"))
 
 

@@ -38,3 +38,19 @@ def test_no_rows(spark):
     e = spark.createDataFrame([], "src string, dst string, pos int, score double, cited double")
     assert graph.expand_greedily(e, spark.createDataFrame([("a",)], "seed string")).count() == 0
     assert graph.expand_greedily(e, spark.createDataFrame([], "seed string")).count() == 0
+
+
+def test_rows_meet_once_for_each_depth(spark):
+    """Edges move once, and for each depth its parents twice, as they are dealt to their candidates and back; seeds may repeat or be null."""
+    from test_papers import shuffled
+
+    rng = random.Random(8)
+    edges = sorted({(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}", i, rng.choice((1.0, 4.0, 9.0)), 10.0) for i in range(2000)})
+    seeds = [f"n{i}" for i in range(90)]
+    made = spark.createDataFrame(edges, "src string, dst string, pos int, score double, cited double"), spark.createDataFrame([(s,) for s in [*seeds, "n7", "n7", None]], "seed string")
+    before = shuffled(spark)
+    got = sorted((r.seed, r.depth, r["rank"], r.parent, r.node, r.score, ">".join(r.path)) for r in graph.expand_greedily(*made, (3, 2)).collect())
+    moved = sum(v for k, v in shuffled(spark).items() if k not in before)
+    assert got == truth(edges, [*seeds, "n7", "n7"], (3, 2))
+    parents = len(seeds) + len({x[:5] for x in truth(edges, seeds, (3, 2)) if x[1] == 1})
+    assert moved <= len(edges) + 2 * parents + len(seeds) + 2 + spark.sparkContext.defaultParallelism
