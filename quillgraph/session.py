@@ -73,13 +73,17 @@ def bucketed(df: DataFrame, what: str, n: int, key: str) -> DataFrame:
 
 @contextmanager
 def staying(spark: SparkSession) -> Iterator[None]:
-    """Jobs begun inside join rows that are dealt by some of their keys where they lie, and read buckets as such."""
-    conf = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in conf}
+    """Jobs begun inside join rows that are dealt by some of their keys where they lie, and read buckets as such. None
+    of their tables is broadcast but by a hint: a file of few MB can hold rows of a hundred times that in the driver."""
+    conf = {
+        "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

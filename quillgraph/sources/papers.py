@@ -223,7 +223,8 @@ def dealt_steps() -> list[tuple[str, str, bool]]:
              FROM (SELECT k, i, tok, depth, gap, v, CASE WHEN kind = 'raw' THEN kind ELSE 'text' END AS kind FROM known) n GROUP BY k, gap, kind) t WHERE s <> ''""",
         "framed": next(s for n, s, _ in steps(d) if n == "framed").replace("c.k = t.k", "m.k = t.k"),  # c may be missing
         "tabs": "SELECT f.k, f.a, f.caption, g.grid FROM framed f JOIN grids g ON f.k = g.k AND f.ta = g.a",
-        "result": f"""SELECT p.k, coalesce(m.sections, s.sections, {d.none}) AS sections, coalesce(t.tables, g.tables, {d.none}) AS tables FROM pages p
+        # the caller's job, so hints keep its joins from broadcasting
+        "result": f"""SELECT /*+ MERGE(m, s, t, g) */ p.k, coalesce(m.sections, s.sections, {d.none}) AS sections, coalesce(t.tables, g.tables, {d.none}) AS tables FROM pages p
            LEFT JOIN (SELECT k, {d.listed(d.struct('header', 'header', 'text', 'body'), 'a')} AS sections FROM mains GROUP BY k) m ON p.k = m.k
            LEFT JOIN (SELECT k, {d.listed(d.struct('header', 'cut', 'text', 'body'), 'a')} AS sections FROM (SELECT k, a, cut, {d.joined('s', d.gap, 'ea')} AS body FROM pieces GROUP BY k, a, cut) x GROUP BY k) s ON p.k = s.k
            LEFT JOIN (SELECT k, {d.listed(d.struct('caption', 'caption', 'rows', 'grid'), 'a')} AS tables FROM tabs GROUP BY k) t ON p.k = t.k

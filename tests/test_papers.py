@@ -1,6 +1,7 @@
 import random
 
 import paper_tree
+from quillgraph.session import bucketed
 from quillgraph.sources import papers
 
 PAGE = """<html><body><section><h2>1 Intro</h2><p>Hello <math>x<annotation>raw</annotation></math> world.</p><section><h3>References</h3><p>gone</p></section></section>
@@ -89,3 +90,21 @@ def test_pages_are_dealt_once(spark):
     assert [got[i] for i in range(60)] == [(paper_tree.sections(t := paper_tree.tree(p)), paper_tree.tables(t)) for p in pages]
     assert 120 <= moved <= 2 * 60 + 2 * spark.sparkContext.defaultParallelism
     assert all(spark.conf.get(k, None) == v for k, v in kept.items()) and not spark.catalog.listTables()
+
+
+def test_no_table_of_the_steps_is_broadcast(spark, monkeypatch):
+    """Small files can hold rows of any size in the driver: only the fixed references are sent to all tasks."""
+    plans = []
+
+    def looked_at(df, *where):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return bucketed(df, *where)
+
+    monkeypatch.setattr(papers, "bucketed", looked_at)
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in thresholds]
+    out = papers.parse_papers(spark.createDataFrame([(1, PAGE)], "id long, html string"), "id", "html")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    sent = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+    assert sent and [x for x in sent if "[whole#" not in x and "[short#" not in x] == []
+    assert [spark.conf.get(k, None) for k in thresholds] == before and out.count() == 1
