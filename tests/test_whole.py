@@ -64,3 +64,12 @@ def test_running_sums_of_sparse_and_null_orders(spark):
         begun.append((pos, before < 4000))
         before += v
     assert sorted((r.pos, r.run) for r in runs) == begun
+
+
+def test_listing_of_over_702_sections(spark):
+    """Aliases go on with three letters."""
+    from quillgraph.functions import sections as S
+
+    s = F.transform(F.sequence(F.lit(0), F.lit(910)), lambda i: F.struct(F.lit("H").alias("header"), F.lit("ab").alias("text")))
+    lines = spark.range(1).select(S.listing(s).alias("t")).head().t.split("\n")
+    assert len(lines) == 911 and lines[701:704] == ["(ZZ) H [2 chars]", "(AAA) H [2 chars]", "(AAB) H [2 chars]"] and lines[910] == "(AIA) H [2 chars]"
